@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repertoire.llm import exact_dedup, sharding
+from repertoire.llm import chat, decontam, exact_dedup, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.format_turns(chat.with_control_case(spark, table(spark, sf_dir, "conversations")))
+    return chat.conversation_digests(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP1_SQL = r"""
 with n as (select doc_id, length(coalesce(text, '')) points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm from documents),
 best as (select norm, count(*) group_size, arg_min(doc_id, (-points, doc_id)) keep_id from n group by norm)
@@ -28,10 +45,59 @@ select n.doc_id, b.keep_id, cast(b.group_size as bigint) group_size, n.doc_id =
 from n join best b on n.norm = b.norm
 """
 
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+OP2_SQL = f"""
+with d as (select doc_id, {_WORDS} ws from documents),
+b as (select cast(item_id as varchar) item_id, {_WORDS} ws from benchmark),
+starts as (select item_id, ws, least(10, len(ws)) l, unnest(range(1, cast(len(ws) - least(10, len(ws)) + 2 as bigint))) i from b where len(ws) > 0),
+win as (select distinct item_id, l, array_to_string(ws[i:i + l - 1], ' ') w from starts),
+dw as (select doc_id, l, i, array_to_string(ws[i:i + l - 1], ' ') w
+       from (select doc_id, ws, l, unnest(range(1, cast(len(ws) - l + 2 as bigint))) i from d, (select distinct l from win) where len(ws) >= l)),
+hits as (select doc_id, i, dw.l, item_id from dw join win using (l, w)),
+pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + l)) p from hits) group by doc_id),
+its as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id from hits) group by doc_id)
+select d.doc_id, cast(len(d.ws) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+       sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join pos using (doc_id) left join its using (doc_id)
+"""
+
+OP3_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) h from pages),
+f as (select h, min(page_id) first from p group by h)
+select page_id, cast(n as bigint) payload_bytes, h payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end record_type,
+       case when n >= 100 and page_id <> first then first end refers_to
+from p join f using (h)
+"""
+
+# a turn grows by one character for each backslash and each control string in its text, and by its markers
+_MARKS = "('<<SYS>>'), ('<</SYS>>'), ('[INST]'), ('[/INST]'), ('<s>'), ('</s>'), ('<<ROLE'), ('<</ROLE>>')"
+OP4_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m as (select mark from (values {_MARKS}) t(mark)),
+t as (select conv_id, turn, role, text,
+        length(text) + length(text) - length(replace(text, chr(92), ''))
+        + (select cast(sum((length(text) - length(replace(text, mark, ''))) // length(mark)) as bigint) from m)
+        + case role when 'system' then 17 when 'user' then 15 when 'assistant' then 9 else 20 + 2 * strlen(role) end chars from c)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256, cast(sum(chars) as bigint) formatted_chars
+from t group by conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op8_sharding": op8_sharding}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_decontamination": op2_decontamination,
+        "op3_warc": op3_warc,
+        "op4_chat": op4_chat,
+        "op8_sharding": op8_sharding,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL}
