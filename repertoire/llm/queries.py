@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repertoire.llm import chat, decontam, exact_dedup, near_dedup, quality, sharding, warc
+from repertoire.llm import chat, decontam, exact_dedup, near_dedup, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_warc": op3_warc,
         "op4_chat": op4_chat,
+        "op5_packing": op5_packing,
         "op8_sharding": op8_sharding,
         "op9_near_dedup": op9_near_dedup,
         "op10_quality": op10_quality,
