@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repertoire.llm import chat, decontam, exact_dedup, near_dedup, packing, quality, sharding, warc
+from repertoire.llm import chat, decontam, exact_dedup, lm_score, near_dedup, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_chat": op4_chat,
         "op5_packing": op5_packing,
+        "op7_lm_score": op7_lm_score,
         "op8_sharding": op8_sharding,
         "op9_near_dedup": op9_near_dedup,
         "op10_quality": op10_quality,
