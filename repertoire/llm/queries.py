@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from repertoire.llm import chat, decontam, exact_dedup, lm_score, near_dedup, packing, quality, sharding, warc
+from repertoire.llm import chat, decontam, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -107,10 +112,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_chat": op4_chat,
         "op5_packing": op5_packing,
+        "op6_html_extract": op6_html_extract,
         "op7_lm_score": op7_lm_score,
         "op8_sharding": op8_sharding,
         "op9_near_dedup": op9_near_dedup,
         "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
