@@ -1,19 +1,525 @@
-"""Registry of the driver queries (name -> callable) and their SQL oracles."""
+"""Registry of the driver queries (name -> callable) and their SQL oracles.
+
+Every query runs an operator over whole fixture tables (see ``fixtures``). Doubles are rounded where
+sums may differ in their last digits between engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from repertoire.functions import sequences as seq
+from repertoire.functions import tables
+from repertoire.operators import clones as calls
+from repertoire.operators import distance, diversity, motifs, neighbors, stats, usage
+from repertoire.plans import fixtures
+from repertoire.plans.oracles import ORACLES
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").limit(1)
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
+
+
+def clones(spark: SparkSession, d: str) -> DataFrame:
+    c = fixtures.frame(spark, d, "clones")
+    sets = {f"v{x}_genes": F.array_sort(F.array_distinct(F.array(f"v{x}1", f"v{x}2"))) for x in "ab"}
+    return c.withColumns(sets)
+
+
+def genes(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.frame(spark, d, "genes")
+
+
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.frame(spark, d, "reads").withColumns({"qual_a": F.col("qual"), "qual_b": F.col("qual")})
+
+
+def tuples(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.frame(spark, d, "tuples").withColumn("genes", F.array_sort(F.array_distinct(F.array("g1", "g2"))))
+
+
+def r(c: str | Column, digits: int = 6) -> Column:
+    """Rounded, without negative zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, digits) + F.lit(0.0)
+
+
+# scalars and filters
+
+
+@query
+def quality_min_filter(spark, d):
+    """Least of '.'-joined qualities, reads below 20 dropped."""
+    quals = F.concat_ws(".", F.col("qual").cast("string"), (F.col("qual") + 7).cast("string"), (F.col("qual") - 3).cast("string"))
+    return reads(spark, d).select("read_id", seq.least_quality(quals).alias("least")).where("least >= 20")
+
+
+@query
+def cdr3_filter_status(spark, d):
+    """Length window, residue alphabet, status text."""
+    c = clones(spark, d)
+    bad = F.array_compact(
+        F.array(F.when(~F.length("cdr3a").between(9, 13), "a_length"), F.when(~F.length("cdr3b").between(9, 14), "b_length"), F.when(~F.col("cdr3a").rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"), "a_residue"))
+    )
+    return c.select("clone_id", F.when(F.size(bad) == 0, "OK").otherwise(F.array_join(bad, ";")).alias("status"))
+
+
+@query
+def seq_revcomp_translate(spark, d):
+    """Reverse complement and translation in two frames."""
+    n = F.col("nuc_a")
+    return reads(spark, d).select("read_id", seq.reverse_complement(n).alias("revcomp"), seq.translate_frame(n, 1).alias("p1"), seq.translate_frame(n, -2).alias("m2"))
+
+
+@query
+def seq_mismatch_iupac(spark, d):
+    """Mismatches that respect ambiguous bases, and the best common prefix."""
+    x = reads(spark, d)
+    first = x.groupBy("subject", "epitope").agg(F.min_by("nuc_a", "read_id").alias("ref"))
+    return x.join(first, ["subject", "epitope"]).select("read_id", seq.mismatches(F.col("nuc_a"), F.col("ref")).alias("mismatches"))
+
+
+@query
+def seq_property_sums(spark, d):
+    """Charge and hydrophobicity of each CDR3."""
+    c = clones(spark, d)
+    s = F.col("cdr3b")
+    return c.select("clone_id", r(seq.residue_sum(s, tables.CHARGE), 4).alias("charge"), r(seq.residue_sum(s, tables.GES, -1.0), 4).alias("ges"), r(seq.residue_sum(s, tables.HP), 4).alias("hp"))
+
+
+@query
+def cdr3_properties(spark, d):
+    """Mean properties by epitope and chain."""
+    return usage.property_means(clones(spark, d)).select("epitope", "chains", *[r(k, 5).alias(k) for k in ("length", "charge", "ges", "hp")])
+
+
+@query
+def cdr3_length_histogram(spark, d):
+    """Histogram of CDR3 lengths."""
+    return usage.property_histogram(clones(spark, d), F.length("cdr3b"))
+
+
+# distances and neighbours
+
+
+@query
+def v_region_distance(spark, d):
+    """Germline V distances."""
+    return distance.v_region_distances(genes(spark, d))
+
+
+@query
+def cdr3_pairs_in_band(spark, d):
+    """Pairs within one gap, joined on length bands."""
+    c = clones(spark, d)
+    return distance.length_band_pairs(c, "A", 19.0, seq.cdr3_distance(F.col("a"), F.col("b"))).select("id1", "id2", F.col("dist").cast("double").alias("dist"))
+
+
+@query
+def receptor_pairs_within(spark, d):
+    """Receptor pairs within the radius, chains A, B and AB."""
+    return distance.pairs_within(clones(spark, d), genes(spark, d), diversity.THRESHOLD).select("chains", "id1", "id2", "dist")
+
+
+@query
+def receptor_distance_sums(spark, d):
+    """All pairs of an epitope compared, mean distances within and between subjects."""
+    s = distance.pair_sums(clones(spark, d), genes(spark, d), lambda x, c: x)
+    same = F.col("subject1") == F.col("subject2")
+    rows = s.groupBy(F.col("unit").alias("epitope"), "chains", same.alias("same_subject")).agg(F.sum("n").alias("pairs"), F.sum("total").alias("total"))
+    return rows.select("epitope", "chains", "same_subject", "pairs", r(F.col("total") / F.col("pairs"), 6).alias("mean_dist"))
+
+
+@query
+def nbrdist_10(spark, d):
+    """Plain and weighted nearest-neighbour scores within each epitope."""
+    s = neighbors.neighbor_scores(distance.nearest_distances(clones(spark, d), genes(spark, d)), (10,))
+    return s.select("clone_id", "chains", r("nbrdist", 4).alias("nbrdist"), r("wtd_nbrdist", 4).alias("wtd_nbrdist"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbour scores of every clone and their ranks in the repertoire."""
+    s = neighbors.neighbor_scores(distance.nearest_distances(clones(spark, d), genes(spark, d)), (10,))
+    s = s.withColumn("wtd_nbrdist", r("wtd_nbrdist", 4))
+    ranked = neighbors.interpolated_rank(s, ["ref_epitope", "chains", "percentile"], "wtd_nbrdist")
+    return ranked.select("clone_id", "chains", "wtd_nbrdist", r("rank", 4).alias("rank"))
+
+
+@query
+def nbrdist_rank(spark, d):
+    return flagship(spark, d)
+
+
+@query
+def avg_nbrdist(spark, d):
+    """Mean score by epitope and chain."""
+    s = neighbors.neighbor_scores(distance.nearest_distances(clones(spark, d), genes(spark, d)), (10,))
+    return s.groupBy("epitope", "chains").agg(r(F.avg("nbrdist"), 4).alias("mean_nbrdist"))
+
+
+@query
+def auc_vs_others(spark, d):
+    """How well scores against each repertoire tell its own clones from the others'."""
+    near = distance.nearest_distances(clones(spark, d), genes(spark, d), own_epitope=False)
+    s = neighbors.neighbor_scores(near, (10,)).where("chains = 'AB'")
+    auc = neighbors.roc_area(s, ["ref_epitope"], r("wtd_nbrdist", 4), F.col("epitope") == F.col("ref_epitope"))
+    return auc.select("ref_epitope", r("auc", 5).alias("auc"))
+
+
+@query
+def score_rank(spark, d):
+    """E5, F2: interpolated rank of clone scores within the epitope."""
+    return neighbors.interpolated_rank(clones(spark, d).select("clone_id", "epitope", "score"), ["epitope"], "score").select("clone_id", r("rank", 4).alias("rank"))
+
+
+@query
+def score_auc(spark, d):
+    """Area under the curve of scores against shared clones."""
+    c = clones(spark, d)
+    return neighbors.roc_area(c, ["epitope"], F.round("score", -2), F.col("clone_size") > 2).select("epitope", r("auc", 6).alias("auc"))
+
+
+@query
+def repertoire_distance(spark, d):
+    """Weighted neighbour score of all distances between two repertoires."""
+    s = neighbors.neighbor_scores(distance.nearest_distances(clones(spark, d), genes(spark, d), own_epitope=False, intrasubject=True), (10,))
+    return s.where("chains = 'B'").groupBy("epitope", "ref_epitope").agg(r(F.avg("wtd_nbrdist"), 4).alias("mean_wtd"))
+
+
+# diversity and sharing
+
+
+@query
+def clonality_simpson(spark, d):
+    """E13, J30."""
+    x = diversity.clonality(clones(spark, d))
+    return x.select("epitope", r("p", 9).alias("p"), r("diversity", 4).alias("diversity"), r("evenness", 9).alias("evenness"))
+
+
+@query
+def clonality_subjects(spark, d):
+    """E13 by subject."""
+    return diversity.clonality_by_subject(clones(spark, d)).select("epitope", "subject", "reads", r("p", 9).alias("p"))
+
+
+@query
+def tcrdiv_gaussian(spark, d):
+    """E15."""
+    x = diversity.gaussian_diversity(clones(spark, d), genes(spark, d))
+    return x.select("epitope", "chains", "same_subject", r("overlap", 4).alias("overlap"), F.col("pairs").cast("double").alias("pairs"), r("diversity", 4).alias("diversity"))
+
+
+@query
+def gaussian_shannon(spark, d):
+    """E16."""
+    x = diversity.gaussian_shannon(clones(spark, d), genes(spark, d))
+    return x.select("epitope", "chains", r("entropy", 5).alias("entropy"), r("diversity", 4).alias("diversity"), "n")
+
+
+@query
+def gene_sharing(spark, d):
+    """Gene-only sharing between subjects."""
+    c = clones(spark, d)
+    x = diversity.sharing(diversity.gene_match_counts(c, "A"), c)
+    return x.select("epitope", "overlap", "total", r("diversity", 5).alias("diversity"), "subject_pairs", "sharing_pairs", "top3")
+
+
+@query
+def threshold_sharing(spark, d):
+    """Sharing by distance."""
+    c = clones(spark, d)
+    near = distance.pairs_within(c, genes(spark, d), diversity.THRESHOLD, chains=("B",)).where("subject1 <> subject2")
+    m = near.groupBy(F.col("epitope1").alias("epitope"), F.least("subject1", "subject2").alias("subject1"), F.greatest("subject1", "subject2").alias("subject2")).agg(F.count(F.lit(1)).alias("overlap"))
+    return diversity.sharing(m, c).select("epitope", "overlap", "total", r("diversity", 5).alias("diversity"), "subject_pairs", "sharing_pairs", "top3")
+
+
+@query
+def exact_sharing(spark, d):
+    """Receptors of read groups that more than one subject has."""
+    x = reads(spark, d).select(F.col("read_id").alias("clone_id"), "epitope", "subject", F.col("nuc_a").alias("cdr3a"), F.col("nuc_b").alias("cdr3b"))
+    return diversity.shared_flags(x)
+
+
+@query
+def cross_reactivity(spark, d):
+    """Where else a chain is seen."""
+    x = reads(spark, d).select(F.col("read_id").alias("clone_id"), "epitope", "subject", F.col("nuc_a").alias("cdr3a"))
+    return diversity.cross_reactivity(x, "A")
+
+
+# gene usage and information
+
+
+@query
+def rep_counts(spark, d):
+    """E1, E54, D1."""
+    return usage.rep_counts(clones(spark, d), "epitope", F.col("va_genes"))
+
+
+@query
+def label_rep(spark, d):
+    """E2, N8."""
+    return usage.label_reps(clones(spark, d), "epitope", F.col("va_genes")).select("clone_id", "label")
+
+
+@query
+def label_ranks(spark, d):
+    """Labels by rank."""
+    return usage.label_ranks(usage.label_reps(clones(spark, d), "epitope", F.col("vb_genes")), "epitope")
+
+
+@query
+def rep_pair_counts(spark, d):
+    """Pairs with zero fill."""
+    return usage.pair_counts(clones(spark, d), "epitope", "va1", "jb")
+
+
+@query
+def usage_entropy(spark, d):
+    """E19."""
+    return usage.entropy(usage.rep_counts(clones(spark, d), "epitope", F.col("va_genes")), "epitope").select("epitope", r("entropy", 6).alias("entropy"), r("effective", 5).alias("effective"))
+
+
+@query
+def mutual_information(spark, d):
+    """E20."""
+    return usage.mutual_information(clones(spark, d), "epitope", "va1", "jb").select("epitope", r("mi", 8).alias("mi"))
+
+
+def _usage(c: DataFrame, genes: str) -> DataFrame:
+    n = usage.rep_counts(c, "epitope", F.col(genes))
+    return n.select("epitope", F.col("rep"), (F.col("n") / F.sum("n").over(Window.partitionBy("epitope"))).alias("p"))
+
+
+@query
+def jsd_normed(spark, d):
+    """Divergence of each epitope's usage from that of all clones."""
+    c = clones(spark, d)
+    p = _usage(c, "va_genes")
+    every = usage.rep_counts(c.withColumn("all", F.lit("x")), "all", F.col("va_genes")).where("rep <> 'VA3'")
+    q = every.select("rep", (F.col("n") / F.sum("n").over(Window.partitionBy("all"))).alias("p")).join(c.select("epitope").distinct())
+    return usage.js_divergence(p, q, ["epitope"], "rep").select("epitope", r("jsd", 8).alias("jsd"), r("jsd_normed", 8).alias("jsd_normed"))
+
+
+@query
+def gene_enrichment(spark, d):
+    """Usage against all clones."""
+    c = clones(spark, d)
+    every = usage.rep_counts(c.withColumn("all", F.lit("x")), "all", F.col("va_genes"))
+    q = every.select("rep", (F.col("n") / F.sum("n").over(Window.partitionBy("all"))).alias("p")).join(c.select("epitope").distinct())
+    x = usage.enrichment(_usage(c, "va_genes"), q, ["epitope"], "rep")
+    return x.select("epitope", "rep", r("p", 8).alias("p"), r("background", 8).alias("background"), r("enrich", 7).alias("enrich"))
+
+
+@query
+def tuple_counts_distinct(spark, d):
+    """Counts of ambiguous gene tuples over distinct sequences."""
+    t = tuples(spark, d).dropDuplicates(["seq_id"])
+    return t.groupBy("file", F.array_join("genes", ",").alias("tuple")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tuple_tables(spark, d):
+    t = tuples(spark, d)
+    fg = t.groupBy("epitope", "genes").agg(F.count(F.lit(1)).alias("n"))
+    bg = t.where("file = 'FO'").groupBy("genes").agg(F.count(F.lit(1)).alias("n")).join(t.select("epitope").distinct()).select("epitope", "genes", "n")
+    return fg, bg
+
+
+@query
+def ambiguous_allocation(spark, d):
+    """One allocation by a uniform bias."""
+    fg, _ = _tuple_tables(spark, d)
+    return usage.allocate(fg, usage.uniform_bias(fg, ["epitope"]), ["epitope"]).select("epitope", "rep", r("p", 8).alias("p"))
+
+
+@query
+def jsd_allocation_5iter(spark, d):
+    """Five alternating rounds against the background."""
+    fg, bg = _tuple_tables(spark, d)
+    return usage.allocate_against(fg, bg, ["epitope"]).select("epitope", "round", r("jsd_normed", 7).alias("jsd_normed"))
+
+
+@query
+def freqs_unique_nonunique(spark, d):
+    """E54."""
+    return usage.frequencies(tuples(spark, d), F.col("genes"), "file")
+
+
+@query
+def vj_log_enrichment(spark, d):
+    """E55."""
+    return usage.log_enrichment(clones(spark, d), "va1", "jb").select("va1", "jb", "n", r("expected", 5).alias("expected"), r("log_enrich", 6).alias("log_enrich"))
+
+
+@query
+def kmer_topk(spark, d):
+    """The ten most frequent 3-mers."""
+    return usage.top_kmers(reads(spark, d), "nuc_a", 3, 10)
+
+
+@query
+def share_by_length(spark, d):
+    """E71."""
+    return usage.share_by_length(clones(spark, d), "cdr3b", "vb1").select("epitope", "length", F.col("vb1").alias("label"), "n", r("share", 7).alias("share"))
+
+
+@query
+def subject_epitope_cube(spark, d):
+    """Clones and reads by subject and epitope with marginals."""
+    return usage.subject_table(clones(spark, d))
+
+
+@query
+def summary_table(spark, d):
+    """Totals, clonality and mean properties by epitope."""
+    c = clones(spark, d)
+    p = usage.property_means(c).where("chains = 'AB'").drop("chains")
+    x = usage.totals(c).join(diversity.clonality(c), "epitope", "left").join(p, "epitope", "left")
+    return x.select("epitope", "subjects", "clones", "reads", r("p", 9).alias("p"), r("length", 5).alias("length"), r("charge", 5).alias("charge"))
+
+
+# clones
+
+
+@query
+def clone_calling(spark, d):
+    """Reads to clones."""
+    x = calls.call_clones(reads(spark, d))
+    return x.select("clone_id", "epitope", "subject", "clone_size", F.array_join(F.transform("members", lambda m: m.cast("string")), ";").alias("members"))
+
+
+@query
+def clone_gene_consensus(spark, d):
+    """Shared or most frequent genes of the members."""
+    m = tuples(spark, d).withColumn("order_id", F.expr("seq_id div 8"))
+    return calls.consolidate_genes(m, "order_id", "genes").select("order_id", F.array_join("genes", ";").alias("genes"))
+
+
+@query
+def average_scores(spark, d):
+    """Mean over members that have a score."""
+    m = reads(spark, d).withColumn("score", F.when(F.col("read_id") % 3 == 0, 9.6).otherwise(F.col("qual").cast("double")))
+    return calls.average_scores(m, "subject", "score", 9.6).select("subject", r("score", 6).alias("score"))
+
+
+@query
+def clonality_fraction(spark, d):
+    """E65."""
+    return calls.clonality_fraction(clones(spark, d)).select("clone_id", r("fraction", 8).alias("fraction"))
+
+
+@query
+def nonzero_probability(spark, d):
+    """Smallest non-zero value instead of zero."""
+    c = clones(spark, d).select("clone_id", "epitope", F.when(F.col("score") < 0, 0.0).otherwise(F.col("score")).alias("score"))
+    return calls.nonzero_probability(c, "score", "epitope")
+
+
+# statistics
+
+
+@query
+def score_correlations(spark, d):
+    """Pearson, Spearman and regression by epitope."""
+    x = clones(spark, d).withColumn("len", F.length("cdr3b").cast("double"))
+    return stats.correlations(x, ["epitope"], "len", "score").select("epitope", *[r(k, 6).alias(k) for k in ("pearson", "spearman", "slope", "intercept")])
+
+
+@query
+def score_mean_sdev_median(spark, d):
+    """E7, E8."""
+    return clones(spark, d).groupBy("epitope").agg(r(F.avg("score"), 6).alias("mean"), r(F.stddev_pop("score"), 6).alias("sdev"), r(F.median("score"), 6).alias("median"))
+
+
+@query
+def empirical_cdf(spark, d):
+    """E42."""
+    x = clones(spark, d).withColumn("len", F.length("cdr3a"))
+    return stats.empirical_cdf(x, ["epitope"], "len").select("epitope", "len", r("cdf", 8).alias("cdf"))
+
+
+@query
+def kde_grid(spark, d):
+    """Density of ranks on 100 points."""
+    x = clones(spark, d).withColumn("v", F.length("cdr3b").cast("double"))
+    return stats.density(x, ["epitope"], "v", low=0.0, high=30.0).select("epitope", "i", r("density", 8).alias("density"))
+
+
+@query
+def rank_sum_test(spark, d):
+    """Mann-Whitney statistic of scores by clonality."""
+    x = stats.mann_whitney(clones(spark, d), ["epitope"], F.round("score", 0), F.col("clone_size") > 2)
+    return x.select("epitope", r("u", 3).alias("u"), r("z", 6).alias("z"))
+
+
+@query
+def min_other_score(spark, d):
+    """Each subject's lowest mean score in other epitopes, and which."""
+    m = clones(spark, d).groupBy("subject", "epitope").agg(r(F.avg("score"), 5).alias("s"))
+    o = m.select("subject", F.col("epitope").alias("other"), F.col("s").alias("os"))
+    x = m.join(o, "subject").where("epitope <> other").groupBy("subject", "epitope").agg(F.min(F.struct("os", "other")).alias("b"))
+    return x.select("subject", "epitope", F.col("b.os").alias("least"), F.col("b.other").alias("other"))
+
+
+# motifs
+
+
+@query
+def motif_seed_support(spark, d):
+    """Support of all two-atom seeds in foreground and background."""
+    m = motifs.seed_motifs(spark)
+    return motifs.support(m, clones(spark, d), ["epitope"], "cdr3a").where("n >= 10").select("epitope", "shown", "n")
+
+
+@query
+def motif_scores(spark, d):
+    """Seeds scored against the background."""
+    c, b = clones(spark, d), fixtures.frame(spark, d, "background")
+    m = motifs.seed_motifs(spark)
+    sizes = c.groupBy("epitope").agg(F.count(F.lit(1)).alias("total"))
+    x = motifs.score_motifs(motifs.support(m, c, ["epitope"], "cdr3a"), motifs.support(m, b, [], "cdr3"), ["epitope"], sizes, b.count(), min_chi=2.0)
+    return x.select("epitope", "shown", "n", r("expected", 6).alias("expected"), r("chi_squared", 5).alias("chi_squared"))
+
+
+@query
+def motif_matches(spark, d):
+    """Clones that match given motifs."""
+    m = spark.createDataFrame([("A.K", "A[A-Z][KR]"), ("^CAVd", "^CAV[DE]"), ("n.LF$", "[NQ][A-Z]LF$")], "shown string, pattern string")
+    c = clones(spark, d)
+    return motifs.matches(m.join(c.select("epitope").distinct()), c, ["epitope"], "cdr3a")
+
+
+@query
+def motif_overlap_distance(spark, d):
+    """D20."""
+    m = spark.createDataFrame([("A", "A[A-Z][KR]"), ("B", "^CAV[DE]"), ("C", "[NQ][A-Z]LF$"), ("D", "[KR]")], "shown string, pattern string")
+    c = clones(spark, d)
+    return motifs.overlap_distance(motifs.matches(m.join(c.select("epitope").distinct()), c, ["epitope"], "cdr3a"), ["epitope"]).select("epitope", "shown1", "shown2", r("dist", 7).alias("dist"))
+
+
+@query
+def pwm(spark, d):
+    """Position weights by epitope and length."""
+    c = clones(spark, d).withColumn("length", F.length("cdr3a"))
+    return motifs.position_weights(c, ["epitope", "length"], "cdr3a", tables.AMINO_ACIDS).select("epitope", "length", "pos", "letter", r("freq", 8).alias("freq"))
+
+
+@query
+def consensus(spark, d):
+    """Consensus by epitope and length."""
+    c = clones(spark, d).withColumn("length", F.length("cdr3b"))
+    return motifs.consensus(c, ["epitope", "length"], "cdr3b")
