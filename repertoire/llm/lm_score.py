@@ -33,7 +33,7 @@ from repertoire.llm._shared import ship, text_or_empty, written
 from repertoire.llm._text import NOT_SPACE, Words, chunks, mix64, utf8
 
 FOLDS, HELD_OUT = 7, 2
-TABLE_ROWS = 3_000_000
+TABLE_ROWS = 500_000
 BLOCKS = 64
 #: Distinct keys that a task holds before it sends them.
 HOLD_ROWS = 3_000_000
