@@ -57,16 +57,25 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes of an Arrow batch: texts are long, and a batch's arrays are held several times in a task.
+BATCH_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to executors that may not have it on their path."""
-    if spark.sparkContext.master.startswith("local[") or getattr(spark, "_repertoire_shipped", False):
+    """Send this package to executors that may not have it on their path, and bound Arrow batches by
+    bytes unless the session's configuration does so itself."""
+    if getattr(spark, "_repertoire_shipped", False):
         return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="repertoire-"), "repertoire_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(Path(root.name) / p.relative_to(root)))
-    spark.sparkContext.addPyFile(target)
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(batch):
+        spark.conf.set(batch, str(BATCH_BYTES))
+    if not spark.sparkContext.master.startswith("local["):
+        root = Path(__file__).resolve().parents[1]
+        target = os.path.join(tempfile.mkdtemp(prefix="repertoire-"), "repertoire_pkg.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(Path(root.name) / p.relative_to(root)))
+        spark.sparkContext.addPyFile(target)
     spark._repertoire_shipped = True
 
 
