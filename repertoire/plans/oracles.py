@@ -247,4 +247,14 @@ ORACLES = {
     "consensus": f"""{ctes('clones')}, l as (select epitope, length(cdr3b) length, i, substr(cdr3b, i, 1) letter from (select epitope, cdr3b, unnest(range(1, length(cdr3b) + 1)) i from clones)),
       c as (select epitope, length, i, letter, count(*) n from l group by all), t as (select epitope, length, i, arg_max(letter, (n, letter)) letter, max(n) / sum(n) s from c group by all)
       select epitope, cast(length as int) length, string_agg(case when s >= 0.75 then upper(letter) when s >= 0.4 then lower(letter) else '.' end, '' order by i) consensus from t group by epitope, length""",
+    "medoids": f"""{ctes('genes', 'clones')}, {_DIST.format(pair="a.epitope = b.epitope and a.subject = b.subject")},
+      m as (select epitope || ':' || cast(subject1 as varchar) g, id1, round(avg(dist), 6) m from both_ways where chains = 'A' group by all)
+      select g, arg_min(id1, (m, id1)) medoid, round(min(m), 5) mean_dist from m group by g""",
+    "permutation_within_subjects": f"""{ctes('genes', 'clones')}, {_DIST_EPITOPE},
+      slots as (select epitope, subject, row_number() over (partition by epitope order by subject, clone_id) slot from clones),
+      reps as (select epitope, clone_id, rep, row_number() over (partition by epitope, rep order by md5('1:' || cast(rep as varchar) || ':' || cast(clone_id as varchar)), clone_id) slot from clones, range(1, 11) t(rep)),
+      dealt as (select epitope, 0 rep, clone_id, subject from clones union all select r.epitope, r.rep, r.clone_id, s.subject from reps r join slots s using (epitope, slot)),
+      pm as (select d.epitope, x.rep, avg(dist) m from dist d join dealt x on x.clone_id = d.id1 join dealt y on y.clone_id = d.id2 and y.rep = x.rep and y.subject = x.subject where chains = 'A' group by all),
+      o as (select epitope, m observed from pm where rep = 0), s as (select epitope, avg(m) mean, stddev_pop(m) sd, sum(case when m < observed then 1 else 0 end) / count(*) p from pm join o using (epitope) where rep > 0 group by epitope)
+      select epitope, round(observed, 5) observed, round(mean, 5) mean, round((observed - mean) / sd, 5) z, round(p, 5) p from s join o using (epitope)""",
 }

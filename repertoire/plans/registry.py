@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from repertoire.functions import sequences as seq
 from repertoire.functions import tables
 from repertoire.operators import clones as calls
-from repertoire.operators import distance, diversity, motifs, neighbors, stats, usage
+from repertoire.operators import clustering, distance, diversity, junctions, motifs, neighbors, pairing, permutation, stats, usage
+from repertoire.operators import genes as gene_dim
+from repertoire.operators import reads as parsing
 from repertoire.plans import fixtures
 from repertoire.plans.oracles import ORACLES
 
@@ -523,3 +525,151 @@ def consensus(spark, d):
     """Consensus by epitope and length."""
     c = clones(spark, d).withColumn("length", F.length("cdr3b"))
     return motifs.consensus(c, ["epitope", "length"], "cdr3b")
+
+
+# groups, trees, permutation, single cells, junctions
+
+
+def _grouped_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of chain A within each subject of an epitope, as (g, id1, id2, dist)."""
+    c = clones(spark, d).withColumn("g", F.concat_ws(":", "epitope", F.col("subject").cast("string")))
+    return distance.pairs_within(c, genes(spark, d), None, chains=("A",), unit="g").select(F.concat_ws(":", "epitope1", F.col("subject1").cast("string")).alias("g"), "id1", "id2", "dist")
+
+
+@query
+def medoids(spark, d):
+    """The clone with the least mean distance of its subject's repertoire."""
+    return clustering.medoids(_grouped_pairs(spark, d), "g").select("g", "medoid", r("mean_dist", 5).alias("mean_dist"))
+
+
+@query
+def greedy_clusters(spark, d):
+    """Greedy radius clusters."""
+    return clustering.greedy_clusters(_grouped_pairs(spark, d), "g", 60.0)
+
+
+@query
+def linkage_trees(spark, d):
+    """Average-linkage trees."""
+    return clustering.trees(_grouped_pairs(spark, d), "g").select("g", "node", "left", "right", r("height", 6).alias("height"), "size")
+
+
+@query
+def cophenetic_correlation(spark, d):
+    """How well the trees keep the distances."""
+    return clustering.cophenetic(_grouped_pairs(spark, d), "g").select("g", r("correlation", 6).alias("correlation"))
+
+
+@query
+def kernel_coordinates(spark, d):
+    """Kernel PCA of 1 - d / d_max."""
+    return clustering.kernel_coordinates(_grouped_pairs(spark, d), "g").select("g", "id", r("x1", 5).alias("x1"), r("x2", 5).alias("x2"))
+
+
+@query
+def permutation_within_subjects(spark, d):
+    """Within-subject distance against ten seeded shuffles."""
+    c = clones(spark, d)
+    p = distance.pairs_within(c, genes(spark, d), None, chains=("A",)).select(F.col("epitope1").alias("epitope"), "id1", "id2", "dist")
+    x = permutation.permutation_test(c, p, 10)
+    return x.select("epitope", *[r(k, 5).alias(k) for k in ("observed", "mean", "z", "p")])
+
+
+@query
+def adjusted_mutual_information(spark, d):
+    """E21."""
+    return stats.adjusted_mutual_information(clones(spark, d), "epitope", "va1", "jb").select("epitope", r("ami", 8).alias("ami"))
+
+
+@query
+def pair_enrichment_tails(spark, d):
+    """Hypergeometric tails of gene pairs."""
+    n = usage.pair_counts(clones(spark, d), "epitope", "va1", "jb")
+    over = lambda *k: F.sum("n").over(Window.partitionBy("epitope", *k))
+    x = n.select("epitope", "va1", "jb", "n", over().alias("t"), over("va1").alias("a"), over("jb").alias("b"))
+    tails = x.withColumn("p", stats.hypergeometric_tails("n", "t", "a", "b"))
+    return tails.select("epitope", "va1", "jb", "n", r("p.enriched", 8).alias("enriched"), r("p.depleted", 8).alias("depleted"))
+
+
+@query
+def fisher_shared_clonal(spark, d):
+    """Clonality against score sign."""
+    big, good = F.col("clone_size") > 2, F.col("score") > 0
+    k = lambda f: F.sum(f.cast("long"))
+    x = clones(spark, d).groupBy("epitope").agg(k(big & good).alias("a"), k(big & ~good).alias("b"), k(~big & good).alias("c"), k(~big & ~good).alias("e"))
+    return x.select("epitope", "a", "b", "c", "e", r(stats.fisher_exact("a", "b", "c", "e"), 8).alias("p"))
+
+
+@query
+def score_t_test(spark, d):
+    """Scores of large and other clones."""
+    return stats.t_test(clones(spark, d), ["epitope"], F.col("score"), F.col("clone_size") > 2).select("epitope", r("t", 6).alias("t"), r("p", 8).alias("p"))
+
+
+@query
+def sharing_interval(spark, d):
+    """Interval of each epitope's clonality."""
+    x = F.col("clone_size")
+    s = clones(spark, d).groupBy("epitope", "subject").agg(F.sum(x * (x - 1)).alias("k"), F.sum(x).alias("n"))
+    s = s.groupBy("epitope").agg(F.sum("k").alias("k"), F.sum(F.col("n") * (F.col("n") - 1)).alias("n")).withColumn("i", stats.binomial_interval("k", "n"))
+    return s.select("epitope", "k", "n", r("i.low", 8).alias("low"), r("i.high", 8).alias("high"))
+
+
+@query
+def motif_mining(spark, d):
+    """Seeds, extensions and removal of redundant motifs."""
+    c, b = clones(spark, d), fixtures.frame(spark, d, "background").withColumnRenamed("cdr3", "cdr3a")
+    m = motifs.mine_motifs(c, b, ["epitope"], "cdr3a", levels=2, min_chi=5.0)
+    return motifs.drop_redundant(m, motifs.matches(m, c, ["epitope"], "cdr3a"), ["epitope"])
+
+
+def _germline(spark, d):
+    n = reads(spark, d)
+    return n.select("read_id", "nuc_a", F.substr("nuc_a", F.lit(1), F.lit(9)).alias("v_nuc"), F.substr("nuc_a", F.lit(22), F.lit(9)).alias("j_nuc")).withColumn("nuc", F.substr("nuc_a", F.lit(1), F.lit(30)))
+
+
+@query
+def junction_parts(spark, d):
+    """Germline, D and inserted parts of each read's junction."""
+    x = _germline(spark, d).withColumn("protein", seq.translate_frame(F.col("nuc"), 1))
+    y = junctions.analyze_junctions(x.select("read_id", "v_nuc", "j_nuc", "nuc", "protein"), {1: "gggacagggggc", 2: "gggactagcggg"})
+    return y.select("read_id", "v_trim", "j_trim", "insert", "d_id", "vd_insert", "dj_insert", "source", "masked")
+
+
+_TRIMS = junctions.TrimTables([0.4, 0.2, 0.15, 0.1, 0.1, 0.05], [0.5, 0.2, 0.2, 0.1], [1 / 16] * 16)
+
+
+@query
+def generation_probability(spark, d):
+    """K3, K5, K6: generation probability of junction proteins."""
+    x = _germline(spark, d).withColumn("protein", F.substr(seq.translate_frame(F.col("nuc"), 1), F.lit(1), F.lit(10))).where(~F.contains("protein", F.lit("*")) & ~F.contains("protein", F.lit("X")))
+    return junctions.with_probability(x.select("read_id", "v_nuc", "j_nuc", "protein"), _TRIMS).select("read_id", F.round(F.log10(F.greatest("probability", F.lit(1e-99))), 6).alias("log10_p"))
+
+
+@query
+def sampled_junctions(spark, d):
+    """Random junctions of every gene pair."""
+    g = _germline(spark, d).select(F.substr("v_nuc", F.lit(1), F.lit(6)).alias("v_nuc"), F.substr("j_nuc", F.lit(4), F.lit(6)).alias("j_nuc")).distinct()
+    return junctions.sample_junctions(g.select(F.col("v_nuc").alias("v"), "v_nuc", F.col("j_nuc").alias("j"), "j_nuc"), _TRIMS, 5).select("v", "j", "n", "nuc", "protein")
+
+
+@query
+def gene_assignment(spark, d):
+    """K1: reads to the germline genes that they came from."""
+    germline = reads(spark, d).where("nuc_a not like '%n%'").groupBy("nuc_a").agg(F.min("read_id").alias("g")).select(F.concat(F.lit("G"), F.col("g").cast("string")).alias("gene"), F.lit("V").alias("region"), F.col("nuc_a").alias("nucseq"))
+    x = parsing.assign_genes(reads(spark, d).select("read_id", F.col("nuc_a").alias("nuc")), germline)
+    return x.select("read_id", "gene", "strand", "shift", "score", "gap")
+
+
+@query
+def chain_pairing(spark, d):
+    """Greedy pairing of chains by support."""
+    c = tuples(spark, d).where("g1 <> g2").groupBy(F.col("g1").alias("a"), F.concat(F.col("g2"), F.col("file"), F.col("epitope")).alias("b")).agg(F.count(F.lit(1)).alias("support"))
+    return pairing.accepted_pairs(c)
+
+
+@query
+def gene_classes(spark, d):
+    """Classes of V genes."""
+    g = genes(spark, d).withColumn("region", F.lit("V"))
+    return gene_dim.representatives(g).join(gene_dim.merged_representatives(g, 2), "gene")
