@@ -41,7 +41,7 @@ def grams(stream: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
     at = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
     for j in range(1, depth + 1):
         before = np.full(len(s), 10, np.uint64)
-        before[j:] = s[: len(s) - j]
+        before[j:] = s[: max(0, len(s) - j)]
         before[at < j] = 10
         key |= before << _U(8 * j)
     return key
