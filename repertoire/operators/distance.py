@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repertoire.functions.sequences import DistanceParams, aligned_distance
@@ -168,7 +168,7 @@ def nearest_distances(
                 k = min(int(q["depth"].max()), d.shape[1])
                 d = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1) if k else d
                 for i, (who, epitope, ref, depth_i) in enumerate(zip(q["clone_id"], q["epitope"], q["ref_epitope"], q["depth"], strict=True)):
-                    rows.append((who, epitope, ref, c, int(n[i]), d[i, : min(int(n[i]), int(depth_i))].astype(float).tolist()))
+                    rows.append((who, epitope, ref, c, int(n[i]), d[i, : min(int(n[i]), int(depth_i))].astype(np.float64)))
         return pd.DataFrame(rows, columns=["clone_id", "epitope", "ref_epitope", "chains", "n", "nearest"])
 
     kind = clones.schema["clone_id"].dataType.simpleString()
@@ -238,11 +238,25 @@ def gaussian(threshold: float) -> Callable[[np.ndarray, str], np.ndarray]:
     return lambda d, c: np.exp(-((d / (threshold * len(c))) ** 2))
 
 
-def length_band_pairs(clones: DataFrame, chain: str, radius: float, distance: Column, params: DistanceParams = DistanceParams()) -> DataFrame:
-    """Pairs within a radius by an equi-join: the gap penalty bounds the length difference, so a clone
-    joins only lengths in its band. ``distance`` is an expression of columns a and b."""
+def length_band_pairs(clones: DataFrame, chain: str, radius: float, params: DistanceParams = DistanceParams()) -> DataFrame:
+    """(epitope, id1, id2, dist) of CDR3 pairs id1 < id2 within a radius.
+
+    The gap penalty bounds the length difference: a clone meets only clones of lengths in its band, and
+    each (epitope, length) is compared in blocks.
+    """
     band = int(radius // params.gap_penalty_cdr3_region)
     seq = f"cdr3{chain.lower()}"
-    left = clones.select("epitope", F.col("clone_id").alias("id1"), F.col(seq).alias("a"), F.explode(F.sequence(F.length(seq) - band, F.length(seq) + band)).alias("len"))
-    right = clones.select("epitope", F.col("clone_id").alias("id2"), F.col(seq).alias("b"), F.length(seq).alias("len"))
-    return left.join(right, ["epitope", "len"]).where("id1 < id2").select("epitope", "id1", "id2", distance.alias("dist")).where(F.col("dist") <= radius)
+    rows = clones.select("epitope", "clone_id", F.col(seq).alias("s"))
+    size = F.length("s")
+    left = rows.select("*", F.explode(F.sequence(F.greatest(size - band, F.lit(0)), size + band)).alias("n"))
+    keyed = lambda df, n: df.select(F.concat_ws("|", n.cast("string"), "epitope").alias("unit"), "epitope", "clone_id", "s")
+
+    def work(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame(columns=["epitope", "id1", "id2", "dist"])
+        d = _cdr3_block(list(q["s"]), list(r["s"]), params)
+        i, j = np.nonzero((q["clone_id"].to_numpy()[:, None] < r["clone_id"].to_numpy()[None, :]) & (np.nan_to_num(d, nan=np.inf) <= radius))
+        return pd.DataFrame({"epitope": q["epitope"].to_numpy()[i], "id1": q["clone_id"].to_numpy()[i], "id2": r["clone_id"].to_numpy()[j], "dist": d[i, j].astype(float)})
+
+    kind = clones.schema["clone_id"].dataType.simpleString()
+    return in_block_pairs(keyed(left, F.col("n")), keyed(rows, size), "unit", work, f"epitope string, id1 {kind}, id2 {kind}, dist double")

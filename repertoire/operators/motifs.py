@@ -22,6 +22,31 @@ def seed_motifs(spark: SparkSession, gap: int = 5, anchored_gap: int = 7) -> Dat
     return spark.createDataFrame(rows, "shown string, pattern string")
 
 
+def seed_support(seqs: DataFrame, keys: list[str], seq: str, gap: int = 5, anchored_gap: int = 7) -> DataFrame:
+    """(keys, shown, pattern, n) of all two-atom seeds: each distinct sequence lists the seeds that it
+    holds, which are then counted, so no sequence meets a seed that it lacks. Sequences with characters
+    other than capitals are left out."""
+    counted = seqs.groupBy(*keys, seq).agg(F.count(F.lit(1)).alias("__n")).withColumn("__l", F.length(seq)).where(F.col(seq).rlike("^[A-Z]+$"))
+    atoms = {a: [a] + [g for g, p in RESIDUE_GROUPS.items() if a in p] for a in AMINO_ACIDS}
+    table = F.create_map(*[x for a, names in atoms.items() for x in (F.lit(a), F.array(*[F.lit(n) for n in names]))])
+    at = lambda i: F.coalesce(F.try_element_at(table, F.substr(F.col(seq), i, F.lit(1))), F.array().cast("array<string>"))
+    end = F.col("__l")
+    # positions 0 and length + 1 stand for the anchors
+    rows = counted.select("*", F.explode(F.sequence(F.lit(0), end)).alias("i"))
+    last = F.when(F.col("i") == 0, F.lit(anchored_gap + 1)).otherwise(F.lit(gap + 1))
+    inner = rows.select("*", F.explode(F.sequence(F.lit(1), last)).alias("s")).select("*", (F.col("i") + F.col("s")).alias("j")).where(F.col("j") <= end)
+    tail = rows.select("*", (end + 1 - F.col("i")).alias("s"), (end + 1).alias("j")).where(F.col("s") <= anchored_gap + 1)
+    every = inner.unionAll(tail)
+    first = F.when(F.col("i") == 0, F.array(F.lit("^"))).otherwise(at(F.col("i")))
+    second = F.when(F.col("j") > end, F.array(F.lit("$"))).otherwise(at(F.col("j")))
+    pairs = every.select(*keys, seq, "__n", F.col("s"), F.explode(first).alias("a"), second.alias("bs")).select(*keys, seq, "__n", "s", "a", F.explode("bs").alias("b"))
+    held = pairs.select(*keys, seq, "__n", F.concat("a", F.repeat(F.lit("."), F.col("s") - 1), "b").alias("shown")).distinct()
+    n = held.groupBy(*keys, "shown").agg(F.sum("__n").alias("n"))
+    part = F.create_map(*[F.lit(x) for pair in {**{a: a for a in AMINO_ACIDS}, **RESIDUE_GROUPS, "^": "^", "$": "$"}.items() for x in pair])
+    ends = [F.element_at(part, F.substr("shown", F.lit(1), F.lit(1))), F.element_at(part, F.substr("shown", F.length("shown"), F.lit(1)))]
+    return n.select(*keys, "shown", F.concat(ends[0], F.repeat(F.lit(ANY), F.length("shown") - 2), ends[1]).alias("pattern"), "n")
+
+
 def support(motifs: DataFrame, seqs: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """(keys, shown, pattern, n): how many sequences match each motif.
 
@@ -66,9 +91,11 @@ def mine_motifs(seqs: DataFrame, background: DataFrame, keys: list[str], seq: st
     spark = seqs.sparkSession
     sizes = seqs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     n_back = background.count()
-    todo, out = seed_motifs(spark), None
+    todo, out = None, None
     for _ in range(levels):
-        scored = score_motifs(support(todo, seqs, keys, seq), support(todo, background.select(seq), [], seq), keys, sizes, n_back, **limits).checkpoint()
+        fore = seed_support(seqs, keys, seq) if todo is None else support(todo, seqs, keys, seq)
+        back = seed_support(background, [], seq) if todo is None else support(todo, background, [], seq)
+        scored = score_motifs(fore, back, keys, sizes, n_back, **limits).checkpoint()
         out = scored if out is None else out.unionAll(scored)
         best = scored.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("chi_squared"), "shown"))).where(F.col("r") <= beam)
         todo = extend_motifs(best.select("shown", "pattern").distinct(), spark).checkpoint()

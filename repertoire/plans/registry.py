@@ -60,6 +60,10 @@ def r(c: str | Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def _nearest(spark: SparkSession, d: str, **options) -> DataFrame:
+    return distance.nearest_distances(clones(spark, d), genes(spark, d), largest_percentile=10, **options)
+
+
 # scalars and filters
 
 
@@ -128,7 +132,7 @@ def v_region_distance(spark, d):
 def cdr3_pairs_in_band(spark, d):
     """Pairs within one gap, joined on length bands."""
     c = clones(spark, d)
-    return distance.length_band_pairs(c, "A", 19.0, seq.cdr3_distance(F.col("a"), F.col("b"))).select("id1", "id2", F.col("dist").cast("double").alias("dist"))
+    return distance.length_band_pairs(c, "A", 19.0).select("id1", "id2", "dist")
 
 
 @query
@@ -149,13 +153,13 @@ def receptor_distance_sums(spark, d):
 @query
 def nbrdist_10(spark, d):
     """Plain and weighted nearest-neighbour scores within each epitope."""
-    s = neighbors.neighbor_scores(distance.nearest_distances(clones(spark, d), genes(spark, d)), (10,))
+    s = neighbors.neighbor_scores(_nearest(spark, d), (10,))
     return s.select("clone_id", "chains", r("nbrdist", 4).alias("nbrdist"), r("wtd_nbrdist", 4).alias("wtd_nbrdist"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Neighbour scores of every clone and their ranks in the repertoire."""
-    s = neighbors.neighbor_scores(distance.nearest_distances(clones(spark, d), genes(spark, d)), (10,))
+    s = neighbors.neighbor_scores(_nearest(spark, d), (10,))
     s = s.withColumn("wtd_nbrdist", r("wtd_nbrdist", 4))
     ranked = neighbors.interpolated_rank(s, ["ref_epitope", "chains", "percentile"], "wtd_nbrdist")
     return ranked.select("clone_id", "chains", "wtd_nbrdist", r("rank", 4).alias("rank"))
@@ -169,14 +173,14 @@ def nbrdist_rank(spark, d):
 @query
 def avg_nbrdist(spark, d):
     """Mean score by epitope and chain."""
-    s = neighbors.neighbor_scores(distance.nearest_distances(clones(spark, d), genes(spark, d)), (10,))
+    s = neighbors.neighbor_scores(_nearest(spark, d), (10,))
     return s.groupBy("epitope", "chains").agg(r(F.avg("nbrdist"), 4).alias("mean_nbrdist"))
 
 
 @query
 def auc_vs_others(spark, d):
     """How well scores against each repertoire tell its own clones from the others'."""
-    near = distance.nearest_distances(clones(spark, d), genes(spark, d), own_epitope=False)
+    near = _nearest(spark, d, own_epitope=False)
     s = neighbors.neighbor_scores(near, (10,)).where("chains = 'AB'")
     auc = neighbors.roc_area(s, ["ref_epitope"], r("wtd_nbrdist", 4), F.col("epitope") == F.col("ref_epitope"))
     return auc.select("ref_epitope", r("auc", 5).alias("auc"))
@@ -198,7 +202,7 @@ def score_auc(spark, d):
 @query
 def repertoire_distance(spark, d):
     """Weighted neighbour score of all distances between two repertoires."""
-    s = neighbors.neighbor_scores(distance.nearest_distances(clones(spark, d), genes(spark, d), own_epitope=False, intrasubject=True), (10,))
+    s = neighbors.neighbor_scores(_nearest(spark, d, own_epitope=False, intrasubject=True), (10,))
     return s.where("chains = 'B'").groupBy("epitope", "ref_epitope").agg(r(F.avg("wtd_nbrdist"), 4).alias("mean_wtd"))
 
 
@@ -483,17 +487,15 @@ def min_other_score(spark, d):
 @query
 def motif_seed_support(spark, d):
     """Support of all two-atom seeds in foreground and background."""
-    m = motifs.seed_motifs(spark)
-    return motifs.support(m, clones(spark, d), ["epitope"], "cdr3a").where("n >= 10").select("epitope", "shown", "n")
+    return motifs.seed_support(clones(spark, d), ["epitope"], "cdr3a").where("n >= 10").select("epitope", "shown", "n")
 
 
 @query
 def motif_scores(spark, d):
     """Seeds scored against the background."""
     c, b = clones(spark, d), fixtures.frame(spark, d, "background")
-    m = motifs.seed_motifs(spark)
     sizes = c.groupBy("epitope").agg(F.count(F.lit(1)).alias("total"))
-    x = motifs.score_motifs(motifs.support(m, c, ["epitope"], "cdr3a"), motifs.support(m, b, [], "cdr3"), ["epitope"], sizes, b.count(), min_chi=2.0)
+    x = motifs.score_motifs(motifs.seed_support(c, ["epitope"], "cdr3a"), motifs.seed_support(b, [], "cdr3"), ["epitope"], sizes, b.count(), min_chi=2.0)
     return x.select("epitope", "shown", "n", r("expected", 6).alias("expected"), r("chi_squared", 5).alias("chi_squared"))
 
 
