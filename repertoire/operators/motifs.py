@@ -26,21 +26,23 @@ def seed_support(seqs: DataFrame, keys: list[str], seq: str, gap: int = 5, ancho
     """(keys, shown, pattern, n) of all two-atom seeds: each distinct sequence lists the seeds that it
     holds, which are then counted, so no sequence meets a seed that it lacks. Sequences with characters
     other than capitals are left out."""
-    counted = seqs.groupBy(*keys, seq).agg(F.count(F.lit(1)).alias("__n")).withColumn("__l", F.length(seq)).where(F.col(seq).rlike("^[A-Z]+$"))
+    counted = seqs.groupBy(*keys, F.col(seq).alias("__seq")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__l", F.length("__seq"))
+    counted = counted.where(F.col("__seq").rlike("^[A-Z]+$"))
     atoms = {a: [a] + [g for g, p in RESIDUE_GROUPS.items() if a in p] for a in AMINO_ACIDS}
     table = F.create_map(*[x for a, names in atoms.items() for x in (F.lit(a), F.array(*[F.lit(n) for n in names]))])
-    at = lambda i: F.coalesce(F.try_element_at(table, F.substr(F.col(seq), i, F.lit(1))), F.array().cast("array<string>"))
-    end = F.col("__l")
+    at = lambda i: F.coalesce(F.try_element_at(table, F.substr("__seq", i, F.lit(1))), F.array().cast("array<string>"))
+    end, i, j, s = F.col("__l"), F.col("__i"), F.col("__j"), F.col("__s")
     # positions 0 and length + 1 stand for the anchors
-    rows = counted.select("*", F.explode(F.sequence(F.lit(0), end)).alias("i"))
-    last = F.when(F.col("i") == 0, F.lit(anchored_gap + 1)).otherwise(F.lit(gap + 1))
-    inner = rows.select("*", F.explode(F.sequence(F.lit(1), last)).alias("s")).select("*", (F.col("i") + F.col("s")).alias("j")).where(F.col("j") <= end)
-    tail = rows.select("*", (end + 1 - F.col("i")).alias("s"), (end + 1).alias("j")).where(F.col("s") <= anchored_gap + 1)
+    rows = counted.select("*", F.explode(F.sequence(F.lit(0), end)).alias("__i"))
+    last = F.when(i == 0, F.lit(anchored_gap + 1)).otherwise(F.lit(gap + 1))
+    inner = rows.select("*", F.explode(F.sequence(F.lit(1), last)).alias("__s")).select("*", (i + s).alias("__j")).where(j <= end)
+    tail = rows.select("*", (end + 1 - i).alias("__s"), (end + 1).alias("__j")).where(s <= anchored_gap + 1)
     every = inner.unionAll(tail)
-    first = F.when(F.col("i") == 0, F.array(F.lit("^"))).otherwise(at(F.col("i")))
-    second = F.when(F.col("j") > end, F.array(F.lit("$"))).otherwise(at(F.col("j")))
-    pairs = every.select(*keys, seq, "__n", F.col("s"), F.explode(first).alias("a"), second.alias("bs")).select(*keys, seq, "__n", "s", "a", F.explode("bs").alias("b"))
-    held = pairs.select(*keys, seq, "__n", F.concat("a", F.repeat(F.lit("."), F.col("s") - 1), "b").alias("shown")).distinct()
+    first = F.when(i == 0, F.array(F.lit("^"))).otherwise(at(i))
+    second = F.when(j > end, F.array(F.lit("$"))).otherwise(at(j))
+    kept = [*keys, "__seq", "__n", "__s"]
+    pairs = every.select(*kept, F.explode(first).alias("__a"), second.alias("__bs")).select(*kept, "__a", F.explode("__bs").alias("__b"))
+    held = pairs.select(*keys, "__seq", "__n", F.concat("__a", F.repeat(F.lit("."), s - 1), "__b").alias("shown")).distinct()
     n = held.groupBy(*keys, "shown").agg(F.sum("__n").alias("n"))
     part = F.create_map(*[F.lit(x) for pair in {**{a: a for a in AMINO_ACIDS}, **RESIDUE_GROUPS, "^": "^", "$": "$"}.items() for x in pair])
     ends = [F.element_at(part, F.substr("shown", F.lit(1), F.lit(1))), F.element_at(part, F.substr("shown", F.length("shown"), F.lit(1)))]
