@@ -268,6 +268,10 @@ def pseudo_probabilities(files: DataFrame) -> DataFrame:
 
 
 def protein_probability(rows: DataFrame, reps: DataFrame, genes: str, junction: str, out: str) -> DataFrame:
-    """Adds the largest pseudo-probability of a row's ambiguous genes times its junction's probability."""
-    best = rows.select("id", F.explode(genes).alias("rep")).join(reps, "rep", "left").groupBy("id").agg(F.max(F.coalesce("p", F.lit(0.0))).alias("__g"))
-    return rows.join(best, "id", "left").withColumn(out, F.coalesce("__g", F.lit(0.0)) * F.col(junction)).drop("__g")
+    """Adds the largest pseudo-probability of a row's ambiguous genes times its junction's probability.
+
+    The largest is found once for each distinct set of genes; no row is exploded.
+    """
+    sets = rows.select(genes).distinct().select(genes, F.explode(genes).alias("rep"))
+    best = sets.join(reps, "rep", "left").groupBy(genes).agg(F.max(F.coalesce("p", F.lit(0.0))).alias("__g"))
+    return rows.join(best, genes, "left").withColumn(out, F.coalesce("__g", F.lit(0.0)) * F.col(junction)).drop("__g")

@@ -111,6 +111,14 @@ def matches(motifs: DataFrame, clones: DataFrame, keys: list[str], seq: str, id_
     return clones.join(F.broadcast(motifs.select(*keys, "shown", "pattern")), keys).where(F.expr(f"{seq} rlike pattern")).select(*keys, "shown", id_col)
 
 
+def top_genes(found: DataFrame, clones: DataFrame, keys: list[str], gene: str, most: int = 3, id_col: str = "clone_id") -> DataFrame:
+    """(keys, shown, genes): the most frequent genes of each motif's matches, as ``gene:n`` joined by commas."""
+    n = found.join(clones.select(*keys, id_col, gene), [*keys, id_col]).groupBy(*keys, "shown", gene).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys, "shown").orderBy(F.desc("n"), gene))
+    named = n.withColumn("r", place).where(F.col("r") <= most).select(*keys, "shown", F.struct("r", F.concat(gene, F.lit(":"), F.col("n").cast("string")).alias("x")).alias("g"))
+    return named.groupBy(*keys, "shown").agg(F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["x"]), ",").alias("genes"))
+
+
 def match_plus(found: DataFrame, neighbors: DataFrame, keys: list[str], id_col: str = "clone_id") -> DataFrame:
     """Matches and their near neighbours of equal length: (keys, shown, id, matcher); a neighbour is
     credited to its first matcher. ``neighbors``: (id1, id2) both ways."""

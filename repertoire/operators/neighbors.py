@@ -54,3 +54,24 @@ def roc_area(scores: DataFrame, keys: list[str], score: Column, positive: Column
     area = steps.groupBy(*keys).agg(F.sum(F.col("__before") * F.col("__n")).alias("__a"), F.sum("__p").alias("__tp"), F.sum("__n").alias("__tn"))
     auc = F.when(F.col("__tp") == 0, 0.0).when(F.col("__tn") == 0, 1.0).otherwise(F.col("__a") / (F.col("__tp") * F.col("__tn")))
     return area.select(*keys, auc.alias("auc"))
+
+
+def rank_against(values: DataFrame, reference: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
+    """``values`` with the interpolated rank of each value within the key's reference values.
+
+    100 if no reference value is above, else 0 if none is below, else the values below plus the share of
+    the gap, in per cent of all. Equal values are counted first, so a window holds distinct values only.
+    """
+    v = F.col(value)
+    marked = values.select(*keys, v, F.lit(0).alias("__r")).unionAll(reference.select(*keys, v, F.lit(1).alias("__r")))
+    counts = marked.groupBy(*keys, value).agg(F.sum("__r").alias("e"))
+    order = Window.partitionBy(*keys).orderBy(value)
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    known = F.when(F.col("e") > 0, v)
+    placed = counts.select(
+        *keys, value, "e", F.coalesce(F.sum("e").over(before), F.lit(0)).alias("l"), F.max(known).over(before).alias("ln"),
+        F.min(known).over(after).alias("un"), F.sum("e").over(Window.partitionBy(*keys)).alias("t"),
+    )
+    share = F.col("l") + (v - F.col("ln")) / (F.col("un") - F.col("ln")) * (1 + F.col("e"))
+    rank = F.when(F.col("un").isNull(), 100.0).when(F.col("ln").isNull(), 0.0).otherwise(100.0 * share / F.col("t"))
+    return values.join(placed.select(*keys, value, rank.alias(out)), [*keys, value])

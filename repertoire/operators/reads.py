@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repertoire.functions.sequences import reverse_complement, translate_frame
+from repertoire.functions.sequences import letters, reverse_complement, translate_frame
 
 K = 11
 #: Genes whose score is within so many matches of the best are reported.
@@ -46,6 +47,42 @@ def reading_frame(nuc: Column, start: Column) -> Column:
     return F.pmod(start - 1, F.lit(3)).cast("int") + 1
 
 
+def voted_frames(rows: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
+    """(keys, frame): the most frequent frame of a key, of equally frequent ones the larger."""
+    n = rows.groupBy(*keys, frame).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(*keys).agg(F.max(F.struct("n", frame))[frame].alias(frame))
+
+
+def germline_bases(rows: DataFrame, keys: list[str], nuc: str) -> DataFrame:
+    """(keys, pos, base, share): the most frequent base of each 1-based position and its share."""
+    seen = rows.select(*keys, F.posexplode(letters(F.col(nuc))).alias("pos", "base")).groupBy(*keys, "pos", "base").agg(F.count(F.lit(1)).alias("n"))
+    top = seen.groupBy(*keys, "pos").agg(F.max(F.struct("n", "base")).alias("t"), F.sum("n").alias("total"))
+    return top.select(*keys, (F.col("pos") + 1).alias("pos"), F.col("t.base").alias("base"), (F.col("t.n") / F.col("total")).alias("share"))
+
+
+def distinct_junctions(rows: DataFrame, *, id_col: str = "id", nuc: str = "nuc", v_genes: str = "v_genes", j_genes: str = "j_genes") -> DataFrame:
+    """``rows`` without those whose nucleotides an earlier kept row has with a V and a J gene in common.
+
+    Earlier means a smaller id. Rows of equal nucleotides and gene sets share their first row's fate but
+    for that row itself, so only first rows, of which there are as many as gene sets, meet in a task.
+    """
+    sets = rows.select(id_col, nuc, F.array_sort(v_genes).alias("__v"), F.array_sort(j_genes).alias("__j"))
+    first = sets.groupBy(nuc, "__v", "__j").agg(F.min(id_col).alias(id_col))
+
+    def run(pieces: pd.DataFrame) -> pd.DataFrame:
+        seen: set[tuple[str, str]] = set()
+        kept = []
+        for i, vs, js in pieces.sort_values(id_col)[[id_col, "__v", "__j"]].itertuples(index=False):
+            both = {(v, j) for v in vs for j in js}
+            if not both & seen:
+                seen |= both
+                kept.append(i)
+        return pd.DataFrame({id_col: kept})
+
+    kept = first.groupBy(nuc).applyInPandas(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}")
+    return rows.join(kept, id_col, "left_semi")
+
+
 def find_cdr3(reads: DataFrame, *, nuc: str = "nuc", least: int = 6, most: int = 30) -> DataFrame:
     """(read_id, frame, cdr3, cdr3_nuc, status): the loop from the last conserved C to the residue
     before the first F/W-G-x-G after it, in the first forward frame that has one."""
@@ -64,7 +101,7 @@ def find_cdr3(reads: DataFrame, *, nuc: str = "nuc", least: int = 6, most: int =
 
 def part_qualities(read: Column, quals: Column, part: Column) -> Column:
     """Qualities (array) of the first place of a sequence part in its read, on either strand; null if absent."""
-    forward = F.locate_col(part, read) if hasattr(F, "locate_col") else F.instr(read, part)
+    forward = F.instr(read, part)
     back = F.instr(read, reverse_complement(part))
     n = F.length(part)
     return F.when(forward > 0, F.slice(quals, forward, n)).when(back > 0, F.reverse(F.slice(quals, back, n)))

@@ -122,6 +122,14 @@ def _translate(name: str, strand: str, offset: int) -> str:
 
 
 _REV = "reverse(translate(nuc_a, 'acgtwskmyrn', 'tgcawsmkryn'))"
+_THREE = "m(shown, pattern) as (values ('A.K', 'A[A-Z][KR]'), ('^CAVd', '^CAV[DE]'), ('n.LF$', '[NQ][A-Z]LF$'))"
+_FILES = "fn as (select file, epitope tag, g1 key, count(*) n from tuples group by all), f as (select file, tag, key, n / sum(n) over (partition by file, tag) p from fn)"
+_PSEUDO = """pf as (select file, key rep, p from f where tag = 'N'), pg as (select rep, file from (select distinct rep from pf), (select distinct file from pf)),
+pm as (select rep, case when count(*) <= 2 then avg(coalesce(p, 0)) else median(coalesce(p, 0)) end p from pg left join pf using (rep, file) group by rep),
+ps as (select rep, p / least(1.0::double, sum(p) over ()) p from pm)"""
+_CONTIGS = """contigs as (select 'ct' || (l_orderkey % 997) ct, l_orderkey % 997 k, 'bc' || (l_orderkey % 4999) bc, l_linenumber % 5 <> 0 productive, case when l_partkey % 2 = 0 then 'TRA' else 'TRB' end chain,
+  'V' || (l_partkey % 5) v, 'J' || (l_suppkey % 3) j, case when l_suppkey % 9 = 0 then 'None' else 'CA' || (l_partkey % 7) end cdr3, 'tgt' || (l_suppkey % 3) nt, cast(l_quantity as bigint) umis from lineitem)"""
+
 
 ORACLES = {
     "quality_min_filter": f"{ctes('reads')} select read_id, qual - 3 least from reads where qual - 3 >= 20",
@@ -257,4 +265,61 @@ ORACLES = {
       pm as (select d.epitope, x.rep, avg(dist) m from dist d join dealt x on x.clone_id = d.id1 join dealt y on y.clone_id = d.id2 and y.rep = x.rep and y.subject = x.subject where chains = 'A' group by all),
       o as (select epitope, m observed from pm where rep = 0), s as (select epitope, avg(m) mean, stddev_pop(m) sd, sum(case when m < observed then 1 else 0 end) / count(*) p from pm join o using (epitope) where rep > 0 group by epitope)
       select epitope, round(observed, 5) observed, round(mean, 5) mean, round((observed - mean) / sd, 5) z, round(p, 5) p from s join o using (epitope)""",
+    "gene_names": rf"""{ctes('clones')} select clone_id, split_part(va1 || '*01', '*', 1) gene, cast(regexp_extract(va1, '(\d+)', 1) as int) number,
+      rpad(repeat(' ', (8 - length(va1)) // 2) || va1, 8, ' ') padded, rtrim(vb1 || ' ' || chr(13) || chr(10), ' ' || chr(13) || chr(10)) stripped from clones""",
+    "score_scalars": f"""{ctes('clones')}, s as (select clone_id, epitope, score, abs(score) / 1e5 p, avg(score) over (partition by epitope) m, stddev_pop(score) over (partition by epitope) sd, floor(score / 1000) k from clones)
+      select clone_id, round(case when score > 0 then log10(score) else -100 end, 6) log10, cast(case when p > 0 then trunc(log10(p)) else -99 end as int) exponent,
+        round(case when sd = 0 then 0 else (score - m) / sd end, 6) + 0.0::double z, round(case when k = 0 then 0 else 1 / k end, 8) + 0.0::double inverse,
+        case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end stars from s""",
+    "top_hit_genes": f"""{ctes('clones')} select clone_id, case when clone_id % 3 > clone_id % 2 then va1 when clone_id % 3 < clone_id % 2 then va2 || '*02'
+      else least(va1, va2 || '*02') || ';' || greatest(va1, va2 || '*02') end genes from clones""",
+    "gapped_alignment": f"""{ctes('clones')}, blosum(k, d) as (values {_values(tables.blosum62())}),
+      p as (select clone_id, case when length(cdr3a) <= length(cdr3b) then cdr3a else cdr3b end x, case when length(cdr3a) <= length(cdr3b) then cdr3b else cdr3a end y from clones),
+      g as (select *, length(x) n, length(y) - length(x) dl, unnest(range(1, length(x))) g from p), e as (select *, unnest(range(1, n + 1)) i from g),
+      s as (select clone_id, x, dl, g, sum(d) s from e join blosum on k = substr(x, i, 1) || substr(y, case when i <= g then i else i + dl end, 1) group by all),
+      b as (select clone_id, x, dl, arg_max(g, (s, -g)) g from s group by all)
+      select clone_id, case when dl = 0 then x else substr(x, 1, g) || repeat('.', dl) || substr(x, g + 1) end aligned from b""",
+    "loop_qualities": f"""{ctes('reads')}, p as (select read_id, nuc_a, length(nuc_a) n, substr(nuc_a, 5, 9) f, reverse(translate(substr(nuc_a, 5, 9), 'acgtn', 'tgcan')) b from reads),
+      q as (select read_id, n, instr(nuc_a, case when read_id % 2 = 0 then f else b end) i, instr(nuc_a, case when read_id % 2 = 0 then b else f end) j from p)
+      select read_id, array_to_string(case when i > 0 then list_transform(range(i, i + 9), lambda x: (read_id + x) % 40) else list_reverse(list_transform(range(j, j + 9), lambda x: (read_id + x) % 40)) end, '.') quals from q""",
+    "fake_chains": f"{ctes('clones')} select count(distinct va1 || ' ' || cdr3a) = 1 is_fake from clones",
+    "subset_rows": f"""{ctes('reads')}, g as (select *, dense_rank() over (order by epitope) g from reads), s as (select *, dense_rank() over (partition by epitope order by subject) s from g where g <= 3),
+      n as (select *, row_number() over (partition by epitope, subject order by read_id) n from s where s <= 3) select read_id id, epitope, subject from n where n <= 15""",
+    "common_columns": f"{ctes('clones', 'background')} select clone_id, cdr3a from clones union all select chain_id, cdr3 from background",
+    "converted_rows": f"""{ctes('clones')}, c as (select va1, clone_size, case when clone_id % 11 = 0 then null when clone_id % 13 = 0 then 'CAF' when clone_id % 17 = 0 then 'CAXXXXF' else cdr3a end s
+        from clones where va1 <> 'VA0' or clone_id % 2 = 0)
+      select case when s is null then 'missing_field' when length(s) <= 5 then 'short_cdr3' when s like '%X%' then 'bad_residue' when va1 in ('VA5', 'VA6') then 'unknown_gene' else 'OK' end status,
+        count(*) n, cast(sum(clone_size) as bigint) reads from c group by 1""",
+    "trim_distribution": f"""{ctes('reads')}, c as (select least(read_id % 30, 20) length, sum(qual) n from reads group by 1) select length, round(n / sum(n) over (), 8) p from c""",
+    "averaged_distributions": f"{ctes('tuples')}, {_FILES}, s as (select tag, key, sum(p) p from f group by all) select tag, key, round(p / sum(p) over (partition by tag), 8) p from s",
+    "pseudo_probabilities": f"{ctes('tuples')}, {_FILES}, {_PSEUDO} select rep, round(p, 8) p from ps",
+    "protein_probabilities": f"""{ctes('tuples')}, {_FILES}, {_PSEUDO} select seq_id id, round(greatest(coalesce(a.p, 0), coalesce(b.p, 0)) / (seq_id % 7 + 1), 8) p
+      from tuples left join ps a on a.rep = g1 left join ps b on b.rep = g2""",
+    "germline_bases": f"""{ctes('reads')}, e as (select va, substr(nuc_a, 1, 12) s, unnest(range(1, 13)) pos from reads), c as (select va, pos, substr(s, pos, 1) base, count(*) n from e group by all)
+      select va, cast(pos as int) pos, arg_max(base, (n, base)) base, round(max(n) / sum(n), 8) share from c group by va, pos""",
+    "voted_frames": f"{ctes('reads')}, c as (select subject, qual % 20 % 3 + 1 frame, count(*) n from reads group by all) select subject, arg_max(frame, (n, frame)) frame from c group by subject",
+    "background_sample": f"""{ctes('background')}, s as (select *, row_number() over (partition by v_rep, j_rep order by md5('1:' || cast(chain_id as varchar)), chain_id) n from background)
+      select chain_id, v_rep, j_rep, cdr3 from s where n <= 10""",
+    "motif_top_genes": f"""{ctes('clones')}, {_THREE}, c as (select epitope, shown, va1, count(*) n from clones join m on regexp_matches(cdr3a, pattern) group by all),
+      p as (select *, row_number() over (partition by epitope, shown order by n desc, va1) i from c) select epitope, shown, string_agg(va1 || ':' || n, ',' order by i) genes from p where i <= 3 group by epitope, shown""",
+    "motif_match_plus": f"""{ctes('genes', 'clones')}, {_DIST_EPITOPE}, {_THREE}, f as (select epitope, shown, clone_id from clones join m on regexp_matches(cdr3a, pattern)),
+      near as (select id1, id2 from pd where chain = 'A' and dl = 0 and 3 * s <= 19 union all select id2, id1 from pd where chain = 'A' and dl = 0 and 3 * s <= 19),
+      every as (select epitope, shown, clone_id, clone_id matcher, 0 d from f union all select epitope, shown, id2, id1, 1 from f join near on id1 = clone_id)
+      select epitope, shown, clone_id, arg_min(matcher, (d, matcher)) matcher from every group by epitope, shown, clone_id""",
+    "pwm_relative_entropy": f"""{ctes('clones', 'background')}, l as (select 0 b, length(cdr3a) length, cdr3a s from clones union all select 1, length(cdr3), cdr3 from background),
+      e as (select *, unnest(range(1, length + 1)) i from l), c as (select b, length, i, substr(s, i, 1) a, count(*) n from e where contains('{tables.AMINO_ACIDS}', substr(s, i, 1)) group by all),
+      w as (select *, n / sum(n) over (partition by b, length, i) w from c)
+      select cast(x.length as int) length, cast(x.i - 1 as int) pos, round(sum(x.w * log2(x.w / greatest(coalesce(y.w, 0), 1e-3))), 6) + 0.0::double relent
+      from w x left join w y on y.b = 1 and y.length = x.length and y.i = x.i and y.a = x.a where x.b = 0 group by x.length, x.i""",
+    "mutual_rank": f"""{ctes('genes', 'clones')}, {_DIST_ALL}, near as (select b.*, c.epitope ref from both_ways b join clones c on c.clone_id = b.id2 where subject1 <> subject2 and chains = 'AB'),
+      {_NBR.format(by=', ref')}, sc as (select clone_id, c.epitope, ref, round(wtd, 4) v from nbr join clones c using (clone_id)),
+      k as (select x.clone_id, x.epitope, x.ref, x.v, sum(case when y.v < x.v then 1 else 0 end) l, sum(case when y.v = x.v then 1 else 0 end) e, count(*) t,
+              max(case when y.v < x.v then y.v end) ln, min(case when y.v > x.v then y.v end) un from sc x join sc y on y.ref = x.ref and y.epitope = y.ref group by all)
+      select epitope, ref ref_epitope, round(avg(case when un is null then 100 when ln is null then 0 else 100 * (l + (v - ln) / (un - ln) * (1 + e)) / t end), 4) rank from k group by all""",
+    "contig_chains": f"""with {_CONTIGS} select ct clonotype, case when chain = 'TRA' then 'A' else 'B' end chain, v || '*01' v, j || '*01' j, cdr3, nt cdr3_nt, cast(sum(umis) as bigint) umis, count(distinct bc) cells
+      from contigs where productive and cdr3 <> 'None' group by all""",
+    "clonotype_barcodes": f"with {_CONTIGS} select ct clonotype, count(distinct bc) size, string_agg(distinct bc, ',' order by bc) barcodes from contigs group by ct",
+    "umi_discrepancies": f"""with {_CONTIGS}, a as (select ct || '_' || chain id, sum(umis) u from contigs where k % 17 <> 0 group by 1),
+      b as (select ct || '_' || chain id, sum(umis) + case when k % 7 = 0 then 1 else 0 end u from contigs where k % 11 <> 0 group by k, 1)
+      select coalesce(a.id, b.id) consensus_id, cast(a.u as bigint) contig_umis, cast(b.u as bigint) consensus_umis from a full join b on a.id = b.id where a.u is distinct from b.u""",
 }

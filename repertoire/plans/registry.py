@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from repertoire.functions import sequences as seq
 from repertoire.functions import tables
 from repertoire.operators import clones as calls
-from repertoire.operators import clustering, distance, diversity, junctions, motifs, neighbors, pairing, permutation, stats, usage
+from repertoire.operators import clustering, distance, diversity, junctions, motifs, neighbors, pairing, permutation, sampling, stats, usage
 from repertoire.operators import genes as gene_dim
 from repertoire.operators import reads as parsing
 from repertoire.plans import fixtures
 from repertoire.plans.oracles import ORACLES
+from repertoire.sources import tables as sources
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -675,3 +676,221 @@ def gene_classes(spark, d):
     """Classes of V genes."""
     g = genes(spark, d).withColumn("region", F.lit("V"))
     return gene_dim.representatives(g).join(gene_dim.merged_representatives(g, 2), "gene")
+
+
+# names, cells and alignments
+
+
+@query
+def gene_names(spark, d):
+    """Gene of an allele, number in a name, padding, line ends."""
+    stripped = seq.strip_line_end(F.concat("vb1", F.lit(" \r\n")))
+    gene = seq.gene_of_allele(F.concat("va1", F.lit("*01")))
+    return clones(spark, d).select("clone_id", gene.alias("gene"), seq.gene_number(F.col("va1")).alias("number"), seq.pad_middle(F.col("va1"), 8).alias("padded"), stripped.alias("stripped"))
+
+
+@query
+def score_scalars(spark, d):
+    """Guarded logarithms, Z-scores and inverses, stars of a probability."""
+    s, w = F.col("score"), Window.partitionBy("epitope")
+    p = F.abs(s) / 1e5
+    z = seq.z_score(s, F.avg(s).over(w), F.stddev_pop(s).over(w))
+    inverse = seq.safe_inverse(F.floor(s / 1000).cast("double"))
+    return clones(spark, d).select("clone_id", r(seq.safe_log10(s)).alias("log10"), seq.truncated_log10(p).alias("exponent"), r(z).alias("z"), r(inverse, 8).alias("inverse"), stats.stars(p).alias("stars"))
+
+
+@query
+def top_hit_genes(spark, d):
+    """Genes with the best score of a hit cell."""
+    n = lambda m: (F.col("clone_id") % m + 10).cast("string")
+    hits = F.concat("va1", F.lit(":"), n(3), F.lit(";"), "va2", F.lit("*02:"), n(2))
+    return clones(spark, d).select("clone_id", F.array_join(seq.top_hits(hits), ";").alias("genes"))
+
+
+@query
+def gapped_alignment(spark, d):
+    """Both loops of a clone aligned by one run of gaps."""
+    return clones(spark, d).select("clone_id", seq.align_with_gap(F.col("cdr3a"), F.col("cdr3b")).alias("aligned"))
+
+
+@query
+def loop_qualities(spark, d):
+    """Qualities of a part of a read, found on either strand."""
+    quals = F.transform(F.sequence(F.lit(1), F.length("nuc_a")), lambda i: (F.col("read_id") + i) % 40)
+    part = F.substr("nuc_a", F.lit(5), F.lit(9))
+    part = F.when(F.col("read_id") % 2 == 0, part).otherwise(seq.reverse_complement(part))
+    return reads(spark, d).select("read_id", F.array_join(F.transform(parsing.part_qualities(F.col("nuc_a"), quals, part), lambda q: q.cast("string")), ".").alias("quals"))
+
+
+@query
+def fake_chains(spark, d):
+    """Whether a chain is constant."""
+    return calls.fake_chain(clones(spark, d), "cdr3a", "va1")
+
+
+@query
+def subset_rows(spark, d):
+    """The first groups, subjects and rows."""
+    return sources.test_subset(reads(spark, d).select(F.col("read_id").alias("id"), "epitope", "subject"))
+
+
+@query
+def common_columns(spark, d):
+    """C17, H1: all rows of two tables on their common columns."""
+    b = fixtures.frame(spark, d, "background").select(F.col("chain_id").alias("clone_id"), "v_rep", F.col("cdr3").alias("cdr3a"))
+    return sources.union_common([clones(spark, d).select("clone_id", "epitope", "cdr3a"), b])
+
+
+@query
+def converted_rows(spark, d):
+    """Clonotypes of another dialect by what became of them."""
+    c = clones(spark, d).where("va1 <> 'VA0' or clone_id % 2 = 0")
+    cdr3 = F.when(F.col("clone_id") % 11 == 0, F.lit(None)).when(F.col("clone_id") % 13 == 0, "CAF").when(F.col("clone_id") % 17 == 0, "CAXXXXF").otherwise(F.col("cdr3a"))
+    other = c.select(F.concat("va1", F.lit(", VA9")).alias("V segments"), F.col("ja").alias("J segments"), cdr3.alias("CDR3 amino acid sequence"), F.col("clone_size").alias("Count"))
+    known = spark.createDataFrame([(g,) for g in ("VA0", "VA1", "VA2", "VA3", "VA4", "JA0", "JA1", "JA2")], "gene string")
+    good, bad = sources.convert_clonotypes(other, known)
+    rows = good.select(F.lit("OK").alias("status"), "clone_size").unionAll(bad.select(F.col("reason").alias("status"), "clone_size"))
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("clone_size").alias("reads"))
+
+
+# distributions and samples
+
+
+@query
+def trim_distribution(spark, d):
+    """Weighted distribution of a capped length."""
+    x = reads(spark, d).withColumns({"trim": F.col("read_id") % 30, "w": F.col("qual").cast("double")})
+    return junctions.length_distribution(x, "trim", "w").select("length", r("p", 8).alias("p"))
+
+
+def _file_tables(spark, d, item: str):
+    n = tuples(spark, d).groupBy("file", F.col("epitope").alias("tag"), F.col("g1").alias(item)).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("file", "tag", item, (F.col("n") / F.sum("n").over(Window.partitionBy("file", "tag"))).alias("p"))
+
+
+@query
+def averaged_distributions(spark, d):
+    """Distributions of several files, summed and normalised."""
+    return junctions.average_distributions(_file_tables(spark, d, "key")).select("tag", "key", r("p", 8).alias("p"))
+
+
+@query
+def pseudo_probabilities(spark, d):
+    """Gene frequencies over files, files without the gene as 0."""
+    x = _file_tables(spark, d, "rep").where("tag = 'N'").drop("tag")
+    return junctions.pseudo_probabilities(x).select("rep", r("p", 8).alias("p"))
+
+
+@query
+def protein_probabilities(spark, d):
+    """K7: the best gene's frequency times the junction's probability."""
+    reps = junctions.pseudo_probabilities(_file_tables(spark, d, "rep").where("tag = 'N'").drop("tag"))
+    rows = tuples(spark, d).select(F.col("seq_id").alias("id"), "genes", (1 / (F.col("seq_id") % 7 + 1)).alias("junction"))
+    return junctions.protein_probability(rows, reps, "genes", "junction", "p").select("id", r("p", 8).alias("p"))
+
+
+@query
+def germline_bases(spark, d):
+    """Most frequent base of each position of a gene's reads."""
+    x = reads(spark, d).withColumn("nuc", F.substr("nuc_a", F.lit(1), F.lit(12)))
+    return parsing.germline_bases(x, ["va"], "nuc").select("va", "pos", "base", r("share", 8).alias("share"))
+
+
+@query
+def voted_frames(spark, d):
+    """each subject's most frequent frame."""
+    return parsing.voted_frames(reads(spark, d).select("subject", parsing.reading_frame(F.col("nuc_a"), F.col("qual") % 20 + 1).alias("frame")), ["subject"])
+
+
+@query
+def background_sample(spark, d):
+    """At most ten background chains of each gene pair."""
+    return sampling.sample_per_key(fixtures.frame(spark, d, "background"), ["v_rep", "j_rep"], "chain_id", 10)
+
+
+@query
+def distinct_junctions(spark, d):
+    """H6: reads whose junction no earlier read has with genes in common."""
+    x = tuples(spark, d).select(F.col("seq_id").alias("id"), F.concat("epitope", "file").alias("nuc"), F.col("genes").alias("v_genes"), F.array(F.concat(F.lit("J"), (F.col("seq_id") % 5).cast("string"))).alias("j_genes"))
+    return parsing.distinct_junctions(x).select("id")
+
+
+# motif reports and ranks
+
+
+@query
+def motif_top_genes(spark, d):
+    """Three most frequent V genes of each motif's matches."""
+    return motifs.top_genes(motif_matches(spark, d), clones(spark, d), ["epitope"], "va1")
+
+
+@query
+def motif_match_plus(spark, d):
+    """Matches and their near neighbours of equal length."""
+    c = clones(spark, d)
+    near = distance.length_band_pairs(c.withColumn("epitope", F.concat("epitope", F.length("cdr3a").cast("string"))), "A", 19.0).select("id1", "id2")
+    both = near.unionAll(near.select(F.col("id2").alias("id1"), F.col("id1").alias("id2")))
+    return motifs.match_plus(motif_matches(spark, d), both, ["epitope"])
+
+
+@query
+def pwm_relative_entropy(spark, d):
+    """Information of each position against the background."""
+    c = clones(spark, d).withColumn("length", F.length("cdr3a"))
+    b = fixtures.frame(spark, d, "background").withColumn("length", F.length("cdr3"))
+    weights = lambda x, s: motifs.position_weights(x, ["length"], s, tables.AMINO_ACIDS)
+    return motifs.relative_entropy(weights(c, "cdr3a"), weights(b, "cdr3"), ["length"]).select("length", "pos", r("relent").alias("relent"))
+
+
+@query
+def mutual_rank(spark, d):
+    """Mean rank of a repertoire's scores within each repertoire's own."""
+    s = neighbors.neighbor_scores(_nearest(spark, d, own_epitope=False), (10,)).where("chains = 'AB'")
+    s = s.select("clone_id", "epitope", "ref_epitope", r("wtd_nbrdist", 4).alias("v"))
+    ranks = neighbors.rank_against(s, s.where("epitope = ref_epitope"), ["ref_epitope"], "v")
+    return ranks.groupBy("epitope", "ref_epitope").agg(r(F.avg("rank"), 4).alias("rank"))
+
+
+# single cells
+
+
+def _contigs(spark, d):
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    n = lambda c: c.cast("string")
+    chain = F.when(F.col("l_partkey") % 2 == 0, "TRA").otherwise("TRB")
+    x = x.select(
+        F.concat(F.lit("ct"), n(F.col("l_orderkey") % 997)).alias("raw_clonotype_id"), F.concat(F.lit("bc"), n(F.col("l_orderkey") % 4999)).alias("barcode"),
+        F.when(F.col("l_linenumber") % 5 == 0, "False").otherwise("True").alias("productive"), chain.alias("chain"),
+        F.concat(F.lit("V"), n(F.col("l_partkey") % 5)).alias("v_gene"), F.concat(F.lit("J"), n(F.col("l_suppkey") % 3)).alias("j_gene"),
+        F.when(F.col("l_suppkey") % 9 == 0, "None").otherwise(F.concat(F.lit("CA"), n(F.col("l_partkey") % 7))).alias("cdr3"),
+        F.concat(F.lit("tgt"), n(F.col("l_suppkey") % 3)).alias("cdr3_nt"), F.col("l_quantity").cast("long").alias("umis"),
+    )
+    return x.withColumn("raw_consensus_id", F.concat("raw_clonotype_id", F.lit("_"), "chain"))
+
+
+@query
+def contig_chains(spark, d):
+    """Chains of each clonotype with their UMIs and cells."""
+    return pairing.clonotype_chains(pairing.usable_contigs(_contigs(spark, d)))
+
+
+@query
+def clonotype_barcodes(spark, d):
+    """Cells of each clonotype."""
+    return pairing.barcodes(_contigs(spark, d))
+
+
+@query
+def umi_discrepancies(spark, d):
+    """Chains whose UMI sum differs from a consensus table, either side may lack one."""
+    c = _contigs(spark, d)
+    k = F.substr("raw_clonotype_id", F.lit(3), F.lit(9)).cast("int")
+    other = c.groupBy(F.col("raw_consensus_id").alias("consensus_id"), k.alias("k")).agg(F.sum("umis").alias("umis")).where("k % 11 <> 0")
+    return pairing.umi_discrepancies(c.where(k % 17 != 0), other.withColumn("umis", F.col("umis") + F.when(F.col("k") % 7 == 0, 1).otherwise(0)))
+
+
+@query
+def single_cell_clones(spark, d):
+    """Clones of one beta and one or two alphas."""
+    c = pairing.usable_contigs(_contigs(spark, d).where("umis > 40"))
+    return pairing.paired_clones(pairing.clonotype_chains(c), pairing.barcodes(c))

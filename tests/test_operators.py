@@ -234,3 +234,42 @@ def test_sources(spark, tmp_path):
     mixed = spark.createDataFrame([("V1,V2", "J1", "CASSLF", "acg", "3"), ("V1", "J1", "CAF", "acg", "1"), ("V9", "J1", "CASSLF", "acg", "x")], "`V segments` string, `J segments` string, `CDR3 amino acid sequence` string, `CDR3 nucleotide sequence` string, Count string")
     good, bad = sources.convert_clonotypes(mixed, spark.createDataFrame([("V1",), ("J1",)], "gene string"))
     assert [r.clone_size for r in good.collect()] == [3] and {r.reason for r in bad.collect()} == {"short_cdr3", "unknown_gene"}
+
+
+def test_distinct_junctions_against_a_sequential_scan(spark):
+    rows = [(i, rng.choice("xyz"), rng.sample(["V1", "V2", "V3", "V4", "V5"], rng.randint(1, 3)), rng.sample(["J1", "J2", "J3"], rng.randint(1, 2))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, nuc string, v_genes array<string>, j_genes array<string>")
+    seen, kept = set(), set()
+    for i, nuc, vs, js in rows:
+        combos = {(nuc, v, j) for v in vs for j in js}
+        if not combos & seen:
+            seen |= combos
+            kept.add(i)
+    assert {r.id for r in reads.distinct_junctions(df).collect()} == kept
+    assert reads.distinct_junctions(df.limit(0)).count() == 0
+
+
+def test_rank_against_a_reference_with_ties(spark):
+    values = spark.createDataFrame([("k", float(v)) for v in (0, 1, 2, 2.5, 3, 9)], "k string, v double")
+    reference = spark.createDataFrame([("k", float(v)) for v in (1, 2, 2, 3)], "k string, v double")
+    got = {r.v: round(r["rank"], 6) for r in neighbors.rank_against(values, reference, ["k"], "v").collect()}
+    want = {}
+    ref = [1, 2, 2, 3]
+    for v in (0, 1, 2, 2.5, 3, 9):
+        lower, upper, equal = [x for x in ref if x < v], [x for x in ref if x > v], ref.count(v)
+        if not upper:
+            want[v] = 100.0
+        elif not lower:
+            want[v] = 0.0
+        else:
+            want[v] = round(100 * (len(lower) + (v - max(lower)) / (min(upper) - max(lower)) * (1 + equal)) / len(ref), 6)
+    assert got == want
+
+
+def test_sample_per_key_does_not_depend_on_partitions(spark):
+    from repertoire.operators.sampling import sample_per_key
+
+    df = spark.range(200).withColumn("k", F.col("id") % 3)
+    one = {r.id for r in sample_per_key(df.repartition(1), ["k"], "id", 7).collect()}
+    assert one == {r.id for r in sample_per_key(df.repartition(5), ["k"], "id", 7).collect()} and len(one) == 21
+    assert one != {r.id for r in sample_per_key(df, ["k"], "id", 7, seed=2).collect()}
