@@ -19,7 +19,7 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 #: Bytes handled at once; a longer text is handled alone and whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -43,6 +43,19 @@ RANGE_ROWS = 100_000
 LONG_TEXT = 1_000_000
 
 
+def _merges(path: str, pattern: str, encoding):
+    """(strings of the special tokens, the file's merges as an ``encoding``)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"] for t in spec["added_tokens"]}
+    # byte-level vocabularies name bytes by printable characters: the printable Latin-1 ones name themselves
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(b): b for b in plain}
+    letter.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))})
+    ranks = {bytes(letter[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    return special, encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 @cache
 def _encoder(name: str):
     """text -> ids, for a tokenizer file given by path or by name among the public ones."""
@@ -51,19 +64,14 @@ def _encoder(name: str):
     from tokenizers import Tokenizer
 
     path = name if os.path.isabs(name) else public_tokenizers.path(name)
-    slow = Tokenizer.from_file(path)
-    spec = json.load(open(path, encoding="utf-8"))
-    special = {t["content"] for t in spec["added_tokens"]}
-    # byte-level vocabularies name bytes by printable characters: the printable Latin-1 ones name themselves
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letter = {chr(b): b for b in plain}
-    letter.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))})
-    ranks = {bytes(letter[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special, fast = _merges(path, public_tokenizers.PATTERN, tiktoken.Encoding)
+    slow: list = []  # read only if a text needs it
 
     def encode(text: str) -> list[int]:
         if len(text) > LONG_TEXT or any(s in text for s in special):
-            return slow.encode(text, add_special_tokens=False).ids
+            if not slow:
+                slow.append(Tokenizer.from_file(path))
+            return slow[0].encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
