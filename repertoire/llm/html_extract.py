@@ -1,33 +1,34 @@
 r"""Main-text extraction by wrapper induction over the pages of a host.
 
-Each page's DOM is reduced to a skeleton of its block elements (runs of like siblings count as one
-node) with the lengths and digests of their texts. Skeletons of one host are aligned by simple tree
-matching and merged: aligned nodes add up what they saw, other nodes join as optional ones. In the
-merged tree, nodes whose text is the same on nearly all pages are template, as are those that their
-tag or class marks as boilerplate or that hold mostly links; the smallest subtree that holds nearly
-all remaining text is the content slot, and its path from the root is the host's wrapper.
-
-Tasks merge the pages they hold; partial trees are merged by host and salt, then by host, so a host
-with a third of all pages is neither gathered in one task nor sampled. Each page is then read along its
-host's wrapper. A page without that path (a lone layout, a cut-off file) uses its own tree.
-
-Blocks of the content slot give the text: character references decoded, white space made one blank.
-
-Defined results: null html is empty and gives an empty text; a null url has the host ''; unclosed or
-crossed tags close where the next block or an outer end tag says; a reference without semicolon is
-decoded where HTML does; repeated rows each give a row; an empty table gives no rows.
+Each page's DOM is reduced to its text blocks: what stands between two block boundaries (a run of like
+siblings without blocks of their own is one), with the path of block elements (tag, class and id words)
+that it lies in. Pages of one host are aligned by these
+paths: simple tree matching only ever pairs nodes of equal paths, so rows by path align whatever it
+aligns, in any order of siblings. Spark counts the rows (host, path, text) over the host's different
+pages, so no tree is held, cut or gathered, and the counts do not depend on partitions.
+
+A text that nearly all different pages of a host have at one path is template, from ten pages on; so is
+what tag or class marks as boilerplate. All else varies. The content slot is the lowest common ancestor
+of all varying blocks that are not mostly links, and host and slot and template texts are the wrapper.
+A page's text is all its varying blocks in page order; blocks of links count inside the slot only.
+
+Blocks are decoded: character references replaced, white space made one blank.
+
+Defined results: null html is empty and gives an empty text; a null url has the host ''; pages of one
+host with the same blocks are one page when texts are counted, so copies never make each other template;
+unclosed or crossed tags close where the next block or an outer end tag says; a reference without
+semicolon is decoded where HTML does; repeated rows each give a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as htmllib
-import json
 import re
-from zlib import crc32
+from functools import lru_cache
+from hashlib import blake2b
+from os.path import commonprefix
 
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +49,15 @@ BOILERPLATE_WORDS = frozenset(
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
-#: A text seen on this share of at least so many pages of a host is template.
+#: A text seen on this share of a host's pages, and on so many at least, is template.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 10
-#: The content slot is the smallest subtree with this share of the varying text.
-SLOT_SHARE = 0.9
 LINK_SHARE = 0.5
-#: Hosts whose trees a task holds before it sends them; salts that a host's partial trees are dealt to.
-HOLD_HOSTS, SALTS = 2000, 32
-#: Nodes that a merged tree keeps (those most pages have); pages on dropped paths use their own tree.
+#: Hosts whose wrappers a task keeps decoded.
+HOLD_HOSTS = 2000
+#: Nodes that a merged tree keeps (those most pages have).
 TREE_NODES = 2000
+#: Bytes that stand for a step of a path.
+STEP = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|svg|template|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
@@ -126,41 +127,66 @@ def _text(parts: list[str]) -> str:
     return " ".join(htmllib.unescape("".join(parts)).split())
 
 
-# A tree of a host: [tag, key, pages, text chars, link chars, {digest: pages} of its own text, children, repeats]
-TAG, KEY, PAGES, CHARS, LINKS, TEXTS, CHILDREN, REPEATS = range(8)
+@lru_cache(4096)
+def _step(tag: str, key: str) -> bytes:
+    return blake2b(f"{tag} {key}".encode("utf-8", "replace"), digest_size=STEP).digest()
 
 
-def skeleton(node: Node) -> list:
-    """The block elements below ``node`` with what they hold; like neighbours are one node."""
+def segments(root: Node) -> list[tuple[bytes, str, bool]]:
+    """(path, text, mostly links) of the text blocks in page order, marked boilerplate left out; a run of
+    like siblings without blocks of their own (paragraphs, items) is one, with a line for each."""
+    out: list[list] = []
     own: list[str] = []
-    links = 0
-    children: list[list] = []
+    links = frames = 0
 
-    def walk(n: Node, linked: bool):
+    def end(path: bytes, parent: int):
         nonlocal links
-        for c in n.children:
+        if own:
+            text = _text(own)
+            if text and out and out[-1][0] == path and out[-1][3] == parent:
+                out[-1][1].append(text)
+                out[-1][2] += links
+            elif text:
+                out.append([path, [text], links, parent])
+            own.clear()
+        links = 0
+
+    # children left, path, in a link, number of the block element and of the one around it
+    stack = [(iter(root.children), b"", False, 0, -1)]
+    while stack:
+        children, path, linked, frame, parent = stack[-1]
+        for c in children:
             if isinstance(c, str):
                 own.append(c)
                 if linked:
                     links += len(c.strip())
+            elif c.boilerplate:
+                if c.tag in BLOCK:
+                    end(path, parent)
             elif c.tag in BLOCK:
+                end(path, parent)
+                frames += 1
+                stack.append((iter(c.children), path + _step(c.tag, c.key), False, frames, frame))
+                break
+            elif c.tag == "br":
                 own.append(" ")
-                children.append(skeleton(c))
             else:
-                walk(c, linked or c.tag == "a")
-
-    walk(node, False)
-    text = _text(own)
-    merged: list[list] = []
-    for c in children:
-        if merged and merged[-1][TAG] == c[TAG] and merged[-1][KEY] == c[KEY]:
-            _add(merged[-1], c)
-            merged[-1][PAGES] = 1
-            merged[-1][REPEATS] = 1
-            merged[-1][TEXTS] = {}
+                stack.append((iter(c.children), path, linked or c.tag == "a", frame, parent))
+                break
         else:
-            merged.append(c)
-    return [node.tag, node.key, 1, len(text), min(links, len(text)), {str(crc32(text.encode())): 1} if text else {}, merged, 0]
+            stack.pop()
+            if not stack or stack[-1][3] != frame:
+                end(path, parent)
+    return [(path, "\n".join(texts), n > LINK_SHARE * sum(map(len, texts))) for path, texts, n, _ in out]
+
+
+def block(path: bytes, text: str) -> int:
+    """What stands for a text at a path."""
+    return int.from_bytes(blake2b(path + text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+# A tree: [tag, key, pages, text chars, link chars, {digest: pages} of its own text, children, repeats]
+TAG, KEY, PAGES, CHARS, LINKS, TEXTS, CHILDREN, REPEATS = range(8)
 
 
 def match(a: list, b: list) -> list[tuple[int, int]]:
@@ -201,9 +227,6 @@ def _add(a: list, b: list) -> None:
     a[REPEATS] |= b[REPEATS]
     for k, v in b[TEXTS].items():
         a[TEXTS][k] = a[TEXTS].get(k, 0) + v
-    if len(a[TEXTS]) > 16:  # a text on most pages outlives the cut (frequent-items counting)
-        cut = sorted(a[TEXTS].values())[-9]
-        a[TEXTS] = {k: v - cut for k, v in a[TEXTS].items() if v > cut}
     if len(a[CHILDREN]) == len(b[CHILDREN]) and all(x[TAG] == y[TAG] and x[KEY] == y[KEY] for x, y in zip(a[CHILDREN], b[CHILDREN], strict=True)):
         pairs = [(i, i) for i in range(len(a[CHILDREN]))]  # what the matching would find
     else:
@@ -241,139 +264,49 @@ def merge(a: list, b: list) -> list:
     return a
 
 
-def wrapper(tree: list) -> list[list[str]] | None:
-    """The content slot's path of [tag, key] steps below the root, None if there is no varying text."""
-    pages = tree[PAGES]
-
-    def dull(n: list) -> bool:
-        return n[TAG] in BOILERPLATE_TAGS or not BOILERPLATE_WORDS.isdisjoint(_WORD.findall(n[KEY]))
-
-    def weigh(n: list) -> float:
-        if dull(n):
-            return 0.0
-        own = n[CHARS]
-        constant = pages >= CONSTANT_PAGES and not n[REPEATS] and max(n[TEXTS].values(), default=0) >= CONSTANT_SHARE * pages
-        if constant or n[LINKS] > LINK_SHARE * own:
-            own = 0
-        return own + sum(weigh(c) for c in n[CHILDREN])
-
-    whole = weigh(tree)
-    if whole <= 0:
-        return None
-    path, at = [], tree
-    while True:
-        best = max(at[CHILDREN], key=weigh, default=None)
-        if best is None or weigh(best) < SLOT_SHARE * whole or best[REPEATS] or best[TAG] == "p":
-            return path
-        path.append([best[TAG], best[KEY]])
-        at = best
-
-
-def slot(root: Node, path: list[list[str]]) -> Node | None:
-    """The page's node at the wrapper's path, looking through inline elements."""
-    at = root
-    for tag, key in path:
-        found, todo = None, list(at.children)
-        while todo and found is None:
-            c = todo.pop(0)
-            if isinstance(c, str):
-                continue
-            if c.tag == tag and c.key == key:
-                found = c
-            elif c.tag not in BLOCK:
-                todo = list(c.children) + todo
-        if found is None:
-            return None
-        at = found
-    return at
-
-
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below ``node`` in page order, boilerplate left out."""
-    out: list[str] = []
-    own: list[str] = []
-
-    def end():
-        if own:
-            text = _text(own)
-            if text:
-                out.append(text)
-            own.clear()
-
-    def walk(n: Node):
-        for c in n.children:
-            if isinstance(c, str):
-                own.append(c)
-            elif c.boilerplate:
-                if c.tag in BLOCK:
-                    end()
-            elif c.tag in BLOCK:
-                end()
-                walk(c)
-                end()
-            elif c.tag == "br":
-                own.append(" ")
-            else:
-                walk(c)
-
-    walk(node)
-    end()
-    return out
-
-
-def main_text(page: str, path: list[list[str]] | None) -> str:
-    root = parse(page)
-    node = slot(root, path) if path is not None else None
-    if node is None:
-        own = wrapper(skeleton(root))
-        node = slot(root, own) if own is not None else None
-    return "\n".join(blocks(node)) if node is not None else ""
+def main_text(page: str, slot: bytes | None, template: frozenset) -> str:
+    """The varying blocks of a page; ``slot`` and ``template`` are its host's wrapper."""
+    kept = []
+    for path, text, linked in segments(parse(page)):
+        if linked and (slot is None or not path.startswith(slot)):
+            continue
+        kept.append(text)
+    return "\n".join(kept)
 
 
 def _induce(batches):
-    held: dict[str, list] = {}
-    salt = TaskContext.get().partitionId() % SALTS
-
-    def send():
-        if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held)), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps(t) for t in held.values()])], names=["host", "salt", "tree"]
-            )
-            held.clear()
-
     for b in batches:
+        rows: list[tuple[str, int, int, bytes, int]] = []
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            tree = skeleton(parse(page))
-            held[host] = merge(held[host], tree) if host in held else tree
-            if len(held) >= HOLD_HOSTS:
-                yield from send()
-    yield from send()
-
-
-def _merge_trees(trees) -> list:
-    whole = None
-    for t in sorted(trees):
-        whole = json.loads(t) if whole is None else merge(whole, json.loads(t))
-    return whole
-
-
-def _merge_salted(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [key[0]], "tree": [json.dumps(_merge_trees(pieces["tree"]))]})
+            found: dict[int, tuple[bytes, int]] = {}
+            whole = blake2b(digest_size=8)
+            for path, text, linked in segments(parse(page)):
+                k = block(path, text)
+                whole.update(k.to_bytes(8, "big", signed=True))
+                found[k] = (path, min(int(linked), found[k][1]) if k in found else int(linked))
+            name = int.from_bytes(whole.digest(), "big", signed=True)
+            rows += [(host, name, k, path, linked) for k, (path, linked) in found.items()]
+        if rows:
+            columns = zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["host", "page", "block", "path", "linked"])
 
 
-def _merge_host(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-    tree = _merge_trees(pieces["tree"])
-    return pd.DataFrame({"host": [key[0]], "path": [json.dumps(wrapper(tree))], "pages": [tree[PAGES]]})
+def _common(low: bytes, high: bytes) -> bytes:
+    """The steps that two paths begin with, and thus all paths that sort between them."""
+    same = len(commonprefix([low, high]))
+    return low[: same - same % STEP]
 
 
 def _extract(batches):
-    paths: dict[str, list] = {}
+    held: dict[str, tuple[bytes | None, frozenset]] = {}
     for b in batches:
         texts = []
-        for page, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if path not in paths:
-                paths[path] = json.loads(path) if path else None
-            texts.append(main_text(page, paths[path]))
+        for page, host, low, high, template in zip(*[b.column(i).to_pylist() for i in range(2, 7)], strict=True):
+            if host not in held:
+                if len(held) >= HOLD_HOSTS:
+                    held.clear()
+                held[host] = (None if low is None else _common(low, high), frozenset(template or ()))
+            texts.append(main_text(page, *held[host]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -383,17 +316,24 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path of the content slot as JSON, pages) for every host of ``pages``."""
+    """(host, low, high, template, pages) for every host of ``pages`` with text: the first and last path of
+    its varying blocks, whose common steps are the slot, and its template texts. A host has fewer of these
+    than its mean page has blocks / ``CONSTANT_SHARE``."""
     ship(pages.sparkSession)
-    partial = _hosted(pages).select("host", "html").mapInArrow(_induce, "host string, salt int, tree string")
-    salted = partial.groupBy("host", "salt").applyInPandas(_merge_salted, "host string, tree string")
-    return written(salted.groupBy("host").applyInPandas(_merge_host, "host string, path string, pages long"), "wrappers")
+    rows = _hosted(pages).select("host", "html").mapInArrow(_induce, "host string, page long, block long, path binary, linked int")
+    rows = written(rows.groupBy("host", "page", "block", "path").agg(F.min("linked").alias("linked")), "blocks")
+    counts = rows.groupBy("host", "block", "path").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("linked"))
+    sizes = written(rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
+    constant = (F.col("n") >= CONSTANT_PAGES) & (F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    varying = F.when(~constant & (F.col("linked") == 0), F.col("path"))
+    found = counts.join(bounded(sizes), "host").groupBy("host", "pages")
+    return written(found.agg(F.min(varying).alias("low"), F.max(varying).alias("high"), F.collect_list(F.when(constant, F.col("block"))).alias("template")), "wrappers")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
-    wrappers = host_wrappers(pages).select("host", "path")
+    wrappers = host_wrappers(pages).drop("pages")
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = _hosted(pages).join(bounded(wrappers), "host", "left").select("page_id", "url", "html", "path")
+    joined = _hosted(pages).join(bounded(wrappers), "host", "left").select("page_id", "url", "html", "host", "low", "high", "template")
     texts = joined.mapInArrow(_extract, f"page_id {kind}, url string, text string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -233,6 +233,21 @@ def test_extraction_induces_the_wrapper(spark):
     assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _texts(spark, data):
+    return {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+
+
+def test_extraction_keeps_all_varying_blocks(spark):
+    def page(i, words):
+        return f"<html><body><article><h1>Title {i}</h1><div class=body><p>{words}</p></div><div class=end><p>End {i}</p></div></article><div class=next><a href=x>next {i}</a></div></body></html>"
+
+    data = [(i, f"http://a.example/{i}", page(i, f"word{i} " * 200)) for i in range(12)]
+    data.append((50, "http://lone.example/", "<body><p>Intro</p><pre>" + "x " * 2000 + "</pre></body>"))
+    got = _texts(spark, data)
+    assert got[3] == "Title 3\n" + " ".join(["word3"] * 200) + "\nEnd 3"
+    assert got[50].startswith("Intro\nx x")
+
+
 def test_simple_tree_matching_keeps_order():
     tree = lambda tag, *c: [tag, "", 1, 0, 0, {}, list(c), 0]
     a, b = tree("r", tree("x"), tree("y", tree("z")), tree("x")), tree("r", tree("y", tree("z"), tree("q")), tree("x"), tree("w"))
