@@ -7,7 +7,7 @@ paths: simple tree matching only ever pairs nodes of equal paths, so rows by pat
 aligns, in any order of siblings. Spark counts the rows (host, path, text) over the host's different
 pages, so no tree is held, cut or gathered, and the counts do not depend on partitions.
 
-A text that nearly all different pages of a host have at one path is template, from ten pages on; so is
+A text that nearly all different pages of a host have at one path is template, from two pages on; so is
 what tag or class marks as boilerplate. All else varies. The content slot is the lowest common ancestor
 of all varying blocks that are not mostly links, and host and slot and template texts are the wrapper.
 A page's text is all its varying blocks in page order; blocks of links count inside the slot only.
@@ -49,8 +49,8 @@ BOILERPLATE_WORDS = frozenset(
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
-#: A text seen on this share of a host's pages, and on so many at least, is template.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 10
+#: A text seen on this share of a host's pages, and on two at least, is template.
+CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 2
 LINK_SHARE = 0.5
 #: Hosts whose wrappers a task keeps decoded.
 HOLD_HOSTS = 2000
@@ -270,6 +270,8 @@ def main_text(page: str, slot: bytes | None, template: frozenset) -> str:
     for path, text, linked in segments(parse(page)):
         if linked and (slot is None or not path.startswith(slot)):
             continue
+        if template and block(path, text) in template:
+            continue
         kept.append(text)
     return "\n".join(kept)
 

@@ -248,6 +248,15 @@ def test_extraction_keeps_all_varying_blocks(spark):
     assert got[50].startswith("Intro\nx x")
 
 
+def test_extraction_drops_constant_blocks_of_small_hosts(spark):
+    page = lambda i: f"<body><div class=main><h1>H{i}</h1><p>Text {i}</p><div class=x>{'The same words ' * 20}</div><p>More {i}</p></div></body>"
+    data = [(i, f"http://two.example/{i}", page(i)) for i in range(2)] + [(10 + i, f"http://many.example/{i}", page(i)) for i in range(20)]
+    data += [(40, "http://copy.example/1", page(1)), (41, "http://copy.example/2", page(1))]
+    got = _texts(spark, data)
+    assert got[0] == "H0\nText 0\nMore 0" and got[13] == "H3\nText 3\nMore 3"
+    assert got[40] == got[41] and got[40].startswith("H1\nText 1\nThe same words")
+
+
 def test_simple_tree_matching_keeps_order():
     tree = lambda tag, *c: [tag, "", 1, 0, 0, {}, list(c), 0]
     a, b = tree("r", tree("x"), tree("y", tree("z")), tree("x")), tree("r", tree("y", tree("z"), tree("q")), tree("x"), tree("w"))
