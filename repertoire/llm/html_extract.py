@@ -54,8 +54,6 @@ CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 2
 LINK_SHARE = 0.5
 #: Hosts whose wrappers a task keeps decoded.
 HOLD_HOSTS = 2000
-#: Nodes that a merged tree keeps (those most pages have).
-TREE_NODES = 2000
 #: Bytes that stand for a step of a path.
 STEP = 8
 
@@ -242,25 +240,8 @@ def _add(a: list, b: list) -> None:
 
 
 def merge(a: list, b: list) -> list:
-    """The tree of all pages of a and b, no larger than ``TREE_NODES``."""
+    """The tree of all pages of a and b."""
     _add(a, b)
-    pages: list[int] = []
-
-    def count(n):
-        pages.append(n[PAGES])
-        for c in n[CHILDREN]:
-            count(c)
-
-    count(a)
-    if len(pages) > TREE_NODES:
-        least = sorted(pages, reverse=True)[TREE_NODES // 2]
-
-        def prune(n):
-            n[CHILDREN] = [c for c in n[CHILDREN] if c[PAGES] > least]
-            for c in n[CHILDREN]:
-                prune(c)
-
-        prune(a)
     return a
 
 

@@ -257,6 +257,16 @@ def test_extraction_drops_constant_blocks_of_small_hosts(spark):
     assert got[40] == got[41] and got[40].startswith("H1\nText 1\nThe same words")
 
 
+def test_extraction_counts_hosts_of_long_pages_exactly(spark):
+    long = "".join(f"<h2>head {{0}} {k}</h2><p>part {{0}} {k}</p>" for k in range(1200))
+    pages = [f"<body><div class=x>{'Same notice ' * 9000}</div><div class=main>{long.format(i)}</div></body>" for i in range(12)]
+    frame = spark.createDataFrame([(i, f"http://l.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    want = ["\n".join(f"head {i} {k}\npart {i} {k}" for k in range(1200)) for i in range(12)]
+    for n in (1, 3):
+        assert [r.text for r in html_extract.extract_text(frame.repartition(n, "page_id")).orderBy("page_id").collect()] == want
+    assert html_extract.host_wrappers(frame).first().pages == 12
+
+
 def test_simple_tree_matching_keeps_order():
     tree = lambda tag, *c: [tag, "", 1, 0, 0, {}, list(c), 0]
     a, b = tree("r", tree("x"), tree("y", tree("z")), tree("x")), tree("r", tree("y", tree("z"), tree("q")), tree("x"), tree("w"))
