@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repertoire.functions.sequences import letters
@@ -22,15 +22,28 @@ def seed_motifs(spark: SparkSession, gap: int = 5, anchored_gap: int = 7) -> Dat
     return spark.createDataFrame(rows, "shown string, pattern string")
 
 
-def seed_support(seqs: DataFrame, keys: list[str], seq: str, gap: int = 5, anchored_gap: int = 7) -> DataFrame:
-    """(keys, shown, pattern, n) of all two-atom seeds: each distinct sequence lists the seeds that it
-    holds, which are then counted, so no sequence meets a seed that it lacks. Sequences with characters
-    other than capitals are left out."""
-    counted = seqs.groupBy(*keys, F.col(seq).alias("__seq")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__l", F.length("__seq"))
-    counted = counted.where(F.col("__seq").rlike("^[A-Z]+$"))
+_PARTS = {**{a: a for a in AMINO_ACIDS}, **RESIDUE_GROUPS, "^": "^", "$": "$", ".": ANY}
+
+
+def _pattern(shown: Column) -> Column:
+    part = F.create_map(*[F.lit(x) for pair in _PARTS.items() for x in pair])
+    return F.array_join(F.transform(letters(shown), lambda c: F.element_at(part, c)), "")
+
+
+def _atoms_at(i: Column) -> Column:
+    """The atoms that hold the residue at place i of ``__seq``."""
     atoms = {a: [a] + [g for g, p in RESIDUE_GROUPS.items() if a in p] for a in AMINO_ACIDS}
     table = F.create_map(*[x for a, names in atoms.items() for x in (F.lit(a), F.array(*[F.lit(n) for n in names]))])
-    at = lambda i: F.coalesce(F.try_element_at(table, F.substr("__seq", i, F.lit(1))), F.array().cast("array<string>"))
+    return F.coalesce(F.try_element_at(table, F.substr("__seq", i, F.lit(1))), F.array().cast("array<string>"))
+
+
+def _counted(seqs: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    counted = seqs.groupBy(*keys, F.col(seq).alias("__seq")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__l", F.length("__seq"))
+    return counted.where(F.col("__seq").rlike("^[A-Z]+$"))
+
+
+def _seed_places(counted: DataFrame, keys: list[str], gap: int, anchored_gap: int) -> DataFrame:
+    """(keys, __seq, __n, __l, __i, shown): where (``__i``) each sequence holds a two-atom seed."""
     end, i, j, s = F.col("__l"), F.col("__i"), F.col("__j"), F.col("__s")
     # positions 0 and length + 1 stand for the anchors
     rows = counted.select("*", F.explode(F.sequence(F.lit(0), end)).alias("__i"))
@@ -38,15 +51,24 @@ def seed_support(seqs: DataFrame, keys: list[str], seq: str, gap: int = 5, ancho
     inner = rows.select("*", F.explode(F.sequence(F.lit(1), last)).alias("__s")).select("*", (i + s).alias("__j")).where(j <= end)
     tail = rows.select("*", (end + 1 - i).alias("__s"), (end + 1).alias("__j")).where(s <= anchored_gap + 1)
     every = inner.unionAll(tail)
-    first = F.when(i == 0, F.array(F.lit("^"))).otherwise(at(i))
-    second = F.when(j > end, F.array(F.lit("$"))).otherwise(at(j))
-    kept = [*keys, "__seq", "__n", "__s"]
+    first = F.when(i == 0, F.array(F.lit("^"))).otherwise(_atoms_at(i))
+    second = F.when(j > end, F.array(F.lit("$"))).otherwise(_atoms_at(j))
+    kept = [*keys, "__seq", "__n", "__l", "__i", "__s"]
     pairs = every.select(*kept, F.explode(first).alias("__a"), second.alias("__bs")).select(*kept, "__a", F.explode("__bs").alias("__b"))
-    held = pairs.select(*keys, "__seq", "__n", F.concat("__a", F.repeat(F.lit("."), s - 1), "__b").alias("shown")).distinct()
-    n = held.groupBy(*keys, "shown").agg(F.sum("__n").alias("n"))
-    part = F.create_map(*[F.lit(x) for pair in {**{a: a for a in AMINO_ACIDS}, **RESIDUE_GROUPS, "^": "^", "$": "$"}.items() for x in pair])
-    ends = [F.element_at(part, F.substr("shown", F.lit(1), F.lit(1))), F.element_at(part, F.substr("shown", F.length("shown"), F.lit(1)))]
-    return n.select(*keys, "shown", F.concat(ends[0], F.repeat(F.lit(ANY), F.length("shown") - 2), ends[1]).alias("pattern"), "n")
+    return pairs.select(*kept[:-1], F.concat("__a", F.repeat(F.lit("."), s - 1), "__b").alias("shown"))
+
+
+def _held(places: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, shown, n): how many sequences hold each motif of ``places``."""
+    return places.select(*keys, "__seq", "__n", "shown").distinct().groupBy(*keys, "shown").agg(F.sum("__n").alias("n"))
+
+
+def seed_support(seqs: DataFrame, keys: list[str], seq: str, gap: int = 5, anchored_gap: int = 7) -> DataFrame:
+    """(keys, shown, pattern, n) of all two-atom seeds: each distinct sequence lists the seeds that it
+    holds, which are then counted, so no sequence meets a seed that it lacks. Sequences with characters
+    other than capitals are left out."""
+    n = _held(_seed_places(_counted(seqs, keys, seq), keys, gap, anchored_gap), keys)
+    return n.select(*keys, "shown", _pattern(F.col("shown")).alias("pattern"), "n")
 
 
 def support(motifs: DataFrame, seqs: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -73,37 +95,65 @@ def score_motifs(found: DataFrame, background: DataFrame, keys: list[str], sizes
     return rows.where((F.col("n") > 2 * F.col("expected")) & (F.col("chi_squared") > min_chi))
 
 
-def extend_motifs(motifs: DataFrame, spark: SparkSession) -> DataFrame:
-    """Candidates one atom longer: a gap of a motif becomes an atom, or an atom follows with a gap."""
-    atoms = {**{a: a for a in AMINO_ACIDS}, **RESIDUE_GROUPS}
-    table = spark.createDataFrame([(a, p, s) for a, p in atoms.items() for s in range(3)], "atom string, part string, sep int")
-    inner = motifs.where(F.contains("pattern", F.lit(ANY)))
-    filled = inner.join(F.broadcast(table.where("sep = 0"))).select(
-        F.expr("regexp_replace(shown, '^([^.]*)[.]', concat('$1', atom))").alias("shown"), F.expr("regexp_replace(pattern, '^(.*?)\\\\[A-Z\\\\]', concat('$1', part))").alias("pattern")
-    )
-    open_end = motifs.where(~F.col("shown").endswith("$"))
-    longer = open_end.join(F.broadcast(table)).select(
-        F.concat("shown", F.repeat(F.lit("."), F.col("sep")), "atom").alias("shown"), F.concat("pattern", F.repeat(F.lit(ANY), F.col("sep")), "part").alias("pattern")
-    )
-    return filled.unionAll(longer).distinct()
-
-
-def mine_motifs(seqs: DataFrame, background: DataFrame, keys: list[str], seq: str, *, levels: int = 2, beam: int = 50, **limits) -> DataFrame:
-    """Seeds and their extensions, level by level; each level extends the ``beam`` best motifs of a key."""
-    spark = seqs.sparkSession
+def _extended(places: DataFrame, keys: list[str], pad: int = 3, end_pad: int = 4) -> DataFrame:
+    """Places of all motifs one atom longer, with the motif (``__parent``) they come from: an atom fills any
+    gap or is put up to ``pad`` places before or behind, an anchor up to ``end_pad``."""
+    o, size, q, end = F.col("__o"), F.length("shown"), F.col("__i") + F.col("__o"), F.col("__l")
+    rows = places.select("*", F.explode(F.sequence(F.lit(-end_pad), size + end_pad - 1)).alias("__o"))
+    inside = (o >= 0) & (o < size)
+    free = F.when(inside, F.substr("shown", o + 1, F.lit(1)) == ".").otherwise((o >= -pad) & (o < size + pad))
+    atoms = F.when((q == 0) & (o < 0), F.array(F.lit("^"))).when((q == end + 1) & (o >= size), F.array(F.lit("$")))
+    atoms = atoms.when(free & (q >= 1) & (q <= end), _atoms_at(q)).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("*", F.explode(atoms).alias("__a"))
+    before = F.concat("__a", F.repeat(F.lit("."), -o - 1), "shown")
+    behind = F.concat("shown", F.repeat(F.lit("."), o - size), "__a")
+    filled = F.concat(F.substr("shown", F.lit(1), o), "__a", F.substr("shown", o + 2, size))
+    longer = F.when(o < 0, before).when(o >= size, behind).otherwise(filled)
+    return rows.select(*keys, "__seq", "__n", "__l", F.when(o < 0, q).otherwise(F.col("__i")).alias("__i"), F.col("shown").alias("__parent"), longer.alias("shown"))
+
+
+def mine_motifs(
+    seqs: DataFrame, background: DataFrame, keys: list[str], seq: str, *, levels: int | None = None,
+    min_ratio: float = 0.6, min_increase: float = 25.0, min_count: int = 10, min_expected: float = 0.25, min_chi: float = 20.0,
+) -> DataFrame:
+    """Seeds and their extensions, level by level until none passes (``levels``: no further).
+
+    Every motif of a level is extended in all gaps and at both ends. An extension passes with
+    ``min_count`` sequences, ``min_ratio`` of those of a motif that it extends, over twice the expected
+    number, and a chi-squared over that motif's by ``min_increase``; of motifs that the same sequences
+    hold, those of lower chi-squared than another of this level or an earlier one are left out. Counts
+    come from the places of the motifs extended, so no sequence meets a motif that it lacks.
+    """
     sizes = seqs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     n_back = background.count()
-    todo, out = None, None
-    for _ in range(levels):
-        fore = seed_support(seqs, keys, seq) if todo is None else support(todo, seqs, keys, seq)
-        back = seed_support(background, [], seq) if todo is None else support(todo, background, [], seq)
-        scored = score_motifs(fore, back, keys, sizes, n_back, **limits).checkpoint()
-        out = scored if out is None else out.unionAll(scored)
-        best = scored.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("chi_squared"), "shown"))).where(F.col("r") <= beam)
-        todo = extend_motifs(best.select("shown", "pattern").distinct(), spark).checkpoint()
-        if todo.isEmpty():
+    limits = {"min_count": min_count, "min_expected": min_expected, "min_chi": min_chi}
+    fore = _seed_places(_counted(seqs, keys, seq), keys, 5, 7)
+    back = _seed_places(_counted(background, [], seq), [], 5, 7)
+    out, level = None, 1
+    while True:
+        n = _held(fore, keys).where(F.col("n") >= min_count)
+        if out is not None:  # what any motif extended allows
+            parents = out.where(F.col("__level") == level - 1).select(*keys, F.col("shown").alias("__parent"), F.col("n").alias("__pn"), (F.col("chi_squared") + min_increase).alias("__least"))
+            links = fore.select(*keys, "__parent", "shown").distinct().join(parents, [*keys, "__parent"]).join(n, [*keys, "shown"])
+            links = links.where((F.col("n") >= min_ratio * F.col("__pn")) & (F.pow(F.col("n") - min_expected, 2) / min_expected >= F.col("__least")))
+            n = links.groupBy(*keys, "shown", "n").agg(F.min("__least").alias("__least"))
+        else:
+            n = n.withColumn("__least", F.lit(float("-inf")))
+        n = n.withColumn("pattern", _pattern(F.col("shown"))).checkpoint()
+        seen = _held(back.join(n.select("shown").distinct(), "shown", "left_semi"), [])
+        scored = score_motifs(n, seen, keys, sizes, n_back, **limits).join(n.select(*keys, "shown", "__least"), [*keys, "shown"]).where(F.col("chi_squared") > F.col("__least")).drop("__least")
+        who = fore.join(scored.select(*keys, "shown"), [*keys, "shown"], "left_semi").select(*keys, "shown", "__seq").distinct()
+        who = who.groupBy(*keys, "shown").agg(F.sum(F.xxhash64("__seq").cast("decimal(20,0)")).alias("__who"))
+        scored = scored.join(who, [*keys, "shown"]).withColumn("__level", F.lit(level))
+        every = (scored if out is None else out.unionAll(scored)).withColumn("__best", F.max("chi_squared").over(Window.partitionBy(*keys, "n", "__who")))
+        new = every.where((F.col("__level") == level) & ((F.col("chi_squared") >= F.col("__best")) | (F.col("__level") == 1))).drop("__best").checkpoint()
+        out = new if out is None else out.unionAll(new)
+        level += 1
+        if new.isEmpty() or (levels is not None and level > levels):
             break
-    return out.dropDuplicates([*keys, "shown"])
+        fore = _extended(fore.drop("__parent").join(new.select(*keys, "shown"), [*keys, "shown"], "left_semi").distinct(), keys).checkpoint()
+        back = _extended(back.drop("__parent").join(new.select("shown").distinct(), "shown", "left_semi").distinct(), []).checkpoint()
+    return out.drop("__who", "__level")
 
 
 def matches(motifs: DataFrame, clones: DataFrame, keys: list[str], seq: str, id_col: str = "clone_id") -> DataFrame:
@@ -140,18 +190,21 @@ def overlap_distance(found: DataFrame, keys: list[str], id_col: str = "clone_id"
 def drop_redundant(motifs: DataFrame, found: DataFrame, keys: list[str], max_overlap: float = 0.8, id_col: str = "clone_id") -> DataFrame:
     """Motifs in falling chi-squared, without those that cover and are covered by a kept one to 80%.
 
-    Greedy in order, thus one key's motifs (their support sets) are visited by one task.
+    Shared clones are counted by joins; greedy in order, thus one key's motifs with the names of those
+    that overlap so far are visited by one task.
     """
-    sets = found.groupBy(*keys, "shown").agg(F.collect_set(id_col).alias("ids"))
-    rows = motifs.select(*keys, "shown", "chi_squared").join(sets, [*keys, "shown"])
+    found = found.select(*keys, "shown", id_col).distinct()
+    rows = motifs.select(*keys, "shown", "chi_squared").join(found.groupBy(*keys, "shown").agg(F.count(F.lit(1)).alias("n")), [*keys, "shown"])
+    near = overlap_distance(found, keys, id_col).where(F.col("dist") <= 1 - max_overlap + 1e-12)
+    both = near.select(*keys, F.col("shown1").alias("shown"), F.col("shown2").alias("other")).unionAll(near.select(*keys, F.col("shown2").alias("shown"), F.col("shown1").alias("other")))
+    rows = rows.join(both.groupBy(*keys, "shown").agg(F.collect_list("other").alias("others")), [*keys, "shown"], "left")
 
     def run(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, set]] = []
+        kept: dict[str, int] = {}
         for r in pieces.sort_values(["chi_squared", "shown"], ascending=[False, True]).itertuples():
-            ids = set(r.ids)
-            if not any(len(ids & k) >= max_overlap * len(ids) and len(ids & k) >= max_overlap * len(k) for _, k in kept):
-                kept.append((r.shown, ids))
-        return pd.DataFrame([(*key, s, len(i)) for s, i in kept], columns=[*keys, "shown", "n"])
+            if r.others is None or not any(o in kept for o in r.others):
+                kept[r.shown] = r.n
+        return pd.DataFrame([(*key, s, n) for s, n in kept.items()], columns=[*keys, "shown", "n"])
 
     return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {motifs.schema[k].dataType.simpleString()}" for k in keys) + ", shown string, n long")
 

@@ -622,7 +622,7 @@ def sharing_interval(spark, d):
 def motif_mining(spark, d):
     """Seeds, extensions and removal of redundant motifs."""
     c, b = clones(spark, d), fixtures.frame(spark, d, "background").withColumnRenamed("cdr3", "cdr3a")
-    m = motifs.mine_motifs(c, b, ["epitope"], "cdr3a", levels=2, min_chi=5.0)
+    m = motifs.mine_motifs(c, b, ["epitope"], "cdr3a", min_chi=5.0)
     return motifs.drop_redundant(m, motifs.matches(m, c, ["epitope"], "cdr3a"), ["epitope"])
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 import random
 
 import numpy as np
@@ -118,6 +119,29 @@ def test_motif_mining_finds_a_planted_motif(spark):
     assert 0 < kept.count() < m.count()
 
 
+def test_motif_mining_extends_in_all_gaps_and_at_both_ends(spark):
+    draw = lambda n: "".join(rng.choice("ACDEGHI") for _ in range(n))
+    seqs = [("e", draw(3) + "WQMNP" + draw(3) if i % 3 else draw(11)) for i in range(90)]
+    # parts of the planted word are common, the whole is not
+    back = [(draw(i % 7) + "WQMNP"[k : k + 2 + i % 3] + draw(4),) for i in range(240) for k in range(4)]
+    back += [(draw(3) + p + draw(3),) for p in ("WQMAP", "WAMNP", "WQANP", "AQMNP", "WQMNA") for _ in range(60)]
+    s, b = spark.createDataFrame(seqs, "e string, s string"), spark.createDataFrame(back, "s string")
+    m = motifs.mine_motifs(s, b, ["e"], "s")
+    got = {r.shown: r for r in m.collect()}
+    assert "WQMNP" in got and len({r.shown for r in m.collect()}) == m.count()
+    for r in got.values():
+        assert r.n == sum(bool(re.search(r.pattern, t)) for _, t in seqs)
+        assert r.expected == pytest.approx(sum(bool(re.search(r.pattern, t)) for (t,) in back) * len(seqs) / len(back))
+
+
+def test_motifs_are_extended_in_every_place(spark):
+    rows = spark.createDataFrame([("ACDEFGHIKL", 1, 10, 4, "E.G.I")], "__seq string, __n long, __l int, __i int, shown string")
+    got = {(r.__getitem__("__i"), r.shown) for r in motifs._extended(rows, []).collect()}
+    assert {(4, "EFG.I"), (4, "E.GHI"), (4, "E.GfI"), (3, "DE.G.I"), (1, "A..E.G.I"), (0, "^...E.G.I"), (4, "E.G.IK"), (4, "E.G.I.L"), (4, "E.G.I..$")} <= got
+    for i, shown in got:
+        assert len(shown) - shown.count(".") == 4 and 0 <= i <= 4
+
+
 def test_match_plus_credits_first_matcher(spark):
     found = spark.createDataFrame([("e", "m", 2), ("e", "m", 1)], "e string, shown string, clone_id long")
     near = spark.createDataFrame([(1, 5), (2, 5), (1, 2)], "id1 long, id2 long")
