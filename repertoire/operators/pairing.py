@@ -77,6 +77,16 @@ def accepted_pairs(pairs: DataFrame, fraction: float = 0.33) -> DataFrame:
     return rows.groupBy("component").applyInPandas(run, "a string, b string, support long")
 
 
+def accepted_chains(chains: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The rows of ``chains`` that belong to an accepted pair within their own clonotype."""
+    named = chains.withColumn("__name", F.concat_ws("|", "v", "j", "cdr3", "cdr3_nt"))
+    a = named.where("chain = 'A'").select("clonotype", F.col("__name").alias("a"))
+    b = named.where("chain = 'B'").select("clonotype", F.col("__name").alias("b"))
+    pairs = a.join(b, "clonotype").join(accepted.select("a", "b"), ["a", "b"], "left_semi")
+    kept = pairs.select("clonotype", F.explode(F.array(F.struct(F.lit("A").alias("chain"), F.col("a").alias("__name")), F.struct(F.lit("B").alias("chain"), F.col("b").alias("__name")))).alias("x"))
+    return named.join(kept.select("clonotype", "x.*").distinct(), ["clonotype", "chain", "__name"], "left_semi").select(*chains.columns)
+
+
 def paired_clones(chains: DataFrame, sizes: DataFrame) -> DataFrame:
     """(clonotype, a, a2, b, size): clonotypes with one beta and one or two alphas by UMIs; a single-alpha
     clonotype joins the one double-alpha clonotype that has its pair."""

@@ -891,6 +891,8 @@ def umi_discrepancies(spark, d):
 
 @query
 def single_cell_clones(spark, d):
-    """Clones of one beta and one or two alphas."""
-    c = pairing.usable_contigs(_contigs(spark, d).where("umis > 40"))
-    return pairing.paired_clones(pairing.clonotype_chains(c), pairing.barcodes(c))
+    """Clones of one beta and one or two alphas, after badly supported pairs are dropped."""
+    c = pairing.usable_contigs(_contigs(spark, d))
+    chains, sizes = pairing.clonotype_chains(c), pairing.barcodes(c)
+    accepted = pairing.accepted_pairs(pairing.chain_pairs(chains, sizes).checkpoint())
+    return pairing.paired_clones(pairing.accepted_chains(chains, accepted), sizes)

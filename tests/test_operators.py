@@ -297,3 +297,27 @@ def test_sample_per_key_does_not_depend_on_partitions(spark):
     one = {r.id for r in sample_per_key(df.repartition(1), ["k"], "id", 7).collect()}
     assert one == {r.id for r in sample_per_key(df.repartition(5), ["k"], "id", 7).collect()} and len(one) == 21
     assert one != {r.id for r in sample_per_key(df, ["k"], "id", 7, seed=2).collect()}
+
+
+def test_clonotypes_are_reduced_to_accepted_pairs(spark):
+    row = lambda ct, bc, chain, n: (ct, f"{ct}-{bc}", chain, "V1", "J1", f"CA{n}", f"t{n}", "True", 5, f"{ct}_{chain}")
+    data = [row("c1", i, c, n) for i in range(8) for c, n in (("TRA", 1), ("TRB", 2))]
+    data += [row("c2", i, c, n) for i in range(8) for c, n in (("TRA", 3), ("TRB", 4))]
+    data += [row("c3", 0, c, n) for c, n in (("TRA", 1), ("TRB", 2), ("TRB", 4))]  # 1 with 4 in one cell only
+    data += [row("c4", 0, c, n) for c, n in (("TRA", 5), ("TRB", 6), ("TRB", 7))]  # both pairs hold up: two betas
+    contigs = spark.createDataFrame(data, "raw_clonotype_id string, barcode string, chain string, v_gene string, j_gene string, cdr3 string, cdr3_nt string, productive string, umis long, raw_consensus_id string")
+    use = pairing.usable_contigs(contigs)
+    chains, sizes = pairing.clonotype_chains(use), pairing.barcodes(use)
+    left = pairing.accepted_chains(chains, pairing.accepted_pairs(pairing.chain_pairs(chains, sizes)))
+    got = {r.clonotype: (r.b.split("|")[2], r["size"]) for r in pairing.paired_clones(left, sizes).collect()}
+    assert got == {"c1": ("CA2", 8), "c2": ("CA4", 8), "c3": ("CA2", 1)}
+    assert "c3" not in {r.clonotype for r in pairing.paired_clones(chains, sizes).collect()}
+
+
+def test_single_cell_query_keeps_contigs_of_few_umis(spark, monkeypatch):
+    from repertoire.plans import registry
+
+    row = lambda ct, chain, n: (ct, ct, chain, "V1", "J1", f"CA{n}", f"t{n}", "True", 5, f"{ct}_{chain}")
+    contigs = spark.createDataFrame([row("c1", "TRA", 1), row("c1", "TRB", 2)], "raw_clonotype_id string, barcode string, chain string, v_gene string, j_gene string, cdr3 string, cdr3_nt string, productive string, umis long, raw_consensus_id string")
+    monkeypatch.setattr(registry, "_contigs", lambda spark, d: contigs)
+    assert [r.clonotype for r in registry.queries()["single_cell_clones"](spark, "").collect()] == ["c1"]
