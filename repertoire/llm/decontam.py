@@ -43,10 +43,10 @@ def _block(hashes: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
 class WindowTable:
     """Wu-Manber tables of all windows of one length."""
 
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, length: int, windows: dict[tuple[bytes, ...], list[str | None]]):
         self.length, self.width = length, min(2, length)
         self.words = list(windows)
-        self.items = [sorted(set(v)) for v in windows.values()]
+        self.items = [list(set(v)) for v in windows.values()]
         flat = word_hashes(b" ".join(b" ".join(w) for w in self.words), ALNUM).hash
         self.hashes = flat.reshape(len(self.words), length)
         size = 1 << max(12, (8 * len(self.words) * length).bit_length())
@@ -103,7 +103,7 @@ class WindowTable:
         return at[sure], window[sure]
 
 
-def window_tables(items: list[tuple[str, str | None]], size: int = WINDOW) -> list[WindowTable]:
+def window_tables(items: list[tuple[str | None, str | None]], size: int = WINDOW) -> list[WindowTable]:
     """Tables of the windows of (item_id, text) pairs, one for each window length."""
     by_length: dict[int, dict] = defaultdict(lambda: defaultdict(list))
     for item, text in items:
@@ -142,7 +142,7 @@ def _search(tables):
                 for d in range(len(offs) - 1):
                     a, z = w.first[d], w.first[d + 1]
                     n_words.append(int(z - a))
-                    items.append(sorted(of[d]) if d in of else [])
+                    items.append(sorted(of[d], key=lambda x: (x is None, x)) if d in of else [])
                     spans.append(_spans(hit[a:z]) if d in of else [])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
@@ -155,7 +155,8 @@ def _search(tables):
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans of hit words, items) for every row of ``docs``."""
+    """(doc_id, n_words, n_hit, spans of hit words, items) for every row of ``docs``; benchmark items without
+    an id are searched too and stand as one null at the end of ``items``."""
     spark = docs.sparkSession
     ship(spark)
     tests = benchmark.select(F.col("item_id").cast("string").alias("item"), text_or_empty().alias("text"))
@@ -166,8 +167,8 @@ def contamination(
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     passes = []
     for k in range(shards):
-        rows = tests.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).collect()  # at most about shard_bytes
-        tables = spark.sparkContext.broadcast(window_tables([(r.item, r.text) for r in rows if r.item is not None], window))
+        rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).collect()  # at most about shard_bytes
+        tables = spark.sparkContext.broadcast(window_tables([(r.item, r.text) for r in rows], window))
         keyed = texts if shards == 1 else texts.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
         passes.append(keyed.mapInArrow(_search(tables), schema.replace(f"doc_id {kind}", f"doc_id struct<doc_id:{kind},h:bigint>") if shards > 1 else schema))
     if shards == 1:

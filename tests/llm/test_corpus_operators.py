@@ -217,6 +217,17 @@ def test_packing_follows_the_mixture(spark):
             assert all(abs(share[q] - total[q] / sum(total.values())) < 0.05 for q in total)
 
 
+@pytest.mark.parametrize("shard_bytes", [decontam.SHARD_BYTES, 40])
+def test_decontamination_searches_items_without_id(spark, shard_bytes):
+    words = lambda p: " ".join(f"{p}{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "x " + words("a")), (2, words("b") + " y " + words("a")), (3, "z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, words("a")), (None, words("a") + " q"), ("k", words("b")), ("m", words("a"))], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs, bench, shard_bytes=shard_bytes).collect()}
+    assert got == {1: (12, ["m", None]), 2: (24, ["k", "m", None]), 3: (0, [])}
+    digests = {r.doc_id: (r.n_items, r.items_sha256) for r in decontam.contamination_report(docs, bench).collect()}
+    assert digests[2] == (3, decontam.items_digest(["k", "m"])) and digests[1] == (2, decontam.items_digest(["m"]))
+
+
 # 6 HTML
 
 
