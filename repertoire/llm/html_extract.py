@@ -1,29 +1,36 @@
 r"""Main-text extraction by wrapper induction over the pages of a host.
 
-Each page's DOM is reduced to its text blocks: what stands between two block boundaries (a run of like
-siblings without blocks of their own is one), with the path of block elements (tag, class and id words)
-that it lies in. Pages of one host are aligned by these
-paths: simple tree matching only ever pairs nodes of equal paths, so rows by path align whatever it
-aligns, in any order of siblings. Spark counts the rows (host, path, text) over the host's different
-pages, so no tree is held, cut or gathered, and the counts do not depend on partitions.
+Each page's DOM is reduced to its text blocks: what stands between two block boundaries, with the path of
+block elements (tag, class and id words) that it lies in. Pages of one host are aligned by these paths:
+simple tree matching only ever pairs nodes of equal paths, so rows by path align whatever it aligns, in
+any order of siblings. Spark counts the rows (host, path, text) over the host's different pages, so no
+tree is held, cut or gathered, and the counts do not depend on partitions.
 
-A text that nearly all different pages of a host have at one path is template, from two pages on; so is
-what tag or class marks as boilerplate. All else varies. The content slot is the lowest common ancestor
-of all varying blocks that are not mostly links, and host and slot and template texts are the wrapper.
-A page's text is all its varying blocks in page order; blocks of links count inside the slot only.
+The wrapper of a host, by place in the aligned trees:
 
-Blocks are decoded: character references replaced, white space made one blank.
+* constant nodes: a text that nine tenths of the host's pages, and two at least, have at one path is
+  template and never in a text, inside the article too;
+* stale slots: paths whose texts nearly all come back on other pages (rotating adverts, menus, mottos);
+* varying slots: all other paths. They are content. The core is the lowest common ancestor of those that
+  hold more than links and are on half of the pages; stale slots and blocks of links count inside it only.
+
+Roles that HTML itself names (``nav``, ``aside``, ``form``, a ``header`` outside the article, ...) are left
+out before, and so are containers whose class or id is such a role (``site-footer``, ``comments``), unless
+they hold an ``article`` or ``main`` or are named as content too: one page alone has nothing to align with.
 
 Defined results: null html is empty and gives an empty text; a null url has the host ''; pages of one
 host with the same blocks are one page when texts are counted, so copies never make each other template;
-unclosed or crossed tags close where the next block or an outer end tag says; a reference without
-semicolon is decoded where HTML does; repeated rows each give a row; an empty table gives no rows.
+a host without any varying slot has no template, and one article under changing adverts is constant; unclosed or crossed tags close where the next block or an outer end tag says, an unclosed quote
+at the end of its tag, ``svg`` at the next block; a reference without semicolon is decoded where HTML does;
+blocks nested deeper than ``CORE_DEPTH`` are aligned as all others, the core is not sought below it;
+repeated rows each give a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from functools import lru_cache
 from hashlib import blake2b
 from os.path import commonprefix
@@ -40,82 +47,122 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-BOILERPLATE_TAGS = frozenset("aside button dialog footer form head header iframe menu nav noscript script select style svg template textarea".split())
-BOILERPLATE_WORDS = frozenset(
+BOILERPLATE_TAGS = frozenset("aside button dialog footer form head iframe menu nav noscript script select style svg template textarea".split())
+ARTICLE = frozenset(["article", "main"])
+# fixed values: words of class and id names by role
+ROLE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header login masthead menu "
-    "modal nav navbar navigation newsletter notice notices pagination popup promo promotion related reply replies search share sharing sidebar signup social "
+    "modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies search share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget".split()
 )
-CLOSED_BY_BLOCK = frozenset(["p"])
+PLACE_WORDS = frozenset("area bar block bottom box column container inner left list main outer panel right section slot top unit wrap wrapper".split())
+NOT_WORDS = frozenset("has is no non not show with without".split())
+CONTENT_WORDS = frozenset("article body content entry post prose story text".split())
+CONTAINERS = frozenset("div dl figure ol section span table ul".split())
+HEADLESS = frozenset(["head", "link", "meta", "title"])
+CLOSED_BY_BLOCK = "p"
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
-#: A text seen on this share of a host's pages, and on two at least, is template.
+#: A text on this share of a host's pages is constant; a slot with this share of returning texts is stale.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 2
+#: A slot must be on this share of the pages to be judged stale, which bounds the wrapper.
+STALE_PAGES = 0.01
 LINK_SHARE = 0.5
 #: Hosts whose wrappers a task keeps decoded.
 HOLD_HOSTS = 2000
-#: Bytes that stand for a step of a path.
-STEP = 8
+#: Bytes that stand for a step of a path, and the steps kept apart; deeper ones are one hash.
+STEP, CORE_DEPTH = 8, 256
 
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|svg|template|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAME = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+def _is_role(name: str) -> bool:
+    """Whether a class or id is a role: its words are role words and place words, or end in a role word."""
+    words = _WORD.findall(name)
+    if not words or words[0] in NOT_WORDS:
+        return False
+    return words[-1] in ROLE_WORDS or (words[0] in ROLE_WORDS and all(w in PLACE_WORDS or w in ROLE_WORDS for w in words))
+
+
+@lru_cache(8192)
+def named_role(key: str) -> bool:
+    """Whether class and id words name a role other than content."""
+    names = key.split()
+    return any(map(_is_role, names)) and CONTENT_WORDS.isdisjoint(w for n in names for w in _WORD.findall(n))
+
+
 class Node:
-    """An element of a page: its tag, class and id words, and children (nodes and strings)."""
+    """An element of a page: its tag, class and id words, children (nodes and strings), and whether an article is in it."""
 
-    __slots__ = ("tag", "key", "children")
+    __slots__ = ("tag", "key", "children", "holds")
 
     def __init__(self, tag: str, key: str = ""):
-        self.tag, self.key, self.children = tag, key, []
+        self.tag, self.key, self.children, self.holds = tag, key, [], False
 
-    @property
-    def boilerplate(self) -> bool:
-        return self.tag in BOILERPLATE_TAGS or not BOILERPLATE_WORDS.isdisjoint(_WORD.findall(self.key))
+    def boilerplate(self, in_article: bool) -> bool:
+        if self.tag in BOILERPLATE_TAGS:
+            return True
+        if self.tag == "header":
+            return not in_article and not self.holds
+        return bool(self.key) and self.tag in CONTAINERS and not self.holds and named_role(self.key)
 
 
 def parse(page: str) -> Node:
-    """The DOM of a page; scripts, styles, comments and the like are left out."""
+    """The DOM of a page; scripts, styles and comments are left out."""
     root = Node("#root")
     stack = [root]
+    is_open: Counter = Counter()
+
+    def close(tag: str, stops=frozenset()):
+        """Pops the innermost open ``tag``, unless one of ``stops`` is inside it."""
+        if is_open[tag]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    for n in stack[i:]:
+                        is_open[n.tag] -= 1
+                    del stack[i:]
+                    return
+                if stack[i].tag in stops:
+                    return
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             stack[-1].children.append(page[at : m.start()])
         at = m.end()
-        if m[3] is None:
+        tag = m[3] or m[6]
+        if tag is None:
             continue
-        tag = m[3].lower()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        tag = tag.lower()
+        if m[2] or m[5]:
+            close(tag)
             continue
         if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSED_BY_BLOCK:
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+            close("svg")
+            close(CLOSED_BY_BLOCK, BLOCK)
+            if tag not in HEADLESS:
+                close("head")
         if tag in SAME_CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SAME_CLOSES[tag]:
-                    break
-        key = " ".join(x for _, a, b, c in _NAME.findall(m[4]) for x in (a or b or c).lower().split()) if m[4] else ""
+            close(tag, SAME_CLOSES[tag])
+        attributes = m[4] or m[7] or ""
+        key = " ".join(x for _, a, b, c in _NAME.findall(attributes) for x in (a or b or c).lower().split()) if attributes else ""
         node = Node(tag, re.sub(r"\d+", "", key))
         stack[-1].children.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
+        if tag in ARTICLE:
+            for n in reversed(stack):
+                if n.holds:
+                    break
+                n.holds = True
+        if tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            is_open[tag] += 1
     if at < len(page):
         stack[-1].children.append(page[at:])
     return root
@@ -130,148 +177,111 @@ def _step(tag: str, key: str) -> bytes:
     return blake2b(f"{tag} {key}".encode("utf-8", "replace"), digest_size=STEP).digest()
 
 
+def _below(path: bytes, step: bytes) -> bytes:
+    """The path one element deeper; below ``CORE_DEPTH`` the last step is a hash of all further ones."""
+    if len(path) < STEP * CORE_DEPTH:
+        return path + step
+    return path[: STEP * CORE_DEPTH] + blake2b(path[STEP * CORE_DEPTH :] + step, digest_size=STEP).digest()
+
+
 def segments(root: Node) -> list[tuple[bytes, str, bool]]:
-    """(path, text, mostly links) of the text blocks in page order, marked boilerplate left out; a run of
-    like siblings without blocks of their own (paragraphs, items) is one, with a line for each."""
-    out: list[list] = []
+    """(path, text, mostly links) of the text blocks in page order, named roles left out."""
+    out: list[tuple[bytes, str, bool]] = []
     own: list[str] = []
-    links = frames = 0
+    links = 0
 
-    def end(path: bytes, parent: int):
+    def end(path: bytes):
         nonlocal links
         if own:
             text = _text(own)
-            if text and out and out[-1][0] == path and out[-1][3] == parent:
-                out[-1][1].append(text)
-                out[-1][2] += links
-            elif text:
-                out.append([path, [text], links, parent])
+            if text:
+                out.append((path, text, links > LINK_SHARE * len(text)))
             own.clear()
         links = 0
 
-    # children left, path, in a link, number of the block element and of the one around it
-    stack = [(iter(root.children), b"", False, 0, -1)]
+    # children left, path, in a link, in the article, whether it is a block element
+    stack = [(iter(root.children), b"", False, False, True)]
     while stack:
-        children, path, linked, frame, parent = stack[-1]
+        children, path, linked, article, _ = stack[-1]
         for c in children:
             if isinstance(c, str):
                 own.append(c)
                 if linked:
                     links += len(c.strip())
-            elif c.boilerplate:
+            elif c.boilerplate(article):
                 if c.tag in BLOCK:
-                    end(path, parent)
+                    end(path)
             elif c.tag in BLOCK:
-                end(path, parent)
-                frames += 1
-                stack.append((iter(c.children), path + _step(c.tag, c.key), False, frames, frame))
+                end(path)
+                stack.append((iter(c.children), _below(path, _step(c.tag, c.key)), False, article or c.tag in ARTICLE, True))
                 break
             elif c.tag == "br":
                 own.append(" ")
             else:
-                stack.append((iter(c.children), path, linked or c.tag == "a", frame, parent))
+                stack.append((iter(c.children), path, linked or c.tag == "a", article, False))
                 break
         else:
-            stack.pop()
-            if not stack or stack[-1][3] != frame:
-                end(path, parent)
-    return [(path, "\n".join(texts), n > LINK_SHARE * sum(map(len, texts))) for path, texts, n, _ in out]
+            if stack.pop()[4]:
+                end(path)
+    return out
+
+
+def _digest(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
 def block(path: bytes, text: str) -> int:
     """What stands for a text at a path."""
-    return int.from_bytes(blake2b(path + text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+    return _digest(path + b"\0" + text.encode("utf-8", "replace"))
 
 
-# A tree: [tag, key, pages, text chars, link chars, {digest: pages} of its own text, children, repeats]
-TAG, KEY, PAGES, CHARS, LINKS, TEXTS, CHILDREN, REPEATS = range(8)
+class Wrapper:
+    """What is known of a host: its core path, constant blocks and stale paths."""
 
+    __slots__ = ("core", "constant", "stale")
 
-def match(a: list, b: list) -> list[tuple[int, int]]:
-    """The children of two aligned nodes that simple tree matching pairs, in order."""
+    def __init__(self, low: bytes | None = None, high: bytes | None = None, constant=(), stale=()):
+        self.core = None if low is None else _common(low, high)
+        self.constant, self.stale = frozenset(constant or ()), frozenset(stale or ())
 
-    def score(x: list, y: list) -> int:
-        if x[TAG] != y[TAG] or x[KEY] != y[KEY]:
-            return 0
-        return 1 + table(x[CHILDREN], y[CHILDREN])[-1][-1]
+    def main_text(self, page: str) -> str:
+        """The varying blocks of a page."""
+        kept, outside = [], {}
+        for path, text, linked in segments(parse(page)):
+            if self.core is None or not path.startswith(self.core):
+                if path not in outside:
+                    outside[path] = _digest(path) in self.stale
+                if linked or outside[path]:
+                    continue
+            if self.constant and block(path, text) in self.constant:
+                continue
+            kept.append(text)
+        return "\n".join(kept)
 
-    def table(xs: list, ys: list) -> list[list[int]]:
-        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, x in enumerate(xs, 1):
-            for j, y in enumerate(ys, 1):
-                s = score(x, y)
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + s if s else 0)
-        return m
 
-    xs, ys = a[CHILDREN], b[CHILDREN]
-    m = table(xs, ys)
-    i, j, out = len(xs), len(ys), []
-    while i and j:
-        if m[i][j] == m[i - 1][j]:
-            i -= 1
-        elif m[i][j] == m[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-    return out[::-1]
-
-
-def _add(a: list, b: list) -> None:
-    """Merges tree b into tree a; their roots are aligned."""
-    a[PAGES] += b[PAGES]
-    a[CHARS] += b[CHARS]
-    a[LINKS] += b[LINKS]
-    a[REPEATS] |= b[REPEATS]
-    for k, v in b[TEXTS].items():
-        a[TEXTS][k] = a[TEXTS].get(k, 0) + v
-    if len(a[CHILDREN]) == len(b[CHILDREN]) and all(x[TAG] == y[TAG] and x[KEY] == y[KEY] for x, y in zip(a[CHILDREN], b[CHILDREN], strict=True)):
-        pairs = [(i, i) for i in range(len(a[CHILDREN]))]  # what the matching would find
-    else:
-        pairs = match(a, b)
-    out, i, j = [], 0, 0
-    for p, q in [*pairs, (len(a[CHILDREN]), len(b[CHILDREN]))]:
-        out += a[CHILDREN][i:p] + b[CHILDREN][j:q]
-        if p < len(a[CHILDREN]):
-            _add(a[CHILDREN][p], b[CHILDREN][q])
-            out.append(a[CHILDREN][p])
-        i, j = p + 1, q + 1
-    a[CHILDREN] = out
-
-
-def merge(a: list, b: list) -> list:
-    """The tree of all pages of a and b."""
-    _add(a, b)
-    return a
-
-
-def main_text(page: str, slot: bytes | None, template: frozenset) -> str:
-    """The varying blocks of a page; ``slot`` and ``template`` are its host's wrapper."""
-    kept = []
-    for path, text, linked in segments(parse(page)):
-        if linked and (slot is None or not path.startswith(slot)):
-            continue
-        if template and block(path, text) in template:
-            continue
-        kept.append(text)
-    return "\n".join(kept)
+_ROWS = pa.schema([("host", pa.string()), ("page", pa.int64()), ("block", pa.int64()), ("path", pa.binary()), ("linked", pa.int32()), ("leads", pa.int32())])
 
 
 def _induce(batches):
+    """(host, html) -> a row for each different block of a page; ``leads`` marks the first of its path."""
     for b in batches:
-        rows: list[tuple[str, int, int, bytes, int]] = []
+        rows: list[tuple] = []
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found: dict[int, tuple[bytes, int]] = {}
+            found: dict[int, list] = {}
+            paths: set[bytes] = set()
             whole = blake2b(digest_size=8)
             for path, text, linked in segments(parse(page)):
                 k = block(path, text)
                 whole.update(k.to_bytes(8, "big", signed=True))
-                found[k] = (path, min(int(linked), found[k][1]) if k in found else int(linked))
+                if k in found:
+                    found[k][1] &= int(linked)
+                else:
+                    found[k] = [path, int(linked), int(path not in paths)]
+                    paths.add(path)
             name = int.from_bytes(whole.digest(), "big", signed=True)
-            rows += [(host, name, k, path, linked) for k, (path, linked) in found.items()]
+            rows += [(host, name, k, path, linked, leads) for k, (path, linked, leads) in found.items()]
         if rows:
-            columns = zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["host", "page", "block", "path", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
 
 
 def _common(low: bytes, high: bytes) -> bytes:
@@ -281,15 +291,15 @@ def _common(low: bytes, high: bytes) -> bytes:
 
 
 def _extract(batches):
-    held: dict[str, tuple[bytes | None, frozenset]] = {}
+    held: dict[str, Wrapper] = {}
     for b in batches:
         texts = []
-        for page, host, low, high, template in zip(*[b.column(i).to_pylist() for i in range(2, 7)], strict=True):
+        for page, host, *wrapper in zip(*[b.column(i).to_pylist() for i in range(2, 8)], strict=True):
             if host not in held:
                 if len(held) >= HOLD_HOSTS:
                     held.clear()
-                held[host] = (None if low is None else _common(low, high), frozenset(template or ()))
-            texts.append(main_text(page, *held[host]))
+                held[host] = Wrapper(*wrapper)
+            texts.append(held[host].main_text(page))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -298,25 +308,43 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
 
 
+def _named(batches):
+    """(host, path) -> (host, digest of the path)."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(p) for p in b.column(1).to_pylist()], pa.int64())], names=["host", "digest"])
+
+
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, low, high, template, pages) for every host of ``pages`` with text: the first and last path of
-    its varying blocks, whose common steps are the slot, and its template texts. A host has fewer of these
-    than its mean page has blocks / ``CONSTANT_SHARE``."""
+    """(host, pages, low, high, constant, stale) for every host of ``pages`` with text: first and last path of the
+    varying slots, whose common steps are the core, its constant blocks and its stale paths. A host has
+    fewer constant blocks than its mean page has blocks / ``CONSTANT_SHARE``, and fewer stale paths than
+    that / ``STALE_PAGES``, whatever its number of pages."""
     ship(pages.sparkSession)
-    rows = _hosted(pages).select("host", "html").mapInArrow(_induce, "host string, page long, block long, path binary, linked int")
-    rows = written(rows.groupBy("host", "page", "block", "path").agg(F.min("linked").alias("linked")), "blocks")
-    counts = rows.groupBy("host", "block", "path").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("linked"))
-    sizes = written(rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
+    rows = _hosted(pages).select("host", "html").mapInArrow(_induce, "host string, page long, block long, path binary, linked int, leads int")
+    rows = rows.groupBy("host", "page", "block", "path").agg(F.min("linked").alias("linked"), F.max("leads").alias("leads"))
+    rows = written(rows, "blocks")
+    counts = rows.groupBy("host", "path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("linked"), F.sum("leads").alias("leads"))
+    counts = written(counts, "block-counts")
+    sizes = bounded(written(rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts"))
     constant = (F.col("n") >= CONSTANT_PAGES) & (F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-    varying = F.when(~constant & (F.col("linked") == 0), F.col("path"))
-    found = counts.join(bounded(sizes), "host").groupBy("host", "pages")
-    return written(found.agg(F.min(varying).alias("low"), F.max(varying).alias("high"), F.collect_list(F.when(constant, F.col("block"))).alias("template")), "wrappers")
+    constants = counts.where(F.col("n") >= CONSTANT_PAGES).join(sizes, "host").where(constant).groupBy("host").agg(F.collect_list("block").alias("constant"))
+    again = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    slots = counts.groupBy("host", "path").agg(F.sum("n").alias("n"), again.alias("again"), F.min("linked").alias("linked"), F.sum("leads").alias("leads")).join(sizes, "host")
+    stale = (F.col("again") >= CONSTANT_SHARE * F.col("n")) & (F.col("leads") >= STALE_PAGES * F.col("pages"))
+    slots = written(slots.select("host", "pages", "path", "linked", stale.alias("stale"), (2 * F.col("leads") >= F.col("pages")).alias("usual")), "slots")
+    varying = F.when(F.col("usual") & ~F.col("stale") & (F.col("linked") == 0), F.col("path"))
+    cores = slots.groupBy("host", "pages").agg(F.min(varying).alias("low"), F.max(varying).alias("high"))
+    named = slots.where("stale").select("host", "path").mapInArrow(_named, "host string, digest long")
+    stales = named.groupBy("host").agg(F.collect_list("digest").alias("stale"))
+    known = cores.join(constants, "host", "left").join(stales, "host", "left")
+    only = lambda c: F.when(F.col("low").isNotNull(), F.col(c)).alias(c)
+    return written(known.select("host", "pages", "low", "high", only("constant"), only("stale")), "wrappers")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     wrappers = host_wrappers(pages).drop("pages")
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = _hosted(pages).join(bounded(wrappers), "host", "left").select("page_id", "url", "html", "host", "low", "high", "template")
+    joined = _hosted(pages).join(bounded(wrappers), "host", "left").select("page_id", "url", "html", "host", "low", "high", "constant", "stale")
     texts = joined.mapInArrow(_extract, f"page_id {kind}, url string, text string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

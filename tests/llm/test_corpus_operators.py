@@ -235,10 +235,10 @@ def test_extraction_induces_the_wrapper(spark):
     def page(i, body):
         return f'<html><head><title>t{i}</title></head><body><div id="top">Same notice here</div><nav><a href=1>{i}</a></nav><div class=main><h1>H{i}</h1>{body}</div><div class="comments"><p>me {i} too</p></div><footer>f{i}</footer></body></html>'
 
-    data = [(i, f"http://h.example/{i}", page(i, f"<p>One {i} &amp; &eacute;\n two<br>three<p>Four<b>teen</b> <i>x</i><script>no()</script>")) for i in range(12)]
+    data = [(i, f"http://h.example/{i}", page(i, f"<p>One {i} &amp; &eacute;\n two<br>three<p>Four<b>teen</b> {i} <i>x</i><script>no()</script>")) for i in range(12)]
     data += [(50, None, None), (51, "bad url", ""), (52, "http://lone.example", "<p>just &lt;this&gt;</p>"), (53, "http://h.example/t", "<body><div class=main><p>cut off &am")]
     got = {r.page_id: r for r in html_extract.extract_text(spark.createDataFrame(data, "page_id long, url string, html string").withColumn("path", F.lit(1))).collect()}
-    assert got[3].text == "H3\nOne 3 & é two three\nFourteen x"
+    assert got[3].text == "H3\nOne 3 & é two three\nFourteen 3 x"
     assert got[50].text == "" and got[51].text == "" and got[52].text == "just <this>" and got[53].text == "cut off &am"
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
@@ -278,12 +278,93 @@ def test_extraction_counts_hosts_of_long_pages_exactly(spark):
     assert html_extract.host_wrappers(frame).first().pages == 12
 
 
-def test_simple_tree_matching_keeps_order():
-    tree = lambda tag, *c: [tag, "", 1, 0, 0, {}, list(c), 0]
-    a, b = tree("r", tree("x"), tree("y", tree("z")), tree("x")), tree("r", tree("y", tree("z"), tree("q")), tree("x"), tree("w"))
-    assert html_extract.match(a, b) == [(1, 0), (2, 1)]
-    merged = html_extract.merge(a, b)
-    assert [c[0] for c in merged[6]] == ["x", "y", "x", "w"] and merged[6][1][2] == 2
+def test_extraction_reads_roles_not_words(spark):
+    story = "<h1>Head</h1><p>First words of it</p><p class='reply-intro'>More words</p>"
+    pages = [
+        f"<html><body class='single has-sidebar'><article>{story}</article></body></html>",
+        f"<body><article class='post comments-open'>{story}</article></body>",
+        f"<body><div class='no-share'><div>{story}</div></div></body>",
+        f"<body><div class='widget-area'><article>{story}</article></div><div class='site-footer'>foot</div><section class=comments><p>me too</p></section></body>",
+        f"<body><header><p>site</p></header><article><header><h1>Head</h1></header>{story[13:]}<footer>tags</footer></article></body>",
+        f"<head><title>t</title><body><svg><path>{story}",
+        f"<body>{story}<p>go <a href='x>link</a>",
+        f"<body>{'<div>' * 10_000}{story}{'</div>' * 10_000}</body>",
+        f"<body>{story}{'<font>' * 5000}<p></body>",
+        f"<body>{''.join(f'<div class={chr(97 + i % 26)}><span>' for i in range(3000))}{story}</body>",
+    ]
+    got = _texts(spark, [(i, f"http://host{i}.example/", p) for i, p in enumerate(pages)])
+    want = "Head\nFirst words of it\nMore words"
+    assert [got[i] for i in range(len(pages))] == [want] * 6 + [want + "\ngo link"] + [want] * 3
+
+
+def test_extraction_drops_constant_lines_and_stale_slots(spark):
+    def page(i, motto):
+        return f"<body><div>{motto}</div><div class=m><h1>H{i}</h1><p>Text {i}</p><p>Read this every time</p><p>More {i}</p></div></body>"
+
+    data = [(i, f"http://big.example/{i}", page(i, f"motto {i % 3}")) for i in range(30)]
+    data += [(100 + i, f"http://five.example/{i}", page(i, "one motto")) for i in range(5)]
+    got = _texts(spark, data)
+    assert all(got[i] == f"H{i}\nText {i}\nMore {i}" for i in range(30))
+    assert all(got[100 + i] == f"H{i}\nText {i}\nMore {i}" for i in range(5))
+
+
+class _Tree:
+    """A DOM of well-formed markup by the standard parser, with simple tree matching by the book."""
+
+    def __init__(self, page):
+        from xml.etree import ElementTree
+
+        self.root = ElementTree.fromstring(page)
+
+    @staticmethod
+    def label(n):
+        return n.tag, n.get("class", "")
+
+    @classmethod
+    def match(cls, a, b, pairs):
+        if cls.label(a) != cls.label(b):
+            return 0
+        xs, ys = list(a), list(b)
+        m = [[(0, [])] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs, 1):
+            for j, y in enumerate(ys, 1):
+                own = []
+                s = cls.match(x, y, own)
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], (m[i - 1][j - 1][0] + s, m[i - 1][j - 1][1] + own) if s else (0, []), key=lambda t: t[0])
+        pairs.append((a, b))
+        pairs += m[-1][-1][1]
+        return 1 + m[-1][-1][0]
+
+
+@pytest.mark.parametrize("layout", ["article", "divs", "table"])
+def test_extraction_equals_tree_matching_of_all_pages(spark, layout):
+    rng = random.Random(layout)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda: " ".join(word() for _ in range(8))
+    fixed = [line() for _ in range(3)]
+
+    def page():
+        body = [line() for _ in range(rng.randint(2, 5))]
+        if layout == "article":
+            return f"<html><body><div class='x'>{fixed[0]}</div><article><h1>{line()}</h1>{''.join(f'<p>{t}</p>' for t in body)}<p>{fixed[1]}</p></article><p>{fixed[2]}</p></body></html>"
+        if layout == "divs":
+            return f"<html><body><div><div class='t'>{fixed[0]}</div>{''.join(f'<div class=\'c\'><p>{t}</p></div>' for t in body)}<div class='c'><p>{fixed[1]}</p></div></div><div>{fixed[2]}</div></body></html>"
+        return f"<html><body><table><tr><td class='l'>{fixed[0]}</td><td class='r'><h2>{line()}</h2>{''.join(f'<p>{t}</p>' for t in body)}</td></tr><tr><td>{fixed[2]}</td></tr></table></body></html>"
+
+    pages = [page() for _ in range(8)]
+    trees = [_Tree(p) for p in pages]
+    got = _texts(spark, [(i, f"http://{layout}.example/{i}", p) for i, p in enumerate(pages)])
+    for i, t in enumerate(trees):
+        # a node is template if on the other pages a matched node of this or of another sibling run has its text
+        same = collections.Counter()
+        for other in trees:
+            pairs = []
+            t.match(t.root, other.root, pairs)
+            texts = {(t.label(b), (b.text or "").strip()) for _, b in pairs} | {(t.label(b), (b.text or "").strip()) for b in other.root.iter()}
+            for n in t.root.iter():
+                same[n] += (t.label(n), (n.text or "").strip()) in texts
+        want = [n.text.strip() for n in t.root.iter() if (n.text or "").strip() and same[n] < len(trees)]
+        assert got[i] == "\n".join(want)
 
 
 # 7 language model
