@@ -83,6 +83,26 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` in order, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+#: Rows of one key above which a join by that key broadcasts the key's row instead of gathering its rows.
+HEAVY_ROWS = 100_000
+
+
+def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join with one row a key, where column ``rows`` counts the key's rows in ``df``: heavy keys, at most
+    all rows / ``HEAVY_ROWS``, are broadcast so that no task gathers one; the others are shuffled by key."""
+    heavy = counted.where(F.col(rows) > HEAVY_ROWS)
+    if heavy.limit(1).isEmpty():
+        return df.join(counted, keys)
+    heavy = bounded(heavy)
+    light = df.join(heavy, keys, "left_anti").join(counted.where(F.col(rows) <= HEAVY_ROWS), keys)
+    return df.join(heavy, keys).unionByName(light)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` minus input columns that bear the name of an output column."""
     lower = {n.lower() for n in names}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repertoire.llm._shared import bounded, ship, text_or_empty, written
+from repertoire.llm._shared import bounded, quoted, ship, text_or_empty, written
 from repertoire.llm._text import ALNUM, Words, chunks, mix64, utf8, word_hashes
 
 WINDOW = 10
@@ -207,7 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """``docs`` without the documents that hold a benchmark window; columns as given."""
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("n_hit > 0")
     bad = written(bad.select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
-    return docs.join(bounded(bad), id_col, "left_anti").select(*docs.columns)
+    return docs.join(bounded(bad), id_col, "left_anti").select(*quoted(docs))
 
 
 def items_digest(items: list[str]) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repertoire.llm._shared import bounded, ship, text_or_empty, written
+from repertoire.llm._shared import bounded, quoted, ship, text_or_empty, written
 
 WHITE = r"[ \t-\r]"
 #: Fingerprints that a merged block holds on average: bounds a merging task at any input size.
@@ -134,4 +134,4 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that repeat another's text; columns as given."""
     flags = written(exact_groups(docs, id_col=id_col, text_col=text_col).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(bounded(flags.select(F.col("doc_id").alias(id_col))), id_col, "left_anti").select(*docs.columns)
+    return docs.join(bounded(flags.select(F.col("doc_id").alias(id_col))), id_col, "left_anti").select(*quoted(docs))

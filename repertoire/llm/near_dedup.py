@@ -5,16 +5,18 @@ r"""Near-duplicate detection: an inverted join over MinHash signature coordinate
 2. Each class is posted under its coordinate-value pairs. Pairs that no other class has are skipped,
    and so are classes left with fewer postings than the match threshold. The rest keep a prefix:
    their rarest postings, as many as a match of ``MATCHES`` coordinates cannot avoid.
-3. Below each posted pair, collisions are counted over the whole signatures, which skips the long
-   lists of common values. Matches of ``MATCHES`` or more are candidates; of these only a spanning
-   forest leaves the task, since candidates are needed as connected groups.
-4. Each candidate group is joined exactly once on its full sets; again a spanning forest of the
-   confirmed links (100 * intersection >= threshold * union) leaves the task.
-5. Connected components of the confirmed links name the groups.
-
-Lists and groups above ``UNIT_ROWS`` classes or ``UNIT_SHINGLES`` shingles are split into blocks, and
-every pair of blocks is a unit of its own: memory is bounded and no pair is lost. A pair at the
-threshold of 0.8 has fewer than 16 of 32 equal coordinates with probability 3e-5; that is the only loss.
+3. Below each posted pair, collisions are counted over the whole signatures, which skips the long lists
+   of common values. Matches of ``MATCHES`` or more, of sizes that allow the threshold, are candidates;
+   of these a spanning forest leaves the task.
+4. Each candidate pair is confirmed once, on the full sets of both (100 * intersection >= threshold *
+   union), and confirmed links are joined to groups.
+5. Lists in which a pair was refuted are counted again: every candidate pair there whose ends are in
+   different groups is confirmed too. All other candidates are inside a group, whatever their similarity.
+6. Connected components of the confirmed links name the groups.
+
+Lists above ``UNIT_ROWS`` classes are split into blocks, and every pair of blocks is a unit of its own:
+memory is bounded and no pair is lost. A pair at the threshold of 0.8 has fewer than 16 of 32 equal
+coordinates with probability 3e-5; that is the only loss. Shingles are compared as 64-bit hashes.
 
 Defined results: null or wordless texts have an empty set (size 0) and are linked with nothing; a text
 of fewer words than a shingle is one shingle; rows that repeat a doc_id each give a row; rows without
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repertoire.llm._shared import bounded, ship, text_or_empty, written
+from repertoire.llm._shared import HEAVY_ROWS, bounded, join_counted, quoted, ship, text_or_empty, written
 from repertoire.llm._text import NOT_SPACE, Words, chunks, mix64, utf8
 from repertoire.llm.components import connected_components
 
 COORDINATES, MATCHES = 32, 16
 SHINGLE, THRESHOLD = 5, 80
-UNIT_ROWS, UNIT_SHINGLES = 4096, 4_000_000
+UNIT_ROWS = 4096
+#: Links of one batch that leaves a task.
+SEND_LINKS = 100_000
 _ODD = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
 
 
@@ -112,7 +116,7 @@ def _sets(size: int):
         for b in batches:
             raw, offsets = utf8(b.column(1))
             found = pa.array([s.tobytes() for s in shingle_sets(raw, offsets, size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), found, b.column(2)], names=["id", "shingles", "group"])
+            yield pa.RecordBatch.from_arrays([b.column(0), found], names=["id", "shingles"])
 
     return sets
 
@@ -155,76 +159,80 @@ def _runs(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINKS = pa.schema([("unit", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
 
+def _batch(unit: list, links: list) -> pa.RecordBatch:
+    x = np.concatenate(links).astype(np.int64).reshape(-1, 2)
+    of = np.repeat(np.array(unit, np.int64), [len(v) for v in links])
+    return pa.RecordBatch.from_arrays([pa.array(of), pa.array(x.min(1)), pa.array(x.max(1))], schema=_LINKS)
 
-def _batch(links) -> pa.RecordBatch:
-    x = np.array(links, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], schema=_LINKS)
 
+def _collide(matches: int, threshold: int, every: bool):
+    """(unit, id, size, sig, label) rows sorted by unit -> candidate links of every unit: a spanning forest, or
+    ``every`` candidate pair with different labels."""
 
-def _collide(matches: int):
     def collide(batches):
-        """(unit, id, sig) rows sorted by unit -> forest of candidate links of every unit."""
+        units, links, amount = [], [], 0
         for t in _runs(batches):
-            unit, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-            flat = t.column(2).combine_chunks()
+            unit, ids, size, label = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
+            flat = t.column(3).combine_chunks()
             flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
             sig = flat.flatten().to_numpy().reshape(len(ids), COORDINATES)
             edge = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
-            size = np.diff(edge)
+            count = np.diff(edge)
             begin = edge[:-1]
-            two = begin[size == 2]
-            same = (sig[two] == sig[two + 1]).sum(1) >= matches
-            links = [np.stack([ids[two[same]], ids[two[same] + 1]], 1)] if same.any() else []
-            for a, n in zip(begin[size > 2], size[size > 2], strict=True):
-                own, who = sig[a : a + n], ids[a : a + n]
-                found = _forest(who, lambda i, rest, own=own: (own[rest] == own[i]).sum(1) >= matches)
+            two = begin[count == 2]
+            sizes = np.minimum(size[two], size[two + 1]) * 100 >= threshold * np.maximum(size[two], size[two + 1])
+            two = two[sizes & (label[two] != label[two + 1]) & ((sig[two] == sig[two + 1]).sum(1) >= matches)]
+            units += unit[two].tolist()
+            links += list(np.stack([ids[two], ids[two + 1]], 1)[:, None, :])
+            amount += len(two)
+            for first, n in zip(begin[count > 2], count[count > 2], strict=True):
+                own, who, big, group = (x[first : first + n] for x in (sig, ids, size, label))
+
+                def near(i, rest, own=own, big=big, group=group):
+                    fits = np.minimum(big[rest], big[i]) * 100 >= threshold * np.maximum(big[rest], big[i])
+                    return fits & (group[rest] != group[i]) & ((own[rest] == own[i]).sum(1) >= matches)
+
+                if every:
+                    found = [(who[i], who[j]) for i in range(n - 1) for j in i + 1 + np.flatnonzero(near(i, np.arange(i + 1, n)))]
+                else:
+                    found = _forest(who, near)
                 if found:
+                    units.append(int(unit[first]))
                     links.append(np.array(found, np.int64))
-            if links:
-                yield _batch(np.concatenate(links))
+                    amount += len(found)
+                if amount >= SEND_LINKS:
+                    yield _batch(units, links)
+                    units, links, amount = [], [], 0
+        if amount:
+            yield _batch(units, links)
 
     return collide
 
 
 def _confirm(threshold: int):
     def confirm(batches):
-        """(unit, id, shingles) rows sorted by unit -> forest of confirmed links of every unit."""
-        for t in _runs(batches):
-            unit, ids, sets = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_pylist()
-            edge = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
-            links = []
-            for a, z in zip(edge[:-1], edge[1:], strict=True):
-                own = [np.frombuffer(s, np.uint64) for s in sets[a:z]]
-                size = np.array([len(s) for s in own])
-                first = np.concatenate(([0], np.cumsum(size)))
-                _, code = np.unique(np.concatenate(own), return_inverse=True)
-                mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
-
-                def near(i, rest, first=first, code=code, size=size, mark=mark):
-                    mine = code[first[i] : first[i + 1]]
-                    mark[mine] = True
-                    if len(rest) * 2 > len(size):
-                        common = np.add.reduceat(mark[code].astype(np.int64), first[:-1])[rest]
-                    else:
-                        common = np.array([np.count_nonzero(mark[code[first[j] : first[j + 1]]]) for j in rest])
-                    mark[mine] = False
-                    return 100 * common >= threshold * (size[rest] + size[i] - common)
-
-                links.extend(_forest(ids[a:z], near))
-            if links:
-                yield _batch(links)
+        """(a, b, shingles of a, shingles of b) -> (a, b, whether they are linked)."""
+        for b in batches:
+            sure = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+                common = int(np.count_nonzero(two[at] == one))
+                sure.append(100 * common >= threshold * (len(one) + len(two) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure, pa.bool_())], names=["a", "b", "linked"])
 
     return confirm
 
 
-def _units(members: DataFrame, key: str, weight: str, limit: int) -> DataFrame:
-    """Adds ``unit``: one for each key, or one for each pair of blocks where a key's weight passes the limit."""
-    total = members.groupBy(key).agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    # a unit of two blocks stays below the limit in expectation
-    blocks = F.greatest(F.ceil(F.col("__w") * 2 / F.lit(limit)), F.ceil(F.col("__n") * 2 / F.lit(UNIT_ROWS))).cast("int")
-    joined = members.join(total.select(key, F.when((F.col("__w") <= limit) & (F.col("__n") <= UNIT_ROWS), F.lit(1)).otherwise(blocks).alias("__b")), key)
+def _units(members: DataFrame, key: str) -> DataFrame:
+    """Adds ``unit``: one for each key, or one for each pair of blocks of a key with more than ``UNIT_ROWS`` rows.
+    Such keys are at most all rows / ``UNIT_ROWS``."""
+    large = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > UNIT_ROWS)
+    large = bounded(written(large.select(key, F.ceil(F.col("__n") * 2 / F.lit(UNIT_ROWS)).cast("int").alias("__b")), "large-lists"))
+    joined = members.join(large, key, "left").withColumn("__b", F.coalesce("__b", F.lit(1)))
     other = joined.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
     own = F.pmod(F.xxhash64("id"), F.col("__b"))
     unit = F.when(F.col("__b") == 1, F.xxhash64(key)).otherwise(F.xxhash64(key, F.least(own, "__o"), F.greatest(own, "__o")))
@@ -239,31 +247,61 @@ def near_groups(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     sketched = written(texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>"), "sketches")
     named = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = written(named.groupBy("s1", "s2", "n_shingles", "sig").agg(F.min("doc_id").alias("id")), "classes")
+    classes = named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("docs"), F.first("sig").alias("sig"))
+    classes = written(classes, "classes")
     pair = F.shiftleft(F.col("k").cast("long"), 32) + F.pmod(F.col("v").cast("long"), F.lit(1 << 32))
     posted = classes.select("id", F.posexplode("sig").alias("k", "v")).select("id", pair.alias("key"))
     common = posted.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    listed = posted.join(common, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("p")).where(F.size("p") >= matches)
+    listed = join_counted(posted, common, ["key"], "f").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("p")).where(F.size("p") >= matches)
     prefix = listed.select("id", F.explode(F.slice("p", F.lit(1), F.size("p") - F.lit(matches - 1))).alias("x")).select("id", F.col("x.key").alias("key"))
-    lists = _units(written(prefix, "postings").withColumn("w", F.lit(1)), "key", "w", UNIT_ROWS)
-    lists = lists.join(classes.select("id", "sig"), "id").select("unit", "id", "sig")
-    collided = lists.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_collide(matches), "a long, b long")
-    candidates = connected_components(collided)
-    # full sets of the candidates only, read again from their texts
-    members = written(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "candidates")
-    full = texts.join(bounded(members), "doc_id").mapInArrow(_sets(shingle), "id long, shingles binary, group long")
-    if _repeats(named):
-        full = full.dropDuplicates(["id", "shingles"])
-    full = written(full, "sets")
-    units = _units(full.withColumn("w", F.octet_length("shingles") / 8), "group", "w", UNIT_SHINGLES).select("unit", "id", "shingles")
-    confirmed = units.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_confirm(threshold), "a long, b long")
-    linked = connected_components(confirmed)
-    label = classes.join(linked.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("c"))
-    out = sketched.select("doc_id", "n_shingles", "s1", "s2").join(label, ["s1", "s2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("c", "doc_id"))
+    lists = written(_units(written(prefix, "postings"), "key").select("unit", "id"), "lists")
+    sized = classes.select("id", "n_shingles", "sig")
+    rows = lists.join(sized, "id").select("unit", "id", "n_shingles", "sig", F.col("id").alias("label"))
+    found = rows.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_collide(matches, threshold, False), "unit long, a long, b long")
+    found = written(found, "candidates")
+    checked = written(_confirmed(texts, found.select("a", "b").distinct(), named, shingle, threshold), "confirmed")
+    linked = connected_components(checked.where("linked"))
+    refuted = checked.where("not linked").select("a", "b")
+    if not refuted.limit(1).isEmpty():
+        again = lists.join(found.join(refuted, ["a", "b"], "left_semi").select("unit").distinct(), "unit", "left_semi")
+        label = F.coalesce("component", "id").alias("label")
+        rows = again.join(sized, "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("unit", "id", "n_shingles", "sig", label)
+        rest = rows.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_collide(matches, threshold, True), "unit long, a long, b long")
+        rest = written(rest.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "more-candidates")
+        more = written(_confirmed(texts, rest, named, shingle, threshold).where("linked"), "more-confirmed")
+        if not more.limit(1).isEmpty():
+            linked = connected_components(checked.where("linked").unionByName(more))
+    linked = linked.where("node <> component").withColumnRenamed("node", "id")
+    label = classes.select("s1", "s2", "n_shingles", "docs", "id").join(linked, "id", "left").where("docs > 1 or component is not null")
+    label = written(label.select("s1", "s2", "n_shingles", "docs", F.coalesce("component", "id").alias("c")), "labels")
+    member = sketched.select("doc_id", "n_shingles", "s1", "s2")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
+    keys = ["s1", "s2", "n_shingles"]
+    grouped = member.where("n_shingles > 0")
+    heavy = label.where(F.col("docs") > HEAVY_ROWS)
+    if heavy.limit(1).isEmpty():
+        out = grouped.join(bounded(label.drop("docs")), keys, "left")
+    else:
+        heavy = bounded(heavy.drop("docs"))
+        light = bounded(label.where(F.col("docs") <= HEAVY_ROWS).drop("docs"))
+        out = grouped.join(heavy, keys).unionByName(grouped.join(heavy, keys, "left_anti").join(light, keys, "left"))
+    out = out.unionByName(member.where("n_shingles = 0").withColumn("c", F.lit(None).cast("long")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _confirmed(texts: DataFrame, pairs: DataFrame, named: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """(a, b, linked) of pairs of ids, by the full sets of their texts, which are read again."""
+    pairs = written(pairs, "pairs")
+    nodes = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
+    full = texts.join(bounded(nodes), "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary")
+    several = _repeats(named)  # an id that comes more than once may have several sets, any of which links it
+    full = written(full.dropDuplicates(["id", "shingles"]) if several else full, "sets")
+    both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    checked = both.select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a long, b long, linked boolean")
+    return checked.groupBy("a", "b").agg(F.max("linked").alias("linked")) if several else checked
+
+
 def _repeats(named: DataFrame) -> bool:
     """Whether a doc_id comes more than once."""
     return not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
@@ -272,4 +310,4 @@ def _repeats(named: DataFrame) -> bool:
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document (the smallest id) of each group of near-duplicates; columns as given."""
     gone = written(near_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold).where("not kept").select("doc_id").distinct(), "near-copies")
-    return docs.join(bounded(gone.select(F.col("doc_id").alias(id_col))), id_col, "left_anti").select(*docs.columns)
+    return docs.join(bounded(gone.select(F.col("doc_id").alias(id_col))), id_col, "left_anti").select(*quoted(docs))

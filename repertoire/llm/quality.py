@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repertoire.llm._shared import bounded, ship, text_or_empty, written
+from repertoire.llm._shared import bounded, quoted, ship, text_or_empty, written
 from repertoire.llm._text import NOT_SPACE, Words, chunks, mix64, utf8
 
 #: Labelled documents of each label that the field is fitted on, at most.
@@ -303,4 +303,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """``docs`` without the documents that the classifier rejects; columns as given."""
     bad = quality_scores(docs, labels, id_col=id_col, text_col=text_col).where("predicted = 0")
     bad = written(bad.select(F.col("doc_id").alias(id_col)).distinct(), "rejected")
-    return docs.join(bounded(bad), id_col, "left_anti").select(*docs.columns)
+    return docs.join(bounded(bad), id_col, "left_anti").select(*quoted(docs))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from repertoire.llm import chat, ctw, decontam, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, sharding, warc
+from repertoire.llm import _shared, chat, ctw, decontam, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, sharding, warc
 from repertoire.llm._text import ALNUM, NOT_SPACE, word_hashes
 from repertoire.llm.components import connected_components
 
@@ -204,17 +204,53 @@ def test_packing_places_every_id_once(spark, odd, none):
     assert packing.packed(none).count() == 0
 
 
-def test_packing_follows_the_mixture(spark):
-    df = spark.createDataFrame([(i, "then the of " * (5 + i % 7), "abc"[i % 9 // 4]) for i in range(900)], "doc_id long, text string, source string")
-    tokens = packing.tokenized(df)
-    total = {r.queue: r[1] for r in tokens.groupBy("queue").sum("n").collect()}
-    at = {r.rid: r["at"] for r in packing.sending_offsets(tokens, window=1024).collect()}
-    served = collections.Counter()
-    for r in sorted(tokens.collect(), key=lambda r: at[r.rid]):
-        served[r.queue] += r.n
-        if sum(served.values()) > 8192:
-            share = {q: served[q] / sum(served.values()) for q in total}
-            assert all(abs(share[q] - total[q] / sum(total.values())) < 0.05 for q in total)
+def windows(packed, docs, window):
+    """ids of each source in each window, and the ids of each source."""
+    source = {r.doc_id: r.source or "" for r in docs.select("doc_id", "source").collect()}
+    held, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in packed.select("doc_id", "length", "sequence_id").collect():
+        held[r.sequence_id][source[r.doc_id]] += r.length
+        total[source[r.doc_id]] += r.length
+    return [held[k] for k in range(len(held))], total
+
+
+def test_packing_holds_the_mixture_in_every_window(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held, total = windows(packing.packed(docs), docs, 2048)
+    whole = sum(total.values())
+    small = {q for q, n in total.items() if n * 2048 < packing.LEAST * whole}
+    assert len(held) > 100 and len(total) > 10
+    for w in held[:-1]:
+        assert sum(w.values()) == 2048
+        assert all(abs(w[q] - 2048 * n / whole) < 2 for q, n in total.items() if q not in small)
+        assert abs(sum(w[q] for q in small) - 2048 * sum(total[q] for q in small) / whole) < 2
+
+
+def test_packing_with_target_shares(spark):
+    docs = spark.createDataFrame([(i, "then the of " * (5 + i % 7), "abcd"[i % 9 // 3] if i % 50 else "d") for i in range(1500)], "doc_id long, text string, source string")
+    held, total = windows(packing.packed(docs, window=256, shares={"a": 0.5, "b": 0.25, "c": 0.0, "none": 0.3}), docs, 256)
+    d = total["d"] / sum(total.values())
+    want = {"a": 0.5 / (0.75 + d), "b": 0.25 / (0.75 + d), "d": d / (0.75 + d)}
+    dry = int(min(total[q] / want[q] for q in want) // 256)
+    assert all(abs(w[q] - 256 * want[q]) < 2 for w in held[:dry] for q in want) and dry > 10
+    left = [w for w in held if not w["a"] and w["b"]]
+    assert left and all(set(w) <= {"b", "c", "d"} for w in left)
+    first_c = next(k for k, w in enumerate(held) if w["c"])
+    assert all(set(w) == {"c"} for w in held[first_c + 1 :]) and sum(map(len, (set(w) & {"c"} for w in held))) > 5
+    assert sum(sum(w.values()) for w in held) == sum(total.values()) and all(sum(w.values()) == 256 for w in held[:-1])
+
+
+def test_rounds_cover_every_queue_once():
+    rng = random.Random(1)
+    for _ in range(60):
+        ids = [rng.choice([0, 1, 40]), *(rng.randint(400, 5000) for _ in range(rng.randint(1, 9))), rng.choice([0, 300])]
+        rounds = packing.Rounds(ids, rng.choice([[*ids[:-1], 0], [1, *(rng.randint(20, 60) for _ in ids[2:]), 0]]), 256)
+        seen = np.zeros(sum(ids), int)
+        for q, n in enumerate(ids):
+            cuts = np.unique([0, *(rng.randrange(n) for _ in range(9))]) if n else np.zeros(0, int)
+            for _, _, length, place in zip(*rounds.pieces(q, cuts, np.diff(np.append(cuts, n))), strict=True):
+                seen[place : place + length] += 1
+        assert (seen == 1).all()
 
 
 @pytest.mark.parametrize("shard_bytes", [decontam.SHARD_BYTES, 40])
@@ -431,6 +467,8 @@ def brute_components(docs, size, threshold=80):
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
         sets[i] = {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
     label = {i: i for i in sets}
+    if threshold is None:
+        return sets, label
     changed = True
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
     while changed:
@@ -462,12 +500,64 @@ def test_near_groups_match_brute_force(spark, odd, none):
     assert near_dedup.near_dedup(odd).columns == odd.columns
 
 
+def exact_links(docs, size):
+    """Links of all texts of a table by an inverted index over whole shingle sets."""
+    sets, _ = brute_components(docs, size, threshold=None)
+    alike = collections.defaultdict(list)
+    for i, s in sets.items():
+        if s:
+            alike[frozenset(s)].append(i)
+    order = collections.Counter(g for s in alike for g in s)
+    index, links = collections.defaultdict(list), [(ids[0], i) for ids in alike.values() for i in ids[1:]]
+    for s, ids in alike.items():
+        first = sorted(s, key=lambda g: (order[g], g))[: len(s) - -(-len(s) * 4 // 5) + 1]
+        for t in {t for g in first for t in index[g]}:
+            if 100 * len(s & t) >= 80 * len(s | t):
+                links.append((ids[0], alike[t][0]))
+        for g in first:
+            index[g].append(s)
+    return links
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_groups_equal_an_exact_join(spark, size):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = {r.doc_id: r.text for r in docs.collect()}
+    label = {i: i for i in data}
+
+    def root(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for a, b in exact_links(data.items(), size):
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, shingle=size).collect()} == {i: root(i) for i in data}
+
+
+def test_near_groups_confirm_what_a_refuted_pair_hides(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(60):  # a chain of drifting texts: candidates at a similarity of a half, links at 0.8
+        for _ in range(3):
+            base[rng.randrange(120)] = f"n{k}.{rng.randint(0, 99)}"
+        texts.append(" ".join(base))
+    rng.shuffle(texts)
+    _, label = brute_components(enumerate(texts), 2)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(frame(spark, texts), shingle=2).collect()} == label
+
+
 def test_near_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "UNIT_ROWS", 6)
-    monkeypatch.setattr(near_dedup, "UNIT_SHINGLES", 300)
+    monkeypatch.setattr(_shared, "HEAVY_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "HEAVY_ROWS", 5)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(40)]
     texts = [" ".join(base[: rng.randint(30, 40)] + [f"x{rng.randint(0, 3)}"]) for _ in range(40)]
+    texts += [base[0]] * 12 + [""] * 9
     docs = frame(spark, texts)
     _, label = brute_components(enumerate(texts), 2)
     assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, shingle=2).collect()} == label
