@@ -92,14 +92,14 @@ def quoted(df: DataFrame) -> list[Column]:
 HEAVY_ROWS = 100_000
 
 
-def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], rows: str) -> DataFrame:
-    """Inner join with one row a key, where column ``rows`` counts the key's rows in ``df``: heavy keys, at most
-    all rows / ``HEAVY_ROWS``, are broadcast so that no task gathers one; the others are shuffled by key."""
+def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """Inner or left join with one row a key, where column ``rows`` counts the key's rows in ``df``: heavy keys, at
+    most all rows / ``HEAVY_ROWS``, are broadcast so that no task gathers one; the others are shuffled by key."""
     heavy = counted.where(F.col(rows) > HEAVY_ROWS)
     if heavy.limit(1).isEmpty():
-        return df.join(counted, keys)
+        return df.join(counted, keys, how)
     heavy = bounded(heavy)
-    light = df.join(heavy, keys, "left_anti").join(counted.where(F.col(rows) <= HEAVY_ROWS), keys)
+    light = df.join(heavy, keys, "left_anti").join(counted.where(F.col(rows) <= HEAVY_ROWS), keys, how)
     return df.join(heavy, keys).unionByName(light)
 
 

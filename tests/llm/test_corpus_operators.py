@@ -67,14 +67,30 @@ def test_exact_groups_match_brute_force(odd, none):
     assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == {r["keep_id"] for r in got if r["keep_id"] is not None}
 
 
-def test_quotient_filters_merge_without_loss():
+@pytest.mark.parametrize("bits", [0, 5])
+def test_quotient_filters_merge_without_loss(bits):
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 1 << 62, 500, dtype=np.uint64)[rng.integers(0, 500, 3000)]
-    parts = [exact_dedup.QuotientFilter(p) for p in np.array_split(keys, 7)]
-    whole = exact_dedup.QuotientFilter.merge(parts)
-    assert dict(zip(whole.keys.tolist(), whole.counts.tolist(), strict=True)) == collections.Counter(keys.tolist())
-    back = [(b << 59) | int(r) for b, rem, _ in whole.blocks(5) for r in rem]
-    assert back == whole.keys.tolist()
+    keys = rng.integers(0, 1 << 64, 500, dtype=np.uint64)[rng.integers(0, 500, 3000)]
+    keys[:900] = (keys[:900] >> np.uint64(30)) | np.uint64(7 << 60)  # long runs and clusters
+    blocks = collections.defaultdict(list)
+    for part in np.array_split(keys, 7):
+        for block, f in exact_dedup.filters_of(part, np.ones(len(part), np.int64), bits):
+            row = f.row(block)
+            blocks[block].append(exact_dedup.QuotientFilter.of_row(bits, *row[1:]))
+            assert blocks[block][-1].keys(block).tolist() == sorted(set(part[part >> np.uint64(64 - bits) == block].tolist() if bits else part.tolist()))
+    got = {}
+    for block, parts in blocks.items():
+        whole = exact_dedup.QuotientFilter.merge(parts, block)
+        got |= dict(zip(whole.keys(block).tolist(), whole.counts.tolist(), strict=True))
+    assert got == collections.Counter(keys.tolist())
+
+
+def test_exact_groups_of_text_ids_and_heavy_copies(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HEAVY_ROWS", 5)
+    rows = [(f"d{i:02d}", "same  text" if i % 3 else f"own {i}") for i in range(30)] + [(None, "own 0"), ("a", "sametext"), ("b", None)]
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got["d04"].keep_id == "d01" and got["d04"].group_size == 21 and not got["a"].kept and got["d01"].kept
+    assert got["d00"].keep_id == "d00" and got[None].keep_id == "d00" and got["b"].kept and got["b"].group_size == 1
 
 
 # 2 decontamination
@@ -552,8 +568,8 @@ def test_near_groups_confirm_what_a_refuted_pair_hides(spark):
 
 def test_near_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "UNIT_ROWS", 6)
+    monkeypatch.setattr(near_dedup, "UNIT_SHINGLES", 300)
     monkeypatch.setattr(_shared, "HEAVY_ROWS", 5)
-    monkeypatch.setattr(near_dedup, "HEAVY_ROWS", 5)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(40)]
     texts = [" ".join(base[: rng.randint(30, 40)] + [f"x{rng.randint(0, 3)}"]) for _ in range(40)]
