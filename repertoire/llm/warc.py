@@ -1,11 +1,14 @@
 r"""Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id. Each partition writes gzip members into archive files and rolls
-to the next file when the compressed size passes a limit; headers and digests are generated anew from
-the payload. A file gets a temporary name that only this attempt of the task uses; the rows that the
-tasks return (temporary and final name, records, bytes, digest) are the manifest, written as a table.
-Only then does a second job move the files of the manifest to their final names: leavings of attempts
-that were lost or ran twice keep temporary names, and no reader looks at those.
+Records are range-sorted by page id. Ranges are stretches of ids with about ``partition_bytes`` of payload,
+from exact sums over a fixed grid of ids, so that the same pages always give the same files. Each range is
+written as gzip members into archive files that roll when the compressed size passes a limit; headers and
+digests are generated anew from the payload. A file gets a temporary name that only this attempt of the
+task uses; the rows that the tasks return (temporary and final name, records, bytes, digest) are written as
+a table. Only then does a second job move these files to their final names and check that each is there
+with its size; leavings of attempts that were lost or ran twice are deleted. The manifest of final names is
+written into the folder last of all. A reader takes the files that it names, no others, and checks records,
+bytes and digests: a folder without a manifest, or with a file lost or changed, fails.
 
 Of records with equal payloads of at least ``revisit_bytes`` the one with the smallest page id is a
 response and the others are revisits, which carry no payload but its length and digest.
@@ -13,7 +16,7 @@ response and the others are revisits, which carry no payload but its length and
 Defined results: a null payload is empty; a null url gives no target header; control characters in a
 url are percent-encoded; rows that repeat page id and payload are all responses or all revisits of one
 page; a null page id sorts first, refers to an equal page that has an id, and is else a response; an
-empty table gives an archive folder without files and no rows; other input columns are not archived.
+empty table gives a manifest without files and no rows; other input columns are not archived.
 """
 
 from __future__ import annotations
@@ -26,17 +29,20 @@ import zlib
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repertoire.llm._shared import fresh_path, ship, written
+from repertoire.llm._shared import bounded, fresh_path, join_counted, ship, written
 
 ROLL_BYTES = 8 << 20
 PARTITION_BYTES = 16 << 20
+#: Ranges and cells of the grid of ids, at most; beyond, a range grows (its rows are streamed, never held).
+RANGES, CELLS = 20_000, 200_000
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "temporary string, final string, records long, bytes long, sha256 string"
+_NAMES = [c.split()[0] for c in _MANIFEST.split(", ")]
 _RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -110,20 +116,23 @@ def _write(folder: str, roll: int):
     def write(batches):
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
-        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        state = {"roll": 0, "out": None}
+        attempt = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
+        state = {"part": None, "roll": 0, "out": None}
         done = []
 
         def close():
             if state["out"] is not None:
                 state["out"].close()
-                done.append((state["temporary"], f"part-{part:06d}-{state['roll']:04d}.warc.gz", state["n"], state["size"], state["sha"].hexdigest()))
+                done.append((state["temporary"], f"part-{state['part']:06d}-{state['roll']:06d}.warc.gz", state["n"], state["size"], state["sha"].hexdigest()))
                 state.update(out=None, roll=state["roll"] + 1)
 
         for b in batches:
-            for page_id, url, html, refers in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for page_id, url, html, refers, part in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if part != state["part"]:
+                    close()
+                    state.update(part=part, roll=0)
                 if state["out"] is None:
-                    name = f"_temporary-{part:06d}-{state['roll']:04d}-{attempt}"
+                    name = f"_temporary-{part:06d}-{state['roll']:06d}-{attempt}"
                     state.update(temporary=name, out=store.open_output_stream(f"{root}/{name}"), n=0, size=0, sha=hashlib.sha256())
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = z.compress(record(page_id, url, html.encode(), refers)) + z.flush()
@@ -137,7 +146,7 @@ def _write(folder: str, roll: int):
         if done:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)],
-                names=["temporary", "final", "records", "bytes", "sha256"],
+                names=_NAMES,
             )
 
     return write
@@ -147,56 +156,95 @@ def _commit(folder: str):
     def commit(batches):
         store, root = _store(folder)
         for b in batches:
-            for temporary, final in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for temporary, final, size in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 old, new = f"{root}/{temporary}", f"{root}/{final}"
-                if store.get_file_info(old).type != pafs.FileType.NotFound:  # else an earlier attempt has moved it
+                if store.get_file_info(old).type != pafs.FileType.NotFound:
                     store.move(old, new)
+                there = store.get_file_info(new)  # moved now, or by an earlier attempt
+                if there.type == pafs.FileType.NotFound or there.size != size:
+                    raise FileNotFoundError(f"{final}: neither it nor its temporary file is there whole")
             yield b
 
     return commit
 
 
+def _clear(folder: str) -> None:
+    """Deletes what lost attempts left."""
+    store, root = _store(folder)
+    for f in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith("_temporary-"):
+            store.delete_file(f.path)
+
+
 def with_revisits(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is null for responses."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     keyed = rows.withColumn("digest", F.when(F.octet_length("html") >= revisit_bytes, F.sha2("html", 256)))
     firsts = keyed.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = written(firsts.select("digest", "first"), "originals")
-    joined = keyed.join(firsts, "digest", "left")
+    firsts = written(firsts, "originals")
+    alone = keyed.where("digest is null").select("*", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("n"))
+    joined = join_counted(keyed.where("digest is not null"), bounded(firsts), ["digest"], "n", "left").unionByName(alone)
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
+def with_ranges(pages: DataFrame, partition_bytes: int) -> tuple[DataFrame, int]:
+    """(``pages`` with ``part``, number of parts): stretches of page ids with about ``partition_bytes`` each, from the
+    sums of at most ``CELLS`` equal intervals of ids; rows without an id are in part 0."""
+    size = F.octet_length(F.col("html").cast("string"))
+    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum(size), F.lit(0))).first()
+    low, high = low or 0, high or 0
+    width = max(1, -(-(high - low + 1) // CELLS))
+    aim = max(partition_bytes, -(-total // RANGES), 1)
+    cell = F.expr(f"(coalesce(page_id, {low}) - {low}L) div {width}L")
+    cells = pages.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(size, F.lit(0))).alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = cells.select("cell", F.floor(before / F.lit(aim)).cast("int").alias("part"))
+    named = pages.withColumn("cell", cell).join(bounded(written(parts, "ranges")), "cell").drop("cell")
+    return named, max(1, -(-total // aim))
+
+
 def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES, partition_bytes: int = PARTITION_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as archives below ``folder``; returns the manifest table."""
     ship(pages.sparkSession)
-    size = pages.agg(F.coalesce(F.sum(F.octet_length(F.col("html").cast("string"))), F.lit(0))).first()[0]
-    ranged = with_revisits(pages, revisit_bytes).repartitionByRange(max(1, -(-size // partition_bytes)), "page_id")
-    records = ranged.sortWithinPartitions("page_id", "url", "html")
-    manifest = written(records.mapInArrow(_write(folder, roll_bytes), _MANIFEST), "warc-manifest")
-    return written(manifest.mapInArrow(_commit(folder), _MANIFEST), "warc-committed")
+    ranged, parts = with_ranges(with_revisits(pages, revisit_bytes), partition_bytes)
+    records = ranged.repartitionById(parts + 1, F.col("part")).sortWithinPartitions("part", "page_id", "url", "html")
+    moved = written(records.select("page_id", "url", "html", "refers_to", "part").mapInArrow(_write(folder, roll_bytes), _MANIFEST), "warc-manifest")
+    done = written(moved.mapInArrow(_commit(folder), _MANIFEST), "warc-committed")
+    _clear(folder)
+    done.write.parquet(f"{folder}/manifest")
+    return done
 
 
-def _read(batches):
-    names = [c.split()[0] for c in _RECORDS.split(", ")]
+def _read(folder: str):
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    for b in batches:
-        for content in b.column(0):
-            rows = [parse(m) for m in members(content.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+    names = [c.split()[0] for c in _RECORDS.split(", ")]
+
+    def read(batches):
+        store, root = _store(folder)
+        for b in batches:
+            for final, records, size, sha in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                with store.open_input_file(f"{root}/{final}") as f:  # a stream would unpack it
+                    content = f.read()
+                rows = [parse(m) for m in members(content)]
+                if len(content) != size or len(rows) != records or hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"{final} is not what the manifest says")
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+
+    return read
 
 
 def read_warc(spark, folder: str) -> DataFrame:
-    """Every record of the committed archives below ``folder``, digests checked."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("content").mapInArrow(_read, _RECORDS)
+    """Every record of the archives that the manifest below ``folder`` names; files, digests and counts are checked."""
+    ship(spark)
+    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("final", "records", "bytes", "sha256")
+    n = files.count()
+    return files.repartition(max(1, min(n, RANGES)), "final").mapInArrow(_read(folder), _RECORDS)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """The query's columns: writes all pages, then reads the archives."""
     folder = fresh_path(pages.sparkSession, "warc")
-    manifest = write_warc(pages, folder)
-    if manifest.isEmpty():
-        return pages.sparkSession.createDataFrame([], _RECORDS).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_warc(pages, folder)
     return read_warc(pages.sparkSession, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
