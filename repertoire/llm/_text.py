@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +31,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
-
-
-@cache
-def _powers_upto(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
-    if n > 1:
-        out[1:] = base
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    return _powers_upto(max(2 * CHUNK, 1 << (n + 1).bit_length()), base)[:n]
+#: Powers of an odd number, for the first letters of a word; further ones take them in turn, made apart by the turn.
+_TURN = 1 << 12
+_POWERS = np.multiply.accumulate(np.concatenate(([_U(1)], np.full(_TURN - 1, 0x9E3779B97F4A7C15 | 1, np.uint64))))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +62,8 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterator[
 class Words:
     """Words of a run of texts: byte spans, 64-bit hashes, and the first word of each text.
 
-    The hash is a polynomial over random letters modulo 2^64, then mixed with the length.
+    The hash is a polynomial over random letters modulo 2^64, then mixed with the length. Words are hashed
+    ``CHUNK`` bytes at a time, so that a long text needs few bytes of memory for each of its own.
     """
 
     __slots__ = ("low", "start", "end", "hash", "first")
@@ -85,17 +72,31 @@ class Words:
         self.low = low = LOWER[raw]
         n = len(low)
         inside = letters[low]
-        edge = np.zeros(n + 1, dtype=bool)
-        edge[offsets[offsets <= n]] = True
-        before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        self.start = np.flatnonzero(inside & (~before | edge[:-1]))
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        begins, ends = inside.copy(), inside.copy()
+        edge = offsets[(offsets > 0) & (offsets < n)]
+        begins[1:] &= ~inside[:-1]
+        begins[edge] |= inside[edge]
+        ends[:-1] &= ~inside[1:]
+        ends[edge - 1] |= inside[edge - 1]
+        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_LETTER[low] * _powers(n, _BASE), out=total[1:])
-        h = (total[self.end] - total[self.start]) * _powers(n + 1, _BASE_INV)[self.start]
-        self.hash = mix64(h ^ (self.end - self.start).astype(np.uint64) * _U(0xA0761D6478BD642F))
+        length = self.end - self.start
+        upto = np.cumsum(length)
+        self.hash = np.empty(len(length), np.uint64)
+        at = 0
+        while at < len(length):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+            size = length[at:to]
+            head = np.cumsum(size) - size
+            place = np.arange(int(size.sum())) - np.repeat(head, size)
+            letter = _LETTER[low[place + np.repeat(self.start[at:to], size)]]
+            far = np.flatnonzero(place >= _TURN)
+            if len(far):
+                letter[far] = mix64(letter[far] + (place[far] // _TURN).astype(np.uint64))
+                place %= _TURN
+            self.hash[at:to] = np.add.reduceat(letter * _POWERS[place], head)
+            at = to
+        self.hash = mix64(self.hash ^ length.astype(np.uint64) * _U(0xA0761D6478BD642F))
 
     def bytes_of(self, i: int) -> bytes:
         return self.low[self.start[i] : self.end[i]].tobytes()

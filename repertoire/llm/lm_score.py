@@ -14,6 +14,9 @@ frequency of words and ends. Both learn only from texts whose crc32(doc_id as te
    probabilities and counts; documents are scored with them in one scan. What is not in the tables
    (rare and new grams and words) is sent to its block, looked up there exactly, and added by document.
 
+White space counts as one blank between words: no word or border is lost by it. ``bits_per_byte`` is the code
+length of the bytes that the model reads.
+
 Defined results: null or empty text is the end alone; a null doc_id is not held out; repeated rows each
 give a row; without training texts every byte has probability 1/256 and every count is 0; an empty
 table gives no rows.
@@ -34,7 +37,11 @@ from repertoire.llm._text import NOT_SPACE, Words, chunks, mix64, utf8
 
 FOLDS, HELD_OUT = 7, 2
 TABLE_ROWS = 500_000
-BLOCKS = 64
+#: Blocks that counts are dealt to: one for ``BLOCK_BYTES`` of training text, within these bounds. Grams are dealt by
+#: two bytes of context, so more blocks than there are pairs of bytes would stay empty.
+BLOCKS, BLOCK_BYTES = (64, 16_384), 32 << 20
+#: A text of more bytes is read in pieces, each with the bytes before it as context.
+LONG_TEXT = 1 << 20
 #: Distinct keys that a task holds before it sends them.
 HOLD_ROWS = 3_000_000
 GRAM, WORD = 0, 1
@@ -42,11 +49,40 @@ END_WORD = np.uint64(0x1B873593CC9E2D51)
 LN10 = np.log(10.0)
 
 
-def _streams(raw: np.ndarray, offsets: np.ndarray):
-    """Run by run of texts: (first text, byte stream, its text starts, word hashes with ends, their text starts)."""
+def _letters(w: Words, a: int, z: int, at: np.ndarray, out: np.ndarray) -> None:
+    """Copies words a to z to their places in a stream."""
+    size = w.end[a:z] - w.start[a:z]
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[step + np.repeat(at, size)] = w.low[step + np.repeat(w.start[a:z], size)]
+
+
+def _pieces(i: int, w: Words, depth: int):
+    """One long text, run by run of words."""
+    upto = np.cumsum(w.end - w.start + 1)
+    lead, a = np.zeros(0, np.uint8), 0
+    while a < len(upto):
+        done = upto[a - 1] if a else 0
+        z = max(a + 1, int(np.searchsorted(upto, done + LONG_TEXT, "right")))
+        out = np.full(len(lead) + int(upto[z - 1] - done), 32, np.uint8)
+        out[: len(lead)] = lead
+        _letters(w, a, z, upto[a:z] - (w.end[a:z] - w.start[a:z] + 1) - done + len(lead), out)
+        hashes = w.hash[a:z]
+        if z == len(upto):
+            out[-1] = 10
+            hashes = np.append(hashes, END_WORD)
+        yield i, out, np.array([0, len(out)]), hashes, np.array([0, len(hashes)]), len(lead)
+        lead, a = out[-depth:].copy(), z
+
+
+def _streams(raw: np.ndarray, offsets: np.ndarray, depth: int):
+    """Run by run of texts: (first text, byte stream, its text starts, word hashes with ends, their text starts, bytes of
+    the stream that are only context). A long text comes in several runs of its own."""
     for i, _, part, offs in chunks(raw, offsets):
         w = Words(part, offs, NOT_SPACE)
         n = len(offs) - 1
+        if len(part) > LONG_TEXT and n == 1 and len(w.start):
+            yield from _pieces(i, w, depth)
+            continue
         words = np.diff(w.first)
         # bytes of each word and one separator after it; a text without words is one line end
         length = w.end - w.start + 1
@@ -54,18 +90,14 @@ def _streams(raw: np.ndarray, offsets: np.ndarray):
         size = np.bincount(text, length, n).astype(np.int64)
         size[words == 0] = 1
         begin = np.concatenate(([0], np.cumsum(size)))
-        at = np.cumsum(length) - length
         empty_before = np.concatenate(([0], np.cumsum(words == 0)))[:-1]
-        at = at + empty_before[text]
         out = np.full(int(begin[-1]), 32, np.uint8)
-        inner = np.repeat(at - w.start, length - 1)
-        inside = np.repeat(w.start, length - 1) + np.arange(int((length - 1).sum())) - np.repeat(np.cumsum(length - 1) - (length - 1), length - 1)
-        out[inner + inside] = w.low[inside]
+        _letters(w, 0, len(length), np.cumsum(length) - length + empty_before[text], out)
         out[begin[1:] - 1] = 10
         first = w.first + np.arange(n + 1)
         hashes = np.full(len(w.hash) + n, END_WORD)
         hashes[np.arange(len(w.hash)) + text] = w.hash
-        yield i, out, begin, hashes, first
+        yield i, out, begin, hashes, first, 0
 
 
 def _block_of(kind: int, keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -104,8 +136,8 @@ def _count(depth: int, blocks: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
 
         for b in batches:
-            for _, stream, begin, words, _ in _streams(*utf8(b.column(0))):
-                for kind, keys in ((GRAM, ctw.grams(stream, begin, depth)), (WORD, words)):
+            for _, stream, begin, words, _, lead in _streams(*utf8(b.column(0)), depth):
+                for kind, keys in ((GRAM, ctw.grams(stream, begin, depth)[lead:]), (WORD, words)):
                     u, c = np.unique(keys, return_counts=True)
                     held[kind].append((u, c))
                     amount += len(u)
@@ -182,7 +214,7 @@ def _table(shared, kind: int):
     return _tables[key]
 
 
-_SCORED = "rid long, doc_id {kind}, n_tokens long, n_known long, base double, ln_p double, rare binary, rare_n binary, rare_kind binary"
+_SCORED = "rid long, doc_id {kind}, n_tokens long, n_bytes long, n_known long, base double, ln_p double, rare binary, rare_n binary, rare_kind binary"
 
 
 def _score(depth: int, shared, tokens: int, distinct: int):
@@ -194,23 +226,26 @@ def _score(depth: int, shared, tokens: int, distinct: int):
                 s = b.slice(at, 1024)
                 raw, offsets = utf8(s.column(1))
                 n = len(offsets) - 1
-                out = {"n": np.zeros(n, np.int64), "known": np.zeros(n, np.int64), "base": np.zeros(n), "ln": np.zeros(n)}
+                out = {"n": np.zeros(n, np.int64), "bytes": np.zeros(n, np.int64), "known": np.zeros(n, np.int64), "base": np.zeros(n), "ln": np.zeros(n)}
                 rare: list = [(b"", b"", b"")] * n
-                for i, stream, begin, words, first in _streams(raw, offsets):
+                for i, stream, begin, words, first, lead in _streams(raw, offsets, depth):
                     m = len(begin) - 1
                     left = []
-                    for kind, keys, edge in ((GRAM, ctw.grams(stream, begin, depth), begin), (WORD, words, first)):
+                    grams = ctw.grams(stream, begin, depth)[lead:]
+                    begin = np.maximum(begin - lead, 0)
+                    out["bytes"][i : i + m] += np.diff(begin)
+                    for kind, keys, edge in ((GRAM, grams, begin), (WORD, words, first)):
                         text = np.repeat(np.arange(m), np.diff(edge))
                         table, values = _table(shared, kind)
                         row = table.find(keys)
                         there = row >= 0
                         value = np.where(there, values[np.maximum(row, 0)] if len(values) else 0.0, 0.0)
                         if kind == GRAM:
-                            out["ln"][i : i + m] = np.bincount(text, value, m)
+                            out["ln"][i : i + m] += np.bincount(text, value, m)
                         else:
-                            out["n"][i : i + m] = np.diff(edge)
-                            out["known"][i : i + m] = np.bincount(text[there], minlength=m)
-                            out["base"][i : i + m] = np.bincount(text, np.where(there, np.log10(value + 1) - low, 0.0), m)
+                            out["n"][i : i + m] += np.diff(edge)
+                            out["known"][i : i + m] += np.bincount(text[there], minlength=m)
+                            out["base"][i : i + m] += np.bincount(text, np.where(there, np.log10(value + 1) - low, 0.0), m)
                         miss = np.flatnonzero(~there)
                         left.append((text[miss], keys[miss], np.full(len(miss), kind, np.uint8)))
                     t, k, kinds = (np.concatenate(x) for x in zip(*left, strict=True))
@@ -221,12 +256,13 @@ def _score(depth: int, shared, tokens: int, distinct: int):
                         head = np.flatnonzero(new)
                         times = np.diff(np.append(head, len(t))).astype(np.int32)
                         for d, a, z in _spans(t[head]):
-                            rare[i + d] = (k[head[a:z]].tobytes(), times[a:z].tobytes(), kinds[head[a:z]].tobytes())
+                            found = (k[head[a:z]].tobytes(), times[a:z].tobytes(), kinds[head[a:z]].tobytes())
+                            rare[i + d] = tuple(x + y for x, y in zip(rare[i + d], found, strict=True))
                 keys, times, kinds = zip(*rare, strict=True)
-                columns = [pa.array(np.arange(rid, rid + n)), s.column(0), pa.array(out["n"]), pa.array(out["known"]), pa.array(out["base"]), pa.array(out["ln"]),
+                columns = [pa.array(np.arange(rid, rid + n)), s.column(0), pa.array(out["n"]), pa.array(out["bytes"]), pa.array(out["known"]), pa.array(out["base"]), pa.array(out["ln"]),
                            pa.array(keys, pa.binary()), pa.array(times, pa.binary()), pa.array(kinds, pa.binary())]
                 rid += n
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "n_tokens", "n_known", "base", "ln_p", "rare", "rare_n", "rare_kind"])
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "n_tokens", "n_bytes", "n_known", "base", "ln_p", "rare", "rare_n", "rare_kind"])
 
     return run
 
@@ -286,13 +322,17 @@ def _look_up(depth: int, top, tokens: int, distinct: int):
     return run
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = ctw.DEPTH, table_rows: int = TABLE_ROWS, blocks: int = BLOCKS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``."""
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = ctw.DEPTH, table_rows: int = TABLE_ROWS, blocks: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``;
+    ``blocks`` follows the size of the training texts unless it is given."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), held.alias("held_out"))
+    if blocks is None:
+        size = texts.where("not held_out").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        blocks = min(max(BLOCKS[0], size // BLOCK_BYTES), BLOCKS[1])
     counted = texts.where("not held_out").select("text").mapInArrow(_count(depth, blocks), "kind int, block int, keys binary, counts binary")
     merged = written(counted.groupBy("kind", "block").applyInPandas(_merge, _MERGED), "counts")
     totals = {r[0]: (r[1], r[2]) for r in merged.groupBy("kind").agg(F.sum("tokens"), F.sum("size")).collect()}
@@ -323,7 +363,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     asked = scored.where("octet_length(rare) > 0").select("rid", "rare", "rare_n", "rare_kind").mapInArrow(_send_rare(blocks), "kind int, block int, keys binary, rids binary, times binary")
     found = asked.groupBy("kind", "block").cogroup(merged.groupBy("kind", "block")).applyInPandas(_look_up(depth, top, tokens, distinct), "rid long, ln_p double, base double, known long")
     found = found.groupBy("rid").agg(F.sum("ln_p").alias("l"), F.sum("base").alias("b"), F.sum("known").alias("k"))
-    joined = scored.select("rid", "doc_id", "n_tokens", "n_known", "base", "ln_p").join(found, "rid", "left")
+    joined = scored.select("rid", "doc_id", "n_tokens", "n_bytes", "n_known", "base", "ln_p").join(found, "rid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select(
         "doc_id",
@@ -333,4 +373,5 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("b")).alias("base_score"),
         ((F.col("ln_p") + zero("l")) / LN10).alias("score"),
+        (-(F.col("ln_p") + zero("l")) / np.log(2.0) / F.col("n_bytes")).alias("bits_per_byte"),
     )
