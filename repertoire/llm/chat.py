@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from repertoire.llm._shared import ship
 
@@ -192,8 +193,7 @@ def _read_back(template: Template, id_type: pa.DataType):
 def conversation_digests(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """Parses ``format_turns`` output as it stands and digests each conversation."""
     kind = formatted.schema["conv_id"].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    return formatted.mapInArrow(_read_back(template, arrow), _DIGESTS.format(kind=kind.simpleString()))
+    return formatted.mapInArrow(_read_back(template, to_arrow_type(kind)), _DIGESTS.format(kind=kind.simpleString()))
 
 
 def with_control_case(spark: SparkSession, conversations: DataFrame) -> DataFrame:

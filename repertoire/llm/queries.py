@@ -1,10 +1,10 @@
-"""Driver queries of the corpus operators, and the SQL oracles of those that SQL can express."""
+"""Driver queries of the corpus operators, and the SQL oracles of those that SQL can express (the pipeline is a
+module at the repository's top)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from repertoire.llm import chat, decontam, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, sharding, warc
@@ -28,7 +28,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.format_turns(chat.with_control_case(spark, table(spark, sf_dir, "conversations")))
-    return chat.conversation_digests(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return chat.conversation_digests(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +97,12 @@ m as (select mark from (values {_MARKS}) t(mark)),
 t as (select conv_id, turn, role, text,
         length(text) + length(text) - length(replace(text, chr(92), ''))
         + (select cast(sum((length(text) - length(replace(text, mark, ''))) // length(mark)) as bigint) from m)
-        + case role when 'system' then 17 when 'user' then 15 when 'assistant' then 9 else 20 + 2 * strlen(role) end chars from c)
+        + case role when 'system' then 17 when 'user' then 15 when 'assistant' then 9 else 20 + 2 * strlen(role) end chars,
+        coalesce(lag(role) over (partition by conv_id order by turn, role, text), '') || '>' || role step from c)
 select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
        cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256, cast(sum(chars) as bigint) formatted_chars
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256, cast(sum(chars) as bigint) formatted_chars,
+       bool_and(step in ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user')) and last(role order by turn, role, text) in ('assistant', 'user') as valid
 from t group by conv_id
 """
 
@@ -117,7 +119,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_near_dedup": op9_near_dedup,
         "op10_quality": op10_quality,
-        "pipeline": corpus_pipeline.run,
     }
 
 

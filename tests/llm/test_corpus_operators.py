@@ -165,6 +165,35 @@ def test_warc_is_deterministic_and_rolls(spark):
     assert [warc.parse(m)["payload"] for m in warc.members(data)] == [bytes([i]) * i for i in range(9)]
 
 
+def test_warc_readers_follow_the_manifest(spark):
+    import os
+
+    from repertoire.llm._shared import fresh_path
+
+    pages = spark.createDataFrame([(i * i, f"u{i}", f"{i} " * 400) for i in range(40)], "page_id long, url string, html string")
+    folder = fresh_path(spark, "warc")
+    warc.write_warc(pages, folder, roll_bytes=2_000, partition_bytes=8_000)
+    local = folder.removeprefix("file://")
+    files = sorted(f for f in os.listdir(local) if f.endswith(".warc.gz"))
+    assert len(files) > 5 and not [f for f in os.listdir(local) if f.startswith("_temporary")]
+    with open(f"{local}/part-999999-000000.warc.gz", "wb") as f:
+        f.write(b"left by a lost job")
+    assert warc.read_warc(spark, folder).count() == 40
+    whole = open(f"{local}/{files[2]}", "rb").read()
+    for damaged in (whole[:-9], None):
+        os.remove(f"{local}/{files[2]}")
+        if damaged is not None:
+            with open(f"{local}/{files[2]}", "wb") as f:
+                f.write(damaged)
+        with pytest.raises(Exception):
+            warc.read_warc(spark, folder).count()
+    with pytest.raises(Exception):
+        warc.read_warc(spark, fresh_path(spark, "never-written")).count()
+    manifest = spark.createDataFrame([("_temporary-gone", "part-gone.warc.gz", 1, 10, "x")], warc._MANIFEST)
+    with pytest.raises(Exception):
+        manifest.mapInArrow(warc._commit(folder), warc._MANIFEST).count()
+
+
 # 4 chat
 
 
@@ -424,7 +453,7 @@ def test_extraction_equals_tree_matching_of_all_pages(spark, layout):
 
 @pytest.mark.parametrize("table_rows", [3_000_000, 40])
 def test_lm_scores_match_brute_force(spark, odd, none, table_rows):
-    docs = odd.where("doc_id is not null")
+    docs = odd.where("doc_id is not null").unionByName(frame(spark, [" ".join(f"then{i % 977} of" for i in range(140_000)), " " * 1_200_000], first=9000))
     got = sorted(lm_score.lm_scores(docs, table_rows=table_rows, blocks=3).collect(), key=lambda r: r.doc_id)
     data = sorted((r.doc_id, b" ".join((r.text or "").encode().lower().split()) + b"\n") for r in docs.collect())
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in data]
@@ -442,13 +471,60 @@ def test_lm_scores_match_brute_force(spark, odd, none, table_rows):
         assert (r.doc_id, r.held_out, r.n_tokens, r.train_tokens) == (i, h, len(words), n)
         assert r.n_known == sum(count[w] > 0 for w in words)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words), abs=1e-6)
-        assert r.score == pytest.approx(block.log_probabilities(ctw.grams(*stream([t]), ctw.DEPTH), top).sum() / math.log(10), abs=1e-6)
+        assert r.score == pytest.approx(block.log_probabilities(ctw.grams(*stream([t]), ctw.DEPTH), top).sum() / math.log(10), rel=1e-9, abs=1e-6)
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / len(t))
     assert lm_score.lm_scores(none).count() == 0
     context = ctw.grams(*stream([b"then the of\n"]), ctw.DEPTH) >> np.uint64(8)
     for c in context:
         assert np.exp(block.log_probabilities((c << np.uint64(8)) | np.arange(256, dtype=np.uint64), top)).sum() == pytest.approx(1)
 
 
+def test_context_trees_by_the_definition():
+    """P_w by recursion over all nodes of a small text; what a further bit multiplies it by is the bit's probability."""
+    text, depth = b"the then of\nthe of\n", 3
+    seen = collections.defaultdict(lambda: [0, 0])  # (context bytes, nearest last; bits so far) -> zeros, ones
+
+    def steps(context, byte):
+        for k in range(8):
+            bits = f"{byte:08b}"[:k]
+            yield bits, byte >> (7 - k) & 1, [(context[len(context) - d :], bits) for d in range(depth + 1)]
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(context, bits):
+        own = kt(*seen[context, bits])
+        if len(context) == depth:
+            return own
+        below = [weighted(c, bits) for c in sorted({c for c, b in list(seen) if b == bits and len(c) == len(context) + 1 and c.endswith(context)})]
+        return float(np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(below)))
+
+    lines = [x + b"\n" for x in text.split(b"\n")[:-1]]
+    for line in lines:
+        padded = b"\n" * depth + line
+        for i in range(len(line)):
+            for _, bit, nodes in steps(padded[i : i + depth], line[i]):
+                for node in nodes:
+                    seen[node][bit] += 1
+    raw, first = np.frombuffer(b"".join(lines), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in lines])))
+    keys, counts = np.unique(ctw.grams(raw, first, depth), return_counts=True)
+    block = ctw.Block(keys, counts, depth)
+    roots = collections.defaultdict(lambda: np.zeros(3))
+    for b, i, *x in block.roots():
+        roots[b, i & ((256 << b) - 1)] += x
+    top = ctw.Top([(b, i, *x) for (b, i), x in roots.items()])
+    for key, got in zip(keys.tolist(), block.log_probabilities(keys, top), strict=True):
+        context, want = bytes(key >> 8 * j & 255 for j in range(depth, 0, -1)), 0.0
+        for bits, bit, nodes in steps(context, key & 255):
+            before = weighted(b"", bits)
+            for node in nodes:
+                seen[node][bit] += 1
+            want += weighted(b"", bits) - before
+            for node in nodes:
+                seen[node][bit] -= 1
+        assert got == pytest.approx(want, abs=1e-8)
+
+
 def test_kt_estimates_follow_the_sequential_rule():
     logp, a, b = 0.0, 0, 0
     for bit in [0, 1, 1, 0, 1, 1, 1]:
@@ -469,11 +545,23 @@ def test_shards_are_even_and_repeatable(spark, odd, none):
     assert max(sizes) - min(sizes) <= 1 and all(sorted(back[s]) == list(range(len(back[s]))) for s in back)
     texts = collections.Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in odd.collect())
     assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got.collect()) == texts
-    place = lambda df: sorted((str(r.doc_id), r.place) for r in sharding.shuffled(df.where("doc_id < 80").dropDuplicates(["doc_id"]), bucket_bytes=20_000).collect())
-    assert place(odd) == place(odd.repartition(7))
+    place = lambda df: sorted((str(r.doc_id), r.place) for r in sharding.shuffled(df.where("doc_id < 80").dropDuplicates(["doc_id"]), bucket_bytes=20_000, part_bytes=60_000).collect())
+    assert place(odd) == place(odd.repartition(7)) and len({p for _, p in place(odd)}) == len(place(odd))
     assert sharding.shard_report(none).count() == 0
 
 
+def test_shards_are_written_in_the_order_of_their_slots(spark, odd):
+    from repertoire.llm._shared import fresh_path
+
+    path = fresh_path(spark, "shards")
+    back = sharding.write_shards(odd, path, shards=5, part_bytes=40_000)
+    assert back.count() == odd.count() and set(back.columns) == {*odd.columns, "size", "shard", "slot", "place"}
+    for n in range(5):
+        shard = spark.read.parquet(f"{path}/shard={n}").select("slot", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
+        slots = [r.slot for r in shard.orderBy("f", "i").collect()]  # files in order of their names
+        assert slots == list(range(len(slots)))
+
+
 # 9 near dedup
 
 
