@@ -8,33 +8,51 @@ from pyspark.sql import functions as F
 from repertoire.functions.sequences import mismatches
 from repertoire.operators.graph import components
 
+#: Columns of ';'-joined gene sets.
 GENE_COLUMNS = ("va", "ja", "vb", "jb")
 #: Quality below which a single mismatch may be an error.
 MERGE_QUALITY = 20
+#: One mismatch is an error too if the non-germline part has no more, or the junction is as unlikely as this log10.
+NEW_MISMATCHES, UNLIKELY = 1, -15
+#: Mismatches that non-germline parts of unequal lengths count as.
+UNEQUAL = 9
 
 
 def read_groups(reads: DataFrame) -> DataFrame:
-    """Identical receptors of a subject: (key, epitope, subject, genes, nuc_a, nuc_b, size, qa, qb, first_read)."""
+    """Identical receptors of a subject: (key, epitope, subject, genes, nuc_a, nuc_b, size, qa, qb, first_read, new, log10_p).
+
+    ``new`` joins the non-germline parts of both chains and ``log10_p`` is the truncated log10 probability of
+    the junctions; both are null where the reads have no columns ``new_a`` and ``new_b`` or ``log10_p``.
+    """
     cols = ["epitope", "subject", *GENE_COLUMNS, "nuc_a", "nuc_b"]
-    groups = reads.groupBy(*cols).agg(F.count(F.lit(1)).alias("size"), F.max("qual_a").alias("qa"), F.max("qual_b").alias("qb"), F.min("read_id").alias("first_read"))
+    new = F.min(F.concat_ws(" ", "new_a", "new_b")) if {"new_a", "new_b"} <= set(reads.columns) else F.lit(None).cast("string")
+    p = F.min(F.col("log10_p").cast("int")) if "log10_p" in reads.columns else F.lit(None).cast("int")
+    groups = reads.groupBy(*cols).agg(
+        F.count(F.lit(1)).alias("size"), F.max("qual_a").alias("qa"), F.max("qual_b").alias("qb"), F.min("read_id").alias("first_read"), new.alias("new"), p.alias("log10_p")
+    )
     return groups.withColumn("key", F.concat_ws("|", *cols))
 
 
 def merge_edges(groups: DataFrame) -> DataFrame:
-    """(a, b) keys of groups that are one clone: equal genes and lengths, one chain identical, and no
-    mismatch in the other, or one where the group with the lower quality is a poor singleton.
+    """(a, b) keys of groups that are one clone: all four gene sets have a gene in common, lengths are equal, one
+    chain is identical, and the other has no mismatch, or one where the group with the lower quality is a
+    poor singleton and the mismatch is no change of the junction (or the junction unlikely to come twice).
 
-    Two equi-joins, one on each identical chain; no pair is made that differs in both.
+    Two equi-joins, one on each identical chain and a V gene in common; no pair is made that differs in both.
     """
-    names = ["epitope", "subject", *GENE_COLUMNS]
-    own = ["key", "nuc_a", "nuc_b", "qa", "qb", "size"]
+    names = ["epitope", "subject"]
+    own = ["key", "nuc_a", "nuc_b", "qa", "qb", "size", "new", "log10_p", *GENE_COLUMNS]
     out = None
     for same, other, q in (("nuc_a", "nuc_b", "qb"), ("nuc_b", "nuc_a", "qa")):
-        side = lambda n: groups.select(*names, F.col(same), F.length(other).alias("__len"), *[F.col(c).alias(f"{c}{n}") for c in own if c != same])  # noqa: B023, E731
-        pairs = side(1).join(side(2), [*names, same, "__len"]).where("key1 < key2")
+        side = lambda n: groups.select(*names, F.explode(F.split("va", ";")).alias("__v"), F.col(same), F.length(other).alias("__len"), *[F.col(c).alias(f"{c}{n}") for c in own if c != same])  # noqa: B023, E731
+        pairs = side(1).join(side(2), [*names, "__v", same, "__len"]).where("key1 < key2")
+        for g in GENE_COLUMNS[1:]:
+            pairs = pairs.where(F.arrays_overlap(F.split(f"{g}1", ";"), F.split(f"{g}2", ";")))
         miss = mismatches(F.col(f"{other}1"), F.col(f"{other}2"))
         low = F.when(F.col(f"{q}1") < F.col(f"{q}2"), F.col("size1")).otherwise(F.col("size2"))
-        merge = (miss == 0) | ((miss == 1) & (F.least(f"{q}1", f"{q}2") < MERGE_QUALITY) & (low == 1))
+        new = F.when(F.length("new1") != F.length("new2"), UNEQUAL).otherwise(mismatches(F.col("new1"), F.col("new2")))
+        junction = F.coalesce(new <= NEW_MISMATCHES, F.lit(True)) | F.coalesce(F.least("log10_p1", "log10_p2") < UNLIKELY, F.lit(False))
+        merge = (miss == 0) | ((miss == 1) & (F.least(f"{q}1", f"{q}2") < MERGE_QUALITY) & (low == 1) & junction)
         edges = pairs.where(merge).select(F.col("key1").alias("a"), F.col("key2").alias("b"))
         out = edges if out is None else out.unionAll(edges)
     return out.distinct()

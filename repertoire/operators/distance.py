@@ -1,9 +1,10 @@
 """Receptor distances: germline V distances, blocked all-pairs comparison, neighbours within a radius.
 
 All pairs of a repertoire are compared in blocks. A block pair is one task unit: its clones arrive once,
-encoded distances are computed as matrices, and only what the caller asked for leaves the task - the
-smallest distances of each clone, the pairs within a radius, or sums over pairs. The number of units
-grows with the square of a repertoire, as the comparison must, but no unit and no row does.
+encoded distances are computed as matrices, and only what the caller asked for leaves the task - how often
+each clone has which of its smallest distances, the pairs within a radius, or sums over pairs. Within one
+repertoire a block meets each later block once. The number of units grows with the square of a repertoire,
+as the comparison must, but no unit and no row does: distances lie on a grid of a few hundred values.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from repertoire.functions.sequences import DistanceParams, aligned_distance
 from repertoire.functions.tables import AMINO_ACIDS, substitution_distance
+from repertoire.operators.broadcasts import bounded
 
 CHAINS = ("A", "B", "AB")
 #: Clones on one side of a block pair: bounds a unit's matrices to a few MB.
@@ -114,7 +116,7 @@ def in_block_pairs(
 ) -> DataFrame:
     """``work(query block, reference block)`` for every pair of blocks of rows that share ``unit``."""
     sizes = queries.groupBy(unit).agg(F.count(F.lit(1)).alias("__q")).join(references.groupBy(unit).agg(F.count(F.lit(1)).alias("__r")), unit)
-    blocks = F.broadcast(sizes.select(unit, F.ceil(F.col("__q") / block).cast("int").alias("__nq"), F.ceil(F.col("__r") / block).cast("int").alias("__nr")))
+    blocks = bounded(sizes.select(unit, F.ceil(F.col("__q") / block).cast("int").alias("__nq"), F.ceil(F.col("__r") / block).cast("int").alias("__nr")))
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         own_block = F.pmod(F.xxhash64("clone_id"), F.col(own)).cast("int").alias(f"{own}_b")
@@ -128,6 +130,24 @@ def in_block_pairs(
     return dealt(queries, "__nq", "__nr").groupBy("__unit").cogroup(dealt(references, "__nr", "__nq").groupBy("__unit")).applyInPandas(run, schema)
 
 
+def in_own_blocks(rows: DataFrame, unit: str, work: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, *, block: int = BLOCK) -> DataFrame:
+    """``work(block, block, mask)`` for every pair of blocks of rows that share ``unit``, each pair once: the
+    mask is the upper triangle where both are one block, and true elsewhere, so that every two rows meet once."""
+    sizes = rows.groupBy(unit).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n"))
+    own, other = F.pmod(F.xxhash64("clone_id"), F.col("__n")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    dealt = rows.join(bounded(sizes), unit).select(*rows.columns, own.alias("__own"), other.alias("__other"))
+    dealt = dealt.withColumn("__unit", F.xxhash64(unit, F.least("__own", "__other"), F.greatest("__own", "__other")))
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        low = x["__own"].to_numpy() == min(x["__own"].iloc[0], x["__other"].iloc[0])
+        q, r = x[low].reset_index(drop=True), x[~low].reset_index(drop=True)
+        if x["__own"].iloc[0] == x["__other"].iloc[0]:
+            return work(q, q, np.triu(np.ones((len(q), len(q)), bool), 1))
+        return work(q, r, np.ones((len(q), len(r)), bool))
+
+    return dealt.groupBy("__unit").applyInPandas(run, schema)
+
+
 def _usable(q: pd.DataFrame, r: pd.DataFrame, intrasubject: bool, one_subject: bool) -> np.ndarray:
     own = q["clone_id"].to_numpy()[:, None] == r["clone_id"].to_numpy()[None, :]
     if intrasubject or one_subject:
@@ -135,75 +155,111 @@ def _usable(q: pd.DataFrame, r: pd.DataFrame, intrasubject: bool, one_subject: b
     return ~own & (q["subject"].to_numpy()[:, None] != r["subject"].to_numpy()[None, :])
 
 
+def smallest_counts(d: np.ndarray, good: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, count): each row's distinct good values in order until ``depth`` of them are counted, then
+    infinity with the count of the rest, where there is one or there is no value at all."""
+    whole = np.where(good, d, 0).astype(np.int64)
+    if not np.any(good & (whole != d)):  # distances of whole numbers need no sorting
+        values = np.append(np.arange(int(whole.max(initial=0)) + 1, dtype=np.float64), np.inf)
+        number = np.where(good, whole, len(values) - 1)
+    else:
+        values, number = np.unique(np.where(good, d, np.inf), return_inverse=True)
+    grid = len(values)
+    seen = np.bincount((np.arange(len(d))[:, None] * grid + number.reshape(d.shape)).ravel(), minlength=len(d) * grid).reshape(len(d), grid)
+    if grid and np.isinf(values[-1]):
+        values, seen = values[:-1], seen[:, :-1]
+    upto = np.cumsum(seen, 1)
+    kept = (seen > 0) & (upto - seen < depth[:, None])
+    row, at = np.nonzero(kept)
+    rest = seen.sum(1) - np.where(kept, seen, 0).sum(1)
+    more = np.flatnonzero((rest > 0) | ~kept.any(1))
+    return np.concatenate((row, more)), np.concatenate((values[at], np.full(len(more), np.inf))), np.concatenate((seen[row, at], rest[more]))
+
+
 def nearest_distances(
     clones: DataFrame, genes: DataFrame | None, *, references: DataFrame | None = None, largest_percentile: int = 25, intrasubject: bool = False,
-    params: DistanceParams = DistanceParams(), own_epitope: bool = True,
+    params: DistanceParams = DistanceParams(), own_epitope: bool = True, block: int = BLOCK,
 ) -> DataFrame:
     """(clone_id, epitope, ref_epitope, chains, n, nearest): the count of distances from each clone to a
-    reference repertoire and the smallest ones, sorted, as many as the percentile can ask for.
+    reference repertoire and the smallest ones as sorted (d, n) values with their counts, as many as the
+    percentile can ask for and a few more.
 
     ``references`` defaults to the clones themselves. Self is left out, and so are clones of the same
-    subject unless ``intrasubject`` or there is but one subject.
+    subject unless ``intrasubject`` or there is but one subject. A block pair sends at most the distinct
+    distances of each clone, whatever the repertoires' sizes, and Spark adds their counts.
     """
     table = v_table(genes, params)
     refs = (clones if references is None else references).select(*_COLUMNS)
     subjects = clones.agg(F.count_distinct("subject")).first()[0]
     sizes = refs.groupBy(F.col("epitope").alias("ref_epitope")).agg(F.count(F.lit(1)).alias("__n"))
-    depth = (F.floor(F.col("__n") * largest_percentile / 100) + 1).cast("int").alias("depth")
+    depth = (F.floor(F.col("__n") * largest_percentile / 100) + 1).cast("long").alias("depth")
     if own_epitope:
-        asked = clones.select(*_COLUMNS, F.col("epitope").alias("ref_epitope")).join(F.broadcast(sizes), "ref_epitope")
+        asked = clones.select(*_COLUMNS, F.col("epitope").alias("ref_epitope")).join(bounded(sizes), "ref_epitope")
     else:
-        asked = clones.select(*_COLUMNS).join(F.broadcast(sizes))
+        # every clone is asked against every repertoire, by definition: these are groups, not rows
+        listed = sizes.agg(F.collect_list(F.struct("ref_epitope", "__n")).alias("__all"))
+        asked = clones.select(*_COLUMNS, F.lit(1).alias("__one")).join(F.broadcast(listed.withColumn("__one", F.lit(1))), "__one").select(*_COLUMNS, F.inline("__all"))
     asked = asked.select(*_COLUMNS, "ref_epitope", depth)
     one = subjects <= 1
 
     def work(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        out = []
         if len(q) and len(r):
             ok = _usable(q, r, intrasubject, one)
             for c, d in chain_matrices(q, r, table, params).items():
-                good = ok & ~np.isnan(d)
-                n = good.sum(1)
-                d = np.where(good, d, np.inf)
-                k = min(int(q["depth"].max()), d.shape[1])
-                d = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1) if k else d
-                for i, (who, epitope, ref, depth_i) in enumerate(zip(q["clone_id"], q["epitope"], q["ref_epitope"], q["depth"], strict=True)):
-                    rows.append((who, epitope, ref, c, int(n[i]), d[i, : min(int(n[i]), int(depth_i))].astype(np.float64)))
-        return pd.DataFrame(rows, columns=["clone_id", "epitope", "ref_epitope", "chains", "n", "nearest"])
+                row, value, count = smallest_counts(d, ok & ~np.isnan(d), q["depth"].to_numpy())
+                x = q.iloc[row]
+                out.append(pd.DataFrame({"clone_id": x["clone_id"].to_numpy(), "epitope": x["epitope"].to_numpy(), "ref_epitope": x["ref_epitope"].to_numpy(), "chains": c, "d": value.astype(np.float64), "n": count}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["clone_id", "epitope", "ref_epitope", "chains", "d", "n"])
 
     kind = clones.schema["clone_id"].dataType.simpleString()
-    schema = f"clone_id {kind}, epitope string, ref_epitope string, chains string, n long, nearest array<double>"
-    parts = in_block_pairs(asked, refs.withColumn("ref_epitope", F.col("epitope")), "ref_epitope", work, schema)
-    return parts.groupBy("clone_id", "epitope", "ref_epitope", "chains").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("nearest"))).alias("nearest"))
+    schema = f"clone_id {kind}, epitope string, ref_epitope string, chains string, d double, n long"
+    parts = in_block_pairs(asked, refs.withColumn("ref_epitope", F.col("epitope")), "ref_epitope", work, schema, block=block)
+    keys = ["clone_id", "epitope", "ref_epitope", "chains"]
+    counts = parts.groupBy(*keys, "d").agg(F.sum("n").alias("n"))
+    finite = F.when(F.col("d") < float("inf"), F.struct("d", "n"))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(finite)).alias("nearest"))
 
 
 def pairs_within(
-    clones: DataFrame, genes: DataFrame | None, radius: float | None, *, chains: tuple[str, ...] = CHAINS, unit: str = "epitope", params: DistanceParams = DistanceParams()
+    clones: DataFrame, genes: DataFrame | None, radius: float | None, *, chains: tuple[str, ...] = CHAINS, unit: str = "epitope", params: DistanceParams = DistanceParams(), block: int = BLOCK
 ) -> DataFrame:
     """(chains, id1, id2, subject1, subject2, epitope1, epitope2, dist) of pairs id1 < id2 that share
     ``unit`` and are at most ``radius`` a chain apart (all pairs if None)."""
     table = v_table(genes, params)
     rows = clones.select(*_COLUMNS, *([unit] if unit not in _COLUMNS else []))
 
-    def work(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def work(q: pd.DataFrame, r: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
             below = q["clone_id"].to_numpy()[:, None] < r["clone_id"].to_numpy()[None, :]
             for c, d in chain_matrices(q, r, table, params).items():
                 if c in chains:
-                    i, j = np.nonzero(below & ~np.isnan(d) & (d <= radius * len(c) if radius is not None else True))
-                    x, y = q.iloc[i].reset_index(drop=True), r.iloc[j].reset_index(drop=True)
-                    out.append(pd.DataFrame({"chains": c, "id1": x["clone_id"], "id2": y["clone_id"], "subject1": x["subject"], "subject2": y["subject"],
-                                             "epitope1": x["epitope"], "epitope2": y["epitope"], "dist": d[i, j].astype(float)}))
+                    i, j = np.nonzero(mask & ~np.isnan(d) & (d <= radius * len(c) if radius is not None else True))
+                    first = below[i, j]
+                    x, y = q.iloc[i], r.iloc[j]
+                    pick = lambda n, a, b: np.where(first, a[n].to_numpy(), b[n].to_numpy())  # noqa: B023, E731
+                    out.append(pd.DataFrame({"chains": c, "id1": pick("clone_id", x, y), "id2": pick("clone_id", y, x), "subject1": pick("subject", x, y), "subject2": pick("subject", y, x),
+                                             "epitope1": pick("epitope", x, y), "epitope2": pick("epitope", y, x), "dist": d[i, j].astype(float)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["chains", "id1", "id2", "subject1", "subject2", "epitope1", "epitope2", "dist"])
 
     kinds = {c: clones.schema[c].dataType.simpleString() for c in ("clone_id", "subject")}
     schema = f"chains string, id1 {kinds['clone_id']}, id2 {kinds['clone_id']}, subject1 {kinds['subject']}, subject2 {kinds['subject']}, epitope1 string, epitope2 string, dist double"
-    return in_block_pairs(rows, rows, unit, work, schema)
+    return in_own_blocks(rows, unit, work, schema, block=block)
+
+
+def _membership(x: pd.DataFrame) -> tuple[list, np.ndarray]:
+    """The (epitope, subject) groups of a block and a matrix of who is in which."""
+    groups = list(x.groupby(["epitope", "subject"], sort=False).indices.items())
+    out = np.zeros((len(groups), len(x)))
+    for k, (_, rows) in enumerate(groups):
+        out[k, rows] = 1.0
+    return [g for g, _ in groups], out
 
 
 def pair_sums(
-    clones: DataFrame, genes: DataFrame | None, value: Callable[[np.ndarray, str], np.ndarray], *, unit: str = "epitope", by_clone: bool = False, params: DistanceParams = DistanceParams()
+    clones: DataFrame, genes: DataFrame | None, value: Callable[[np.ndarray, str], np.ndarray], *, unit: str = "epitope", by_clone: bool = False, params: DistanceParams = DistanceParams(),
+    block: int = BLOCK,
 ) -> DataFrame:
     """Sums of ``value(distances, chains)`` over ordered pairs of different clones that share ``unit``:
     (unit, epitope1, epitope2, subject1, subject2, chains, n, total), or (unit, clone_id, chains, n, total)."""
@@ -211,28 +267,61 @@ def pair_sums(
     rows = clones.select(*_COLUMNS, *([unit] if unit not in _COLUMNS else []))
     keys = ["clone_id"] if by_clone else ["epitope1", "epitope2", "subject1", "subject2"]
 
-    def work(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def work(q: pd.DataFrame, r: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
-            other = q["clone_id"].to_numpy()[:, None] != r["clone_id"].to_numpy()[None, :]
+            (gq, mq), (gr, mr) = ((None, None), (None, None)) if by_clone else (_membership(q), _membership(r))
             for c, d in chain_matrices(q, r, table, params).items():
-                good = other & ~np.isnan(d)
+                good = mask & ~np.isnan(d)
                 v = np.where(good, value(np.where(good, d, 0).astype(np.float64), c), 0.0)
                 if by_clone:
-                    out.append(pd.DataFrame({"unit": q[unit], "clone_id": q["clone_id"], "chains": c, "n": good.sum(1), "total": v.sum(1)}))
+                    for x, axis in ((q, 1), (r, 0)):
+                        out.append(pd.DataFrame({"unit": x[unit], "clone_id": x["clone_id"], "chains": c, "n": good.sum(axis), "total": v.sum(axis)}))
                 else:
-                    gq, gr = [list(x.groupby(["epitope", "subject"], sort=False).indices.items()) for x in (q, r)]
-                    out.append(pd.DataFrame(
-                        [(q[unit].iloc[0], e1, e2, s1, s2, c, int(good[np.ix_(i, j)].sum()), float(v[np.ix_(i, j)].sum())) for (e1, s1), i in gq for (e2, s2), j in gr],
-                        columns=["unit", *keys, "chains", "n", "total"]))
+                    n, total = mq @ good @ mr.T, mq @ v @ mr.T
+                    cells = [(i, j) for i in range(len(gq)) for j in range(len(gr)) if n[i, j]]
+                    ends = [(gq[i], gr[j], n[i, j], total[i, j]) for i, j in cells]
+                    rows_ = [(q[unit].iloc[0], a[0], b[0], a[1], b[1], c, int(k), float(t)) for x, y, k, t in ends for a, b in ((x, y), (y, x))]
+                    out.append(pd.DataFrame(rows_, columns=["unit", *keys, "chains", "n", "total"]))
         return pd.concat(out) if out else pd.DataFrame(columns=["unit", *keys, "chains", "n", "total"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("clone_id", "subject", unit)}
     by = f"clone_id {kinds['clone_id']}" if by_clone else f"epitope1 string, epitope2 string, subject1 {kinds['subject']}, subject2 {kinds['subject']}"
-    parts = in_block_pairs(rows, rows, unit, work, f"unit {kinds[unit]}, {by}, chains string, n long, total double")
+    parts = in_own_blocks(rows, unit, work, f"unit {kinds[unit]}, {by}, chains string, n long, total double", block=block)
     return parts.groupBy("unit", *keys, "chains").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
+def permuted_sums(clones: DataFrame, genes: DataFrame | None, labels: str, repeats: int, *, unit: str = "epitope", params: DistanceParams = DistanceParams(), block: int = BLOCK) -> DataFrame:
+    """(unit, rep, group1 <= group2, chains, n, total) of pairs counted once under ``repeats`` relabellings: the
+    array column ``labels`` gives each clone's group in each of them. No pair leaves a task."""
+    table = v_table(genes, params)
+    rows = clones.select(*_COLUMNS, labels, *([unit] if unit not in _COLUMNS else []))
+    names = ["unit", "rep", "group1", "group2", "chains", "n", "total"]
+
+    def work(q: pd.DataFrame, r: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            lq, lr = np.stack(q[labels].tolist()), np.stack(r[labels].tolist())
+            groups, number = np.unique(np.concatenate((lq.ravel(), lr.ravel())), return_inverse=True)
+            nq, nr = number[: lq.size].reshape(lq.shape), number[lq.size :].reshape(lr.shape)
+            one = np.eye(len(groups))
+            for c, d in chain_matrices(q, r, table, params).items():
+                good = mask & ~np.isnan(d)
+                v, g = np.where(good, d, 0).astype(np.float64), good.astype(np.float64)
+                for rep in range(repeats):
+                    a, b = one[nq[:, rep]].T, one[nr[:, rep]]
+                    n, total = a @ g @ b, a @ v @ b
+                    n, total = n + n.T - np.diag(np.diag(n)), total + total.T - np.diag(np.diag(total))
+                    i, j = np.nonzero(np.triu(n))
+                    out.append(pd.DataFrame({"unit": q[unit].iloc[0], "rep": rep, "group1": groups[i], "group2": groups[j], "chains": c, "n": n[i, j].astype(np.int64), "total": total[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
+
+    kind = rows.schema[labels].dataType.elementType.simpleString()
+    schema = f"unit {rows.schema[unit].dataType.simpleString()}, rep int, group1 {kind}, group2 {kind}, chains string, n long, total double"
+    parts = in_own_blocks(rows, unit, work, schema, block=block)
+    return parts.groupBy(*names[:5]).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def gaussian(threshold: float) -> Callable[[np.ndarray, str], np.ndarray]:
     """exp(-(d / (threshold * chains))^2)."""
     return lambda d, c: np.exp(-((d / (threshold * len(c))) ** 2))
@@ -260,3 +349,46 @@ def length_band_pairs(clones: DataFrame, chain: str, radius: float, params: Dist
 
     kind = clones.schema["clone_id"].dataType.simpleString()
     return in_block_pairs(keyed(left, F.col("n")), keyed(rows, size), "unit", work, f"epitope string, id1 {kind}, id2 {kind}, dist double")
+
+
+def distance_histogram(clones: DataFrame, genes: DataFrame | None, *, params: DistanceParams = DistanceParams(), block: int = BLOCK) -> DataFrame:
+    """(epitope1 <= epitope2, chains, d, n): how many pairs of clones of two repertoires have each distance, with
+    both orders of a pair where the repertoires are one. Bounded by the grid of distances, not by pairs."""
+    table = v_table(genes, params)
+    rows = clones.select(*_COLUMNS).withColumn("__every", F.lit(1))
+
+    def work(q: pd.DataFrame, r: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            for c, d in chain_matrices(q, r, table, params).items():
+                for e1, i in q.groupby("epitope").indices.items():
+                    for e2, j in r.groupby("epitope").indices.items():
+                        x = d[np.ix_(i, j)][mask[np.ix_(i, j)]]
+                        value, n = np.unique(x[~np.isnan(x)].astype(np.float64), return_counts=True)
+                        out.append(pd.DataFrame({"epitope1": min(e1, e2), "epitope2": max(e1, e2), "chains": c, "d": value, "n": n * (2 if e1 == e2 else 1)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["epitope1", "epitope2", "chains", "d", "n"])
+
+    parts = in_own_blocks(rows, "__every", work, "epitope1 string, epitope2 string, chains string, d double, n long", block=block)
+    return parts.groupBy("epitope1", "epitope2", "chains", "d").agg(F.sum("n").alias("n"))
+
+
+def with_distance(pairs: DataFrame, clones: DataFrame, genes: DataFrame | None, *, params: DistanceParams = DistanceParams()) -> DataFrame:
+    """``pairs`` (id1, id2, ...) with the distances ``dist_a``, ``dist_b`` and ``dist`` (their sum) of each listed pair."""
+    table = v_table(genes, params)
+    side = lambda i: clones.select(F.col("clone_id").alias(f"id{i}"), F.struct("cdr3a", "cdr3b", "va_genes", "vb_genes").alias(f"__x{i}"))
+    rows = pairs.join(side(1), "id1").join(side(2), "id2")
+
+    @F.pandas_udf("a double, b double")
+    def measure(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = {}
+        for c in "ab":
+            keys = pd.Series(list(zip(x[f"cdr3{c}"], y[f"cdr3{c}"], x[f"v{c}_genes"].map(tuple), y[f"v{c}_genes"].map(tuple), strict=True)))
+            found = {}
+            for k in keys.unique():
+                d = _cdr3_block([k[0]], [k[1]], params)[0, 0]
+                found[k] = float(d + (_v_block([k[2]], [k[3]], table[c.upper()])[0, 0] if table else 0)) * params.scale_factor
+            out[c] = keys.map(found)
+        return pd.DataFrame(out)
+
+    rows = rows.withColumn("__d", measure("__x1", "__x2"))
+    return rows.select(*pairs.columns, F.col("__d.a").alias("dist_a"), F.col("__d.b").alias("dist_b"), (F.col("__d.a") + F.col("__d.b")).alias("dist"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repertoire.functions.sequences import safe_inverse
-from repertoire.operators.distance import gaussian, pair_sums
+from repertoire.operators.distance import gaussian, pair_sums, pairs_within
 
 #: Distance at which the Gaussian of a chain falls to 1/e.
 THRESHOLD = 25 / 1.298
@@ -44,36 +46,88 @@ def gaussian_shannon(clones: DataFrame, genes: DataFrame | None, threshold: floa
     return rows.select("*", F.pow(F.lit(2.0), "entropy").alias("diversity"))
 
 
-def exact_matches(clones: DataFrame, chain: str) -> DataFrame:
-    """Pairs (id1 < id2) with equal CDR3 and overlapping V and J gene sets: an equi-join on the CDR3
-    with the set test as residual."""
-    c = chain.lower()
-    keep = lambda n: clones.select(
-        F.col(f"cdr3{c}").alias("cdr3"), *[F.col(x).alias(f"{x.rstrip('_')}{n}") for x in ("clone_id", "epitope", "subject")], F.col(f"v{c}_genes").alias(f"v{n}"), F.col(f"j{c}").alias(f"j{n}")
-    )
-    return keep(1).join(keep(2), "cdr3").where(F.col("clone_id1") < F.col("clone_id2")).where(F.arrays_overlap("v1", "v2") & (F.col("j1") == F.col("j2")))
+def same_receptor(a: str, b: str, chains: str = "AB", j: bool = True) -> Column:
+    """Whether the receptors of two sides (prefixes of struct columns) are one: equal CDR3s, and overlapping V
+    and J gene sets (V only unless ``j``), on every chain."""
+    tests = []
+    for c in chains.lower():
+        tests.append(F.col(f"{a}.cdr3{c}") == F.col(f"{b}.cdr3{c}"))
+        tests += [F.arrays_overlap(f"{a}.{g}{c}_genes", f"{b}.{g}{c}_genes") for g in ("vj" if j else "v")]
+    return reduce(lambda x, y: x & y, tests)
+
+
+def _receptor(chains: str, j: bool = True) -> list[str]:
+    return [x for c in chains.lower() for x in (f"cdr3{c}", *(f"{g}{c}_genes" for g in ("vj" if j else "v")))]
+
+
+def exact_matches(clones: DataFrame, chains: str) -> DataFrame:
+    """Pairs (clone_id1 < clone_id2) of equal receptors: an equi-join on the CDR3s with the set tests as residual."""
+    seqs = [f"cdr3{c}" for c in chains.lower()]
+    keep = lambda n: clones.select(*seqs, *[F.col(x).alias(f"{x}{n}") for x in ("clone_id", "epitope", "subject")], F.struct(*_receptor(chains)).alias(f"r{n}"))
+    return keep(1).join(keep(2), seqs).where(F.col("clone_id1") < F.col("clone_id2")).where(same_receptor("r1", "r2", chains)).drop("r1", "r2", *seqs)
 
 
 def gene_matches(clones: DataFrame, chain: str) -> DataFrame:
     """(clone_id1, clone_id2, epitope1, epitope2, subject1, subject2) of pairs whose V sets overlap and J agree."""
     c = chain.lower()
     keep = lambda n: clones.select(
-        F.explode(f"v{c}_genes").alias("v"), F.col(f"j{c}").alias("j"), *[F.col(x).alias(f"{x}{n}") for x in ("clone_id", "epitope", "subject")]
+        F.explode(f"v{c}_genes").alias("v"), F.explode_outer(f"j{c}_genes").alias("j"), *[F.col(x).alias(f"{x}{n}") for x in ("clone_id", "epitope", "subject")]
     )
     return keep(1).join(keep(2), ["v", "j"]).where("clone_id1 < clone_id2").drop("v", "j").dropDuplicates(["clone_id1", "clone_id2"])
 
 
-def gene_match_counts(clones: DataFrame, chain: str) -> DataFrame:
-    """(epitope, subject1, subject2, overlap): gene-only matches between subjects of an epitope.
+def gene_match_counts(clones: DataFrame, chains: str) -> DataFrame:
+    """(epitope, subject1, subject2, overlap): gene-only matches (V and J sets of all chains overlap) between subjects
+    of an epitope.
 
     Matching depends on the gene sets alone, so equal sets are counted first and pairs of sets are
-    joined; no pair of clones is made.
+    joined by a J gene in common; no pair of clones is made.
     """
-    c = chain.lower()
-    sets = clones.groupBy("epitope", "subject", F.array_sort(F.array_distinct(f"v{c}_genes")).alias("v"), F.col(f"j{c}").alias("j")).agg(F.count(F.lit(1)).alias("n"))
-    a, b = (sets.select("epitope", "j", F.col("subject").alias(f"subject{i}"), F.col("v").alias(f"v{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    pairs = a.join(b, ["epitope", "j"]).where("subject1 < subject2").where(F.arrays_overlap("v1", "v2"))
-    return pairs.groupBy("epitope", "subject1", "subject2").agg(F.sum(F.col("n1") * F.col("n2")).alias("overlap"))
+    names = [f"{g}{c}_genes" for c in chains.lower() for g in "vj"]
+    genes = F.struct(*[F.array_sort(F.array_distinct(n)).alias(n) for n in names])
+    sets = clones.groupBy("epitope", "subject", genes.alias("g")).agg(F.count(F.lit(1)).alias("n")).withColumn("j", F.explode(f"g.{names[1]}"))
+    a, b = (sets.select("epitope", "j", *[F.col(x).alias(f"{x}{i}") for x in ("subject", "g", "n")]) for i in (1, 2))
+    pairs = a.join(b, ["epitope", "j"]).where("subject1 < subject2")
+    for n in names:
+        pairs = pairs.where(F.arrays_overlap(f"g1.{n}", f"g2.{n}"))
+    return pairs.drop("j").distinct().groupBy("epitope", "subject1", "subject2").agg(F.sum(F.col("n1") * F.col("n2")).alias("overlap"))
+
+
+def match_counts(pairs: DataFrame) -> DataFrame:
+    """(epitope, subject1 < subject2, overlap) of pairs (epitope1, epitope2, subject1, subject2) of one epitope and two subjects."""
+    own = pairs.where("epitope1 = epitope2 and subject1 <> subject2")
+    return own.groupBy(F.col("epitope1").alias("epitope"), F.least("subject1", "subject2").alias("subject1"), F.greatest("subject1", "subject2").alias("subject2")).agg(F.count(F.lit(1)).alias("overlap"))
+
+
+def sharing_grid(clones: DataFrame, genes: DataFrame | None, threshold: float | None = None, *, exact: DataFrame | None = None) -> DataFrame:
+    """``sharing`` of every (mode, chains): equal receptors, genes alone, and distances within the threshold a chain.
+    ``exact``: clones whose CDR3s stand for those of ``clones`` in the first mode."""
+    near = pairs_within(clones, genes, THRESHOLD if threshold is None else threshold)
+    out = []
+    for chains in ("A", "B", "AB"):
+        for mode, counts in (
+            ("receptor", match_counts(exact_matches(clones if exact is None else exact, chains))),
+            ("genes", gene_match_counts(clones, chains)),
+            ("distance", match_counts(near.where(F.col("chains") == chains))),
+        ):
+            out.append(sharing(counts, clones).select(F.lit(mode).alias("mode"), F.lit(chains).alias("chains"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def unpaired_estimate(grid: DataFrame) -> DataFrame:
+    """(mode, epitope, estimate, ratio): the product of both chains' diversities, and by what it exceeds that of pairs."""
+    side = lambda c: grid.where(F.col("chains") == c).select("mode", "epitope", F.col("diversity").alias(c))
+    rows = side("A").join(side("B"), ["mode", "epitope"]).join(side("AB"), ["mode", "epitope"])
+    both = F.col("A") * F.col("B")
+    return rows.select("mode", "epitope", both.alias("estimate"), F.when(F.col("AB") > 0, both / F.col("AB")).otherwise(0.0).alias("ratio"))
+
+
+def gaussian_between(clones: DataFrame, genes: DataFrame | None, threshold: float = THRESHOLD) -> DataFrame:
+    """(epitope1 < epitope2, chains, same_subject, overlap, pairs, diversity) of pairs between repertoires."""
+    sums = pair_sums(clones.withColumn("__every", F.lit(1)), genes, gaussian(threshold), unit="__every").where("epitope1 < epitope2")
+    rows = sums.groupBy("epitope1", "epitope2", "chains", (F.col("subject1") == F.col("subject2")).alias("same_subject"))
+    rows = rows.agg(F.sum("total").alias("overlap"), F.sum("n").alias("pairs"))
+    return rows.select("*", F.when(F.col("overlap") > 0, F.col("pairs") / F.col("overlap")).alias("diversity"))
 
 
 def sharing(matches: DataFrame, clones: DataFrame) -> DataFrame:
@@ -95,17 +149,30 @@ def sharing(matches: DataFrame, clones: DataFrame) -> DataFrame:
     return rows.select("*", F.when(F.col("overlap") > 0, F.col("total") / F.col("overlap")).otherwise(0.0).alias("diversity"))
 
 
-def shared_flags(clones: DataFrame) -> DataFrame:
-    """(clone_id, is_shared): whether another subject of the epitope has the same receptor (both chains)."""
-    key = ["epitope", "cdr3a", "cdr3b"]
-    per = clones.groupBy(*key).agg(F.count_distinct("subject").alias("__s"))
-    return clones.select("clone_id", *key).join(per, key).select("clone_id", (F.col("__s") > 1).alias("is_shared"))
-
-
-def cross_reactivity(clones: DataFrame, chain: str) -> DataFrame:
-    """(clone_id, n_subjects, n_subjects_any, n_epitopes, epitopes): where else a clone's CDR3 is seen."""
-    seq = f"cdr3{chain.lower()}"
-    seen = clones.select(seq, "epitope", "subject").distinct()
-    any_ = seen.groupBy(seq).agg(F.count_distinct("subject").alias("n_subjects_any"), F.count_distinct("epitope").alias("n_epitopes"), F.array_join(F.array_sort(F.collect_set("epitope")), ";").alias("epitopes"))
-    own = seen.groupBy(seq, "epitope").agg(F.count(F.lit(1)).alias("n_subjects"))
-    return clones.select("clone_id", seq, "epitope").join(own, [seq, "epitope"]).join(any_, seq).select("clone_id", "n_subjects", "n_subjects_any", "n_epitopes", "epitopes")
+def shared_flags(clones: DataFrame, chains: str = "AB") -> DataFrame:
+    """(clone_id, is_shared): whether another subject of the epitope has the same receptor (equal CDR3s and
+    overlapping V and J sets). Different receptors of a subject are compared, not clones."""
+    seqs = [f"cdr3{c}" for c in chains.lower()]
+    key = ["epitope", *seqs]
+    receptor = F.struct(*_receptor(chains))
+    own = clones.select("clone_id", "subject", *key, receptor.alias("r1"))
+    other = clones.select("epitope", "subject", receptor.alias("r2")).distinct().select(F.col("subject").alias("other"), "epitope", *[F.col(f"r2.{x}").alias(x) for x in seqs], "r2")
+    cond = [own[k] == other[k] for k in key] + [own["subject"] != other["other"], same_receptor("r1", "r2", chains)]
+    hit = own.join(other, reduce(lambda x, y: x & y, cond), "left_semi").select("clone_id", F.lit(True).alias("__hit"))
+    return clones.select("clone_id").join(hit.distinct(), "clone_id", "left").select("clone_id", F.coalesce("__hit", F.lit(False)).alias("is_shared"))
+
+
+def cross_reactivity(clones: DataFrame, chains: str) -> DataFrame:
+    """(clone_id, n_subjects, n_subjects_any, n_epitopes, epitopes): where a clone's receptor is seen, by equal
+    CDR3s and overlapping V sets (J genes are not looked at). Different receptors are compared, not clones."""
+    seqs = [f"cdr3{c}" for c in chains.lower()]
+    receptor = F.struct(*_receptor(chains, j=False))
+    seen = clones.select(receptor.alias("r2"), "epitope", "subject").distinct().select("*", *[F.col(f"r2.{x}").alias(x) for x in seqs])
+    kinds = clones.select(receptor.alias("r1")).distinct().select("*", *[F.col(f"r1.{x}").alias(x) for x in seqs])
+    met = kinds.join(seen, seqs).where(same_receptor("r1", "r2", chains, j=False)).select("r1", "epitope", "subject").distinct()
+    any_ = met.groupBy("r1").agg(
+        F.count_distinct("subject").alias("n_subjects_any"), F.count_distinct("epitope").alias("n_epitopes"), F.array_join(F.array_sort(F.collect_set("epitope")), ";").alias("epitopes")
+    )
+    own = met.groupBy("r1", "epitope").agg(F.count(F.lit(1)).alias("n_subjects"))
+    rows = clones.select("clone_id", "epitope", receptor.alias("r1"))
+    return rows.join(own, ["r1", "epitope"]).join(any_, "r1").select("clone_id", "n_subjects", "n_subjects_any", "n_epitopes", "epitopes")

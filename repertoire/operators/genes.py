@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from repertoire.functions import tables
 from repertoire.functions.sequences import gene_of_allele, letters
+from repertoire.operators.broadcasts import bounded
 from repertoire.operators.graph import components
 
 
@@ -43,5 +44,5 @@ def counting_representatives(genes: DataFrame, most: int = 1) -> DataFrame:
 def lookup(rows: DataFrame, id_col: str, genes_col: str, table: DataFrame, out: str) -> DataFrame:
     """Adds the sorted distinct representatives of a set-valued gene column; ``table``: (gene, rep)."""
     value = [c for c in table.columns if c != "gene"][0]
-    each = rows.select(id_col, F.explode(genes_col).alias("gene")).join(F.broadcast(table), "gene")
+    each = rows.select(id_col, F.explode(genes_col).alias("gene")).join(bounded(table), "gene")
     return rows.join(each.groupBy(id_col).agg(F.array_sort(F.collect_set(value)).alias(out)), id_col, "left")

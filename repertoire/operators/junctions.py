@@ -12,10 +12,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repertoire.functions import tables
+from repertoire.operators.broadcasts import bounded
 
 MISS_JUNCTION = -4
 ERROR_SHARE = 0.05
@@ -261,7 +262,7 @@ def pseudo_probabilities(files: DataFrame) -> DataFrame:
     """(rep, p) of (file, rep, p): the mean of two files, else the median, files without the gene as 0;
     divided by the total where that is below 1."""
     n = files.select("file").distinct()
-    grid = files.select("rep").distinct().join(F.broadcast(n)).join(files, ["file", "rep"], "left").fillna(0.0, ["p"])
+    grid = files.select("rep").distinct().join(bounded(n)).join(files, ["file", "rep"], "left").fillna(0.0, ["p"])
     k = F.count(F.lit(1))
     each = grid.groupBy("rep").agg(F.when(k <= 2, F.avg("p")).otherwise(F.median("p")).alias("p"))
     return each.select("rep", (F.col("p") / F.least(F.lit(1.0), F.sum("p").over(Window.partitionBy(F.lit(0))))).alias("p"))
@@ -275,3 +276,34 @@ def protein_probability(rows: DataFrame, reps: DataFrame, genes: str, junction:
     sets = rows.select(genes).distinct().select(genes, F.explode(genes).alias("rep"))
     best = sets.join(reps, "rep", "left").groupBy(genes).agg(F.max(F.coalesce("p", F.lit(0.0))).alias("__g"))
     return rows.join(best, genes, "left").withColumn(out, F.coalesce("__g", F.lit(0.0)) * F.col(junction)).drop("__g")
+
+
+#: Share of the chance of keeping one base of a D gene that trimming it away gets.
+TOTAL_TRIM = 0.75
+
+
+def with_total_d_trims(trims: DataFrame, d_genes: DataFrame) -> DataFrame:
+    """(d, d0, d1, p) of D trims with a chance of trimming a gene away: three quarters of the chance that one base
+    is left, all of it at (0, length), then normalised. ``d_genes``: (d, length), a dimension."""
+    rows = trims.join(bounded(d_genes), "d")
+    one = F.sum(F.when(F.col("d0") + F.col("d1") == F.col("length") - 1, F.col("p")).otherwise(0.0))
+    gone = rows.groupBy("d", "length").agg((one * TOTAL_TRIM).alias("p")).select("d", F.lit(0).alias("d0"), F.col("length").alias("d1"), "p")
+    kept = rows.where(F.col("d0") + F.col("d1") != F.col("length")).select("d", F.col("d0").cast("int").alias("d0"), F.col("d1").cast("int").alias("d1"), "p")
+    every = kept.unionByName(gone)
+    return every.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("d")))
+
+
+def average_over_d(trims: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p): the mean over D genes of a distribution (d, keys, p), 0 for a gene without the key."""
+    n = trims.select("d").distinct().agg(F.count(F.lit(1)).alias("__n"))
+    sums = trims.groupBy(*keys).agg(F.sum("p").alias("p"))
+    return sums.join(bounded(n.withColumn("__k", F.lit(1))), F.lit(1) == F.col("__k")).select(*keys, (F.col("p") / F.col("__n")).alias("p"))
+
+
+def shuffled_letters(seq: Column, key: Column, mark: str = "+") -> Column:
+    """A sequence with its letters in an order that a hash of (key, place) gives; marks stay where they are."""
+    at = F.transform(F.filter(F.split(seq, ""), lambda x: (x != "") & (x != mark)), lambda x, i: F.struct(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"))).alias("h"), x.alias("x")))
+    pool = F.transform(F.array_sort(at), lambda p: p["x"])
+    before = lambda i: i - (F.length(F.substr(seq, F.lit(1), i)) - F.length(F.replace(F.substr(seq, F.lit(1), i), F.lit(mark), F.lit(""))))
+    each = F.transform(F.filter(F.split(seq, ""), lambda x: x != ""), lambda x, i: F.when(x == mark, x).otherwise(F.get(pool, before(i))))
+    return F.array_join(each, "")

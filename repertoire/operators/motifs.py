@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from repertoire.functions.sequences import letters
 from repertoire.functions.tables import AMINO_ACIDS, RESIDUE_GROUPS
+from repertoire.operators.broadcasts import bounded
 
 ANY = "[A-Z]"
 
@@ -77,7 +78,7 @@ def support(motifs: DataFrame, seqs: DataFrame, keys: list[str], seq: str) -> Da
     Equal sequences are counted first; motifs are a bounded list that is sent to the sequences.
     """
     counted = seqs.groupBy(*keys, seq).agg(F.count(F.lit(1)).alias("__n"))
-    hits = counted.join(F.broadcast(motifs), F.expr(f"{seq} rlike pattern"))
+    hits = counted.join(bounded(motifs), F.expr(f"{seq} rlike pattern"))
     return hits.groupBy(*keys, "shown", "pattern").agg(F.sum("__n").alias("n"))
 
 
@@ -86,13 +87,29 @@ def score_motifs(found: DataFrame, background: DataFrame, keys: list[str], sizes
 
     ``found`` and ``background`` come from ``support``; ``sizes``: (keys, total).
     """
-    back = background.select("shown", F.col("n").alias("b"))
-    rows = found.where(F.col("n") >= min_count).join(F.broadcast(sizes), keys).join(back, "shown", "left").fillna(0, ["b"])
-    expected = F.col("b") * F.col("total") / F.lit(max(1, background_size))
-    base = F.greatest(F.lit(min_expected), expected)
-    chi = F.pow(F.col("n") - base, 2) / base
-    rows = rows.select(*keys, "shown", "pattern", "n", expected.alias("expected"), chi.alias("chi_squared"))
-    return rows.where((F.col("n") > 2 * F.col("expected")) & (F.col("chi_squared") > min_chi))
+    rows = score_against(found, [(background, background_size)], keys, sizes, min_count=min_count, min_expected=min_expected, min_chi=min_chi)
+    return rows.select(*keys, "shown", "pattern", "n", F.col("expected1").alias("expected"), "chi_squared")
+
+
+def score_against(
+    found: DataFrame, backgrounds: list[tuple[DataFrame, int]], keys: list[str], sizes: DataFrame, *, pseudocount: float = 0.0, min_count: int = 10, min_expected: float = 0.25, min_chi: float = 20.0,
+) -> DataFrame:
+    """(keys, shown, pattern, n, expected1, expected2, .., chi_squared) of motifs that are over twice as frequent as each of
+    several backgrounds lets expect; chi-squared is against the largest expectation. A background is its support
+    (shown, n) and the number of its sequences, or support by ``keys`` with a column ``total`` for it."""
+    rows = found.where(F.col("n") >= min_count).join(bounded(sizes.select(*keys, F.col("total").alias("__t"))), keys)
+    names = []
+    for i, (back, size) in enumerate(backgrounds, 1):
+        on = [*(keys if size is None else []), "shown"]
+        rows = rows.join(back.select(*on, F.col("n").alias("__b"), (F.col("total") if size is None else F.lit(max(1, size))).alias("__s")), on, "left")
+        whole = F.coalesce("__s", F.lit(1 if size is None else max(1, size)))
+        rows = rows.withColumn(f"expected{i}", (F.coalesce("__b", F.lit(0)) + F.lit(pseudocount)) * F.col("__t") / whole).drop("__b", "__s")
+        names.append(f"expected{i}")
+    base = F.greatest(F.lit(min_expected), *names)
+    rows = rows.withColumn("chi_squared", F.pow(F.col("n") - base, 2) / base)
+    for e in names:
+        rows = rows.where(F.col("n") > 2 * F.col(e))
+    return rows.where(F.col("chi_squared") > min_chi).select(*keys, "shown", "pattern", "n", *names, "chi_squared")
 
 
 def _extended(places: DataFrame, keys: list[str], pad: int = 3, end_pad: int = 4) -> DataFrame:
@@ -158,7 +175,7 @@ def mine_motifs(
 
 def matches(motifs: DataFrame, clones: DataFrame, keys: list[str], seq: str, id_col: str = "clone_id") -> DataFrame:
     """(keys, shown, id) of clones that match a motif of their own key."""
-    return clones.join(F.broadcast(motifs.select(*keys, "shown", "pattern")), keys).where(F.expr(f"{seq} rlike pattern")).select(*keys, "shown", id_col)
+    return clones.join(bounded(motifs.select(*keys, "shown", "pattern")), keys).where(F.expr(f"{seq} rlike pattern")).select(*keys, "shown", id_col)
 
 
 def top_genes(found: DataFrame, clones: DataFrame, keys: list[str], gene: str, most: int = 3, id_col: str = "clone_id") -> DataFrame:

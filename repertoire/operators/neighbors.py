@@ -9,23 +9,32 @@ EPSILON = 1e-6
 
 
 def neighbor_scores(nearest: DataFrame, percentiles: tuple[int, ...] = (5, 10, 25)) -> DataFrame:
-    """(.., percentile, nbrdist, wtd_nbrdist) of the sorted arrays that ``nearest_distances`` gives.
+    """(.., percentile, nbrdist, wtd_nbrdist) of the sorted (d, n) counts that ``nearest_distances`` gives, or of
+    sorted arrays of distances.
 
     The plain score is the mean of the smallest ``pct`` percent (at least one; a negative percentile is
     a count); the weighted one falls linearly from weight one. Both are 0 where there is no distance.
     """
+    if nearest.schema["nearest"].dataType.elementType.typeName() != "struct":
+        nearest = nearest.withColumn("nearest", F.transform("nearest", lambda x: F.struct(x.cast("double").alias("d"), F.lit(1).cast("long").alias("n"))))
     rows = nearest.withColumn("percentile", F.explode(F.array(*[F.lit(p) for p in percentiles])))
     p, n = F.col("percentile"), F.col("n")
     asked = F.when(p < 0, F.least(n, -p)).otherwise(F.floor(p * n / 100))
-    rows = rows.withColumn("k", F.greatest(F.lit(1), asked).cast("int"))
-    used = F.slice("nearest", F.lit(1), F.col("k"))
-    plain = F.aggregate(used, F.lit(0.0), lambda t, x: t + x) / F.col("k")
-    weight = lambda i: 1.0 - i / F.col("k")
-    top = F.aggregate(F.transform(used, lambda x, i: x * weight(i)), F.lit(0.0), lambda t, x: t + x)
+    rows = rows.withColumn("k", F.greatest(F.lit(1), asked).cast("double"))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("seen"), zero.alias("plain"), zero.alias("top"))
+
+    def add(t: Column, x: Column) -> Column:
+        # of the values in order, those from number t.seen on; the i-th has weight 1 - i / k
+        take = F.least(x["n"].cast("double"), F.col("k") - t["seen"])
+        weight = take - (t["seen"] * take + take * (take - 1) / 2) / F.col("k")
+        return F.struct((t["seen"] + take).alias("seen"), (t["plain"] + x["d"] * take).alias("plain"), (t["top"] + x["d"] * weight).alias("top"))
+
+    rows = rows.withColumn("__s", F.aggregate("nearest", start, add))
     none = F.col("n") == 0
     keys = [c for c in nearest.columns if c not in ("n", "nearest")]
     return rows.select(
-        *keys, "percentile", F.when(none, 0.0).otherwise(plain).alias("nbrdist"), F.when(none, 0.0).otherwise(top / ((F.col("k") + 1) / 2)).alias("wtd_nbrdist")
+        *keys, "percentile", F.when(none, 0.0).otherwise(F.col("__s.plain") / F.col("k")).alias("nbrdist"), F.when(none, 0.0).otherwise(F.col("__s.top") / ((F.col("k") + 1) / 2)).alias("wtd_nbrdist")
     )
 
 
@@ -75,3 +84,23 @@ def rank_against(values: DataFrame, reference: DataFrame, keys: list[str], value
     share = F.col("l") + (v - F.col("ln")) / (F.col("un") - F.col("ln")) * (1 + F.col("e"))
     rank = F.when(F.col("un").isNull(), 100.0).when(F.col("ln").isNull(), 0.0).otherwise(100.0 * share / F.col("t"))
     return values.join(placed.select(*keys, value, rank.alias(out)), [*keys, value])
+
+
+def symmetrised(ranks: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """(a1 <= a2, value): the mean of a value both ways."""
+    back = ranks.select(F.col(b).alias(a), F.col(a).alias(b), F.col(value).alias("__v"))
+    both = ranks.join(back, [a, b]).where(F.col(a) <= F.col(b))
+    return both.select(F.col(a).alias(f"{a}1"), F.col(b).alias(f"{a}2"), ((F.col(value) + F.col("__v")) / 2).alias(value))
+
+
+def repertoire_closeness(histogram: DataFrame, threshold: float, percent: int = 10) -> DataFrame:
+    """(epitope1, epitope2, chains, wtd_nbrdist, closeness) from counts of all distances between two repertoires:
+    the weighted score of the smallest ``percent`` of them, and the fourth root of the mean of
+    (limit - d) / limit, 0 above the limit, which is ``threshold`` a chain."""
+    keys = ["epitope1", "epitope2", "chains"]
+    lists = histogram.groupBy(*keys).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("d", "n"))).alias("nearest"))
+    score = neighbor_scores(lists, (percent,)).select(*keys, "wtd_nbrdist")
+    limit = F.lit(threshold) * F.length("chains")
+    near = F.greatest(F.lit(0.0), (limit - F.col("d")) / limit) * F.col("n")
+    close = histogram.groupBy(*keys).agg(F.pow(F.sum(near) / F.sum("n"), F.lit(0.25)).alias("closeness"))
+    return score.join(close, keys)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repertoire.operators.broadcasts import bounded
+
 _CHAIN = {"TRA": "A", "TRB": "B"}
 
 
@@ -20,7 +22,7 @@ def usable_contigs(contigs: DataFrame, genes: DataFrame | None = None) -> DataFr
     if genes is None:
         return rows
     slashed = F.regexp_replace("v", "(?<!/)DV", "/DV")
-    known = F.broadcast(genes.select(F.col("gene").alias("__g")).distinct())
+    known = bounded(genes.select(F.col("gene").alias("__g")).distinct())
     rows = rows.join(known, rows.v == F.col("__g"), "left").withColumn("v", F.when(F.col("__g").isNull(), slashed).otherwise(F.col("v"))).drop("__g")
     return rows.join(known, rows.v == F.col("__g"), "left_semi").join(known, rows.j == F.col("__g"), "left_semi")
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repertoire.operators.distance import in_own_blocks
+
 
 def _doubles(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
@@ -151,11 +153,37 @@ def density(df: DataFrame, keys: list[str], value: str, points: int = 100, low:
     return rows.groupBy(*keys, "i").agg((F.sum(k * F.col("__n")) / F.max("__t")).alias("density"))
 
 
-def empirical_cdf(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, share of rows at or below it) over distinct values."""
+def empirical_cdf(df: DataFrame, keys: list[str], value: str, origin: bool = False) -> DataFrame:
+    """(keys, value, share of rows at or below it) over distinct values, after (0, 0) if ``origin``."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*keys)
-    return counts.select(*keys, value, (F.sum("__n").over(w.orderBy(value)) / F.sum("__n").over(w)).alias("cdf"))
+    steps = counts.select(*keys, value, (F.sum("__n").over(w.orderBy(value)) / F.sum("__n").over(w)).alias("cdf"))
+    if not origin:
+        return steps
+    zero = df.select(*keys).distinct().select(*keys, F.lit(0).cast(df.schema[value].dataType).alias(value), F.lit(0.0).alias("cdf"))
+    return zero.unionAll(steps)
+
+
+def kendall(df: DataFrame, unit: str, x: str, y: str) -> DataFrame:
+    """(unit, tau): Kendall's tau-b of two columns (rows named by ``clone_id``). Pairs are compared in blocks and
+    only their counts leave a task."""
+    rows = df.select("clone_id", unit, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+
+    def work(q: pd.DataFrame, r: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame(columns=[unit, "s", "nx", "ny"])
+        dx, dy = (np.sign(q[c].to_numpy()[:, None] - r[c].to_numpy()[None, :]) * mask for c in ("__x", "__y"))
+        return pd.DataFrame({unit: [q[unit].iloc[0]], "s": [int((dx * dy).sum())], "nx": [int(np.abs(dx).sum())], "ny": [int(np.abs(dy).sum())]})
+
+    sums = in_own_blocks(rows, unit, work, f"{unit} {df.schema[unit].dataType.simpleString()}, s long, nx long, ny long").groupBy(unit)
+    sums = sums.agg(*[F.sum(c).cast("double").alias(c) for c in ("s", "nx", "ny")])
+    return sums.select(unit, F.when(F.col("nx") * F.col("ny") > 0, F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
+
+
+def score_matrix(scores: DataFrame, id_col: str, name: str, value: str) -> DataFrame:
+    """(name1 <= name2, pearson) of every two named scores over the rows that have both."""
+    side = lambda k: scores.select(id_col, F.col(name).alias(f"name{k}"), F.col(value).cast("double").alias(f"__v{k}"))
+    return side(1).join(side(2), id_col).where("name1 <= name2").groupBy("name1", "name2").agg(F.corr("__v1", "__v2").alias("pearson"))
 
 
 def expected_mutual_information(joint: np.ndarray) -> tuple[float, float, float, float]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repertoire.functions import tables
 from repertoire.functions.sequences import residue_sum
+from repertoire.operators.broadcasts import bounded
 
 
 def rep_counts(clones: DataFrame, group: str, genes: Column) -> DataFrame:
@@ -74,7 +75,7 @@ def allocate(tuples: DataFrame, bias: DataFrame, keys: list[str]) -> DataFrame:
     share = F.when(whole == 0, 1.0 / F.col("__k")).otherwise(F.col("__b") / whole)
     split = rows.withColumn("__s", share * F.col("n")).groupBy(*keys, "rep").agg(F.sum("__s").alias("__s"))
     total = tuples.groupBy(*keys).agg(F.sum("n").alias("__n"))
-    return split.join(F.broadcast(total), keys).select(*keys, "rep", (F.col("__s") / F.col("__n")).alias("p"))
+    return split.join(bounded(total), keys).select(*keys, "rep", (F.col("__s") / F.col("__n")).alias("p"))
 
 
 def uniform_bias(tuples: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,7 +138,7 @@ def log_enrichment(pairs: DataFrame, a: str, b: str) -> DataFrame:
     joint = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     left, right = pairs.groupBy(a).agg(F.count(F.lit(1)).alias("na")), pairs.groupBy(b).agg(F.count(F.lit(1)).alias("nb"))
     total = joint.agg(F.sum("n").alias("t"))
-    rows = left.join(F.broadcast(right)).join(F.broadcast(total)).join(joint, [a, b], "left")
+    rows = left.join(bounded(right)).join(bounded(total)).join(joint, [a, b], "left")
     expected = F.col("na") * F.col("nb") / F.col("t")
     seen = F.coalesce(F.col("n").cast("double"), F.least(expected, F.lit(0.25)))
     return rows.select(a, b, F.coalesce("n", F.lit(0)).alias("n"), expected.alias("expected"), F.log(seen / expected).alias("log_enrich"))
@@ -154,3 +155,25 @@ def frequencies(df: DataFrame, genes: Column, group: str) -> DataFrame:
     """(group, rep, n, n_unique): occurrences in all sets and in sets of one gene."""
     rows = df.select(group, F.explode(genes).alias("rep"), (F.size(genes) == 1).cast("long").alias("u"))
     return rows.groupBy(group, "rep").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("n_unique"))
+
+
+def segment_usage(clones: DataFrame, segments: dict[str, str]) -> DataFrame:
+    """(epitope, seg, rep, p): usage of several kinds of segments (name -> gene column)."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), F.col(c).alias("rep")) for k, c in segments.items()])).alias("x")
+    n = clones.select("epitope", each).groupBy("epitope", "x.seg", "x.rep").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("epitope", "seg", "rep", (F.col("n") / F.sum("n").over(Window.partitionBy("epitope", "seg"))).alias("p"))
+
+
+def segment_divergence(clones: DataFrame, segments: dict[str, str]) -> DataFrame:
+    """(epitope1 < epitope2, jsd): Jensen-Shannon divergences of two repertoires' usage, summed over segments
+    (name -> gene column). Usage tables are dimensions, and all pairs of repertoires are compared."""
+    use = segment_usage(clones, segments)
+    names = use.select("epitope", "seg").distinct()
+    pairs = names.withColumnRenamed("epitope", "epitope1").join(names.withColumnRenamed("epitope", "epitope2"), "seg").where("epitope1 < epitope2")
+    side = lambda k: pairs.join(use.withColumnRenamed("epitope", f"epitope{k}"), [f"epitope{k}", "seg"]).select("epitope1", "epitope2", "seg", "rep", "p")
+    return js_divergence(side(1), side(2), ["epitope1", "epitope2", "seg"], "rep").groupBy("epitope1", "epitope2").agg(F.sum("jsd").alias("jsd"))
+
+
+def best_allocation(rounds: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, round, jsd_normed) of the round, or background file, with the lowest divergence."""
+    return rounds.groupBy(*keys).agg(F.min(F.struct("jsd_normed", "round")).alias("b")).select(*keys, F.col("b.round").alias("round"), F.col("b.jsd_normed").alias("jsd_normed"))

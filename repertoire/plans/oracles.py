@@ -129,6 +129,18 @@ pm as (select rep, case when count(*) <= 2 then avg(coalesce(p, 0)) else median(
 ps as (select rep, p / least(1.0::double, sum(p) over ()) p from pm)"""
 _CONTIGS = """contigs as (select 'ct' || (l_orderkey % 997) ct, l_orderkey % 997 k, 'bc' || (l_orderkey % 4999) bc, l_linenumber % 5 <> 0 productive, case when l_partkey % 2 = 0 then 'TRA' else 'TRB' end chain,
   'V' || (l_partkey % 5) v, 'J' || (l_suppkey % 3) j, case when l_suppkey % 9 = 0 then 'None' else 'CA' || (l_partkey % 7) end cdr3, 'tgt' || (l_suppkey % 3) nt, cast(l_quantity as bigint) umis from lineitem)"""
+_C2 = "(select *, 'JA' || ((clone_id * 2 + 1) % 3) ja2 from clones)"
+# read groups as receptors with two V and two J genes a chain
+_RECEPTORS = """rc as (select read_id id, epitope, subject, nuc_a a, nuc_b b, [va, 'VA' || ((read_id * 5 + 1) % 7)] va, [ja, 'JA' || ((read_id * 2 + 1) % 3)] ja,
+  [vb, 'VB' || ((read_id * 3 + 1) % 5)] vb, [jb, 'JB' || ((read_id * 3 + 1) % 4)] jb from reads)"""
+
+#: Parts that other modules' SQL is made of.
+VD, DIST_EPITOPE, DIST_ALL, FG_BG, ROUNDS, SUPPORT, jsd, sharing = _VD, _DIST_EPITOPE, _DIST_ALL, _FG_BG, _ROUNDS, _SUPPORT, _jsd, _sharing
+
+
+def nbr(by: str) -> str:
+    """Neighbour scores of the pairs ``near``, by further columns."""
+    return _NBR.format(by=by)
 
 
 ORACLES = {
@@ -154,18 +166,18 @@ ORACLES = {
       vals as (select clone_id, epitope, chains, round(wtd, 4) v from nbr join clones using (clone_id)), {_RANK.format(keys='epitope, chains')}
       select clone_id, chains, v wtd_nbrdist, round(rank, 4) rank from vals join ranked using (epitope, chains, v)""",
     "avg_nbrdist": f"{ctes('genes', 'clones')}, {_DIST_EPITOPE}, {_NBR_OWN} select epitope, chains, round(avg(nbrdist), 4) mean_nbrdist from nbr join clones using (clone_id) group by all",
-    "auc_vs_others": f"""{ctes('genes', 'clones')}, {_DIST_ALL}, near as (select b.*, c.epitope ref from both_ways b join clones c on c.clone_id = b.id2 where subject1 <> subject2 and chains = 'AB'),
-      {_NBR.format(by=', ref')}, sc as (select ref ref_epitope, round(wtd, 4) s, c.epitope = ref own from nbr join clones c using (clone_id)),
-      bins as (select ref_epitope, s, sum(case when own then 1 else 0 end) p, sum(case when own then 0 else 1 end) n from sc group by all),
-      run as (select *, coalesce(sum(p) over (partition by ref_epitope order by s rows between unbounded preceding and 1 preceding), 0) b from bins)
-      select ref_epitope, round(cast(sum(b * n) as double) / (sum(p) * sum(n)), 5) auc from run group by ref_epitope""",
+    "auc_vs_others": f"""{ctes('genes', 'clones')}, {_DIST_ALL}, near as (select b.*, c.epitope ref from both_ways b join clones c on c.clone_id = b.id2 where subject1 <> subject2),
+      {_NBR.format(by=', ref')}, sc as (select chains, ref ref_epitope, round(wtd, 4) s, c.epitope = ref own from nbr join clones c using (clone_id)),
+      bins as (select chains, ref_epitope, s, sum(case when own then 1 else 0 end) p, sum(case when own then 0 else 1 end) n from sc group by all),
+      run as (select *, coalesce(sum(p) over (partition by chains, ref_epitope order by s rows between unbounded preceding and 1 preceding), 0) b from bins)
+      select chains, ref_epitope, round(cast(sum(b * n) as double) / (sum(p) * sum(n)), 5) auc from run group by chains, ref_epitope""",
     "score_rank": f"""{ctes('clones')}, vals as (select clone_id, epitope, round(score, 6) v from clones), {_RANK.format(keys='epitope')}
       select clone_id, round(rank, 4) rank from vals join ranked using (epitope, v)""",
     "score_auc": f"""{ctes('clones')}, bins as (select epitope, round(score, -2) s, sum(case when clone_size > 2 then 1 else 0 end) p, sum(case when clone_size > 2 then 0 else 1 end) n from clones group by all),
       run as (select *, coalesce(sum(p) over (partition by epitope order by s rows between unbounded preceding and 1 preceding), 0) b from bins)
       select epitope, round(cast(sum(b * n) as double) / (sum(p) * sum(n)), 6) auc from run group by epitope""",
-    "repertoire_distance": f"""{ctes('genes', 'clones')}, {_DIST_ALL}, near as (select b.*, c.epitope ref from both_ways b join clones c on c.clone_id = b.id2 where chains = 'B'),
-      {_NBR.format(by=', ref')} select c.epitope, ref ref_epitope, round(avg(wtd), 4) mean_wtd from nbr join clones c using (clone_id) group by all""",
+    "repertoire_distance": f"""{ctes('genes', 'clones')}, {_DIST_ALL}, near as (select b.*, c.epitope ref from both_ways b join clones c on c.clone_id = b.id2),
+      {_NBR.format(by=', ref')} select c.epitope, ref ref_epitope, chains, round(avg(wtd), 4) mean_wtd from nbr join clones c using (clone_id) group by all""",
     "clonality_simpson": f"{ctes('clones')}, {_CLONALITY} select epitope, round(p, 9) p, round(case when p = 0 then 0 else 1 / p end, 4) diversity, round(1 - p, 9) evenness from clonality",
     "clonality_subjects": f"{ctes('clones')}, {_CLONALITY} select epitope, subject, cast(n as bigint) as reads, round(case when n > 1 then same / (n * (n - 1)) else 0 end, 9) p from sub_",
     "tcrdiv_gaussian": f"""{ctes('genes', 'clones')}, {_DIST_EPITOPE}, g as (select epitope, chains, subject1 = subject2 same, exp(-pow(dist / (25 / 1.298::double * length(chains)), 2)) k from dist),
@@ -173,13 +185,15 @@ ORACLES = {
       select epitope, chains, same_subject, round(sum(k), 4) overlap, cast(count(*) as double) pairs, round(count(*) / sum(k), 4) diversity from h group by all""",
     "gaussian_shannon": f"""{ctes('genes', 'clones')}, {_DIST_EPITOPE}, g as (select epitope, chains, id1, avg(exp(-pow(dist / (25 / 1.298::double * length(chains)), 2))) k from both_ways group by all)
       select epitope, chains, round(avg(-ln(k)), 5) entropy, round(pow(2.0::double, avg(-ln(k))), 4) diversity, count(*) n from g group by all""",
-    "gene_sharing": f"""{ctes('clones')}, {_sharing("select a.epitope, a.subject subject1, b.subject subject2, count(*) overlap from clones a join clones b on a.epitope = b.epitope and a.subject < b.subject and a.ja = b.ja and (a.va1 in (b.va1, b.va2) or a.va2 in (b.va1, b.va2)) group by all")}""",
+    "gene_sharing": f"""{ctes('clones')}, {_sharing("select a.epitope, a.subject subject1, b.subject subject2, count(*) overlap from {_C2} a join {_C2} b on a.epitope = b.epitope and a.subject < b.subject and (a.ja in (b.ja, b.ja2) or a.ja2 in (b.ja, b.ja2)) and (a.va1 in (b.va1, b.va2) or a.va2 in (b.va1, b.va2)) group by all".replace("{_C2}", _C2))}""",
     "threshold_sharing": f"""{ctes('genes', 'clones')}, {_DIST_EPITOPE},
       {_sharing("select epitope, least(subject1, subject2) subject1, greatest(subject1, subject2) subject2, count(*) overlap from dist where chains = 'B' and subject1 <> subject2 and dist <= 25 / 1.298::double group by all")}""",
-    "exact_sharing": f"{ctes('reads')}, s as (select epitope, nuc_a, nuc_b, count(distinct subject) n from reads group by all) select read_id clone_id, n > 1 is_shared from reads join s using (epitope, nuc_a, nuc_b)",
-    "cross_reactivity": f"""{ctes('reads')}, a as (select nuc_a, count(distinct subject) n_subjects_any, count(distinct epitope) n_epitopes, string_agg(distinct epitope, ';' order by epitope) epitopes from reads group by nuc_a),
-      o as (select nuc_a, epitope, count(distinct subject) n_subjects from reads group by all)
-      select read_id clone_id, n_subjects, n_subjects_any, n_epitopes, epitopes from reads join a using (nuc_a) join o using (nuc_a, epitope)""",
+    "exact_sharing": f"""{ctes('reads')}, {_RECEPTORS} select id clone_id, exists (select 1 from rc y where y.epitope = x.epitope and y.a = x.a and y.b = x.b and y.subject <> x.subject
+      and list_has_any(x.va, y.va) and list_has_any(x.ja, y.ja) and list_has_any(x.vb, y.vb) and list_has_any(x.jb, y.jb)) is_shared from rc x""",
+    "cross_reactivity": f"""{ctes('reads')}, {_RECEPTORS}, k as (select distinct a, list_sort(list_distinct(va)) va from rc), m as (select distinct k.a, k.va, y.epitope, y.subject from k join rc y on y.a = k.a and list_has_any(k.va, y.va)),
+      w as (select a, va, count(distinct subject) n_subjects_any, count(distinct epitope) n_epitopes, string_agg(distinct epitope, ';' order by epitope) epitopes from m group by all),
+      o as (select a, va, epitope, count(distinct subject) n_subjects from m group by all)
+      select x.id clone_id, n_subjects, n_subjects_any, n_epitopes, epitopes from (select id, epitope, a, list_sort(list_distinct(va)) va from rc) x join w using (a, va) join o using (a, va, epitope)""",
     "rep_counts": f"{ctes('clones')}, va as {_VA} select epitope, rep, count(*) n from va group by all",
     "label_rep": f"""{ctes('clones')}, va as {_VA}, c as (select epitope, rep, count(*) n from va group by all)
       select clone_id, arg_max(rep, (n, rep)) as label from va join c using (epitope, rep) group by clone_id""",
@@ -208,12 +222,18 @@ ORACLES = {
     "summary_table": f"""{ctes('clones')}, {_MEANS}, {_CLONALITY}, t as (select epitope, count(distinct subject) subjects, count(*) clones, cast(sum(clone_size) as bigint) as reads from clones group by epitope)
       select t.epitope, subjects, clones, reads, round(p, 9) p, round(length, 5) length, round(charge, 5) charge from t left join clonality using (epitope) left join (select * from means where chains = 'AB') using (epitope)""",
     "clone_calling": f"""{ctes('reads')}, {_MATCH},
-      gr as (select concat_ws('|', epitope, subject, va, ja, vb, jb, nuc_a, nuc_b) key, epitope, subject, va, ja, vb, jb, nuc_a, nuc_b, count(*) size, max(qual) q, min(read_id) fr from reads group by all),
-      cand as (select a.key a, b.key b, a.nuc_a || a.nuc_b x, b.nuc_a || b.nuc_b y, a.q qa, b.q qb, case when a.q < b.q then a.size else b.size end low from gr a join gr b on a.epitope = b.epitope and a.subject = b.subject
-               and a.va = b.va and a.ja = b.ja and a.vb = b.vb and a.jb = b.jb and a.key < b.key and length(a.nuc_a) = length(b.nuc_a) and length(a.nuc_b) = length(b.nuc_b) and (a.nuc_a = b.nuc_a or a.nuc_b = b.nuc_b)),
-      ce as (select a, b, qa, qb, low, x, y, unnest(range(1, length(x) + 1)) i from cand),
-      ed as (select a, b from (select a, b, any_value(qa) qa, any_value(qb) qb, any_value(low) low, sum(case when k is null then 1 else 0 end) mm from ce left join bases on k = substr(x, i, 1) || substr(y, i, 1) group by a, b)
-             where mm = 0 or (mm = 1 and least(qa, qb) < 20 and low = 1)),
+      rd as (select read_id, epitope, subject, va || ';VA' || (read_id % 7) va, ja, vb, jb || ';JB' || (read_id % 4) jb, nuc_a, nuc_b, qual,
+             substr(nuc_a, 13, 6) || ' ' || substr(nuc_b, 10, cast(read_id % 2 + 5 as int)) nw, -10 - cast(read_id % 8 as int) lp from reads),
+      gr as (select concat_ws('|', epitope, subject, va, ja, vb, jb, nuc_a, nuc_b) key, epitope, subject, va, ja, vb, jb, nuc_a, nuc_b, count(*) size, max(qual) q, min(read_id) fr, min(nw) nw, min(lp) lp from rd group by all),
+      cand as (select a.key a, b.key b, a.nuc_a || a.nuc_b x, b.nuc_a || b.nuc_b y, a.q qa, b.q qb, case when a.q < b.q then a.size else b.size end low, a.nw nx, b.nw ny, least(a.lp, b.lp) lp
+               from gr a join gr b on a.epitope = b.epitope and a.subject = b.subject and list_has_any(string_split(a.va, ';'), string_split(b.va, ';')) and list_has_any(string_split(a.ja, ';'), string_split(b.ja, ';'))
+               and list_has_any(string_split(a.vb, ';'), string_split(b.vb, ';')) and list_has_any(string_split(a.jb, ';'), string_split(b.jb, ';'))
+               and a.key < b.key and length(a.nuc_a) = length(b.nuc_a) and length(a.nuc_b) = length(b.nuc_b) and (a.nuc_a = b.nuc_a or a.nuc_b = b.nuc_b)),
+      nm as (select a, b, sum(case when k is null then 1 else 0 end) nm from (select a, b, nx, ny, unnest(range(1, length(nx) + 1)) i from cand where length(nx) = length(ny))
+             left join (select k from bases union all select '  ') on k = substr(nx, i, 1) || substr(ny, i, 1) group by a, b),
+      ce as (select a, b, qa, qb, low, lp, x, y, unnest(range(1, length(x) + 1)) i from cand),
+      ed as (select a, b from (select a, b, any_value(qa) qa, any_value(qb) qb, any_value(low) low, any_value(lp) lp, sum(case when k is null then 1 else 0 end) mm from ce left join bases on k = substr(x, i, 1) || substr(y, i, 1) group by a, b)
+             left join nm using (a, b) where mm = 0 or (mm = 1 and least(qa, qb) < 20 and low = 1 and (coalesce(nm, 9) <= 1 or lp < -15))),
       e2 as (select a, b from ed union select b, a from ed),
       reach(a, b) as (select key, key from gr union select reach.a, e2.b from reach join e2 on e2.a = reach.b),
       comp as (select a key, min(b) c from reach group by a),
@@ -287,7 +307,7 @@ ORACLES = {
       n as (select *, row_number() over (partition by epitope, subject order by read_id) n from s where s <= 3) select read_id id, epitope, subject from n where n <= 15""",
     "common_columns": f"{ctes('clones', 'background')} select clone_id, cdr3a from clones union all select chain_id, cdr3 from background",
     "converted_rows": f"""{ctes('clones')}, c as (select va1, clone_size, case when clone_id % 11 = 0 then null when clone_id % 13 = 0 then 'CAF' when clone_id % 17 = 0 then 'CAXXXXF' else cdr3a end s
-        from clones where va1 <> 'VA0' or clone_id % 2 = 0)
+        from clones)
       select case when s is null then 'missing_field' when length(s) <= 5 then 'short_cdr3' when s like '%X%' then 'bad_residue' when va1 in ('VA5', 'VA6') then 'unknown_gene' else 'OK' end status,
         count(*) n, cast(sum(clone_size) as bigint) reads from c group by 1""",
     "trim_distribution": f"""{ctes('reads')}, c as (select least(read_id % 30, 20) length, sum(qual) n from reads group by 1) select length, round(n / sum(n) over (), 8) p from c""",
@@ -295,7 +315,7 @@ ORACLES = {
     "pseudo_probabilities": f"{ctes('tuples')}, {_FILES}, {_PSEUDO} select rep, round(p, 8) p from ps",
     "protein_probabilities": f"""{ctes('tuples')}, {_FILES}, {_PSEUDO} select seq_id id, round(greatest(coalesce(a.p, 0), coalesce(b.p, 0)) / (seq_id % 7 + 1), 8) p
       from tuples left join ps a on a.rep = g1 left join ps b on b.rep = g2""",
-    "germline_bases": f"""{ctes('reads')}, e as (select va, substr(nuc_a, 1, 12) s, unnest(range(1, 13)) pos from reads), c as (select va, pos, substr(s, pos, 1) base, count(*) n from e group by all)
+    "germline_bases": f"""{ctes('reads')}, e as (select va, nuc_a s, unnest(range(1, length(nuc_a) + 1)) pos from reads), c as (select va, pos, substr(s, pos, 1) base, count(*) n from e group by all)
       select va, cast(pos as int) pos, arg_max(base, (n, base)) base, round(max(n) / sum(n), 8) share from c group by va, pos""",
     "voted_frames": f"{ctes('reads')}, c as (select subject, qual % 20 % 3 + 1 frame, count(*) n from reads group by all) select subject, arg_max(frame, (n, frame)) frame from c group by subject",
     "background_sample": f"""{ctes('background')}, s as (select *, row_number() over (partition by v_rep, j_rep order by md5('1:' || cast(chain_id as varchar)), chain_id) n from background)
@@ -319,7 +339,7 @@ ORACLES = {
     "contig_chains": f"""with {_CONTIGS} select ct clonotype, case when chain = 'TRA' then 'A' else 'B' end chain, v || '*01' v, j || '*01' j, cdr3, nt cdr3_nt, cast(sum(umis) as bigint) umis, count(distinct bc) cells
       from contigs where productive and cdr3 <> 'None' group by all""",
     "clonotype_barcodes": f"with {_CONTIGS} select ct clonotype, count(distinct bc) size, string_agg(distinct bc, ',' order by bc) barcodes from contigs group by ct",
-    "umi_discrepancies": f"""with {_CONTIGS}, a as (select ct || '_' || chain id, sum(umis) u from contigs where k % 17 <> 0 group by 1),
-      b as (select ct || '_' || chain id, sum(umis) + case when k % 7 = 0 then 1 else 0 end u from contigs where k % 11 <> 0 group by k, 1)
+    "umi_discrepancies": f"""with {_CONTIGS}, a as (select ct || '_' || chain id, sum(umis) u from contigs group by 1),
+      b as (select ct || '_' || chain || case when k % 11 = 0 then '_other' else '' end id, sum(umis) + case when k % 7 = 0 then 1 else 0 end u from contigs group by k, 1)
       select coalesce(a.id, b.id) consensus_id, cast(a.u as bigint) contig_umis, cast(b.u as bigint) consensus_umis from a full join b on a.id = b.id where a.u is distinct from b.u""",
 }

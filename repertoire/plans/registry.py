@@ -17,7 +17,8 @@ from repertoire.operators import clones as calls
 from repertoire.operators import clustering, distance, diversity, junctions, motifs, neighbors, pairing, permutation, sampling, stats, usage
 from repertoire.operators import genes as gene_dim
 from repertoire.operators import reads as parsing
-from repertoire.plans import fixtures
+from repertoire.plans import fixtures, reports
+from repertoire.plans.base import clones, genes, r, reads, tuples
 from repertoire.plans.oracles import ORACLES
 from repertoire.sources import tables as sources
 
@@ -30,35 +31,11 @@ def query(f):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **reports.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
-
-
-def clones(spark: SparkSession, d: str) -> DataFrame:
-    c = fixtures.frame(spark, d, "clones")
-    sets = {f"v{x}_genes": F.array_sort(F.array_distinct(F.array(f"v{x}1", f"v{x}2"))) for x in "ab"}
-    return c.withColumns(sets)
-
-
-def genes(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.frame(spark, d, "genes")
-
-
-def reads(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.frame(spark, d, "reads").withColumns({"qual_a": F.col("qual"), "qual_b": F.col("qual")})
-
-
-def tuples(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.frame(spark, d, "tuples").withColumn("genes", F.array_sort(F.array_distinct(F.array("g1", "g2"))))
-
-
-def r(c: str | Column, digits: int = 6) -> Column:
-    """Rounded, without negative zero."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits) + F.lit(0.0)
+    return {**{k: v for k, v in ORACLES.items() if k in _QUERIES}, **reports.SQL}
 
 
 def _nearest(spark: SparkSession, d: str, **options) -> DataFrame:
@@ -77,7 +54,7 @@ def quality_min_filter(spark, d):
 
 @query
 def cdr3_filter_status(spark, d):
-    """Length window, residue alphabet, status text."""
+    """Length window, residue alphabet, status text."""
     c = clones(spark, d)
     bad = F.array_compact(
         F.array(F.when(~F.length("cdr3a").between(9, 13), "a_length"), F.when(~F.length("cdr3b").between(9, 14), "b_length"), F.when(~F.col("cdr3a").rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"), "a_residue"))
@@ -173,18 +150,18 @@ def nbrdist_rank(spark, d):
 
 @query
 def avg_nbrdist(spark, d):
-    """Mean score by epitope and chain."""
+    """Mean score by epitope and chain."""
     s = neighbors.neighbor_scores(_nearest(spark, d), (10,))
     return s.groupBy("epitope", "chains").agg(r(F.avg("nbrdist"), 4).alias("mean_nbrdist"))
 
 
 @query
 def auc_vs_others(spark, d):
-    """How well scores against each repertoire tell its own clones from the others'."""
+    """How well scores against each repertoire tell its own clones from the others'."""
     near = _nearest(spark, d, own_epitope=False)
-    s = neighbors.neighbor_scores(near, (10,)).where("chains = 'AB'")
-    auc = neighbors.roc_area(s, ["ref_epitope"], r("wtd_nbrdist", 4), F.col("epitope") == F.col("ref_epitope"))
-    return auc.select("ref_epitope", r("auc", 5).alias("auc"))
+    s = neighbors.neighbor_scores(near, (10,))
+    auc = neighbors.roc_area(s, ["chains", "ref_epitope"], r("wtd_nbrdist", 4), F.col("epitope") == F.col("ref_epitope"))
+    return auc.select("chains", "ref_epitope", r("auc", 5).alias("auc"))
 
 
 @query
@@ -202,9 +179,9 @@ def score_auc(spark, d):
 
 @query
 def repertoire_distance(spark, d):
-    """Weighted neighbour score of all distances between two repertoires."""
+    """Mean weighted neighbour score of a repertoire in another."""
     s = neighbors.neighbor_scores(_nearest(spark, d, own_epitope=False, intrasubject=True), (10,))
-    return s.where("chains = 'B'").groupBy("epitope", "ref_epitope").agg(r(F.avg("wtd_nbrdist"), 4).alias("mean_wtd"))
+    return s.groupBy("epitope", "ref_epitope", "chains").agg(r(F.avg("wtd_nbrdist"), 4).alias("mean_wtd"))
 
 
 # diversity and sharing
@@ -254,18 +231,26 @@ def threshold_sharing(spark, d):
     return diversity.sharing(m, c).select("epitope", "overlap", "total", r("diversity", 5).alias("diversity"), "subject_pairs", "sharing_pairs", "top3")
 
 
+def _receptors(spark, d):
+    """Read groups as receptors with two V and two J genes a chain."""
+    n = lambda c, k, m: F.concat(F.lit(c), ((F.col("read_id") * k + 1) % m).cast("string"))
+    two = lambda a, b: F.array_sort(F.array_distinct(F.array(a, b)))
+    return reads(spark, d).select(
+        F.col("read_id").alias("clone_id"), "epitope", "subject", F.col("nuc_a").alias("cdr3a"), F.col("nuc_b").alias("cdr3b"),
+        two("va", n("VA", 5, 7)).alias("va_genes"), two("ja", n("JA", 2, 3)).alias("ja_genes"), two("vb", n("VB", 3, 5)).alias("vb_genes"), two("jb", n("JB", 3, 4)).alias("jb_genes"),
+    )
+
+
 @query
 def exact_sharing(spark, d):
-    """Receptors of read groups that more than one subject has."""
-    x = reads(spark, d).select(F.col("read_id").alias("clone_id"), "epitope", "subject", F.col("nuc_a").alias("cdr3a"), F.col("nuc_b").alias("cdr3b"))
-    return diversity.shared_flags(x)
+    """Receptors that another subject of the epitope has too (equal CDR3s, V and J sets overlap)."""
+    return diversity.shared_flags(_receptors(spark, d))
 
 
 @query
 def cross_reactivity(spark, d):
-    """Where else a chain is seen."""
-    x = reads(spark, d).select(F.col("read_id").alias("clone_id"), "epitope", "subject", F.col("nuc_a").alias("cdr3a"))
-    return diversity.cross_reactivity(x, "A")
+    """Where else a receptor is seen (equal CDR3, V sets overlap)."""
+    return diversity.cross_reactivity(_receptors(spark, d), "A")
 
 
 # gene usage and information
@@ -314,7 +299,7 @@ def _usage(c: DataFrame, genes: str) -> DataFrame:
 
 @query
 def jsd_normed(spark, d):
-    """Divergence of each epitope's usage from that of all clones."""
+    """Divergence of each epitope's usage from that of all clones."""
     c = clones(spark, d)
     p = _usage(c, "va_genes")
     every = usage.rep_counts(c.withColumn("all", F.lit("x")), "all", F.col("va_genes")).where("rep <> 'VA3'")
@@ -404,8 +389,11 @@ def summary_table(spark, d):
 
 @query
 def clone_calling(spark, d):
-    """Reads to clones."""
-    x = calls.call_clones(reads(spark, d))
+    """Reads to clones; V alpha and J beta calls are sets of two."""
+    x = reads(spark, d)
+    v, j = (F.concat(F.lit(c), (F.col("read_id") % m).cast("string")) for c, m in (("VA", 7), ("JB", 4)))
+    x = x.withColumns({"va": F.concat_ws(";", "va", v), "jb": F.concat_ws(";", "jb", j), "new_a": F.substr("nuc_a", F.lit(13), F.lit(6)), "new_b": F.substr("nuc_b", F.lit(10), F.col("read_id") % 2 + 5)})
+    x = calls.call_clones(x.withColumn("log10_p", -10.5 - F.col("read_id") % 8))
     return x.select("clone_id", "epitope", "subject", "clone_size", F.array_join(F.transform("members", lambda m: m.cast("string")), ";").alias("members"))
 
 
@@ -441,7 +429,7 @@ def nonzero_probability(spark, d):
 
 @query
 def score_correlations(spark, d):
-    """Pearson, Spearman and regression by epitope."""
+    """Pearson, Spearman and regression by epitope."""
     x = clones(spark, d).withColumn("len", F.length("cdr3b").cast("double"))
     return stats.correlations(x, ["epitope"], "len", "score").select("epitope", *[r(k, 6).alias(k) for k in ("pearson", "spearman", "slope", "intercept")])
 
@@ -571,10 +559,10 @@ def kernel_coordinates(spark, d):
 
 @query
 def permutation_within_subjects(spark, d):
-    """Within-subject distance against ten seeded shuffles."""
+    """Within-subject distance against ten seeded shuffles."""
     c = clones(spark, d)
-    p = distance.pairs_within(c, genes(spark, d), None, chains=("A",)).select(F.col("epitope1").alias("epitope"), "id1", "id2", "dist")
-    x = permutation.permutation_test(c, p, 10)
+    sums = distance.permuted_sums(permutation.subject_labels(c, 10), genes(spark, d), "labels", 11).where("chains = 'A' and group1 = group2")
+    x = permutation.distance_tests(sums).where("level = 'within'")
     return x.select("epitope", *[r(k, 5).alias(k) for k in ("observed", "mean", "z", "p")])
 
 
@@ -627,8 +615,8 @@ def motif_mining(spark, d):
 
 
 def _germline(spark, d):
-    n = reads(spark, d)
-    return n.select("read_id", "nuc_a", F.substr("nuc_a", F.lit(1), F.lit(9)).alias("v_nuc"), F.substr("nuc_a", F.lit(22), F.lit(9)).alias("j_nuc")).withColumn("nuc", F.substr("nuc_a", F.lit(1), F.lit(30)))
+    n = reads(spark, d).withColumn("nuc", F.concat("nuc_a", F.lit("a")))
+    return n.select("read_id", "nuc", F.substr("nuc", F.lit(1), F.lit(9)).alias("v_nuc"), F.substr("nuc", F.lit(25), F.lit(9)).alias("j_nuc"))
 
 
 @query
@@ -645,7 +633,7 @@ _TRIMS = junctions.TrimTables([0.4, 0.2, 0.15, 0.1, 0.1, 0.05], [0.5, 0.2, 0.2,
 @query
 def generation_probability(spark, d):
     """K3, K5, K6: generation probability of junction proteins."""
-    x = _germline(spark, d).withColumn("protein", F.substr(seq.translate_frame(F.col("nuc"), 1), F.lit(1), F.lit(10))).where(~F.contains("protein", F.lit("*")) & ~F.contains("protein", F.lit("X")))
+    x = _germline(spark, d).withColumn("protein", seq.translate_frame(F.col("nuc"), 1)).where(~F.contains("protein", F.lit("*")) & ~F.contains("protein", F.lit("X")))
     return junctions.with_probability(x.select("read_id", "v_nuc", "j_nuc", "protein"), _TRIMS).select("read_id", F.round(F.log10(F.greatest("probability", F.lit(1e-99))), 6).alias("log10_p"))
 
 
@@ -744,7 +732,7 @@ def common_columns(spark, d):
 @query
 def converted_rows(spark, d):
     """Clonotypes of another dialect by what became of them."""
-    c = clones(spark, d).where("va1 <> 'VA0' or clone_id % 2 = 0")
+    c = clones(spark, d)
     cdr3 = F.when(F.col("clone_id") % 11 == 0, F.lit(None)).when(F.col("clone_id") % 13 == 0, "CAF").when(F.col("clone_id") % 17 == 0, "CAXXXXF").otherwise(F.col("cdr3a"))
     other = c.select(F.concat("va1", F.lit(", VA9")).alias("V segments"), F.col("ja").alias("J segments"), cdr3.alias("CDR3 amino acid sequence"), F.col("clone_size").alias("Count"))
     known = spark.createDataFrame([(g,) for g in ("VA0", "VA1", "VA2", "VA3", "VA4", "JA0", "JA1", "JA2")], "gene string")
@@ -792,8 +780,7 @@ def protein_probabilities(spark, d):
 @query
 def germline_bases(spark, d):
     """Most frequent base of each position of a gene's reads."""
-    x = reads(spark, d).withColumn("nuc", F.substr("nuc_a", F.lit(1), F.lit(12)))
-    return parsing.germline_bases(x, ["va"], "nuc").select("va", "pos", "base", r("share", 8).alias("share"))
+    return parsing.germline_bases(reads(spark, d), ["va"], "nuc_a").select("va", "pos", "base", r("share", 8).alias("share"))
 
 
 @query
@@ -885,8 +872,8 @@ def umi_discrepancies(spark, d):
     """Chains whose UMI sum differs from a consensus table, either side may lack one."""
     c = _contigs(spark, d)
     k = F.substr("raw_clonotype_id", F.lit(3), F.lit(9)).cast("int")
-    other = c.groupBy(F.col("raw_consensus_id").alias("consensus_id"), k.alias("k")).agg(F.sum("umis").alias("umis")).where("k % 11 <> 0")
-    return pairing.umi_discrepancies(c.where(k % 17 != 0), other.withColumn("umis", F.col("umis") + F.when(F.col("k") % 7 == 0, 1).otherwise(0)))
+    other = c.groupBy(F.when(k % 11 == 0, F.concat("raw_consensus_id", F.lit("_other"))).otherwise(F.col("raw_consensus_id")).alias("consensus_id"), k.alias("k")).agg(F.sum("umis").alias("umis"))
+    return pairing.umi_discrepancies(c, other.withColumn("umis", F.col("umis") + F.when(F.col("k") % 7 == 0, 1).otherwise(0)))
 
 
 @query

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repertoire.operators.broadcasts import bounded
+
 #: Dialects of third-party clonotype tables: our column -> their names.
 DIALECTS = {
     "v_gene": ("v_gene", "V segments", "v"),
@@ -67,7 +69,7 @@ def convert_clonotypes(df: DataFrame, genes: DataFrame | None = None) -> tuple[D
     for g in ("v_gene", "j_gene"):
         rows = rows.withColumn(g, F.trim(F.element_at(F.split(g, ","), 1)))
     if genes is not None:
-        known = F.broadcast(genes.select(F.col("gene").alias("__g")).distinct())
+        known = bounded(genes.select(F.col("gene").alias("__g")).distinct())
         for g in ("v_gene", "j_gene"):
             rows = rows.join(known, rows[g] == F.col("__g"), "left").withColumn(f"__ok_{g}", F.col("__g").isNotNull()).drop("__g")
     unknown = ~(F.col("__ok_v_gene") & F.col("__ok_j_gene")) if genes is not None else F.lit(False)
@@ -96,9 +98,23 @@ def read_tuple_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_probabilities(spark: SparkSession, path: str) -> DataFrame:
-    """(chain, tag, key, p) of lines ``PROB_{A,B}_tag p0 p1 ..``; keys are positions."""
-    rows = spark.read.text(path).where(F.col("value").startswith("PROB_")).select(F.regexp_extract("value", r"^PROB_([AB])_(\S+)\s+(.*)$", 1).alias("chain"), F.regexp_extract("value", r"^PROB_([AB])_(\S+)\s+(.*)$", 2).alias("tag"), F.split(F.regexp_extract("value", r"^PROB_([AB])_(\S+)\s+(.*)$", 3), r"\s+").alias("ps"))
-    return rows.select("chain", "tag", F.posexplode("ps").alias("key", "p")).select("chain", "tag", "key", F.expr("try_cast(p as double)").alias("p")).where("p is not null")
+    """(chain, tag, key, p) of lines ``PROB_{A,B}_tag p0 p1 ..``, where keys are positions, and ``PROB_{A,B}_tag k: p ..``."""
+    line = r"^PROB_([AB])_(\S+?):?\s+(.*)$"
+    part = lambda i: F.regexp_extract("value", line, i)
+    rows = spark.read.text(path).where(F.col("value").startswith("PROB_")).select(part(1).alias("chain"), part(2).alias("tag"), F.trim(part(3)).alias("rest"))
+    named = F.contains("rest", F.lit(":"))
+    listed = rows.where(~named).select("chain", "tag", F.posexplode(F.split("rest", r"\s+")).alias("key", "p")).withColumn("key", F.col("key").cast("string"))
+    pairs = F.explode(F.regexp_extract_all("rest", F.lit(r"(\S+?):\s*(\S+)"), F.lit(0))).alias("x")
+    keyed = rows.where(named).select("chain", "tag", pairs).select("chain", "tag", F.trim(F.substring_index("x", ":", 1)).alias("key"), F.trim(F.substring_index("x", ":", -1)).alias("p"))
+    return listed.unionByName(keyed).withColumn("p", F.expr("try_cast(p as double)")).where("p is not null")
+
+
+def read_gene_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """(tag, gene, p) of lines ``<tag>_COUNTREP_FREQ: <per cent> <gene>``."""
+    line = r"^(\S+)_COUNTREP_FREQ:\s+(\S+)\s+(\S+)\s*$"
+    part = lambda i: F.regexp_extract("value", line, i)
+    rows = spark.read.text(path).where(F.col("value").rlike(line))
+    return rows.select(part(1).alias("tag"), part(3).alias("gene"), (part(2).try_cast("double") / 100).alias("p"))
 
 
 def read_fasta(spark: SparkSession, path: str, species: str | None = None) -> DataFrame:
@@ -132,7 +148,7 @@ def test_subset(df: DataFrame, groups: int = 3, subjects: int = 3, rows: int = 1
     """The first groups, subjects of a group and rows of a subject, in order."""
     from pyspark.sql import Window
 
-    x = df.withColumn("__g", F.dense_rank().over(Window.orderBy("epitope")))
-    x = x.where(F.col("__g") <= groups).withColumn("__s", F.dense_rank().over(Window.partitionBy("epitope").orderBy("subject")))
+    first = df.select("epitope").distinct().orderBy("epitope").limit(groups)
+    x = df.join(bounded(first), "epitope").withColumn("__s", F.dense_rank().over(Window.partitionBy("epitope").orderBy("subject")))
     x = x.where(F.col("__s") <= subjects).withColumn("__r", F.row_number().over(Window.partitionBy("epitope", "subject").orderBy("id")))
-    return x.where(F.col("__r") <= rows).drop("__g", "__s", "__r")
+    return x.where(F.col("__r") <= rows).select(*df.columns)
