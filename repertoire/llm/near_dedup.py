@@ -8,14 +8,15 @@ r"""Near-duplicate detection: an inverted join over MinHash signature coordinate
 3. Below each posted pair, collisions are counted over the whole signatures, which skips the long lists
    of common values. Matches of ``MATCHES`` or more, of sizes that allow the threshold, are candidates;
    of these a spanning forest leaves the task.
-4. Each candidate pair is confirmed once, on the full sets of both (100 * intersection >= threshold *
-   union), and confirmed links are joined to groups.
-5. Lists in which a pair was refuted are counted again: every candidate pair there whose ends are in
-   different groups is confirmed too. All other candidates are inside a group, whatever their similarity.
+4. Candidates form groups by connected components. Every class of a group is compared with the group's
+   first on their full sets (100 * intersection >= threshold * union): as many pairs as classes.
+5. Groups in which a pair was refuted are open: their lists are counted again, between classes not yet
+   linked only. Where candidates are left, the classes of both sides are compared on their full sets inside
+   tasks, the fewer asking the many, until they are linked; one link for each join leaves a task.
 6. Connected components of the confirmed links name the groups.
 
-Lists above ``UNIT_ROWS`` classes are split into blocks, and every pair of blocks is a unit of its own:
-memory is bounded and no pair is lost. A pair at the threshold of 0.8 has fewer than 16 of 32 equal
+Lists and groups above ``UNIT_ROWS`` classes or ``UNIT_SHINGLES`` shingles are split into blocks, and every
+pair of blocks is a unit of its own: memory is bounded and no pair is lost. A pair at the threshold of 0.8 has fewer than 16 of 32 equal
 coordinates with probability 3e-5; that is the only loss. Shingles are compared as 64-bit hashes.
 
 Defined results: null or wordless texts have an empty set (size 0) and are linked with nothing; a text
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repertoire.llm._shared import HEAVY_ROWS, bounded, join_counted, quoted, ship, text_or_empty, written
+from repertoire.llm._shared import bounded, join_counted, quoted, ship, text_or_empty, written
 from repertoire.llm._text import NOT_SPACE, Words, chunks, mix64, utf8
 from repertoire.llm.components import connected_components
 
 COORDINATES, MATCHES = 32, 16
 SHINGLE, THRESHOLD = 5, 80
-UNIT_ROWS = 4096
+UNIT_ROWS, UNIT_SHINGLES = 4096, 4_000_000
 #: Links of one batch that leaves a task.
 SEND_LINKS = 100_000
 _ODD = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
@@ -121,22 +122,30 @@ def _sets(size: int):
     return sets
 
 
-def _forest(ids: np.ndarray, near) -> list[tuple[int, int]]:
-    """Spanning forest of a graph that is given by ``near(i, rest)``: which of ``rest`` are linked to i."""
-    links, rest, queue = [], np.arange(len(ids)), []
-    while len(rest):
-        if queue:
-            i = queue.pop()
-        else:
-            i, rest = int(rest[0]), rest[1:]
-        if not len(rest):
-            break
-        hit = near(i, rest)
-        if hit.any():
-            found = rest[hit]
-            rest = rest[~hit]
-            queue.extend(found.tolist())
-            links.extend((int(ids[i]), int(ids[j])) for j in found)
+def _bridges(ids: np.ndarray, labels: np.ndarray, near) -> list[tuple[int, int]]:
+    """Links that join the groups which ``labels`` name into the components of a graph, one for each join. The graph is
+    given by ``near(i, rest)``: which of ``rest`` are linked to i.
+
+    Members of the largest group need not ask, since all others ask them; who has asked is not asked again; and
+    nobody is asked by a group that it has been joined to.
+    """
+    names, group, size = np.unique(labels, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    root = np.arange(len(names))
+    links, asked = [], np.zeros(len(ids), bool)
+    order = np.argsort(size[group], kind="stable")
+    for i in order[group[order] != size.argmax()].tolist():
+        asked[i] = True
+        own = root[group[i]]
+        rest = np.flatnonzero(~asked & (root[group] != own))
+        hit = rest[near(i, rest)] if len(rest) else rest
+        if len(hit):
+            for r, at in zip(*np.unique(root[group[hit]], return_index=True), strict=True):
+                links.append((int(ids[i]), int(ids[hit[at]])))
+                root[root == r] = own
+            if (root == own).all():
+                break
     return links
 
 
@@ -168,17 +177,16 @@ def _batch(unit: list, links: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(of), pa.array(x.min(1)), pa.array(x.max(1))], schema=_LINKS)
 
 
-def _collide(matches: int, threshold: int, every: bool):
-    """(unit, id, size, sig, label) rows sorted by unit -> candidate links of every unit: a spanning forest, or
-    ``every`` candidate pair with different labels."""
+def _collide(matches: int, threshold: int):
+    """(unit, id, size, sig, label) rows sorted by unit -> pairs of labels that candidates of every unit join."""
 
     def collide(batches):
         units, links, amount = [], [], 0
         for t in _runs(batches):
-            unit, ids, size, label = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
+            unit, size, label = (t.column(i).to_numpy() for i in (0, 2, 4))
             flat = t.column(3).combine_chunks()
             flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-            sig = flat.flatten().to_numpy().reshape(len(ids), COORDINATES)
+            sig = flat.flatten().to_numpy().reshape(len(unit), COORDINATES)
             edge = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
             count = np.diff(edge)
             begin = edge[:-1]
@@ -186,19 +194,17 @@ def _collide(matches: int, threshold: int, every: bool):
             sizes = np.minimum(size[two], size[two + 1]) * 100 >= threshold * np.maximum(size[two], size[two + 1])
             two = two[sizes & (label[two] != label[two + 1]) & ((sig[two] == sig[two + 1]).sum(1) >= matches)]
             units += unit[two].tolist()
-            links += list(np.stack([ids[two], ids[two + 1]], 1)[:, None, :])
+            links += list(np.stack([label[two], label[two + 1]], 1)[:, None, :])
             amount += len(two)
             for first, n in zip(begin[count > 2], count[count > 2], strict=True):
-                own, who, big, group = (x[first : first + n] for x in (sig, ids, size, label))
+                own, big = sig[first : first + n], size[first : first + n]
 
-                def near(i, rest, own=own, big=big, group=group):
+                def near(i, rest, own=own, big=big):
                     fits = np.minimum(big[rest], big[i]) * 100 >= threshold * np.maximum(big[rest], big[i])
-                    return fits & (group[rest] != group[i]) & ((own[rest] == own[i]).sum(1) >= matches)
+                    fits[fits] = (own[rest[fits]] == own[i]).sum(1) >= matches
+                    return fits
 
-                if every:
-                    found = [(who[i], who[j]) for i in range(n - 1) for j in i + 1 + np.flatnonzero(near(i, np.arange(i + 1, n)))]
-                else:
-                    found = _forest(who, near)
+                found = _bridges(label[first : first + n], label[first : first + n], near)
                 if found:
                     units.append(int(unit[first]))
                     links.append(np.array(found, np.int64))
@@ -227,11 +233,53 @@ def _confirm(threshold: int):
     return confirm
 
 
-def _units(members: DataFrame, key: str) -> DataFrame:
-    """Adds ``unit``: one for each key, or one for each pair of blocks of a key with more than ``UNIT_ROWS`` rows.
-    Such keys are at most all rows / ``UNIT_ROWS``."""
-    large = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > UNIT_ROWS)
-    large = bounded(written(large.select(key, F.ceil(F.col("__n") * 2 / F.lit(UNIT_ROWS)).cast("int").alias("__b")), "large-lists"))
+def _compare(threshold: int):
+    """(unit, id, shingles, label) rows sorted by unit -> forest of every unit's links between different labels."""
+
+    def compare(batches):
+        for t in _runs(batches):
+            unit, ids, sets, labels = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_pylist(), t.column(3).to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
+            units, links = [], []
+            for a, z in zip(edge[:-1], edge[1:], strict=True):
+                own = [np.frombuffer(s, np.uint64) for s in sets[a:z]]
+                size = np.array([len(s) for s in own])
+                first = np.concatenate(([0], np.cumsum(size)))
+                _, code = np.unique(np.concatenate(own), return_inverse=True)
+                mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+
+                def near(i, rest, first=first, code=code, size=size, mark=mark):
+                    out = np.minimum(size[rest], size[i]) * 100 >= threshold * np.maximum(size[rest], size[i])
+                    some = rest[out]
+                    if len(some):
+                        mine = code[first[i] : first[i + 1]]
+                        mark[mine] = True
+                        if len(some) * 2 > len(size):
+                            common = np.add.reduceat(mark[code].astype(np.int64), first[:-1])[some]
+                        else:
+                            common = np.array([np.count_nonzero(mark[code[first[j] : first[j + 1]]]) for j in some])
+                        mark[mine] = False
+                        out[out] = 100 * common >= threshold * (size[some] + size[i] - common)
+                    return out
+
+                found = _bridges(ids[a:z], labels[a:z], near)
+                if found:
+                    units.append(int(unit[a]))
+                    links.append(np.array(found, np.int64))
+            if links:
+                yield _batch(units, links)
+
+    return compare
+
+
+def _units(members: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """Adds ``unit``: one for each key, or one for each pair of blocks of a key with more than ``UNIT_ROWS`` rows, or
+    ``UNIT_SHINGLES`` of ``weight``. Such keys are at most all rows / ``UNIT_ROWS``, all shingles / ``UNIT_SHINGLES``."""
+    parts = F.count(F.lit(1)) * 2 / F.lit(UNIT_ROWS)
+    if weight:
+        parts = F.greatest(parts, F.sum(weight) * 2 / F.lit(UNIT_SHINGLES))
+    large = members.groupBy(key).agg(F.ceil(parts).cast("int").alias("__b")).where("__b > 2")
+    large = bounded(written(large, "large-lists"))
     joined = members.join(large, key, "left").withColumn("__b", F.coalesce("__b", F.lit(1)))
     other = joined.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
     own = F.pmod(F.xxhash64("id"), F.col("__b"))
@@ -257,49 +305,57 @@ def near_groups(
     lists = written(_units(written(prefix, "postings"), "key").select("unit", "id"), "lists")
     sized = classes.select("id", "n_shingles", "sig")
     rows = lists.join(sized, "id").select("unit", "id", "n_shingles", "sig", F.col("id").alias("label"))
-    found = rows.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_collide(matches, threshold, False), "unit long, a long, b long")
-    found = written(found, "candidates")
-    checked = written(_confirmed(texts, found.select("a", "b").distinct(), named, shingle, threshold), "confirmed")
-    linked = connected_components(checked.where("linked"))
-    refuted = checked.where("not linked").select("a", "b")
-    if not refuted.limit(1).isEmpty():
-        again = lists.join(found.join(refuted, ["a", "b"], "left_semi").select("unit").distinct(), "unit", "left_semi")
-        label = F.coalesce("component", "id").alias("label")
-        rows = again.join(sized, "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("unit", "id", "n_shingles", "sig", label)
-        rest = rows.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_collide(matches, threshold, True), "unit long, a long, b long")
-        rest = written(rest.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "more-candidates")
-        more = written(_confirmed(texts, rest, named, shingle, threshold).where("linked"), "more-confirmed")
+    found = rows.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_collide(matches, threshold), "unit long, a long, b long")
+    groups = written(connected_components(found).where("node <> component"), "candidates")
+    checked = written(_confirmed(texts, groups.select(F.col("component").alias("a"), F.col("node").alias("b")), named, shingle, threshold), "confirmed")
+    linked = checked.where("linked").select(F.col("b").alias("node"), F.col("a").alias("component"))
+    opened = checked.where("not linked").select(F.col("a").alias("component")).distinct()
+    if not opened.limit(1).isEmpty():
+        open_groups = groups.join(bounded(written(opened, "open")), "component", "left_semi")
+        ids = open_groups.select(F.col("node").alias("id")).unionAll(open_groups.select(F.col("component").alias("id")).distinct())
+        labelled = ids.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+        labelled = bounded(written(labelled, "open-classes"))
+        rows = lists.join(labelled, "id").join(sized, "id").select("unit", "id", "n_shingles", "sig", "label")
+        rest = rows.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_collide(matches, threshold), "unit long, a long, b long")
+        near = connected_components(rest).select(F.col("node").alias("label"), F.col("component").alias("group"))
+        members = written(labelled.join(bounded(near), "label").select("id", "group", "label"), "members")
+        full = written(_full_sets(texts, members.select("id"), named, shingle), "open-sets")
+        full = full.join(bounded(members), "id").withColumn("w", F.octet_length("shingles") / 8)
+        units = _units(full, "group", "w").select("unit", "id", "shingles", "label")
+        more = units.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_compare(threshold), "unit long, a long, b long")
+        more = written(more.select("a", "b"), "more-confirmed")
         if not more.limit(1).isEmpty():
-            linked = connected_components(checked.where("linked").unionByName(more))
-    linked = linked.where("node <> component").withColumnRenamed("node", "id")
+            linked = connected_components(checked.where("linked").select("a", "b").unionByName(more)).where("node <> component")
+    linked = linked.withColumnRenamed("node", "id")
     label = classes.select("s1", "s2", "n_shingles", "docs", "id").join(linked, "id", "left").where("docs > 1 or component is not null")
     label = written(label.select("s1", "s2", "n_shingles", "docs", F.coalesce("component", "id").alias("c")), "labels")
     member = sketched.select("doc_id", "n_shingles", "s1", "s2")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     keys = ["s1", "s2", "n_shingles"]
     grouped = member.where("n_shingles > 0")
-    heavy = label.where(F.col("docs") > HEAVY_ROWS)
-    if heavy.limit(1).isEmpty():
-        out = grouped.join(bounded(label.drop("docs")), keys, "left")
-    else:
-        heavy = bounded(heavy.drop("docs"))
-        light = bounded(label.where(F.col("docs") <= HEAVY_ROWS).drop("docs"))
-        out = grouped.join(heavy, keys).unionByName(grouped.join(heavy, keys, "left_anti").join(light, keys, "left"))
+    out = join_counted(grouped, bounded(label), keys, "docs", "left").drop("docs")
     out = out.unionByName(member.where("n_shingles = 0").withColumn("c", F.lit(None).cast("long")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _full_sets(texts: DataFrame, nodes: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles) of the texts of some ids, read again; an id that comes more than once may have several sets,
+    any of which links it."""
+    chosen = bounded(nodes.select(F.col("id").alias("doc_id")).distinct())
+    full = texts.join(chosen, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary")
+    return full.dropDuplicates(["id", "shingles"]) if _repeats(named) else full
+
+
 def _confirmed(texts: DataFrame, pairs: DataFrame, named: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """(a, b, linked) of pairs of ids, by the full sets of their texts, which are read again."""
-    pairs = written(pairs, "pairs")
-    nodes = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
-    full = texts.join(bounded(nodes), "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary")
-    several = _repeats(named)  # an id that comes more than once may have several sets, any of which links it
-    full = written(full.dropDuplicates(["id", "shingles"]) if several else full, "sets")
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    """(a, b, linked) of pairs of ids, each b once, by the full sets of their texts."""
+    nodes = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "nodes")
+    full = written(_full_sets(texts, nodes, named, shingle), "sets")
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__rows"))
+    roots = full.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(sizes, "a")
+    both = pairs.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = join_counted(both, roots, ["a"], "__rows")
     checked = both.select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a long, b long, linked boolean")
-    return checked.groupBy("a", "b").agg(F.max("linked").alias("linked")) if several else checked
+    return checked.groupBy("a", "b").agg(F.max("linked").alias("linked")) if _repeats(named) else checked
 
 
 def _repeats(named: DataFrame) -> bool:
