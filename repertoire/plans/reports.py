@@ -545,13 +545,13 @@ def _chain_trees(spark, d) -> DataFrame:
 
 
 @query(f"""{ctes('clones')}, {_TREES}, s as (select g, node, list_sort(list(score)) l from lv join lf using (g, id) group by g, node), m as (select g from lf group by g having count(*) > 1)
-  select g, cast(node as int) node, cast(len(l) as bigint) n, round(list_avg(l), 6) mean, l[cast(least(len(l) * 25 // 100, len(l) - 1) + 1 as int)] quartile from s join m using (g)""")
+  select g, cast(node as int) node, cast(len(l) as bigint) n, round(list_sum(l), 2) total, l[cast(least(len(l) * 25 // 100, len(l) - 1) + 1 as int)] quartile from s join m using (g)""")
 def leaf_scores(spark, d):
-    """E67, M-1: mean and quarter of the scores below every node of a tree."""
+    """E67, M-1: mean (times their number) and quarter of the scores below every node of a tree."""
     t, s = _chain_trees(spark, d), clones(spark, d).select(F.col("clone_id").alias("id"), "score")
     a = trees.score_nodes(t, s, "g", trees.leaf_scores)
     b = trees.score_nodes(t, s, "g", lambda x, y, g: trees.leaf_scores(x, y, g, 25))
-    return a.join(b.select("g", "node", F.col("score").alias("quartile")), ["g", "node"]).select("g", "node", "n", r("score", 6).alias("mean"), "quartile")
+    return a.join(b.select("g", "node", F.col("score").alias("quartile")), ["g", "node"]).select("g", "node", "n", r(F.col("score") * F.col("n"), 2).alias("total"), "quartile")
 
 
 @query(f"""{ctes('clones')}, {_TREES}, rk as (select g, id, round(score, -2) v, rank() over (partition by g order by round(score, -2)) + (count(*) over (partition by g, round(score, -2)) - 1) / 2 rk from lf),

@@ -190,8 +190,8 @@ def test_match_logs(spark, tmp_path):
     head = ["GENES", "V", "Vr", "x", "J", "Jr", "x", "CAF", "x", "x", "x", "x", "new", "C-F"]
     alpha = [*head, "-3", "-2", "4", "V,W", "J", "tgcgcc", "log:f.tsv:9"]
     one = ["D2", "5", "-1", "-2", "-3", "-4", "6", "7", "x", "x"]
-    beta = [*head[:14], *one, "D0", *one[1:], "V", "J", "tgc", "log:g.tsv:1"]
-    bad = [*head[:14], "D0", *one[1:], *one, "V", "J", "tgc", "log:g.tsv:1"]
+    beta = [*head[:14], *one, "D0", *one[1:8], "V", "J", "tgc", "log:g.tsv:1"]
+    bad = [*head[:14], "D0", *one[1:], *one[:8], "V", "J", "tgc", "log:g.tsv:1"]
     (tmp_path / "a.log").write_text("\n".join([" ".join(alpha), "GENES too short", "no"]))
     (tmp_path / "b.log").write_text("\n".join([" ".join(beta), " ".join(bad)]))
     rows, rest = matchlogs.read_genes_log(spark, str(tmp_path / "a.log"), "A")
