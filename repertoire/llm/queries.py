@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repertoire.llm import chat, decontam, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, sharding, warc
+from repertoire.llm import chat, collocations, decontam, exact_dedup, fill_middle, html_extract, line_dedup, lm_score, near_dedup, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 with n as (select doc_id, length(coalesce(text, '')) points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm from documents),
 best as (select norm, count(*) group_size, arg_min(doc_id, (-points, doc_id)) keep_id from n group by norm)
@@ -106,6 +118,53 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
 from t group by conv_id
 """
 
+OP11_SQL = r"""
+with d as (select doc_id, coalesce(text, '') t, sha256('42:' || cast(doc_id as varchar)) h from documents),
+x as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') u,
+      cast('0x' || substr(h, 1, 8) as bigint) h1, cast('0x' || substr(h, 9, 8) as bigint) h2, cast('0x' || substr(h, 17, 8) as bigint) h3,
+      cast('0x' || substr(h, 25, 8) as bigint) h4 from d),
+f as (select doc_id, t, u, len(u) n, h1 % (len(u) + 1) a, h2 % (len(u) + 1) b,
+      case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+           when h4 % 100 < 80 then 'spm' else 'psm' end form from x),
+s as (select doc_id, t, n, form, array_to_string(u[:least(a, b)], '') p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') m,
+      array_to_string(u[greatest(a, b) + 1:], '') s from f)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(length(p) as bigint) end prefix_chars,
+       case when form <> 'plain' then cast(length(m) as bigint) end middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+       sha256(t) restored_sha256
+from s
+"""
+
+OP12_SQL = r"""
+with p as (select coalesce(lang, 'und') lang,
+             unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+           from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') x from p),
+total as (select lang, sum(len(x)) n from w group by lang),
+g as (select lang, k, unnest([array_to_string(x[i:i + k - 1], ' ') for i in range(1, cast(len(x) - k + 2 as bigint))]) phrase
+      from w, (values (1), (2), (3), (4)) t(k) where len(x) >= k),
+f as (select lang, phrase, k, count(*) a from g group by lang, phrase, k having count(*) >= 30),
+c as (select * from f where k > 1),
+gone as (select distinct c.lang, c.phrase from c join c o on c.lang = o.lang and o.k > c.k and 100 * o.a::hugeint >= 80 * c.a::hugeint
+         and contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ')),
+cut as (select lang, phrase, a, i, array_to_string(string_split(phrase, ' ')[:i], ' ') one, array_to_string(string_split(phrase, ' ')[i + 1:], ' ') two
+        from (select *, unnest(range(1, k)) i from c anti join gone using (lang, phrase))),
+scored as (select cut.lang, cut.phrase, cut.a, i, x.a l, y.a r, cast(2000000::hugeint * cut.a // (x.a + y.a) as bigint) score
+           from cut join f x on x.lang = cut.lang and x.phrase = one join f y on y.lang = cut.lang and y.phrase = two),
+best as (select lang, phrase, a, unnest(min(struct_pack(score := score, i := i, l := l, r := r))) from scored group by lang, phrase, a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
+select lang, rank, phrase, a, l, r, cast(n as bigint) n, score from ranked join total using (lang) where rank <= 2000
+"""
+
+OP13_SQL = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents),
+k as (select doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l),
+f as (select key, min(doc_id) keeper from k where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+m as (select doc_id, i, line, keeper is not null and keeper <> doc_id as goes from k left join f using (key))
+select doc_id, count(*) n_lines, count(*) filter (where goes) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not goes), '')) kept_sha256
+from m group by doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -119,8 +178,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_near_dedup": op9_near_dedup,
         "op10_quality": op10_quality,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_collocations": op12_collocations,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL,
+        "op2_decontamination": OP2_SQL,
+        "op3_warc": OP3_SQL,
+        "op4_chat": OP4_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op12_collocations": OP12_SQL,
+        "op13_line_dedup": OP13_SQL,
+    }
