@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -32,6 +33,11 @@ class DistanceParams:
         return cls(**{k: v == "True" if kinds[k] is bool else float(v) for k, v in given.items()})
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of ``values``, each of which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def letters(s: Column) -> Column:
     """The characters of a string as an array."""
     return F.filter(F.split(s, ""), lambda x: x != "")
@@ -46,11 +52,16 @@ def translate_frame(s: Column, frame: int) -> Column:
     strand = F.lower(reverse_complement(s) if frame < 0 else s)
     read = F.substring(strand, abs(frame), 1 << 30)
     n = F.floor(F.length(read) / 3).cast("int")
-    code = tables.as_map(tables.genetic_code())
+    code = tables.genetic_code()
+    plain = [c for c in code if set(c) <= set("acgt")]
+    # a position in a list of 64 codons is found sooner than a key of the map, which holds all ambiguous ones too
+    listed, residues, every = F.lit(" ".join(plain)), F.lit("".join(code[c] for c in plain)), tables.as_map(code)
     at = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
     codon = lambda i: F.substr(read, i * 3 + 1, F.lit(3))
-    residue = lambda i: F.when(F.contains(codon(i), F.lit("#")), "#").otherwise(F.coalesce(F.try_element_at(code, codon(i)), F.lit("X")))
-    return F.array_join(F.transform(at, residue), "")
+    rare = lambda c: F.when(F.contains(c, F.lit("#")), "#").otherwise(F.coalesce(F.try_element_at(every, c), F.lit("X")))
+    place = lambda c: F.instr(listed, c)
+    residue = lambda c: F.when((place(c) > 0) & ~F.contains(c, F.lit(" ")), F.substr(residues, F.floor((place(c) + 3) / 4).cast("int"), F.lit(1))).otherwise(rare(c))
+    return F.array_join(F.transform(F.transform(at, codon), residue), "")
 
 
 def bases_match(a: Column, b: Column) -> Column:
