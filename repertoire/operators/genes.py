@@ -6,7 +6,7 @@ cheap, and every lookup into it is a broadcast join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repertoire.functions import tables
@@ -46,3 +46,74 @@ def lookup(rows: DataFrame, id_col: str, genes_col: str, table: DataFrame, out:
     value = [c for c in table.columns if c != "gene"][0]
     each = rows.select(id_col, F.explode(genes_col).alias("gene")).join(bounded(table), "gene")
     return rows.join(each.groupBy(id_col).agg(F.array_sort(F.collect_set(value)).alias(out)), id_col, "left")
+
+
+#: Mismatches of the CDR1 and CDR2 loops, of these with the CDR2.5 loop, and of the aligned protein up to behind the C.
+LOOP_MISMATCHES, THREE_LOOP_MISMATCHES, WHOLE_MISMATCHES = 1, 2, 10
+#: What a gap or stop opposite another letter counts as; the least substitution score of a mismatch in a loop.
+GAP_MISMATCHES, LEAST_SCORE = 10, 1
+
+
+def _mismatch_weights(a: Column, b: Column) -> Column:
+    """For each column of two aligned parts 0, 1, or ``GAP_MISMATCHES`` where a gap or stop meets another letter."""
+    odd = lambda x: x.isin("*", ".")
+    return F.zip_with(letters(a), letters(b), lambda x, y: F.when(x == y, 0).when(odd(x) | odd(y), GAP_MISMATCHES).otherwise(1))
+
+
+def _total(weights: Column) -> Column:
+    return F.aggregate(weights, F.lit(0), lambda t, x: t + x)
+
+
+def v_neighbours(genes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of V genes of one organism and chain whose CDR1 and CDR2 loops have one mismatch at most, and that a likely
+    substitution; these and the CDR2.5 loop two at most; and the aligned proteins up to the residue behind the C ten.
+
+    ``genes``: (gene, organism, chain, aligned_protseq, cdrs, cdr_columns), loops in columns of equal width. A
+    mismatch in one of two loops leaves the other as it is, so pairs meet on an equal CDR1 or an equal CDR2.
+    """
+    own = genes.select(
+        "organism", "chain", "gene", F.get("cdrs", F.lit(0)).alias("l1"), F.get("cdrs", F.lit(1)).alias("l2"), F.get("cdrs", F.lit(2)).alias("l3"),
+        F.expr("substr(aligned_protseq, 1, element_at(cdr_columns, -1).start + 1)").alias("whole"),
+    )
+    side = lambda n, loop: own.select("organism", "chain", F.col(loop).alias("__same"), *[F.col(c).alias(f"{c}{n}") for c in ("gene", "l1", "l2", "l3", "whole")])
+    pairs = None
+    for loop in ("l1", "l2"):
+        met = side("a", loop).join(side("b", loop), ["organism", "chain", "__same"]).where("genea < geneb").drop("__same")
+        pairs = met if pairs is None else pairs.unionAll(met.where("l1a <> l1b"))  # those of equal CDR1 have met
+    two = lambda s: F.concat(f"l1{s}", f"l2{s}")
+    in_two = _total(_mismatch_weights(two("a"), two("b")))
+    in_three = in_two + _total(_mismatch_weights(F.col("l3a"), F.col("l3b")))
+    score = tables.as_map(tables.blosum62())
+    likely = F.forall(F.zip_with(letters(two("a")), letters(two("b")), lambda x, y: F.when(x != y, F.coalesce(F.try_element_at(score, F.concat(x, y)), F.lit(-9))).otherwise(LEAST_SCORE)), lambda s: s >= LEAST_SCORE)
+    # the prefix of the first gene's length counts; aligned proteins of a chain are equally wide
+    whole = _total(F.filter(_mismatch_weights(F.col("wholea"), F.col("wholeb")), lambda w: w.isNotNull()))
+    equal = (F.col("l1a") == F.col("l1b")) & (F.col("l2a") == F.col("l2b")) & (F.col("l3a") == F.col("l3b"))
+    near = (in_two <= LOOP_MISMATCHES) & likely & (in_three <= THREE_LOOP_MISMATCHES) & (whole <= WHOLE_MISMATCHES)
+    return pairs.where(equal | near).select(F.col("genea").alias("a"), F.col("geneb").alias("b"))
+
+
+def j_loops(genes: DataFrame) -> DataFrame:
+    """J genes with ``loop``: the protein up to the end of the G-x-G behind the CDR3 loop."""
+    protein = F.replace("aligned_protseq", F.lit("."), F.lit(""))
+    return genes.withColumn("loop", F.substr(protein, F.lit(1), F.length(F.replace(F.get("cdrs", F.lit(0)), F.lit("."), F.lit(""))) + 3))
+
+
+def gene_classes(genes: DataFrame) -> DataFrame:
+    """(gene, rep, mm1_rep, count_rep) of V and J genes.
+
+    ``rep``: the smallest gene of equal loops (J genes: loop and G-x-G); ``mm1_rep``: the smallest one reachable over
+    ``v_neighbours`` (J genes: ``rep``); ``count_rep``: ``mm1_rep`` without its allele, where the alleles of one gene are
+    in several classes that of the most alleles (of equal ones the greatest name).
+    """
+    v, j = genes.where("region = 'V'"), j_loops(genes.where("region = 'J'"))
+    keyed = v.select("organism", "chain", "region", "gene", F.concat_ws(" ", F.slice("cdrs", 1, 3)).alias("loop")).unionByName(j.select("organism", "chain", "region", "gene", "loop"))
+    reps = keyed.withColumn("rep", F.min("gene").over(Window.partitionBy("organism", "chain", "region", "loop"))).drop("loop")
+    found = components(v_neighbours(v), v.select(F.col("gene").alias("node"))).select(F.col("node").alias("gene"), F.col("component").alias("mm1"))
+    classes = reps.join(found, "gene", "left").withColumn("mm1_rep", F.coalesce("mm1", "rep")).drop("mm1")
+    classes = classes.withColumns({"name": gene_of_allele(F.col("gene")), "class": gene_of_allele(F.col("mm1_rep"))})
+    kind = ["organism", "chain", "region"]
+    sizes = classes.groupBy(*kind, "class").agg(F.count(F.lit(1)).alias("alleles"))
+    several = classes.select(*kind, "name", "class").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*kind, "name"))).where("n > 1")
+    merged = several.join(sizes, [*kind, "class"]).withColumn("top", F.max(F.struct("alleles", "class")).over(Window.partitionBy(*kind, "name"))["class"])
+    merged = merged.groupBy(*kind, "class").agg(F.max("top").alias("top"))
+    return classes.join(merged, [*kind, "class"], "left").select("gene", "rep", "mm1_rep", F.coalesce("top", "class").alias("count_rep"))
