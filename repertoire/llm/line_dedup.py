@@ -164,23 +164,28 @@ def _kept(near, bits: int):
     def keep(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         shards = {s: Shard.of_row(*row) for s, *row in near.value}
         for texts, ids, nameless, far in batches:
+            keys = [line_keys(text.encode("utf-8", "surrogatepass")) for text in texts]
+            gone = [set(named) if named is not None else set() for named in far]
+            some = [list(dict.fromkeys(k for k in own if k is not None)) for own in keys] if shards else []
+            each = np.array([len(own) for own in some], np.int64)
+            if each.sum():  # the keys of all documents of a batch are looked up at once
+                every = [k for own in some for k in own]
+                h, g = _halves(every)
+                of = np.repeat(np.arange(len(some)), each)
+                owner, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+                shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+                for s in np.unique(shard):
+                    if s in shards:
+                        here = np.flatnonzero(shard == s)
+                        count[here], owner[here] = shards[s].probe(h[here], g[here])
+                for i in np.flatnonzero((count > 0) & (nameless.to_numpy(bool)[of] | (owner != ids.to_numpy(np.int64)[of]))):
+                    gone[of[i]].add(every[i])
             out = []
-            for text, doc, no_id, named in zip(texts, ids, nameless, far, strict=True):
-                keys = line_keys(text.encode("utf-8", "surrogatepass"))
-                some = [k for k in dict.fromkeys(keys) if k is not None]
-                gone = set(named) if named is not None else set()
-                if some and shards:
-                    h, g = _halves(some)
-                    shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                    for s in np.unique(shard):
-                        if s in shards:
-                            here = np.flatnonzero(shard == s)
-                            count, owner = shards[s].probe(h[here], g[here])
-                            gone.update(some[i] for i in here[(count > 0) & (no_id | (owner != doc))])
-                dropped = sum(k in gone for k in keys) if gone else 0
+            for text, own, drop in zip(texts, keys, gone, strict=True):
+                dropped = sum(k in drop for k in own) if drop else 0
                 if dropped:
-                    text = "\n".join(line for line, k in zip(text.split("\n"), keys, strict=True) if k not in gone)
-                out.append((text, len(keys), dropped))
+                    text = "\n".join(line for line, k in zip(text.split("\n"), own, strict=True) if k not in drop)
+                out.append((text, len(own), dropped))
             yield pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
     return keep
