@@ -14,8 +14,9 @@ counts of all shards. Whatever a candidate drops by a word at its front is its s
 prefix: these two maxima over the counted table decide subsumption.
 
 Rare phrases are most of what a shard holds. Words and pairs of a candidate occur as often as it, so one pass before
-counts hashes of words and pairs; those with too few occurrences end a run of words. The filter of the others
-is a bit set of bounded size, which lets through more where it is full; exact counts decide after it.
+counts hashes of words and pairs, and those with too few occurrences end a run of words; a second one counts
+hashes of the longer phrases of these runs. The filters of the others are bit sets of bounded size, which let
+through more where they are full; exact counts of the phrases themselves decide after them.
 
 Defined results: a null text is empty, a null language ``und``; repeated rows count again; ids are not used; a text
 of any length is cut between words, with the ``DEPTH - 1`` words before the cut as context that is not counted again;
@@ -41,7 +42,7 @@ DEPTH, LEAST, SUBSUMED, TOP = 4, 30, 80, 2000
 ENDS = b".,;:!?\n\v\f\r"
 _TABLE = bytes(ord(";") if c in ENDS else LOWER[c] for c in range(256))
 #: Bytes of a shard; keys that a task holds before it sends them; keys of a block of the filter, before merging.
-SHARD_BYTES, HOLD_KEYS, BLOCK_KEYS = 6 << 20, 2 << 20, 4_000_000
+SHARD_BYTES, HOLD_KEYS, BLOCK_KEYS = 2 << 20, 1 << 20, 4_000_000
 #: Bits of the filter: at least, at most, and for each key that can be frequent.
 LEAST_BITS, MOST_BITS, KEY_BITS = 20, 27, 8
 #: Hash of a pair's first word.
@@ -170,10 +171,14 @@ def _reach(gap: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return np.where(gap, 0, at - start + 1)
 
 
-def _pairs(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The hash of each position's word with the one before it (any value at position 0)."""
+def _spans(hashes: np.ndarray, codes: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(words, hashes) of the phrases of 1 to ``most`` words that end at each position (any value where there is none)."""
     h = hashes[codes]
-    return mix64(np.concatenate((h[:1], h[:-1])) * _FIRST + h)
+    found = h
+    yield 1, found
+    for words in range(2, most + 1):
+        found = mix64(np.concatenate((h[:1], found[:-1])) * _FIRST + h)
+        yield words, found
 
 
 _KEYS = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -187,21 +192,26 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _count_keys(blocks: int, shard_bytes: int, hold: int = HOLD_KEYS):
-    """Counts of the hashes of words and pairs, by block."""
+def _count_keys(blocks: int, least: int, shard_bytes: int, spans: range, near=None, hold: int = HOLD_KEYS):
+    """Counts, up to ``least``, of the hashes of phrases of so many words, by block; of those whose words and pairs are in
+    ``near`` if it is given. A block is the low bits of its hashes, which go on as their upper halves."""
+    kind = np.min_scalar_type(least)
 
     def send(keys, counts):
         block = (keys % np.uint64(blocks)).astype(np.int32)
         order = np.argsort(block, kind="stable")
         edges = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist() + [len(order)]
-        rows = [(int(block[order[a]]), keys[order[a:z]].tobytes(), np.minimum(counts[order[a:z]], LARGE).astype(np.uint32).tobytes()) for a, z in pairwise(edges)]
+        short, few = (keys >> np.uint64(32)).astype(np.uint32)[order], np.minimum(counts, least).astype(kind)[order]
+        rows = [(int(block[order[a]]), short[a:z].tobytes(), few[a:z].tobytes()) for a, z in pairwise(edges)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _KEYS, strict=True)], schema=_KEYS)
 
     def run(batches):
         parts, amount = [], 0
-        for lang, tokens, counted in _shards(batches, shard_bytes, 2):
+        for lang, tokens, counted in _shards(batches, shard_bytes, spans[-1]):
             _, codes, reach, hashes = _coded(lang, tokens)
-            for keys in (hashes[codes[counted & (reach > 0)]], _pairs(hashes, codes)[counted & (reach > 1)]):
+            reach = _frequent_reach(near, codes, reach, hashes) if near is not None else reach
+            for words, keys in _spans(hashes, codes, spans[-1]):
+                keys = keys[counted & (reach >= words)] if words in spans else ()
                 if len(keys):
                     u, c = np.unique(keys, return_counts=True)
                     parts.append((u, c))
@@ -218,36 +228,33 @@ def _count_keys(blocks: int, shard_bytes: int, hold: int = HOLD_KEYS):
     return run
 
 
-#: A count that is enough for any threshold.
-LARGE = (1 << 32) - 1
-
-
-def _bits_of(least: int, blocks: int, size: int):
+def _bits_of(least: int, size: int):
     """The bit set of a block's frequent keys, ``size`` bits."""
 
     def build(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merged([(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64)) for k, c in zip(pieces["keys"], pieces["counts"], strict=True)])
+        kind = np.min_scalar_type(least)
+        keys, counts = _merged([(np.frombuffer(k, np.uint32), np.frombuffer(c, kind).astype(np.int64)) for k, c in zip(pieces["keys"], pieces["counts"], strict=True)])
         bits = np.zeros(size, bool)
-        for at in _places(keys[counts >= least], blocks, size):
+        for at in _places(keys[counts >= least], size):
             bits[at] = True
         return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
     return build
 
 
-def _places(keys: np.ndarray, blocks: int, size: int) -> Iterator[np.ndarray]:
-    """Two bits of a block for each key."""
-    x = keys // np.uint64(blocks)
+def _places(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Two bits of a block for each key, the upper half of a hash."""
     for turn in (1, 2):
-        yield (mix64(x + np.uint64(turn)) % np.uint64(size)).astype(np.int64)
+        yield (mix64(keys.astype(np.uint64) + np.uint64(turn << 32)) % np.uint64(size)).astype(np.int64)
 
 
-def frequent_filter(texts: DataFrame, words: int, least: int, shard_bytes: int):
-    """A broadcast (blocks, size, bits): whether a word or a pair may have ``least`` occurrences."""
+def frequent_filter(texts: DataFrame, words: int, least: int, shard_bytes: int, spans: range, near=None):
+    """A broadcast (size, bits): whether a phrase of so many words may have ``least`` occurrences."""
     log = min(MOST_BITS, max(LEAST_BITS, (2 * words // least * KEY_BITS).bit_length()))
     blocks = 1 << min(log - 8, max(0, (2 * words // BLOCK_KEYS).bit_length()))
     size = (1 << log) // blocks
-    found = texts.mapInArrow(_count_keys(blocks, shard_bytes), "block int, keys binary, counts binary").groupBy("block").applyInPandas(_bits_of(least, blocks, size), "block int, bits binary")
+    keys = texts.mapInArrow(_count_keys(blocks, least, shard_bytes, spans, near), "block int, keys binary, counts binary")
+    found = keys.groupBy("block").applyInPandas(_bits_of(least, size), "block int, bits binary")
     bits = np.zeros((blocks, size // 8), np.uint8)
     for r in found.collect():  # at most 2 ** MOST_BITS bits in all
         bits[r[0]] = np.frombuffer(r[1], np.uint8)
@@ -258,34 +265,46 @@ def _may(near, keys: np.ndarray) -> np.ndarray:
     blocks, size, bits = near.value
     block = (keys % np.uint64(blocks)).astype(np.int64)
     out = np.ones(len(keys), bool)
-    for at in _places(keys, blocks, size):
+    for at in _places(keys >> np.uint64(32), size):
         out &= (bits[block, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
     return out
 
 
+def _frequent_reach(near, codes: np.ndarray, reach: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The words of a run that ends at each position, where rare words are gaps and rare pairs break it."""
+    rare = ~_may(near, hashes)[codes]
+    apart = np.zeros(len(codes), bool)
+    inside = np.flatnonzero(reach > 1)
+    _, pairs = list(_spans(hashes, codes, 2))[1]
+    apart[inside] = ~_may(near, pairs[inside])
+    return _reach((reach == 0) | rare, apart)
+
+
 _COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
 
-def _enumerate(near, depth: int, shard_bytes: int):
+def _enumerate(near, longer, depth: int, shard_bytes: int):
     """(lang, phrase, words, n) of the phrases of each shard's automaton; '' of 0 words counts all words."""
 
     def run(batches):
         for lang, tokens, counted in _shards(batches, shard_bytes, depth):
-            words, codes, reach, hashes = _coded(lang, tokens)
+            _, codes, reach, hashes = _coded(lang, tokens)
             total = int((counted & (reach > 0)).sum())
-            rare = ~_may(near, hashes)[codes]
-            apart = np.zeros(len(codes), bool)
-            inside = np.flatnonzero(reach > 1)
-            apart[inside] = ~_may(near, _pairs(hashes, codes)[inside])
-            found = SuffixAutomaton(codes, _reach((reach == 0) | rare, apart), counted, depth)
+            if not total:
+                continue
+            found = SuffixAutomaton(codes, _frequent_reach(near, codes, reach, hashes), counted, depth)
             end, length, count = found.phrases()
-            count = np.where(length == 0, total, count)
-            text = ["" if k == 0 else b" ".join(tokens[e - k + 1 : e + 1]).decode("utf-8", "replace") for e, k in zip(end.tolist(), length.tolist(), strict=True)]
-            if total:
-                if not (length == 0).any():  # no word of the shard passed
-                    text, length, count = ["", *text], np.concatenate(([0], length)), np.concatenate(([total], count))
-                columns = [pa.array([lang] * len(text), pa.string()), pa.array(text, pa.string()), pa.array(length.astype(np.int32)), pa.array(count.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, schema=_COUNTED)
+            passed = length < 3
+            for k, keys in _spans(hashes, codes, depth):
+                if k > 2:
+                    own = np.flatnonzero(length == k)
+                    passed[own] = _may(longer, keys[end[own]])
+            passed &= length > 0
+            end, length, count = end[passed], length[passed], count[passed]
+            text = [b" ".join(tokens[e - k + 1 : e + 1]).decode("utf-8", "replace") for e, k in zip(end.tolist(), length.tolist(), strict=True)]
+            columns = [pa.array([lang] * (len(text) + 1), pa.string()), pa.array(["", *text], pa.string())]
+            columns += [pa.array(np.append(0, length).astype(np.int32)), pa.array(np.append(total, count).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, schema=_COUNTED)
 
     return run
 
@@ -296,8 +315,9 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     ship(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    near = frequent_filter(texts, size // 6, least, shard_bytes)
-    found = texts.mapInArrow(_enumerate(near, depth, shard_bytes), "lang string, phrase string, words int, n long")
+    near = frequent_filter(texts, size // 6, least, shard_bytes, range(1, 3))
+    longer = frequent_filter(texts, size // 6, least, shard_bytes, range(3, depth + 1), near) if depth > 2 else None
+    found = texts.mapInArrow(_enumerate(near, longer, depth, shard_bytes), "lang string, phrase string, words int, n long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
 
 
