@@ -727,3 +727,52 @@ def test_words_are_those_of_the_pattern():
         w = word_hashes(raw, letters)
         assert [w.bytes_of(i).decode() for i in range(len(w.start))] == re.findall(pattern, text.translate(LOWER))
     assert html.unescape("&eacute") == "é"
+
+
+# articles that other versions, roles in names and constant headings must not take away
+
+
+def extracted(spark, htmls, host="http://h.example/"):
+    df = spark.createDataFrame([(i, f"{host}{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_print_versions_keep_their_articles(spark):
+    rng = random.Random(1)
+    pages, want = [], []
+    for i in range(10):
+        paragraphs = [sentence(rng, 9) for _ in range(3)]
+        for title in (f"Story {i}", f"Print: story {i}"):
+            pages.append(f"<html><body><nav>Home News</nav><div class='wrap'><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div><footer>imprint</footer></body></html>")
+            want.append("\n".join([title, *paragraphs]))
+    assert extracted(spark, pages) == dict(enumerate(want))
+
+
+def test_recurring_dialogue_is_content(spark):
+    rng = random.Random(2)
+    lines = ["yes of course", "no not now", "who is there", "come in then"]
+    bodies = [[rng.choice(lines) for _ in range(8)] for _ in range(12)]
+    pages = [f"<body><div><h1>Scene {i}</h1>" + "".join(f"<p>{x}</p>" for x in b) + "</div></body>" for i, b in enumerate(bodies)]
+    got = extracted(spark, pages)
+    for i, b in enumerate(bodies):
+        assert all(x in got[i].split("\n") for x in b if sum(x in o for o in bodies) < 11) and got[i].startswith(f"Scene {i}")
+
+
+def test_names_in_an_article_are_no_roles_but_comments(spark):
+    rng = random.Random(3)
+    inner = lambda i: f"<article class='post'><h1>T{i}</h1><div class='market-share'>{sentence(random.Random(i), 8)}</div><section class='search'><p>{sentence(random.Random(i + 99), 8)}</p></section><div class='comments'><p>{sentence(rng, 5)}</p></div></article>"
+    for n in (1, 12):
+        got = extracted(spark, [f"<body>{inner(i)}<div class='discussion'><p>{sentence(rng, 9)}</p></div></body>" for i in range(n)])
+        assert got == {i: f"T{i}\n{sentence(random.Random(i), 8)}\n{sentence(random.Random(i + 99), 8)}" for i in range(n)}
+
+
+def test_constant_headings_between_varying_blocks_stay(spark):
+    rng = random.Random(4)
+    parts = [[sentence(rng, 7) for _ in range(3)] for _ in range(15)]
+    pages = [f"<body><h2>Site</h2><main><h1>Dish {i}</h1><p>{a}</p><h2>Ingredients</h2><p>{b}</p><h2>Method</h2><p>{c}</p><p>Share this page</p><h2>More</h2></main></body>" for i, (a, b, c) in enumerate(parts)]
+    got = extracted(spark, pages)
+    assert got == {i: f"Dish {i}\n{a}\nIngredients\n{b}\nMethod\n{c}" for i, (a, b, c) in enumerate(parts)}
