@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repertoire.functions import tables
 from repertoire.functions.sequences import letters, mismatches
-from repertoire.operators.graph import components
+from repertoire.operators.graph import _ready, components
 
 #: Columns of ';'-joined gene sets.
 GENE_COLUMNS = ("va", "ja", "vb", "jb")
@@ -127,10 +127,15 @@ def merge_edges(groups: DataFrame) -> DataFrame:
     Edges grow with the groups, not with their pairs: equal chains are stars over choices of genes, a mismatch is found
     by blanking a place, and a poor singleton takes one edge to each cell it belongs with.
     """
+    _ready(groups.sparkSession)
     out = None
     for side in _sides(groups):
+        side = side.checkpoint()
         rows = _by_genes(side.where("forms is not null").withColumn("form", F.explode("forms")).drop("forms", "other"))
-        for edges in (_star_edges(rows), _error_edges(rows), _compared_edges(side)):
+        kinds = [_star_edges(rows), _error_edges(rows)]
+        if not side.where("forms is null").limit(1).isEmpty():
+            kinds.append(_compared_edges(side))
+        for edges in kinds:
             out = edges if out is None else out.unionAll(edges)
     return out.distinct()
 
