@@ -1,7 +1,8 @@
 r"""Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id. Ranges are stretches of ids with about ``partition_bytes`` of payload,
-from exact sums over a fixed grid of ids, so that the same pages always give the same files. Each range is
+Records are range-sorted by page id. Ranges are stretches of ids with about ``partition_bytes`` of payload, from
+exact sums over cells of ids that are cut until each is small, so that the same pages always give the same
+files, wherever their ids lie. Each range is
 written as gzip members into archive files that roll when the compressed size passes a limit; headers and
 digests are generated anew from the payload. A file gets a temporary name that only this attempt of the
 task uses; the rows that the tasks return (temporary and final name, records, bytes, digest) are written as
@@ -25,7 +26,10 @@ import hashlib
 import re
 import uuid
 import zlib
+from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -36,7 +40,7 @@ from repertoire.llm._shared import bounded, fresh_path, join_counted, ship, writ
 
 ROLL_BYTES = 8 << 20
 PARTITION_BYTES = 16 << 20
-#: Ranges and cells of the grid of ids, at most; beyond, a range grows (its rows are streamed, never held).
+#: Ranges, at most (beyond, they grow; their rows are streamed, never held), and cells that are counted in a round.
 RANGES, CELLS = 20_000, 200_000
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -112,11 +116,11 @@ def parse(raw: bytes) -> dict:
     }
 
 
-def _write(folder: str, roll: int):
+def _write(folder: str, roll: int, token: str):
     def write(batches):
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
-        attempt = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
+        attempt = f"{token}-{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
         state = {"part": None, "roll": 0, "out": None}
         done = []
 
@@ -168,11 +172,11 @@ def _commit(folder: str):
     return commit
 
 
-def _clear(folder: str) -> None:
-    """Deletes what lost attempts left."""
+def _clear(folder: str, token: str) -> None:
+    """Deletes what lost attempts of this write left."""
     store, root = _store(folder)
     for f in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-        if f.base_name.startswith("_temporary-"):
+        if f.base_name.startswith("_temporary-") and f"-{token}-" in f.base_name:
             store.delete_file(f.path)
 
 
@@ -189,30 +193,70 @@ def with_revisits(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataF
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
+def id_cells(ids: DataFrame, low: int, high: int, aim: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Disjoint stretches of ids as (first, bytes) of at most ``aim`` bytes each, and the ids (id, bytes) that have more on
+    their own. ``ids``: (page_id, bytes). Cells of equal width are counted; those that are too large are cut anew from
+    their own first to last id, until none is, so that neither a far id nor ids that cluster matter."""
+    spark = ids.sparkSession
+    left = ids.withColumn("cell", F.lit(low).cast("long"))
+    large, light, hot = [(low, low, high)], None, []
+    while large:  # at most bytes / aim cells, so a bounded list
+        each = max(2, CELLS // len(large))
+        cut = spark.createDataFrame([(cell, first, Decimal(-(-(last - first + 1) // each))) for cell, first, last in large], "cell long, lo long, width decimal(20,0)")
+        wide = lambda c: F.col(c).cast("decimal(20,0)")
+        at = F.expr("(cast(page_id as decimal(20,0)) - cast(lo as decimal(20,0))) div width").cast("decimal(20,0)")
+        left = left.join(F.broadcast(cut), "cell").select("page_id", "bytes", (wide("lo") + at * F.col("width")).cast("long").alias("cell"))
+        cells = written(left.groupBy("cell").agg(F.sum("bytes").alias("bytes"), F.min("page_id").alias("first"), F.max("page_id").alias("last")), "cells")
+        over = cells.where(F.col("bytes") > aim).collect()
+        hot += [(r["first"], r["bytes"]) for r in over if r["first"] == r["last"]]
+        large = [(r["cell"], r["first"], r["last"]) for r in over if r["first"] < r["last"]]
+        found = cells.where(F.col("bytes") <= aim).select("first", "bytes")
+        light = found if light is None else light.unionAll(found)
+        if large:
+            kept = spark.createDataFrame([(c,) for c, *_ in large], "cell long")
+            left = written(left.join(F.broadcast(kept), "cell", "left_semi"), "ids")
+    return light, hot
+
+
 def with_ranges(pages: DataFrame, partition_bytes: int) -> tuple[DataFrame, int]:
-    """(``pages`` with ``part``, number of parts): stretches of page ids with about ``partition_bytes`` each, from the
-    sums of at most ``CELLS`` equal intervals of ids; rows without an id are in part 0."""
-    size = F.octet_length(F.col("html").cast("string"))
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum(size), F.lit(0))).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // CELLS))
+    """(``pages`` with ``part``, number of parts): stretches of page ids of at most twice ``partition_bytes`` (or twice the
+    mean of ``RANGES`` parts). Rows of one id that have more, and rows without an id, which come first, are
+    dealt to several parts by a hash of their content."""
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).cast("long")
+    nameless = F.sum(F.when(F.col("page_id").isNull(), size + 1))
+    low, high, total, blank = pages.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(nameless, F.lit(0))).first()
     aim = max(partition_bytes, -(-total // RANGES), 1)
-    cell = F.expr(f"(coalesce(page_id, {low}) - {low}L) div {width}L")
-    cells = pages.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(size, F.lit(0))).alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = cells.select("cell", F.floor(before / F.lit(aim)).cast("int").alias("part"))
-    named = pages.withColumn("cell", cell).join(bounded(written(parts, "ranges")), "cell").drop("cell")
-    return named, max(1, -(-total // aim))
+    blanks = -(-blank // aim)
+    starts, parts = [0], [1]
+    if low is not None:
+        light, hot = id_cells(pages.where("page_id is not null").select("page_id", size.alias("bytes")), low, high, aim)
+        before = F.coalesce(F.sum("bytes").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cuts = light.select("first", F.floor(before / F.lit(aim)).alias("part")).groupBy("part").agg(F.min("first").alias("first"))
+        bounds = {r["first"]: 1 for r in cuts.collect()} | {i + 1: 1 for i, _ in hot if i + 1 < 1 << 63} | {i: -(-n // aim) for i, n in hot}
+        bounds.setdefault(low, 1)
+        starts, parts = sorted(bounds), [bounds[k] for k in sorted(bounds)]
+    edge, many = np.array(starts[1:], np.int64), np.array(parts, np.int64)
+    base = blanks + np.cumsum(many) - many
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, h: pd.Series) -> pd.Series:
+        k = np.searchsorted(edge, ids.to_numpy(np.int64), "right")
+        return pd.Series((base[k] + h.to_numpy(np.int64).view(np.uint64) % many[k].astype(np.uint64)).astype(np.int64)).astype("int32")
+
+    content = F.xxhash64("url", "html")
+    part = F.when(F.col("page_id").isNull(), F.pmod(content, F.lit(max(1, blanks))).cast("int")).otherwise(place(F.coalesce("page_id", F.lit(0)), content))
+    return pages.withColumn("part", part), int(blanks + many.sum())
 
 
 def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES, partition_bytes: int = PARTITION_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as archives below ``folder``; returns the manifest table."""
     ship(pages.sparkSession)
+    token = uuid.uuid4().hex
     ranged, parts = with_ranges(with_revisits(pages, revisit_bytes), partition_bytes)
-    records = ranged.repartitionById(parts + 1, F.col("part")).sortWithinPartitions("part", "page_id", "url", "html")
-    moved = written(records.select("page_id", "url", "html", "refers_to", "part").mapInArrow(_write(folder, roll_bytes), _MANIFEST), "warc-manifest")
+    records = ranged.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "page_id", "url", "html")
+    moved = written(records.select("page_id", "url", "html", "refers_to", "part").mapInArrow(_write(folder, roll_bytes, token), _MANIFEST), "warc-manifest")
     done = written(moved.mapInArrow(_commit(folder), _MANIFEST), "warc-committed")
-    _clear(folder)
+    _clear(folder, token)
     done.write.parquet(f"{folder}/manifest")
     return done
 

@@ -776,3 +776,20 @@ def test_constant_headings_between_varying_blocks_stay(spark):
     pages = [f"<body><h2>Site</h2><main><h1>Dish {i}</h1><p>{a}</p><h2>Ingredients</h2><p>{b}</p><h2>Method</h2><p>{c}</p><p>Share this page</p><h2>More</h2></main></body>" for i, (a, b, c) in enumerate(parts)]
     got = extracted(spark, pages)
     assert got == {i: f"Dish {i}\n{a}\nIngredients\n{b}\nMethod\n{c}" for i, (a, b, c) in enumerate(parts)}
+
+
+def test_archive_ranges_hold_wherever_ids_lie(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CELLS", 50)
+    even = list(range(2000))
+    for ids in (even, [*even, 10**15], [1 << 62, *range(-(1 << 62), -(1 << 62) + 900), -(1 << 63), (1 << 63) - 1, *range(7, 1000, 3)], [5] * 900 + even, [None] * 700 + even):
+        df = spark.createDataFrame([(i, "u", f"{k:0100d}") for k, i in enumerate(ids)], "page_id long, url string, html string")
+        got, parts = warc.with_ranges(df, 2000)
+        rows = got.collect()
+        assert len(rows) == len(ids)
+        sizes = collections.Counter(r.part for r in rows)
+        assert max(sizes) < parts and len(sizes) >= len(ids) * 100 / 2000 / 2
+        alone = [p for p in sizes if {r.page_id for r in rows if r.part == p} <= {5, None}]
+        assert all(sizes[p] <= (40 if p not in alone else 60) for p in sizes)
+        spans = sorted((min(r.page_id for r in g), max(r.page_id for r in g), p) for p in sizes if (g := [r for r in rows if r.part == p and r.page_id is not None]))
+        assert all(a[1] <= b[0] and a[2] != b[2] for a, b in zip(spans, spans[1:]))
+        assert [p for *_, p in spans] == sorted(p for *_, p in spans) or 5 in ids
