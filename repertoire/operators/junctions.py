@@ -6,6 +6,7 @@ tables that travel with the task.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -200,49 +201,107 @@ def with_probability(rows: DataFrame, t: TrimTables, out: str = "probability") -
     return rows.join(once, keys)
 
 
-def sample_junctions(genes: DataFrame, t: TrimTables, per_pair: int, seed: int = 1, max_tries: int = 10_000) -> DataFrame:
-    """(v, j, n, nuc, protein): random in-frame junctions without stops for each (v, v_nuc, j, j_nuc).
+#: A V or J gene loses at most so many bases, and keeps at least a codon; a junction gets at most so many D-J inserts.
+MOST_TRIM, LEAST_KEPT, MOST_DJ_INSERT = 15, 3, 10
+#: Draws of a wave, at least.
+WAVE = 64
+_BASES = np.frombuffer(b"acgt", np.uint8)
 
-    Each gene pair has a generator of its own, seeded by the pair's names: the same on any partitioning.
-    """
-    code = tables.genetic_code()
 
-    def draw(g: np.random.Generator, table: list[float]) -> int:
-        cumulative = np.cumsum(table)
-        return int(np.searchsorted(cumulative, g.random() * cumulative[-1], "right"))
+def _codes(seq: str) -> np.ndarray:
+    return np.searchsorted(_BASES, np.frombuffer(seq.lower().encode(), np.uint8)).astype(np.int8)
+
 
-    def bases(g, k):
-        return "".join(g.choice(list("acgt"), k))
+def _residues() -> np.ndarray:
+    code = tables.genetic_code()
+    return np.frombuffer("".join(code[a + b + c] for a in "acgt" for b in "acgt" for c in "acgt").encode(), np.uint8)
+
+
+def _drawn(g: np.random.Generator, table: list[float] | np.ndarray, n: int) -> np.ndarray:
+    """n places of a table of probabilities, by its cumulated sums."""
+    cumulated = np.cumsum(table)
+    return np.searchsorted(cumulated, g.random(n) * cumulated[-1], "right")
+
+
+class _Segments:
+    """The parts of the junctions of one V and J gene, and draws of them in arrays."""
+
+    def __init__(self, v: str, j: str, j_name: str, t: TrimTables):
+        self.v, self.j, self.t = _codes(v), _codes(j), t
+        # the first J cluster lies before the second D gene, which it cannot take
+        first_only = re.match(r"TRBJ1", j_name) is not None and 1 in t.d_genes
+        self.d_ids = [1] if first_only else sorted(t.d_genes)
+        self.d = [_codes(t.d_genes[i]) for i in self.d_ids]
+
+    def wave(self, g: np.random.Generator, n: int, aa_length: int | None, most_dj: int):
+        """(codes, length, parts' ends) of those of n draws that are in frame, within the limits and without stops."""
+        t = self.t
+        vt, jt = _drawn(g, t.v_trim, n), _drawn(g, t.j_trim, n)
+        ok = (vt <= min(MOST_TRIM, len(self.v) - LEAST_KEPT)) & (jt <= min(MOST_TRIM, len(self.j) - LEAST_KEPT))
+        which = start = kept = dj = np.zeros(n, np.int64)
+        if self.d_ids:
+            which = _drawn(g, [t.d_prob[i] for i in self.d_ids], n)
+            trims = [sorted(t.d_trim[i]) for i in self.d_ids]
+            pick = np.stack([_drawn(g, [t.d_trim[i][x] for x in own], n) for i, own in zip(self.d_ids, trims, strict=True)])
+            pairs = [np.array(own) for own in trims]
+            start = np.choose(which, [p[k, 0] for p, k in zip(pairs, pick, strict=True)])
+            end = np.choose(which, [p[k, 1] for p, k in zip(pairs, pick, strict=True)])
+            kept = np.array([len(d) for d in self.d])[which] - start - end
+            first, dj = _drawn(g, t.vd_insert, n), _drawn(g, t.dj_insert, n)
+            ok &= (kept >= 0) & (dj <= most_dj)
+        else:
+            first = _drawn(g, t.vj_insert, n)
+        kept = np.maximum(kept, 0)
+        ends = np.cumsum([len(self.v) - vt, first, kept, dj, len(self.j) - jt], 0)
+        ok &= (ends[-1] % 3 == 0) & (ends[-1] > 0) & ((ends[-1] == 3 * aa_length) if aa_length else True)
+        widest = 3 * max(1, int(ends[-1][ok].max(initial=0)) // 3)
+        free = g.integers(0, 4, (n, widest), dtype=np.int8)
+        some = np.flatnonzero(ok)
+        ends, at = ends[:, some, None], np.arange(widest)[None, :]
+        take = lambda seq, i: seq[np.clip(i, 0, len(seq) - 1)]
+        d = np.stack([np.pad(x, (0, max(map(len, self.d)) - len(x))) for x in self.d]) if self.d_ids else np.zeros((1, 1), np.int8)
+        middle = d[which[some, None], np.clip(at - ends[1] + start[some, None], 0, d.shape[1] - 1)]
+        codes = np.where(at < ends[0], take(self.v, at), np.where((at >= ends[1]) & (at < ends[2]), middle, free[some]))
+        codes = np.where(at >= ends[3], take(self.j, at - ends[3] + jt[some, None]), codes)
+        codons = codes.reshape(len(some), -1, 3).astype(np.int64)
+        residues = _residues()[codons @ np.array([16, 4, 1])]
+        stops = ((residues == ord("*")) & (np.arange(residues.shape[1]) < ends[-1] // 3)).any(1)
+        clean = np.flatnonzero(~stops)
+        return codes[clean], residues[clean], ends[:, clean, 0]
+
+
+def sample_junctions(
+    genes: DataFrame, t: TrimTables, per_pair: int, seed: int = 1, max_tries: int = 100_000, *, aa_length: int | None = None, most_dj_insert: int = MOST_DJ_INSERT
+) -> DataFrame:
+    """(v, j, n, nuc, protein, source): random in-frame junctions without stops for each (v, v_nuc, j, j_nuc), of ``aa_length``
+    residues if it is given; ``source`` says V, N, D or J of each base.
+
+    Trims are at most ``MOST_TRIM`` and leave a codon, D-J inserts at most ``most_dj_insert``; genes of the first
+    J cluster (TRBJ1) take the first D gene only. Draws come in waves of arrays, and what is rejected is drawn again in
+    the next one, until there are enough or ``max_tries`` draws. Each gene pair has a generator of its own, seeded by the
+    pair's names: the same on any partitioning.
+    """
 
     def run(batches):
         for b in batches:
             rows = []
             for v, vn, j, jn in zip(*(b.column(c).to_pylist() for c in ("v", "v_nuc", "j", "j_nuc")), strict=True):
-                g = np.random.default_rng([seed, *f"{v}|{j}".encode()])
-                done = tries = 0
+                g, parts = np.random.default_rng([seed, *f"{v}|{j}".encode()]), _Segments(vn, jn, j, t)
+                done, tries, taken = 0, 0, 0
                 while done < per_pair and tries < max_tries:
-                    tries += 1
-                    vt, jt = draw(g, t.v_trim), draw(g, t.j_trim)
-                    if vt > len(vn) or jt > len(jn):
-                        continue
-                    if t.d_genes:
-                        ids = sorted(t.d_genes)
-                        d = ids[draw(g, [t.d_prob[i] for i in ids])]
-                        trims = sorted(t.d_trim[d])
-                        d0, d1 = trims[draw(g, [t.d_trim[d][x] for x in trims])]
-                        middle = bases(g, draw(g, t.vd_insert)) + t.d_genes[d][d0 : len(t.d_genes[d]) - d1] + bases(g, draw(g, t.dj_insert))
-                    else:
-                        middle = bases(g, draw(g, t.vj_insert))
-                    nuc = vn[: len(vn) - vt] + middle + jn[jt:]
-                    protein = "".join(code[nuc[i : i + 3]] for i in range(0, len(nuc) - 2, 3)) if len(nuc) % 3 == 0 else "*"
-                    if "*" not in protein and protein:
-                        rows.append((v, j, done, nuc, protein))
+                    n = int(min(max_tries - tries, max(WAVE, (per_pair - done) * 1.2 * (tries + 1) / (taken + 1))))
+                    codes, residues, ends = parts.wave(g, n, aa_length, most_dj_insert)
+                    tries, taken = tries + n, taken + len(codes)
+                    for c, r, e in zip(codes[: per_pair - done], residues, ends.T, strict=False):
+                        size = np.diff(e, prepend=0)
+                        source = "".join(x * k for x, k in zip("VNDNJ", size.tolist(), strict=True))
+                        rows.append((v, j, done, _BASES[c[: e[-1]]].tobytes().decode(), r[: e[-1] // 3].tobytes().decode(), source))
                         done += 1
-            cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
-            types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["v", "j", "n", "nuc", "protein"])
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["v", "j", "n", "nuc", "protein", "source"])
 
-    return genes.select("v", "v_nuc", "j", "j_nuc").mapInArrow(run, "v string, j string, n int, nuc string, protein string")
+    return genes.select("v", "v_nuc", "j", "j_nuc").mapInArrow(run, "v string, j string, n int, nuc string, protein string, source string")
 
 
 def length_distribution(rows: DataFrame, tag: str, weight: str | None = None, cap: int = 20) -> DataFrame:
