@@ -239,6 +239,22 @@ ORACLES = {
       comp as (select a key, min(b) c from reach group by a),
       cl as (select epitope, subject, c, arg_max(fr, (size, q, key)) rep, arg_max(q, (size, q, key)) rq, cast(sum(size) as bigint) clone_size, string_agg(cast(fr as varchar), ';' order by fr) members from gr join comp using (key) group by all)
       select cast(rep as varchar) || '.clone' clone_id, epitope, subject, clone_size, members from cl where clone_size > 1 or rq >= 20""",
+    "pair_enrichment_tails": f"""{ctes('clones')}, c as (select v.epitope, v.va1, j.jb, count(clone_id) n from (select distinct epitope, va1 from clones) v join (select distinct epitope, jb from clones) j on v.epitope = j.epitope
+      left join clones x on x.epitope = v.epitope and x.va1 = v.va1 and x.jb = j.jb group by all),
+      m as (select *, sum(n) over (partition by epitope)::double t, sum(n) over (partition by epitope, va1)::double a, sum(n) over (partition by epitope, jb)::double b from c),
+      k as (select *, unnest(range(cast(greatest(0, a + b - t) as bigint), cast(least(a, b) as bigint) + 1))::double k from m),
+      p as (select *, exp((lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1)) + (lgamma(t - a + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1)) - (lgamma(t + 1) - lgamma(b + 1) - lgamma(t - b + 1))) p from k)
+      select epitope, va1, jb, n, round(least(1, sum(case when k >= n then p else 0 end)), 8) enriched, round(least(1, sum(case when k <= n then p else 0 end)), 8) depleted from p group by epitope, va1, jb, n""",
+    "fisher_shared_clonal": f"""{ctes('clones')}, c as (select epitope, sum((clone_size > 2 and score > 0)::int) w, sum((clone_size > 2 and score <= 0)::int) x, sum((clone_size <= 2 and score > 0)::int) y, sum((clone_size <= 2 and score <= 0)::int) z from clones group by all),
+      m as (select *, (w + x + y + z)::double t, (w + x)::double a, (w + y)::double b from c),
+      k as (select *, unnest(range(cast(greatest(0, a + b - t) as bigint), cast(least(a, b) as bigint) + 1))::double k from m),
+      p as (select *, exp((lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1)) + (lgamma(t - a + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1)) - (lgamma(t + 1) - lgamma(b + 1) - lgamma(t - b + 1))) p from k), o as (select epitope, p own from p where k = w)
+      select epitope, cast(w as bigint) a, cast(x as bigint) b, cast(y as bigint) c, cast(z as bigint) e, round(least(1, sum(case when ln(p) <= ln(own) + 1e-7 then p else 0 end)), 8) p from p join o using (epitope) group by epitope, w, x, y, z""",
+    "gene_classes": f"""{ctes('genes')}, bl(k, sc) as (values {_values({f"{k}": v for k, v in tables.blosum62().items()})}),
+      pr as (select a.gene a, b.gene b, unnest(string_split(a.loops, '')) p, unnest(string_split(b.loops, '')) q from genes a join genes b on a.chain = b.chain and length(a.loops) = length(b.loops) and a.gene <> b.gene),
+      nb as (select a, b from pr left join bl on k = p || q group by a, b having sum(case when p <> q then 1 else 0 end) <= 2 and sum(case when p <> q and coalesce(sc, -9) < 1 then 1 else 0 end) = 0),
+      reach(a, b) as (select gene, gene from genes union select reach.a, nb.b from reach join nb on nb.a = reach.b), mm as (select a gene, min(b) mm1_rep from reach group by a)
+      select gene, min(gene) over (partition by chain, loops) rep, mm1_rep from genes join mm using (gene)""",
     "clone_gene_consensus": f"""{ctes('tuples')}, {_TUP}, x as (select seq_id // 8 order_id, unnest(case when g1 = g2 then [g1] else [g1, g2] end) g from tup), c as (select order_id, g, count(*) n from x group by all),
       m as (select *, max(n) over (partition by order_id) m from c) select order_id, string_agg(g, ';' order by g) genes from m where n = m group by order_id""",
     "average_scores": f"""{ctes('reads')} select subject, round(coalesce(avg(case when read_id % 3 <> 0 then cast(qual as double) end), 9.6::double), 6) score from reads group by subject""",

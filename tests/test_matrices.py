@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repertoire.functions import tables
-from repertoire.operators import distance, junctions, matrices
+from repertoire.operators import clustering, distance, junctions, matrices
 from repertoire.operators.junctions import TrimTables
 from repertoire.plans.base import clones, genes
 
@@ -29,6 +29,16 @@ def test_matrix_is_written_and_read_in_order(spark, tmp_path):
     assert matrices.read_distances(spark, path, c.orderBy(F.desc("clone_id"))).count() == back.count()
 
 
+def test_rounds_of_greedy_clusters_are_those_of_one_after_another(spark):
+    c, g = clones(spark, SMALL).cache(), genes(spark, SMALL)
+    pairs = distance.pairs_within(c, g, None, chains=("A",)).select(F.col("epitope1").alias("g"), "id1", "id2", "dist").cache()
+    nodes = c.select(F.col("epitope").alias("g"), F.col("clone_id").alias("id"))
+    for radius in (10.0, 60.0, 90.0, 1000.0):
+        want = {(r.g, r.id): r.center for r in clustering.greedy_clusters(pairs, "g", radius).collect()}
+        got = clustering.greedy_rounds(pairs.where(F.col("dist") <= radius), nodes, "g").collect()
+        assert len(got) == len(want) == c.count() and {(r.g, r.id): r.center for r in got} == want
+
+
 def residues(nuc):
     code = tables.genetic_code()
     return "".join(code[nuc[i : i + 3]] for i in range(0, len(nuc), 3))
