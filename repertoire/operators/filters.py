@@ -100,12 +100,15 @@ def select_groups(df: DataFrame, column: str = "epitope", *, only: list[str] | N
     return df.where(~F.col(column).rlike(control)) if control else df
 
 
-def shown_motifs(motifs: DataFrame, keys: list[str], *, chi: float = MOTIF_CHI, top_chi: float = TOP_MOTIF_CHI, fraction: float = MOTIF_FRACTION) -> DataFrame:
-    """Motifs of a report: above ``chi``, or the best of its key above ``top_chi``; ``clusters`` tells whether the
-    expected fraction is low enough to take part in clustering."""
+def shown_motifs(motifs: DataFrame, keys: list[str], *, chi: float = MOTIF_CHI, top_chi: float = TOP_MOTIF_CHI, fraction: float = MOTIF_FRACTION, overlap: float = MOTIF_OVERLAP) -> DataFrame:
+    """Motifs of a report: above ``chi``, or the best of its key above ``top_chi``, whose ``overlap`` with motifs before it, where
+    there is such a column, is no more than ``overlap``; ``clusters`` tells whether the expected fraction is low enough
+    to take part in clustering."""
     best = motifs.groupBy(*keys).agg(F.max(F.struct("chi_squared", "shown")).alias("__b"))
     rows = motifs.join(best, keys)
     rows = rows.where((F.col("chi_squared") >= chi) | ((F.col("chi_squared") >= top_chi) & (F.col("shown") == F.col("__b.shown")))).drop("__b")
+    if "overlap" in rows.columns:
+        rows = rows.where(F.col("overlap") <= overlap)
     return rows.withColumn("clusters", F.col("expected_fraction") <= fraction) if "expected_fraction" in rows.columns else rows
 
 

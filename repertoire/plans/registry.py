@@ -47,7 +47,7 @@ def _nearest(spark: SparkSession, d: str, **options) -> DataFrame:
 
 @query
 def quality_min_filter(spark, d):
-    """Least of '.'-joined qualities, reads below 20 dropped."""
+    """Least of '.'-joined qualities, reads below 20 dropped."""
     quals = F.concat_ws(".", F.col("qual").cast("string"), (F.col("qual") + 7).cast("string"), (F.col("qual") - 3).cast("string"))
     return reads(spark, d).select("read_id", seq.least_quality(quals).alias("least")).where("least >= 20")
 

@@ -121,13 +121,14 @@ _MOTIFS = "mo as (select epitope, 'm' || v shown, v cluster, round(sum(clone_siz
 def _motif_table(spark, d) -> DataFrame:
     v = clones(spark, d).select("epitope", "clone_size", (F.col("clone_id") % 9).alias("cluster"))
     m = v.groupBy("epitope", "cluster").agg(F.round(F.sum("clone_size") * 1.5, 3).alias("chi_squared"))
-    return m.withColumns({"shown": F.concat(F.lit("m"), F.col("cluster").cast("string")), "expected_fraction": F.col("cluster") / 100.0})
+    return m.withColumns({"shown": F.concat(F.lit("m"), F.col("cluster").cast("string")), "expected_fraction": F.col("cluster") / 100.0, "overlap": F.col("cluster") * 7 % 9 * 8})
 
 
 @query(f"""{ctes('clones')}, {_MOTIFS}, t as (select *, row_number() over (partition by epitope order by chi_squared desc, shown desc) k from mo)
-  select epitope, shown, chi_squared, expected_fraction <= 0.05 clusters from t where chi_squared >= 130 or (k = 1 and chi_squared >= 20)""")
+  select epitope, shown, chi_squared, expected_fraction <= 0.05 clusters from t where (chi_squared >= 130 or (k = 1 and chi_squared >= 20)) and cluster * 7 % 9 * 8 <= 50""")
 def shown_motifs(spark, d):
-    """C14: motifs of a report by chi-squared, the best of a repertoire from a lower one on, and which take part in clustering."""
+    """C14: motifs of a report by chi-squared, the best of a repertoire from a lower one on, those that overlap others left out,
+    and which take part in clustering."""
     return filters.shown_motifs(_motif_table(spark, d), ["epitope"], chi=130.0, top_chi=20.0).select("epitope", "shown", "chi_squared", "clusters")
 
 
