@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repertoire.functions import tables
 from repertoire.functions.sequences import letters, mismatches
+from repertoire.operators.broadcasts import bounded
 from repertoire.operators.graph import _ready, components
 
 #: Columns of ';'-joined gene sets.
@@ -162,6 +163,14 @@ def consolidate_genes(members: DataFrame, clone: str, genes: str) -> DataFrame:
     return best.where(F.col("__c") == F.col("__m")).groupBy(clone).agg(F.array_sort(F.collect_list("g")).alias(genes))
 
 
+def with_representatives(consolidated: DataFrame, clone: str, genes: str, classes: DataFrame) -> DataFrame:
+    """Adds ``reps`` and ``countreps`` of the consolidated genes of each clone, the sorted distinct ones; a gene without a class
+    stands for itself. ``classes``: (gene, rep, count_rep), a dimension."""
+    each = consolidated.select(clone, F.explode(genes).alias("gene")).join(bounded(classes.select("gene", "rep", "count_rep")), "gene", "left")
+    named = lambda c: F.array_sort(F.collect_set(F.coalesce(c, "gene")))
+    return consolidated.join(each.groupBy(clone).agg(named("rep").alias("reps"), named("count_rep").alias("countreps")), clone, "left")
+
+
 def average_scores(members: DataFrame, clone: str, score: str, none_score: float, tolerance: float = 1e-3) -> DataFrame:
     """(clone, score): mean over members that have a score; the sentinel if none has."""
     real = F.when(F.abs(F.col(score) - none_score) > tolerance, F.col(score))
