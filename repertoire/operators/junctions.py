@@ -311,6 +311,15 @@ def length_distribution(rows: DataFrame, tag: str, weight: str | None = None, ca
     return counts.select("length", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("p"))
 
 
+def tied_distribution(rows: DataFrame, ties: str, tag: str, weight: str | None = None, cap: int = 20) -> DataFrame:
+    """(ties, length, p): the distribution of a trim or insertion for each D gene, where a row with n equally good D genes (array
+    ``ties``) counts 1/n for each; optionally weighted, lengths capped."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    each = rows.select(F.explode(ties).alias(ties), F.least(F.col(tag), F.lit(cap)).alias("length"), (w / F.size(ties)).alias("w"))
+    counts = each.groupBy(ties, "length").agg(F.sum("w").alias("n"))
+    return counts.select(ties, "length", (F.col("n") / F.sum("n").over(Window.partitionBy(ties))).alias("p"))
+
+
 def average_distributions(files: DataFrame) -> DataFrame:
     """(tag, key, p) of (file, tag, key, p): sums over files, normalised by tag."""
     sums = files.groupBy("tag", "key").agg(F.sum("p").alias("p"))
