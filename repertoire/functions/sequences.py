@@ -159,10 +159,10 @@ def gene_number(gene: Column) -> Column:
 
 
 def top_hits(hits: Column) -> Column:
-    """Genes with the highest score of a ``gene:score;gene:score`` string, sorted."""
-    m = F.str_to_map(hits, F.lit(";"), F.lit(":"))
-    best = F.array_max(F.transform(F.map_values(m), lambda v: v.cast("int")))
-    return F.array_sort(F.map_keys(F.map_filter(m, lambda k, v: v.cast("int") == best)))
+    """Genes with the highest score of a ``gene:score;gene:score`` string, sorted, once each; entries without a score are left out."""
+    each = F.transform(F.split(hits, ";"), lambda x: F.struct(F.substring_index(x, ":", 1).alias("gene"), F.get(F.split(x, ":"), F.lit(1)).try_cast("int").alias("score")))
+    best = F.array_max(F.transform(each, lambda x: x["score"]))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(each, lambda x: x["score"] == best), lambda x: x["gene"])))
 
 
 def least_quality(quals: Column) -> Column:

@@ -204,17 +204,24 @@ def overlap_distance(found: DataFrame, keys: list[str], id_col: str = "clone_id"
     return both.select(*keys, "shown1", "shown2", (1 - F.col("c") / F.greatest("n1", "n2")).alias("dist"))
 
 
-def drop_redundant(motifs: DataFrame, found: DataFrame, keys: list[str], max_overlap: float = 0.8, id_col: str = "clone_id") -> DataFrame:
+def drop_redundant(
+    motifs: DataFrame, found: DataFrame, keys: list[str], max_overlap: float = 0.8, id_col: str = "clone_id", *, expected: str | None = None, most_useful: float = 1.0
+) -> DataFrame:
     """Motifs in falling chi-squared, without those that cover and are covered by a kept one to 80%.
 
-    Shared clones are counted by joins; greedy in order, thus one key's motifs with the names of those
-    that overlap so far are visited by one task.
+    ``expected`` names the column of the expected number of matches: a motif that is expected less than ``most_useful`` times
+    stays beside one that is expected more often. Shared clones are counted by joins; greedy in order, thus one key's
+    motifs with the names of those that overlap so far are visited by one task.
     """
     found = found.select(*keys, "shown", id_col).distinct()
-    rows = motifs.select(*keys, "shown", "chi_squared").join(found.groupBy(*keys, "shown").agg(F.count(F.lit(1)).alias("n")), [*keys, "shown"])
+    level = F.col(expected).cast("double") if expected else F.lit(float(most_useful))
+    rows = motifs.select(*keys, "shown", "chi_squared", level.alias("__e")).join(found.groupBy(*keys, "shown").agg(F.count(F.lit(1)).alias("n")), [*keys, "shown"])
     near = overlap_distance(found, keys, id_col).where(F.col("dist") <= 1 - max_overlap + 1e-12)
     both = near.select(*keys, F.col("shown1").alias("shown"), F.col("shown2").alias("other")).unionAll(near.select(*keys, F.col("shown2").alias("shown"), F.col("shown1").alias("other")))
-    rows = rows.join(both.groupBy(*keys, "shown").agg(F.collect_list("other").alias("others")), [*keys, "shown"], "left")
+    # a kept motif that is expected often is in nobody's way who is not
+    both = both.join(rows.select(*keys, "shown", F.col("__e").alias("__mine")), [*keys, "shown"]).join(rows.select(*keys, F.col("shown").alias("other"), F.col("__e").alias("__theirs")), [*keys, "other"])
+    both = both.where(~((F.col("__mine") < most_useful) & (F.col("__theirs") > most_useful)))
+    rows = rows.drop("__e").join(both.groupBy(*keys, "shown").agg(F.collect_list("other").alias("others")), [*keys, "shown"], "left")
 
     def run(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         kept: dict[str, int] = {}

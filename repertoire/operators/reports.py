@@ -157,6 +157,20 @@ def metric_order(metrics: DataFrame, keys: list[str] = ("metric", "chains")) ->
     return metrics.select(*keys, "name", "value", F.row_number().over(Window.partitionBy(*keys).orderBy("value", "name")).alias("place"))
 
 
+def metric_table(base: DataFrame, sources: list[DataFrame], zero: tuple[str, ...] = ()) -> DataFrame:
+    """``base`` (a row for each repertoire) with the metrics of all ``sources``, tables of (epitope, metrics) with one row for
+    each; a repertoire that a source lacks has null there, or 0 for the metrics that ``zero`` names."""
+    for df in sources:
+        base = base.join(df, "epitope", "left")
+    return base.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in zero})
+
+
+def by_chains(values: DataFrame, column: str, prefix: str) -> DataFrame:
+    """(epitope, <prefix>_a, <prefix>_b, <prefix>_ab) of (epitope, chains, column)."""
+    one = lambda c: F.max(F.when(F.col("chains") == c, F.col(column))).alias(f"{prefix}_{c.lower()}")
+    return values.groupBy("epitope").agg(one("A"), one("B"), one("AB"))
+
+
 def length_range(clones: DataFrame, seq: str) -> DataFrame:
     """(epitope, shortest, longest) lengths of a sequence."""
     return clones.groupBy("epitope").agg(F.min(F.length(seq)).alias("shortest"), F.max(F.length(seq)).alias("longest"))

@@ -25,6 +25,43 @@ def node_leaves(trees: DataFrame, group: str) -> DataFrame:
     return inner.unionByName(first).unionByName(last)
 
 
+def tree_edges(trees: DataFrame, group: str) -> DataFrame:
+    """(group, parent, child, parent_height, child_height, size, leaves) of every edge; leaves of a tree are children at
+    height 0 that hold themselves."""
+    inner = trees.select(group, F.col("node").alias("child"), F.col("height").alias("child_height"), F.col("size").alias("__k"))
+    two = F.explode(F.array(F.struct(F.col("left").alias("child"), F.lit(True).alias("first")), F.struct(F.col("right").alias("child"), F.lit(False).alias("first")))).alias("e")
+    rows = trees.select(group, F.col("node").alias("parent"), F.col("height").alias("parent_height"), "leaves", two).select("*", "e.child", "e.first").drop("e")
+    rows = rows.join(inner, [group, "child"], "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
+    own = F.when(F.col("first"), F.slice("leaves", F.lit(1), F.col("__k"))).otherwise(F.slice("leaves", -F.col("__k"), F.col("__k")))
+    return rows.select(group, "parent", "child", "parent_height", F.coalesce("child_height", F.lit(0.0)).alias("child_height"), F.col("__k").alias("size"), own.alias("leaves"))
+
+
+def drawn_edges(trees: DataFrame, places: DataFrame, group: str, *, weighted: bool = False) -> DataFrame:
+    """(group, parent, child, parent_height, child_height, centre, parent_centre, score, size, cluster) of every edge, as it is
+    drawn: centres are mean places of the leaves below (``weighted``: by their sizes), scores their mean scores, which makes
+    this a copy of the tree with other scores; ``cluster`` is the leaf of an edge to one, else -1.
+
+    ``places``: (group, id, place, score, size) of leaves. Leaves without a place are not counted.
+    """
+    edges = tree_edges(trees, group)
+    w = F.col("size").cast("double") if weighted else F.lit(1.0)
+    sums = [F.sum(F.col("place") * w).alias("__p"), F.sum(w).alias("__w"), F.avg("score").alias("score"), F.sum("size").alias("size")]
+    below = edges.select(group, "parent", "child", F.explode("leaves").alias("id")).join(places, [group, "id"]).groupBy(group, "parent", "child").agg(*sums)
+    above = below.groupBy(group, "parent").agg((F.sum("__p") / F.sum("__w")).alias("parent_centre"))
+    rows = edges.drop("size").join(below, [group, "parent", "child"]).join(above, [group, "parent"])
+    one = F.when(F.size("leaves") == 1, F.element_at("leaves", 1)).otherwise(F.lit(-1))
+    return rows.select(group, "parent", "child", "parent_height", "child_height", (F.col("__p") / F.col("__w")).alias("centre"), "parent_centre", "score", "size", one.alias("cluster"))
+
+
+def meeting_totals(trees: DataFrame, group: str) -> DataFrame:
+    """(group, id, n, total): the heights at which a leaf meets the others of its tree, summed. At a node a leaf
+    meets those of the other child, so a leaf has one term for each node above it and no pairs are made."""
+    e = tree_edges(trees, group)
+    other = F.sum("size").over(Window.partitionBy(group, "parent")) - F.col("size")
+    rows = e.withColumn("__o", other).select(group, "parent_height", "__o", F.explode("leaves").alias("id"))
+    return rows.groupBy(group, "id").agg(F.sum("__o").alias("n"), F.sum(F.col("parent_height") * F.col("__o")).alias("total"))
+
+
 def leaf_scores(leaves: DataFrame, scores: DataFrame, group: str, percentile: int = -1) -> DataFrame:
     """(group, node, n, score): mean of all scores of a node's leaves, or, for a percentile of 0 or more, the sorted
     score at that share of their number. ``scores``: (id, score), several or none for a leaf."""

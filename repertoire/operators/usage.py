@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repertoire.functions import tables
 from repertoire.functions.sequences import residue_sum
-from repertoire.operators.broadcasts import bounded
+from repertoire.operators.broadcasts import bounded, shipped
 
 
 def rep_counts(clones: DataFrame, group: str, genes: Column) -> DataFrame:
@@ -151,6 +151,53 @@ def top_kmers(df: DataFrame, seq: str, k: int, top: int) -> DataFrame:
     return mers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kmer").limit(top)
 
 
+def top_words(df: DataFrame, keys: list[str], seqs: dict[str, Column], k: int, top: int = 10, mark: str = "+") -> DataFrame:
+    """(keys, kind, word, n, place): the most frequent words of ``k`` letters of each kind of sequence (kind -> column), as
+    for insertions and the same in shuffled order; words over a ``mark`` do not count (ties: smaller first)."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), s.alias("s")) for name, s in seqs.items()])).alias("x")
+    rows = df.select(*keys, each).select(*keys, "x.kind", "x.s").where(F.length("s") >= k)
+    at = F.sequence(F.lit(1), F.greatest(F.length("s") - k + 1, F.lit(1)))
+    words = rows.select(*keys, "kind", F.explode(F.transform(at, lambda i: F.substr("s", i, F.lit(k)))).alias("word")).where(~F.contains("word", F.lit(mark)))
+    n = words.groupBy(*keys, "kind", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(F.desc("n"), "word"))
+    return n.withColumn("place", place).where(F.col("place") <= top)
+
+
+def pseudo_probabilities(df: DataFrame, keys: list[str], genes: str) -> DataFrame:
+    """(keys, gene, pseudoprob): share of rows whose set holds a gene; one row counts for each gene of its set, so these
+    add up to more than 1. Without ``keys``: of all rows."""
+    rows = df.select(*(keys or [F.lit(0).alias("__all")]), F.array_distinct(genes).alias("__g"))
+    by = keys or ["__all"]
+    total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__t"))
+    held = rows.select(*by, F.explode("__g").alias("gene")).groupBy(*by, "gene").agg(F.count(F.lit(1)).alias("__n"))
+    return held.join(bounded(total), by).select(*keys, "gene", (F.col("__n") / F.col("__t")).alias("pseudoprob"))
+
+
+def gene_probabilities(clones: DataFrame, genes: str, label: str, background: DataFrame, dimension: DataFrame) -> DataFrame:
+    """(epitope, gene, label_prob, pseudoprob, pseudoprob_enrich) of every gene of ``dimension`` (gene) in every repertoire.
+
+    ``label_prob`` is the share of clones labelled with the gene, ``background`` (gene, pseudoprob) what the
+    enrichment is over; where that is 0 or the gene is not in it, the enrichment is 1. Clones without genes or label count
+    in the number of clones only.
+    """
+    names = [row["gene"] for row in shipped(dimension.select("gene").distinct())]
+    sizes = clones.groupBy("epitope").agg(F.count(F.lit(1)).alias("__t"))
+    grid = sizes.select("*", F.explode(F.array(*[F.lit(n) for n in sorted(names)])).alias("gene"))
+    labels = clones.groupBy("epitope", F.col(label).alias("gene")).agg(F.count(F.lit(1)).alias("__l"))
+    rows = grid.join(labels, ["epitope", "gene"], "left").join(pseudo_probabilities(clones, ["epitope"], genes), ["epitope", "gene"], "left")
+    rows = rows.join(bounded(background.select("gene", F.col("pseudoprob").alias("__b"))), "gene", "left")
+    p, b = F.coalesce("pseudoprob", F.lit(0.0)), F.coalesce("__b", F.lit(0.0))
+    enrich = F.when(b == 0, 1.0).otherwise(p / b)
+    return rows.select("epitope", "gene", (F.coalesce("__l", F.lit(0)) / F.col("__t")).alias("label_prob"), p.alias("pseudoprob"), enrich.alias("pseudoprob_enrich"))
+
+
+def best_gene_probability(df: DataFrame, genes: str, background: DataFrame, out: str) -> DataFrame:
+    """Adds the largest ``background`` pseudo-probability of a row's genes; genes that it lacks have 0, no genes null."""
+    found = {row["gene"]: row["pseudoprob"] for row in shipped(background.where("gene is not null").select("gene", "pseudoprob"))}
+    at = F.create_map(*[F.lit(x) for pair in found.items() for x in pair]) if found else F.create_map(F.lit(""), F.lit(0.0))
+    return df.withColumn(out, F.array_max(F.transform(genes, lambda g: F.coalesce(F.try_element_at(at, g), F.lit(0.0)))))
+
+
 def frequencies(df: DataFrame, genes: Column, group: str) -> DataFrame:
     """(group, rep, n, n_unique): occurrences in all sets and in sets of one gene."""
     rows = df.select(group, F.explode(genes).alias("rep"), (F.size(genes) == 1).cast("long").alias("u"))

@@ -17,7 +17,7 @@ from repertoire.operators import clones as calls
 from repertoire.operators import clustering, distance, diversity, junctions, motifs, neighbors, pairing, permutation, sampling, stats, usage
 from repertoire.operators import genes as gene_dim
 from repertoire.operators import reads as parsing
-from repertoire.plans import fixtures, germline, reports
+from repertoire.plans import fixtures, germline, metrics, reports
 from repertoire.plans.base import clones, genes, r, reads, tuples
 from repertoire.plans.oracles import ORACLES
 from repertoire.sources import tables as sources
@@ -31,11 +31,11 @@ def query(f):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_QUERIES, **reports.QUERIES, **germline.QUERIES}
+    return {**_QUERIES, **reports.QUERIES, **germline.QUERIES, **metrics.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{k: v for k, v in ORACLES.items() if k in _QUERIES}, **reports.SQL, **germline.SQL}
+    return {**{k: v for k, v in ORACLES.items() if k in _QUERIES}, **reports.SQL, **germline.SQL, **metrics.SQL}
 
 
 def _nearest(spark: SparkSession, d: str, **options) -> DataFrame:

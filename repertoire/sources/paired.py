@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from repertoire.config import Parameters
 from repertoire.functions import sequences as seq
 from repertoire.operators import clones as calls
-from repertoire.operators import filters
+from repertoire.operators import filters, usage
+from repertoire.sources import probabilities
 from repertoire.sources.tables import read_tsv
 
 
@@ -68,6 +69,20 @@ def identify_clones(p: Parameters = Parameters()) -> Callable[[DataFrame], DataF
     return lambda df: calls.call_clones(df, p.min_quality_for_singletons)
 
 
+def compute_probs(table: DataFrame, chain: str, genes: dict[str, DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Verb: ``cdr3<c>_prob`` of a chain's trims and inserts in a tagged table, ``v<c>_rep_prob`` and ``j<c>_rep_prob`` as the largest
+    background probability of a receptor's genes (``genes``: 'V' and 'J' -> (gene, pseudoprob)), and ``<c>_prob``, their product."""
+    c = chain.lower()
+
+    def run(df: DataFrame) -> DataFrame:
+        x = probabilities.trim_probability(df, table, chain.upper(), f"cdr3{c}_prob")
+        for g in "vj":
+            x = usage.best_gene_probability(x, f"{g}{c}_genes", genes[g.upper()], f"{g}{c}_rep_prob")
+        return x.withColumn(f"{c}_prob", F.col(f"cdr3{c}_prob") * F.col(f"v{c}_rep_prob") * F.col(f"j{c}_rep_prob"))
+
+    return run
+
+
 def averaged_scores(clone: str, score: str, p: Parameters = Parameters()) -> Callable[[DataFrame], DataFrame]:
     """Verb: a user's score column averaged over the members of a clone."""
     return lambda df: calls.average_scores(df, clone, score, p.none_score)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repertoire.operators.broadcasts import bounded
+from repertoire.operators.ranks import global_row_number
 
 #: Dialects of third-party clonotype tables: our column -> their names.
 DIALECTS = {
@@ -136,12 +137,18 @@ def background_chains(df: DataFrame, *, chain: str, most: int = 25, v_score: int
     return df.where((F.col("chain") == chain) & (F.col("v_score") >= v_score) & (F.col("j_score") >= j_score) & F.col("cdr3").startswith("C") & (F.length("cdr3") <= most))
 
 
-def paired_random(a: DataFrame, b: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """n random pairs of two tables: each is ordered by a seeded hash and the places are joined."""
-    from pyspark.sql import Window
+def paired_random(a: DataFrame, b: DataFrame, n: int | None = None, seed: int = 1, *, ids: tuple[str, str]) -> DataFrame:
+    """Random pairs of two tables, (place, columns of a, columns of b): each stands in the order of a seeded digest of its
+    id (``ids``: its name in a and in b) and places are joined, as many as the shorter table has, or the first ``n``.
 
-    placed = lambda df, s: df.withColumn("__h", F.xxhash64(F.lit(s), *df.columns)).orderBy("__h").limit(n).withColumn("place", F.row_number().over(Window.orderBy("__h", *df.columns))).drop("__h")
-    return placed(a, seed).join(placed(b, seed + 1), "place")
+    No two columns may share a name. Rows that repeat an id stand in an order that Spark gives.
+    """
+    out = []
+    for k, (df, c) in enumerate(zip((a, b), ids, strict=True)):
+        digest = F.md5(F.concat(F.lit(f"{seed + k}:"), F.col(c).cast("string")).cast("binary"))
+        out.append(global_row_number(df.withColumn("__h", digest), ["__h", c], "place").drop("__h"))
+    pairs = out[0].join(out[1], "place")
+    return pairs if n is None else pairs.where(F.col("place") <= n)
 
 
 def test_subset(df: DataFrame, groups: int = 3, subjects: int = 3, rows: int = 15) -> DataFrame:
