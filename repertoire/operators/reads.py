@@ -107,6 +107,54 @@ def part_qualities(read: Column, quals: Column, part: Column) -> Column:
     return F.when(forward > 0, F.slice(quals, forward, n)).when(back > 0, F.reverse(F.slice(quals, back, n)))
 
 
+def junction_qualities(read: Column, quals: Column, part: Column, missing: int = 60) -> Column:
+    """Qualities (array) of a junction by its read: of its place, on the reverse strand if it is not on the read's own; of
+    several places, of the one whose least quality is best (the first of equal ones).
+
+    A junction that is on neither strand takes those of its largest part that is on one (the read's own strand and the first
+    of equal ones), with ``missing`` for the rest, which came from a gene. Letters of either case are the same; null
+    for an empty junction or a null.
+    """
+    # bound once, so that no step below turns a read again
+    own = F.lower(read)
+    bound = F.struct(own.alias("own"), reverse_complement(own).alias("back"), quals.alias("quals"), F.reverse(quals).alias("turned"), F.lower(part).alias("part"), F.length(part).alias("n"))
+    found = F.get(F.transform(F.array(bound), lambda x: _by_read(x, missing)), F.lit(0))
+    return F.when((F.length(part) > 0) & read.isNotNull() & quals.isNotNull(), found)
+
+
+def _by_read(x: Column, missing: int) -> Column:
+    part, n = x["part"], x["n"]
+    rest = lambda k: F.array_repeat(F.lit(missing), k.cast("int"))
+
+    def whole(nuc: Column, q: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(nuc), F.lit(1))), lambda i: F.substr(nuc, i, n) == part)
+        best = F.array_max(F.transform(at, lambda i: F.struct(F.array_min(F.slice(q, i, n)).alias("least"), (-i).alias("i"))))
+        return F.slice(q, -best["i"], n)
+
+    def largest(nuc: Column) -> Column:
+        # what starts one place on holds all but the first letter of what starts here, so ends only move on: 2 n steps
+        def step(s: Column, _: Column) -> Column:
+            i, size = s["i"], s["size"]
+            more = (i + size <= n) & (F.instr(nuc, F.substr(part, i, size + 1)) > 0)
+            best = more & (size >= s["best"])
+            return F.struct(
+                F.when(more, i).otherwise(i + 1).alias("i"), F.when(more, size + 1).otherwise(F.greatest(size - 1, F.lit(0))).alias("size"),
+                F.when(best, size + 1).otherwise(s["best"]).alias("best"), F.when(best, i).otherwise(s["at"]).alias("at"),
+            )
+
+        start = F.struct(*[F.lit(v).alias(k) for k, v in (("i", 1), ("size", 0), ("best", 0), ("at", 1))])
+        return F.aggregate(F.sequence(F.lit(1), n * 2), start, step, lambda s: F.struct(s["best"].alias("size"), s["at"].alias("i")))
+
+    def filled(nuc: Column, q: Column, best: Column) -> Column:
+        i, size = best["i"], best["size"]
+        inner = F.slice(q, F.instr(nuc, F.substr(part, i, size)), size)
+        return F.when(size == 0, rest(n)).otherwise(F.concat(rest(i - 1), inner, rest(n - i - size + 1)))
+
+    both = F.array(F.struct(largest(x["own"]).alias("own"), largest(x["back"]).alias("back")))
+    partial = F.get(F.transform(both, lambda b: F.when(b["back"]["size"] > b["own"]["size"], filled(x["back"], x["turned"], b["back"])).otherwise(filled(x["own"], x["quals"], b["own"]))), F.lit(0))
+    return F.when(F.contains(x["own"], part), whole(x["own"], x["quals"])).when(F.contains(x["back"], part), whole(x["back"], x["turned"])).otherwise(partial)
+
+
 def parsed_pairs(alpha: DataFrame, beta: DataFrame) -> DataFrame:
     """One row for each read with both chains' fields prefixed a_ and b_; either may be missing."""
     named = lambda df, p: df.select("read_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "read_id"])

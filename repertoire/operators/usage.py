@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repertoire.functions import tables
 from repertoire.functions.sequences import residue_sum
@@ -137,8 +140,10 @@ def log_enrichment(pairs: DataFrame, a: str, b: str) -> DataFrame:
     min(expected, 0.25). Labels are dimensions, so their grid is small."""
     joint = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     left, right = pairs.groupBy(a).agg(F.count(F.lit(1)).alias("na")), pairs.groupBy(b).agg(F.count(F.lit(1)).alias("nb"))
-    total = joint.agg(F.sum("n").alias("t"))
-    rows = left.join(bounded(right)).join(bounded(total)).join(joint, [a, b], "left")
+    named = shipped(right)
+    kind = right.schema
+    every = F.from_json(F.lit(json.dumps([row.asDict() for row in named])), T.ArrayType(kind))
+    rows = left.withColumn("t", F.lit(sum(row["nb"] for row in named))).select("*", F.inline(every)).join(joint, [a, b], "left")
     expected = F.col("na") * F.col("nb") / F.col("t")
     seen = F.coalesce(F.col("n").cast("double"), F.least(expected, F.lit(0.25)))
     return rows.select(a, b, F.coalesce("n", F.lit(0)).alias("n"), expected.alias("expected"), F.log(seen / expected).alias("log_enrich"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repertoire.operators.broadcasts import shipped
 from repertoire.plans import fixtures
 
 
@@ -31,3 +32,9 @@ def r(c: str | Column, digits: int = 6) -> Column:
     """Rounded, without negative zero."""
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c, digits) + F.lit(0.0)
+
+
+def for_each(df: DataFrame, groups: DataFrame, column: str) -> DataFrame:
+    """The rows of a small table for every value of a dimension's ``column``."""
+    names = sorted(row[column] for row in shipped(groups.select(column).where(F.col(column).isNotNull()).distinct()))
+    return df.withColumn(column, F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))

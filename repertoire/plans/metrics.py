@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repertoire.functions import sequences
 from repertoire.operators import clustering, distance, diversity, junctions, motifs, neighbors, permutation, reports, trees, usage
+from repertoire.operators import reads as parsing
 from repertoire.operators.graph import _ready
 from repertoire.plans import fixtures, germline, oracles
 from repertoire.plans import reports as queries_of_reports
@@ -156,6 +158,31 @@ def clones_table(spark, d):
     return back.select(*[F.coalesce(c, F.lit("-")).alias(c) for c in shown], F.lit(len(back.columns)).alias("columns"))
 
 
+# qualities of junctions
+
+
+_FULL = "case when read_id % 13 = 0 then 'xxxxxxxxxxxx' when read_id % 5 = 0 then 'ttt' || substr(nuc_a, 8, 9) when read_id % 5 = 1 then substr(nuc_a, 5, 4) || 'x' || substr(nuc_a, 10, 7) else substr(nuc_a, 5, 12) end"
+_TURNED = lambda s: f"reverse(translate({s}, 'acgtwskmyrn', 'tgcawsmkryn'))"
+
+
+@query(f"""{ctes('reads')}, x as (select read_id, case when read_id % 7 = 0 then nuc_a || substr(nuc_a, 5, 12) else nuc_a end nuc, case when read_id % 2 = 0 then {_FULL} else {_TURNED(_FULL)} end pt from reads),
+  y as (select *, list_transform(range(1, length(nuc) + 1), lambda i: (read_id * 7 + i * i) % 41) q from x), s as (select read_id, false back, nuc, q, pt from y union all select read_id, true, {_TURNED('nuc')}, list_reverse(q), pt from y),
+  w as (select read_id, back, i, q[i:i + 11] v, list_min(q[i:i + 11]) m from s, range(1, 60) t(i) where substr(nuc, i, 12) = pt), wb as (select read_id, v from (select *, row_number() over (partition by read_id order by back, m desc, i) k from w) where k = 1),
+  pc as (select read_id, back, a, k, q[instr(nuc, substr(pt, a, k)):instr(nuc, substr(pt, a, k)) + k - 1] v from s, range(1, 13) t(a), range(1, 13) u(k) where a + k <= 13 and contains(nuc, substr(pt, a, k)) and read_id not in (select read_id from wb)),
+  pb as (select * from (select *, row_number() over (partition by read_id order by k desc, back, a) o from pc) where o = 1)
+  select read_id, array_to_string(case when wb.v is not null then wb.v when a is null then list_transform(range(12), lambda i: 60) else list_concat(list_transform(range(a - 1), lambda i: 60), list_concat(pb.v, list_transform(range(13 - a - k), lambda i: 60))) end, '.') quals
+  from x left join wb using (read_id) left join pb using (read_id)""")
+def junction_qualities(spark, d):
+    """Qualities of junctions on either strand, at the best of several places, and of the largest part that is in the read."""
+    k, n = F.col("read_id"), F.col("nuc_a")
+    cut = lambda i, j: F.substr("nuc_a", F.lit(i), F.lit(j))
+    part = F.when(k % 13 == 0, "x" * 12).when(k % 5 == 0, F.concat(F.lit("ttt"), cut(8, 9))).when(k % 5 == 1, F.concat(cut(5, 4), F.lit("x"), cut(10, 7))).otherwise(cut(5, 12))
+    x = reads(spark, d).select(k, F.when(k % 7 == 0, F.concat(n, cut(5, 12))).otherwise(n).alias("nuc"), F.when(k % 2 == 0, part).otherwise(sequences.reverse_complement(part)).alias("part"))
+    x = x.withColumn("q", F.transform(F.sequence(F.lit(1), F.length("nuc")), lambda i: (k * 7 + i * i) % 41))
+    found = parsing.junction_qualities(F.upper("nuc"), F.col("q"), F.col("part"))
+    return x.select("read_id", F.array_join(F.transform(found, lambda q: q.cast("string")), ".").alias("quals"))
+
+
 # motifs
 
 _NAMED = (

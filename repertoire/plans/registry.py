@@ -18,7 +18,7 @@ from repertoire.operators import clustering, distance, diversity, junctions, mot
 from repertoire.operators import genes as gene_dim
 from repertoire.operators import reads as parsing
 from repertoire.plans import fixtures, germline, metrics, reports
-from repertoire.plans.base import clones, genes, r, reads, tuples
+from repertoire.plans.base import clones, for_each, genes, r, reads, tuples
 from repertoire.plans.oracles import ORACLES
 from repertoire.sources import tables as sources
 
@@ -303,7 +303,7 @@ def jsd_normed(spark, d):
     c = clones(spark, d)
     p = _usage(c, "va_genes")
     every = usage.rep_counts(c.withColumn("all", F.lit("x")), "all", F.col("va_genes")).where("rep <> 'VA3'")
-    q = every.select("rep", (F.col("n") / F.sum("n").over(Window.partitionBy("all"))).alias("p")).join(c.select("epitope").distinct())
+    q = for_each(every.select("rep", (F.col("n") / F.sum("n").over(Window.partitionBy("all"))).alias("p")), c, "epitope")
     return usage.js_divergence(p, q, ["epitope"], "rep").select("epitope", r("jsd", 8).alias("jsd"), r("jsd_normed", 8).alias("jsd_normed"))
 
 
@@ -312,7 +312,7 @@ def gene_enrichment(spark, d):
     """Usage against all clones."""
     c = clones(spark, d)
     every = usage.rep_counts(c.withColumn("all", F.lit("x")), "all", F.col("va_genes"))
-    q = every.select("rep", (F.col("n") / F.sum("n").over(Window.partitionBy("all"))).alias("p")).join(c.select("epitope").distinct())
+    q = for_each(every.select("rep", (F.col("n") / F.sum("n").over(Window.partitionBy("all"))).alias("p")), c, "epitope")
     x = usage.enrichment(_usage(c, "va_genes"), q, ["epitope"], "rep")
     return x.select("epitope", "rep", r("p", 8).alias("p"), r("background", 8).alias("background"), r("enrich", 7).alias("enrich"))
 
@@ -327,7 +327,7 @@ def tuple_counts_distinct(spark, d):
 def _tuple_tables(spark, d):
     t = tuples(spark, d)
     fg = t.groupBy("epitope", "genes").agg(F.count(F.lit(1)).alias("n"))
-    bg = t.where("file = 'FO'").groupBy("genes").agg(F.count(F.lit(1)).alias("n")).join(t.select("epitope").distinct()).select("epitope", "genes", "n")
+    bg = for_each(t.where("file = 'FO'").groupBy("genes").agg(F.count(F.lit(1)).alias("n")), t, "epitope").select("epitope", "genes", "n")
     return fg, bg
 
 
@@ -493,7 +493,7 @@ def motif_matches(spark, d):
     """Clones that match given motifs."""
     m = spark.createDataFrame([("A.K", "A[A-Z][KR]"), ("^CAVd", "^CAV[DE]"), ("n.LF$", "[NQ][A-Z]LF$")], "shown string, pattern string")
     c = clones(spark, d)
-    return motifs.matches(m.join(c.select("epitope").distinct()), c, ["epitope"], "cdr3a")
+    return motifs.matches(for_each(m, c, "epitope"), c, ["epitope"], "cdr3a")
 
 
 @query
@@ -501,7 +501,7 @@ def motif_overlap_distance(spark, d):
     """D20."""
     m = spark.createDataFrame([("A", "A[A-Z][KR]"), ("B", "^CAV[DE]"), ("C", "[NQ][A-Z]LF$"), ("D", "[KR]")], "shown string, pattern string")
     c = clones(spark, d)
-    return motifs.overlap_distance(motifs.matches(m.join(c.select("epitope").distinct()), c, ["epitope"], "cdr3a"), ["epitope"]).select("epitope", "shown1", "shown2", r("dist", 7).alias("dist"))
+    return motifs.overlap_distance(motifs.matches(for_each(m, c, "epitope"), c, ["epitope"], "cdr3a"), ["epitope"]).select("epitope", "shown1", "shown2", r("dist", 7).alias("dist"))
 
 
 @query

@@ -253,7 +253,13 @@ def pair_enrichment(spark, d):
     return x.select("epitope", "va1", "jb", "n", r("expected", 6).alias("expected"), r("log2_enrich", 6).alias("log2_enrich"), "tail", "shown")
 
 
-@query()
+_TAILS = """hm as (select epitope, va1, jb, n, ex, sum(n) over (partition by epitope)::double t, sum(n) over (partition by epitope, va1)::double a, sum(n) over (partition by epitope, jb)::double b from w),
+  hk as (select *, unnest(range(cast(greatest(0, a + b - t) as bigint), cast(least(a, b) as bigint) + 1))::double k from hm),
+  hp as (select *, exp((lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1)) + (lgamma(t - a + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1)) - (lgamma(t + 1) - lgamma(b + 1) - lgamma(t - b + 1))) p from hk),
+  hs as (select epitope, va1, jb, case when n > ex then least(1, sum(case when k >= n then p else 0 end)) when n < ex then least(1, sum(case when k <= n then p else 0 end)) else 1 end p, log2(case when n = 0 then 0.25 else n end / ex) l from hp group by epitope, va1, jb, n, ex)"""
+
+
+@query(f"{ctes('clones')}, {_PAIRS}, {_TAILS} select epitope, va1, jb, round(p, 8) p, round(-log10(greatest(p, 1e-300)) / 5 + abs(l), 6) as order from hs".replace(" as order from", ' as "order" from'))
 def pair_significance(spark, d):
     """One-tailed hypergeometric p of gene pairs and what they are ordered by."""
     c = usage.pair_counts(clones(spark, d), "epitope", "va1", "jb")
@@ -261,7 +267,7 @@ def pair_significance(spark, d):
     p = c.withColumn("t", stats.hypergeometric_tails("n", over(), over("va1"), over("jb"))).select("epitope", "va1", "jb", "t")
     x = reports.pair_enrichment(c, "epitope", "va1", "jb").join(p, ["epitope", "va1", "jb"])
     x = x.withColumn("p", F.when(F.col("tail") == 1, F.col("t.enriched")).when(F.col("tail") == -1, F.col("t.depleted")).otherwise(1.0))
-    return x.select("epitope", "va1", "jb", "p", reports.pair_significance(F.col("p"), F.col("log2_enrich")).alias("order"))
+    return x.select("epitope", "va1", "jb", r("p", 8).alias("p"), r(reports.pair_significance(F.col("p"), F.col("log2_enrich")), 6).alias("order"))
 
 
 @query(f"{ctes('clones')} select epitope, cast(min(length(cdr3b)) as int) shortest, cast(max(length(cdr3b)) as int) longest, max(case when subject = 3 and clone_size = 4 then 0.5::double else 0 end) p from clones group by epitope")

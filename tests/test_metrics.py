@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from repertoire.operators import clustering, motifs, reports, trees, usage
+from repertoire.operators import reads as parsing
+from repertoire.plans.base import for_each
 from repertoire.sources import contracts, tables
 
 
@@ -133,3 +135,39 @@ def test_metric_table_fills_named_gaps_only(spark):
     v = spark.createDataFrame([("e", "A", 1.0), ("e", "AB", 2.0)], "epitope string, chains string, x double")
     got = reports.metric_table(base, [reports.by_chains(v, "x", "p"), v.where("chains = 'A'").select("epitope", F.col("x").alias("y"))], zero=("p_a", "p_b"))
     assert sorted(map(tuple, got.select("epitope", "p_a", "p_b", "p_ab", "y").collect())) == [("e", 1.0, 0.0, 2.0, 1.0), ("f", 0.0, 0.0, None, None)]
+
+
+def _plain_qualities(read, quals, part):
+    """By trying every place and every part."""
+    flip = lambda s: s[::-1].translate(str.maketrans("acgt", "tgca"))
+    read, part, n = read.lower(), part.lower(), len(part)
+    strands = [(read, quals), (flip(read), quals[::-1])]
+    for nuc, q in strands:
+        at = [i for i in range(len(nuc) - n + 1) if nuc[i : i + n] == part]
+        if at:
+            return q[(i := max(at, key=lambda i: (min(q[i : i + n]), -i))) : i + n]
+    parts = [(-(j - i), s, i, j) for s in (0, 1) for i in range(n) for j in range(i + 1, n + 1) if part[i:j] in strands[s][0]]
+    if not parts:
+        return [60] * n
+    _, s, i, j = min(parts)
+    nuc, q = strands[s]
+    at = nuc.find(part[i:j])
+    return [60] * i + q[at : at + j - i] + [60] * (n - j)
+
+
+def test_junction_qualities_are_those_of_all_places_and_parts(spark):
+    rng = random.Random(11)
+    text = lambda n, letters="acgt": "".join(rng.choice(letters) for _ in range(n))
+    rows = [(k, text(rng.randint(1, 40), "ac" if k % 3 else "acgt"), text(rng.randint(1, 9), "ac" if k % 3 else "acgt").upper()) for k in range(150)]
+    rows = [(k, s, [rng.randint(0, 4) for _ in s], p) for k, s, p in rows] + [(150, "acgt", [1, 2, 3, 4], "")]
+    df = spark.createDataFrame([*rows, (151, None, None, "acg"), (152, "ac", [1, 2], None)], "k long, read string, quals array<int>, part string")
+    got = {r.k: r.q for r in df.select("k", parsing.junction_qualities(F.col("read"), F.col("quals"), F.col("part")).alias("q")).collect()}
+    assert {k: got[k] for k, *_ in rows[:-1]} == {k: _plain_qualities(s, q, p) for k, s, q, p in rows[:-1]}
+    assert got[150] is None and got[151] is None and got[152] is None
+
+
+def test_rows_for_each_repertoire(spark):
+    x = spark.createDataFrame([("a", 1)], "rep string, p int")
+    groups = spark.createDataFrame([("f",), ("e",), ("e",), (None,)], "epitope string")
+    assert sorted(map(tuple, for_each(x, groups, "epitope").collect())) == [("a", 1, "e"), ("a", 1, "f")]
+    assert for_each(x, groups.limit(0), "epitope").count() == 0
