@@ -369,7 +369,20 @@ def random_nbrdist(spark, d):
     return random_scores(spark, d).where("chains = 'AB'").select("clone_id", "ref_epitope", r("wtd_nbrdist", 4).alias("wtd_nbrdist"))
 
 
-@query()
+def _by_chain(sql: str) -> str:
+    """The scores of random receptors for each chain as well as for both."""
+    sql = sql.replace("ds as (select lr.id,", "d1 as (select lr.chain chains, lr.id,")
+    sql = sql.replace("dk as (select *,", "ds as (select * from d1 union all select 'AB', id, clone_id, epitope, sum(dist) from d1 group by id, clone_id, epitope),\n  dk as (select *,")
+    sql = sql.replace("partition by id, epitope", "partition by chains, id, epitope").replace("rs as (select id,", "rs as (select chains, id,").replace("group by id, epitope)", "group by chains, id, epitope)")
+    return sql
+
+
+_RANDOM_AREA = """pts as (select c.epitope ref, chains, round(wtd, 4) v, 1 own from nbr join clones c using (clone_id) union all select ref, chains, v, 0 from rs), lv as (select ref, chains, v, sum(own) p, sum(1 - own) q from pts group by all),
+  au as (select ref, chains, cast(sum(q * coalesce(pb, 0)) as double) / (sum(p) * sum(q)) auc from (select *, sum(p) over (partition by ref, chains order by v rows between unbounded preceding and 1 preceding) pb from lv) group by ref, chains)"""
+
+
+@query(f"""{ctes('genes', 'clones', 'background')}, rs as (with {_by_chain(_RANDOM_SCORES)} select * from rs), {DIST_EPITOPE}, near as (select * from both_ways where subject1 <> subject2), {nbr('')}, {_RANDOM_AREA}
+  select chains, ref ref_epitope, round(auc, 5) auc from au union all select chains, 'mean', round(avg(auc), 5) from au group by chains""")
 def auc_vs_random(spark, d):
     """How well scores against a repertoire tell its own clones from random receptors, and the mean over repertoires."""
     own = neighbors.neighbor_scores(distance.nearest_distances(clones(spark, d), genes(spark, d), largest_percentile=10), (10,))
