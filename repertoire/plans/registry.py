@@ -553,8 +553,9 @@ def cophenetic_correlation(spark, d):
 
 @query
 def kernel_coordinates(spark, d):
-    """Kernel PCA of 1 - d / d_max."""
-    return clustering.kernel_coordinates(_grouped_pairs(spark, d), "g").select("g", "id", r("x1", 5).alias("x1"), r("x2", 5).alias("x2"))
+    """Kernel PCA of 1 - d / d_max, d_max being the median of the groups' largest distances."""
+    pairs = _grouped_pairs(spark, d)
+    return clustering.kernel_coordinates(pairs, "g", d_max=clustering.median_extent(pairs, "g")).select("g", "id", r("x1", 5).alias("x1"), r("x2", 5).alias("x2"))
 
 
 @query

@@ -171,3 +171,10 @@ def test_rows_for_each_repertoire(spark):
     groups = spark.createDataFrame([("f",), ("e",), ("e",), (None,)], "epitope string")
     assert sorted(map(tuple, for_each(x, groups, "epitope").collect())) == [("a", 1, "e"), ("a", 1, "f")]
     assert for_each(x, groups.limit(0), "epitope").count() == 0
+
+
+def test_one_scale_for_all_groups_is_the_median_of_their_extents(spark):
+    rows = [("g", 1, 2, 4.0), ("g", 1, 3, 9.0), ("h", 1, 2, 2.0), ("i", 5, 6, 30.0), ("j", 5, 6, 11.0)]
+    pairs = spark.createDataFrame(rows, "g string, id1 long, id2 long, dist double")
+    assert clustering.median_extent(pairs, "g") == 10.0
+    assert clustering.median_extent(pairs.limit(0), "g") is None
