@@ -319,8 +319,9 @@ def gene_enrichment(spark, d):
 
 @query
 def tuple_counts_distinct(spark, d):
-    """Counts of ambiguous gene tuples over distinct sequences."""
-    t = tuples(spark, d).dropDuplicates(["seq_id"])
+    """Counts of ambiguous gene tuples over distinct sequences, the first of each in the order of the table."""
+    at = F.struct("_metadata.file_path", "_metadata.row_index")
+    t = tuples(spark, d).groupBy("seq_id").agg(F.min_by(F.struct("file", "genes"), at).alias("t")).select("t.*")
     return t.groupBy("file", F.array_join("genes", ",").alias("tuple")).agg(F.count(F.lit(1)).alias("n"))
 
 
