@@ -22,24 +22,27 @@ def assign_genes(reads: DataFrame, genes: DataFrame, *, nuc: str = "nuc", k: int
     """(read_id, region, strand, shift, gene, score, gap, genes): the best germline gene of each region.
 
     Reads (both strands) and genes meet on shared k-mers; hits on one diagonal are counted, which is an
-    ungapped alignment. ``gap`` is the lead over the next gene, ``genes`` those within the margin.
+    ungapped alignment. Equal reads are assigned once. ``gap`` is the lead over the next gene, ``genes`` those within the margin.
     ``genes``: (gene, region, nucseq), a dimension table that Spark broadcasts when small.
     """
-    both = reads.select("read_id", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.lower(nuc).alias("s")), F.struct(F.lit(-1).alias("strand"), reverse_complement(F.lower(nuc)).alias("s")))).alias("x"))
-    mers = both.select("read_id", "x.strand", F.explode(_kmers(F.col("x.s"), k)).alias("m")).select("read_id", "strand", F.col("m.at").alias("q"), F.col("m.mer").alias("mer"))
+    texts = reads.select(F.lower(nuc).alias("__s"))
+    once = texts.where(F.col("__s").isNotNull()).distinct()
+    both = once.select("__s", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("__s").alias("s")), F.struct(F.lit(-1).alias("strand"), reverse_complement(F.col("__s")).alias("s")))).alias("x"))
+    mers = both.select("__s", "x.strand", F.explode(_kmers(F.col("x.s"), k)).alias("m")).select("__s", "strand", F.col("m.at").alias("q"), F.col("m.mer").alias("mer"))
     index = genes.select("gene", "region", F.explode(_kmers(F.lower("nucseq"), k)).alias("m")).select("gene", "region", F.col("m.at").alias("h"), F.col("m.mer").alias("mer"))
-    hits = mers.join(index, "mer").where(F.length("mer") == k).groupBy("read_id", "region", "gene", "strand", (F.col("q") - F.col("h")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
-    by_gene = hits.groupBy("read_id", "region", "gene").agg(F.max(F.struct("n", "strand", "shift")).alias("b"))
-    rows = by_gene.select("read_id", "region", "gene", (F.col("b.n") + k - 1).alias("score"), "b.strand", "b.shift")
-    w = Window.partitionBy("read_id", "region")
+    hits = mers.join(index, "mer").where(F.length("mer") == k).groupBy("__s", "region", "gene", "strand", (F.col("q") - F.col("h")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
+    by_gene = hits.groupBy("__s", "region", "gene").agg(F.max(F.struct("n", "strand", "shift")).alias("b"))
+    rows = by_gene.select("__s", "region", "gene", (F.col("b.n") + k - 1).alias("score"), "b.strand", "b.shift")
+    w = Window.partitionBy("__s", "region")
     order = w.orderBy(F.desc("score"), "gene")
     ranked = rows.withColumns({"r": F.row_number().over(order), "next": F.lead("score").over(order), "top": F.max("score").over(w)})
     near = F.array_sort(F.collect_list(F.when(F.col("score") >= F.col("top") - SCORE_MARGIN, F.col("gene"))))
     best = lambda c: F.max(F.when(F.col("r") == 1, F.col(c)))
-    return ranked.groupBy("read_id", "region").agg(
+    found = ranked.groupBy("__s", "region").agg(
         best("strand").alias("strand"), best("shift").alias("shift"), best("gene").alias("gene"), best("score").alias("score"),
         (best("score") - F.coalesce(best("next"), F.lit(0))).alias("gap"), near.alias("genes"),
     )
+    return reads.select("read_id", F.lower(nuc).alias("__s")).join(found, "__s").drop("__s")
 
 
 def reading_frame(nuc: Column, start: Column) -> Column:
