@@ -165,15 +165,17 @@ def empirical_cdf(df: DataFrame, keys: list[str], value: str, origin: bool = Fal
 
 
 def kendall(df: DataFrame, unit: str, x: str, y: str) -> DataFrame:
-    """(unit, tau): Kendall's tau-b of two columns (rows named by ``clone_id``). Pairs are compared in blocks and
-    only their counts leave a task."""
-    rows = df.select("clone_id", unit, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    """(unit, tau): Kendall's tau-b of two columns. Equal points are counted first; pairs of different points are compared in
+    blocks, weighted by their counts, and only sums leave a task."""
+    points = df.select(unit, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).groupBy(unit, "__x", "__y").agg(F.count(F.lit(1)).alias("__w"))
+    rows = points.withColumn("clone_id", F.xxhash64("__x", "__y"))
 
     def work(q: pd.DataFrame, r: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame(columns=[unit, "s", "nx", "ny"])
-        dx, dy = (np.sign(q[c].to_numpy()[:, None] - r[c].to_numpy()[None, :]) * mask for c in ("__x", "__y"))
-        return pd.DataFrame({unit: [q[unit].iloc[0]], "s": [int((dx * dy).sum())], "nx": [int(np.abs(dx).sum())], "ny": [int(np.abs(dy).sum())]})
+        dx, dy = (np.sign(q[c].to_numpy()[:, None] - r[c].to_numpy()[None, :]).astype(np.int64) * mask for c in ("__x", "__y"))
+        pairs = lambda m: int(q["__w"].to_numpy() @ m @ r["__w"].to_numpy())
+        return pd.DataFrame({unit: [q[unit].iloc[0]], "s": [pairs(dx * dy)], "nx": [pairs(np.abs(dx))], "ny": [pairs(np.abs(dy))]})
 
     sums = in_own_blocks(rows, unit, work, f"{unit} {df.schema[unit].dataType.simpleString()}, s long, nx long, ny long").groupBy(unit)
     sums = sums.agg(*[F.sum(c).cast("double").alias(c) for c in ("s", "nx", "ny")])
