@@ -122,7 +122,7 @@ def receptor_pairs_within(spark, d):
 @query
 def receptor_distance_sums(spark, d):
     """All pairs of an epitope compared, mean distances within and between subjects."""
-    s = distance.pair_sums(clones(spark, d), genes(spark, d), lambda x, c: x)
+    s = distance.distance_sums(clones(spark, d), genes(spark, d))
     same = F.col("subject1") == F.col("subject2")
     rows = s.groupBy(F.col("unit").alias("epitope"), "chains", same.alias("same_subject")).agg(F.sum("n").alias("pairs"), F.sum("total").alias("total"))
     return rows.select("epitope", "chains", "same_subject", "pairs", r(F.col("total") / F.col("pairs"), 6).alias("mean_dist"))
