@@ -9,12 +9,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from repertoire.functions import tables
 from repertoire.operators.broadcasts import bounded
@@ -368,10 +370,19 @@ def average_over_d(trims: DataFrame, keys: list[str]) -> DataFrame:
     return sums.join(bounded(n.withColumn("__k", F.lit(1))), F.lit(1) == F.col("__k")).select(*keys, (F.col("p") / F.col("__n")).alias("p"))
 
 
+def _shuffled(seq: str | None, key: str | None, mark: str) -> str | None:
+    if seq is None:
+        return None
+    start = "" if key is None else f"{key}:"
+    pool = iter(sorted((md5(f"{start}{i}".encode()).hexdigest(), x) for i, x in enumerate(seq.replace(mark, ""))))
+    return "".join(x if x == mark else next(pool)[1] for x in seq)
+
+
 def shuffled_letters(seq: Column, key: Column, mark: str = "+") -> Column:
     """A sequence with its letters in an order that a hash of (key, place) gives; marks stay where they are."""
-    at = F.transform(F.filter(F.split(seq, ""), lambda x: (x != "") & (x != mark)), lambda x, i: F.struct(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"))).alias("h"), x.alias("x")))
-    pool = F.transform(F.array_sort(at), lambda p: p["x"])
-    before = lambda i: i - (F.length(F.substr(seq, F.lit(1), i)) - F.length(F.replace(F.substr(seq, F.lit(1), i), F.lit(mark), F.lit(""))))
-    each = F.transform(F.filter(F.split(seq, ""), lambda x: x != ""), lambda x, i: F.when(x == mark, x).otherwise(F.get(pool, before(i))))
-    return F.array_join(each, "")
+
+    @F.arrow_udf(StringType())
+    def shuffle(s: pa.Array, k: pa.Array) -> pa.Array:
+        return pa.array([_shuffled(x, y, mark) for x, y in zip(s.to_pylist(), k.to_pylist(), strict=True)], pa.string())
+
+    return shuffle(seq, key.cast("string"))

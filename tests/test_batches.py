@@ -1,11 +1,13 @@
 """Row-wise work of Arrow batches beside plain computations."""
 
 import random
+from hashlib import md5
 
 from pyspark.sql import functions as F
 
 from repertoire.functions import sequences as seq
 from repertoire.functions import tables
+from repertoire.operators import junctions
 
 
 def _aligned(a, b):
@@ -27,3 +29,17 @@ def test_gaps_of_a_batch(spark):
     x = spark.createDataFrame([(a, b) for a, b in rows], "a string, b string").select(seq.align_with_gap(F.col("a"), F.col("b"), "-").alias("g"))
     assert "ArrowEvalPython" in x._jdf.queryExecution().optimizedPlan().toString()
     assert [r.g for r in x.collect()] == [_aligned(a, b).replace(".", "-") for a, b in rows]
+
+
+def test_shuffled_letters_of_a_batch(spark):
+    rows = [(7, "acg+tt+gca"), (8, "++"), (9, ""), (None, "ab+c"), (10, None)]
+    x = spark.createDataFrame(rows, "k long, s string").select(junctions.shuffled_letters(F.col("s"), F.col("k")).alias("s"))
+    assert "ArrowEvalPython" in x._jdf.queryExecution().optimizedPlan().toString()
+
+    def plain(k, s):
+        free = s.replace("+", "")
+        order = sorted(range(len(free)), key=lambda i: md5((f"{k}:{i}" if k is not None else f"{i}").encode()).hexdigest())
+        pool = [free[i] for i in order]
+        return "".join("+" if c == "+" else pool.pop(0) for c in s)
+
+    assert [r.s for r in x.collect()] == [None if s is None else plain(k, s) for k, s in rows]
