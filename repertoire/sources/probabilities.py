@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repertoire.operators.broadcasts import bounded, shipped
+from repertoire.operators.graph import _ready
 from repertoire.operators.junctions import TrimTables
 from repertoire.sources.tables import read_gene_frequencies, read_probabilities
 
@@ -67,6 +68,9 @@ def read_tagged(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame,
 def normalised(table: DataFrame) -> DataFrame:
     """A tagged table whose tags sum to 1, with the means of chain B's tags over its D genes."""
     keys = ["organism", "chain", "tag"]
+    # a dimension that every join below would make anew from its source
+    _ready(table.sparkSession)
+    table = table.checkpoint()
     sums = table.groupBy(*keys).agg(F.sum("p").alias("total"))
     p = table.join(bounded(sums), keys).select(*keys, "key", (F.col("p") / F.col("total")).alias("p"))
     of_d = p.where((F.col("chain") == "B") & F.col("tag").rlike(rf"^D\d+_({'|'.join(MEAN_TAGS)})$"))
