@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repertoire.functions.sequences import safe_inverse
-from repertoire.operators.distance import gaussian, pair_sums, pairs_within
+from repertoire.operators.distance import gaussian, near_subjects, pair_sums, pairs_within
 
 #: Distance at which the Gaussian of a chain falls to 1/e.
 THRESHOLD = 25 / 1.298
@@ -102,13 +102,13 @@ def match_counts(pairs: DataFrame) -> DataFrame:
 def sharing_grid(clones: DataFrame, genes: DataFrame | None, threshold: float | None = None, *, exact: DataFrame | None = None) -> DataFrame:
     """``sharing`` of every (mode, chains): equal receptors, genes alone, and distances within the threshold a chain.
     ``exact``: clones whose CDR3s stand for those of ``clones`` in the first mode."""
-    near = pairs_within(clones, genes, THRESHOLD if threshold is None else threshold)
+    radius = THRESHOLD if threshold is None else threshold
     out = []
     for chains in ("A", "B", "AB"):
         for mode, counts in (
             ("receptor", match_counts(exact_matches(clones if exact is None else exact, chains))),
             ("genes", gene_match_counts(clones, chains)),
-            ("distance", match_counts(near.where(F.col("chains") == chains))),
+            ("distance", match_counts(pairs_within(clones, genes, radius, chains=(chains,))) if chains == "AB" else near_subjects(clones, genes, radius, chains)),
         ):
             out.append(sharing(counts, clones).select(F.lit(mode).alias("mode"), F.lit(chains).alias("chains"), "*"))
     return reduce(DataFrame.unionByName, out)

@@ -226,9 +226,7 @@ def gene_sharing(spark, d):
 def threshold_sharing(spark, d):
     """Sharing by distance."""
     c = clones(spark, d)
-    near = distance.pairs_within(c, genes(spark, d), diversity.THRESHOLD, chains=("B",)).where("subject1 <> subject2")
-    m = near.groupBy(F.col("epitope1").alias("epitope"), F.least("subject1", "subject2").alias("subject1"), F.greatest("subject1", "subject2").alias("subject2")).agg(F.count(F.lit(1)).alias("overlap"))
-    return diversity.sharing(m, c).select("epitope", "overlap", "total", r("diversity", 5).alias("diversity"), "subject_pairs", "sharing_pairs", "top3")
+    return diversity.sharing(distance.near_subjects(c, genes(spark, d), diversity.THRESHOLD, "B"), c).select("epitope", "overlap", "total", r("diversity", 5).alias("diversity"), "subject_pairs", "sharing_pairs", "top3")
 
 
 def _receptors(spark, d):
