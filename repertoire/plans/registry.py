@@ -819,10 +819,8 @@ def motif_top_genes(spark, d):
 @query
 def motif_match_plus(spark, d):
     """Matches and their near neighbours of equal length."""
-    c = clones(spark, d)
-    near = distance.length_band_pairs(c.withColumn("epitope", F.concat("epitope", F.length("cdr3a").cast("string"))), "A", 19.0).select("id1", "id2")
-    both = near.unionAll(near.select(F.col("id2").alias("id1"), F.col("id1").alias("id2")))
-    return motifs.match_plus(motif_matches(spark, d), both, ["epitope"])
+    near = lambda c: distance.length_band_pairs(c.withColumn("epitope", F.concat("epitope", F.length("cdr3a").cast("string"))), "A", 19.0).select("id1", "id2")
+    return motifs.match_plus_equal(motif_matches(spark, d), clones(spark, d), near, ["epitope"], "cdr3a")
 
 
 @query
