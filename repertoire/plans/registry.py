@@ -17,6 +17,7 @@ from repertoire.operators import clones as calls
 from repertoire.operators import clustering, distance, diversity, junctions, motifs, neighbors, pairing, permutation, sampling, stats, usage
 from repertoire.operators import genes as gene_dim
 from repertoire.operators import reads as parsing
+from repertoire.operators.graph import _ready
 from repertoire.plans import fixtures, germline, metrics, reports
 from repertoire.plans.base import clones, for_each, genes, r, reads, tuples
 from repertoire.plans.oracles import ORACLES
@@ -324,9 +325,11 @@ def tuple_counts_distinct(spark, d):
 
 
 def _tuple_tables(spark, d):
-    t = tuples(spark, d)
-    fg = t.groupBy("epitope", "genes").agg(F.count(F.lit(1)).alias("n"))
-    bg = for_each(t.where("file = 'FO'").groupBy("genes").agg(F.count(F.lit(1)).alias("n")), t, "epitope").select("epitope", "genes", "n")
+    # every round of an allocation reads these counts, the table once
+    _ready(spark)
+    n = tuples(spark, d).groupBy("epitope", "file", "genes").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    fg = n.groupBy("epitope", "genes").agg(F.sum("n").alias("n"))
+    bg = for_each(n.where("file = 'FO'").groupBy("genes").agg(F.sum("n").alias("n")), n, "epitope").select("epitope", "genes", "n")
     return fg, bg
 
 
