@@ -203,7 +203,7 @@ def motifs_kept(spark, d):
     c = clones(spark, d)
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("shown"), F.lit(p).alias("pattern"), F.lit(x).alias("chi"), F.lit(e).alias("expected")) for s, p, x, e in _NAMED])).alias("m")
     m = c.select("epitope").distinct().select("epitope", each).select("epitope", "m.shown", "m.pattern", (F.col("m.chi") + F.length("epitope") % 3).alias("chi_squared"), "m.expected")
-    return motifs.drop_redundant(m, motifs.matches(m, c, ["epitope"], "cdr3a"), ["epitope"], expected="expected")
+    return motifs.drop_redundant_sets(m, motifs.matched_sets(m, c, ["epitope"], "cdr3a"), ["epitope"], expected="expected")
 
 
 # metrics
