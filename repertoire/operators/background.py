@@ -16,9 +16,16 @@ from repertoire.operators.graph import _ready
 
 #: Chains of a pair that are ordered together, on average.
 BUCKET = 1000
+#: Rows that a task sorts, on average.
+TASK_ROWS = 200_000
 PAIR = ["v_rep", "j_rep"]
 
 
+def tasks(rows: int) -> int:
+    """Partitions for ``rows`` rows: their number grows with a table, what one of them holds does not."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def _digest(seed: int, c: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")).cast("binary"))
 
@@ -32,16 +39,17 @@ def postings(chains: DataFrame, *, id_col: str = "chain_id", v: str = "v_reps",
     ``place`` (from 0) in its seeded order. Chains that repeat an id under a pair stand there once."""
     _ready(chains.sparkSession)
     each = chains.withColumn("v_rep", F.explode(F.array_distinct(v))).withColumn("j_rep", F.explode(F.array_distinct(j))).drop(v, j)
-    each = each.dropDuplicates([*PAIR, id_col]).withColumn("__d", _digest(seed, id_col))
+    parts = tasks(each.count())
+    each = each.repartition(parts, *PAIR, id_col).dropDuplicates([*PAIR, id_col]).withColumn("__d", _digest(seed, id_col)).checkpoint()
     sizes = bounded(each.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")))
     # four hex digits split a list into up to 65,536 buckets in order of the digest
     bucket = F.floor(_hex(4, F.col("__d")) / F.lit(65536.0) * F.ceil(F.col("n") / BUCKET)).cast("int")
-    ranged = each.join(sizes, PAIR).withColumn("__b", bucket).checkpoint()
+    ranged = each.join(sizes, PAIR).withColumn("__b", bucket)
     counts = ranged.groupBy(*PAIR, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*PAIR).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*PAIR, "__b", before.alias("__o"))
     inside = F.row_number().over(Window.partitionBy(*PAIR, "__b").orderBy("__d", id_col))
-    placed = ranged.withColumn("__r", inside).join(starts, [*PAIR, "__b"])
+    placed = ranged.repartition(parts, *PAIR, "__b").withColumn("__r", inside).join(bounded(starts), [*PAIR, "__b"])
     return placed.withColumn("place", (F.col("__o") + F.col("__r") - 1).cast("long")).drop("__d", "__b", "__o", "__r")
 
 
@@ -52,4 +60,7 @@ def sampled(receptors: DataFrame, index: DataFrame, n: int, *, id_col: str = "cl
     start = F.pmod(_hex(8, _digest(seed, id_col)), F.col("__n"))
     asked = receptors.join(lists, PAIR).withColumn("__s", start).withColumn("__i", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("__n")).cast("int") - 1)))
     asked = asked.withColumn("place", F.pmod(F.col("__s") + F.col("__i"), F.col("__n"))).drop("__s", "__i", "__n")
-    return asked.join(index.drop("n"), [*PAIR, "place"]).drop("place")
+    # a list has as many places as chains, a receptor asks for n of them at most
+    parts = tasks(max(receptors.count() * n, index.count()))
+    on = [*PAIR, "place"]
+    return asked.repartition(parts, *on).join(index.drop("n").repartition(parts, *on), on).drop("place")
