@@ -523,21 +523,15 @@ def consensus(spark, d):
 # groups, trees, permutation, single cells, junctions
 
 
-def _grouped_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of chain A within each subject of an epitope, as (g, id1, id2, dist)."""
-    c = clones(spark, d).withColumn("g", F.concat_ws(":", "epitope", F.col("subject").cast("string")))
-    return distance.pairs_within(c, genes(spark, d), None, chains=("A",), unit="g").select(F.concat_ws(":", "epitope1", F.col("subject1").cast("string")).alias("g"), "id1", "id2", "dist")
-
-
 def _groups(spark: SparkSession, d: str) -> distance.Groups:
-    """The same distances, made where a group's matrix is needed."""
+    """Distances of chain A within each subject of an epitope, made where they are needed."""
     return distance.Groups(clones(spark, d).withColumn("g", F.concat_ws(":", "epitope", F.col("subject").cast("string"))), genes(spark, d), "g")
 
 
 @query
 def medoids(spark, d):
     """The clone with the least mean distance of its subject's repertoire."""
-    return clustering.medoids(_grouped_pairs(spark, d), "g").select("g", "medoid", r("mean_dist", 5).alias("mean_dist"))
+    return clustering.medoids(_groups(spark, d), "g").select("g", "medoid", r("mean_dist", 5).alias("mean_dist"))
 
 
 @query
@@ -549,7 +543,7 @@ def greedy_clusters(spark, d):
 @query
 def linkage_trees(spark, d):
     """Average-linkage trees."""
-    return clustering.trees(_groups(spark, d), "g").select("g", "node", "left", "right", r("height", 6).alias("height"), "size")
+    return clustering.trees(_groups(spark, d), "g", leaves=False).select("g", "node", "left", "right", r("height", 6).alias("height"), "size")
 
 
 @query
