@@ -6,7 +6,9 @@ cheap, and every lookup into it is a broadcast join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repertoire.functions import tables
@@ -52,16 +54,43 @@ def lookup(rows: DataFrame, id_col: str, genes_col: str, table: DataFrame, out:
 LOOP_MISMATCHES, THREE_LOOP_MISMATCHES, WHOLE_MISMATCHES = 1, 2, 10
 #: What a gap or stop opposite another letter counts as; the least substitution score of a mismatch in a loop.
 GAP_MISMATCHES, LEAST_SCORE = 10, 1
+ODD = [ord(x) for x in "*."]
 
 
-def _mismatch_weights(a: Column, b: Column) -> Column:
-    """For each column of two aligned parts 0, 1, or ``GAP_MISMATCHES`` where a gap or stop meets another letter."""
-    odd = lambda x: x.isin("*", ".")
-    return F.zip_with(letters(a), letters(b), lambda x, y: F.when(x == y, 0).when(odd(x) | odd(y), GAP_MISMATCHES).otherwise(1))
+def _letters(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Texts as rows of bytes, 0 where they are shorter."""
+    return np.array([x.encode("ascii", "replace") for x in column.to_pylist()], f"S{max(width, 1)}").view(np.uint8).reshape(len(column), -1)
 
 
-def _total(weights: Column) -> Column:
-    return F.aggregate(weights, F.lit(0), lambda t, x: t + x)
+def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums over the columns of aligned parts of 0, 1, or ``GAP_MISMATCHES`` where a gap or stop meets another letter."""
+    odd = np.isin(x, ODD) | np.isin(y, ODD)
+    return np.where(x == y, 0, np.where(odd, GAP_MISMATCHES, 1)).sum(1)
+
+
+def _kept_pairs(batches):
+    """(a, b) of the pairs of genes that are equal or near."""
+    scores = np.full((256, 256), -9, np.int8)
+    for k, v in tables.blosum62().items():
+        scores[ord(k[0]), ord(k[1])] = v
+    for rows in batches:
+        side = lambda n: [_letters(rows.column(f"{n}{i}"), max(len(t or "") for j in "ab" for t in rows.column(f"{n}{j}").to_pylist())) for i in "ab"]  # noqa: B023, E731
+        kept = np.zeros(0, bool)
+        if len(rows):
+            (xa, xb), (ya, yb), (wa, wb) = side("two"), side("l3"), side("whole")
+            in_two = _weights(xa, xb)
+            likely = ((xa == xb) | (xa == 0) | (xb == 0) | (scores[xa, xb] >= LEAST_SCORE)).all(1)
+            near = (in_two <= LOOP_MISMATCHES) & likely & (in_two + _weights(ya, yb) <= THREE_LOOP_MISMATCHES) & (_weights(wa, wb) <= WHOLE_MISMATCHES)
+            kept = rows.column("equal").to_numpy(zero_copy_only=False) | near
+        yield rows.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+
+def _v_loops(genes: DataFrame) -> DataFrame:
+    """(organism, chain, gene, l1, l2, l3, whole) of V genes: three loops, and the aligned protein up to the residue behind the C."""
+    return genes.select(
+        "organism", "chain", "gene", F.get("cdrs", F.lit(0)).alias("l1"), F.get("cdrs", F.lit(1)).alias("l2"), F.get("cdrs", F.lit(2)).alias("l3"),
+        F.expr("substr(aligned_protseq, 1, element_at(cdr_columns, -1).start + 1)").alias("whole"),
+    )
 
 
 def v_neighbours(genes: DataFrame) -> DataFrame:
@@ -71,25 +100,31 @@ def v_neighbours(genes: DataFrame) -> DataFrame:
     ``genes``: (gene, organism, chain, aligned_protseq, cdrs, cdr_columns), loops in columns of equal width. A
     mismatch in one of two loops leaves the other as it is, so pairs meet on an equal CDR1 or an equal CDR2.
     """
-    own = genes.select(
-        "organism", "chain", "gene", F.get("cdrs", F.lit(0)).alias("l1"), F.get("cdrs", F.lit(1)).alias("l2"), F.get("cdrs", F.lit(2)).alias("l3"),
-        F.expr("substr(aligned_protseq, 1, element_at(cdr_columns, -1).start + 1)").alias("whole"),
-    )
+    return _near(_v_loops(genes))
+
+
+def v_links(genes: DataFrame) -> DataFrame:
+    """(a, b) of V genes that are connected by these links as they are by ``v_neighbours``: genes of equal loops are linked to the
+    first of them, and of equal proteins only the first meets others."""
+    own = _v_loops(genes)
+    loops = ["organism", "chain", "l1", "l2", "l3"]
+    first = own.dropna(subset=loops).withColumn("b", F.min("gene").over(Window.partitionBy(*loops)))
+    kinds = own.groupBy(*loops, "whole").agg(F.min("gene").alias("gene"))
+    return first.where("gene <> b").select(F.col("gene").alias("a"), "b").unionAll(_near(kinds, unequal=True))
+
+
+def _near(own: DataFrame, *, unequal: bool = False) -> DataFrame:
+    """``v_neighbours`` of genes with their loops; only those of different loops if ``unequal``."""
     side = lambda n, loop: own.select("organism", "chain", F.col(loop).alias("__same"), *[F.col(c).alias(f"{c}{n}") for c in ("gene", "l1", "l2", "l3", "whole")])
+    equal = (F.col("l1a") == F.col("l1b")) & (F.col("l2a") == F.col("l2b")) & (F.col("l3a") == F.col("l3b"))
     pairs = None
     for loop in ("l1", "l2"):
         met = side("a", loop).join(side("b", loop), ["organism", "chain", "__same"]).where("genea < geneb").drop("__same")
+        met = met.where(~F.coalesce(equal, F.lit(False))) if unequal else met
         pairs = met if pairs is None else pairs.unionAll(met.where("l1a <> l1b"))  # those of equal CDR1 have met
-    two = lambda s: F.concat(f"l1{s}", f"l2{s}")
-    in_two = _total(_mismatch_weights(two("a"), two("b")))
-    in_three = in_two + _total(_mismatch_weights(F.col("l3a"), F.col("l3b")))
-    score = tables.as_map(tables.blosum62())
-    likely = F.forall(F.zip_with(letters(two("a")), letters(two("b")), lambda x, y: F.when(x != y, F.coalesce(F.try_element_at(score, F.concat(x, y)), F.lit(-9))).otherwise(LEAST_SCORE)), lambda s: s >= LEAST_SCORE)
-    # the prefix of the first gene's length counts; aligned proteins of a chain are equally wide
-    whole = _total(F.filter(_mismatch_weights(F.col("wholea"), F.col("wholeb")), lambda w: w.isNotNull()))
-    equal = (F.col("l1a") == F.col("l1b")) & (F.col("l2a") == F.col("l2b")) & (F.col("l3a") == F.col("l3b"))
-    near = (in_two <= LOOP_MISMATCHES) & likely & (in_three <= THREE_LOOP_MISMATCHES) & (whole <= WHOLE_MISMATCHES)
-    return pairs.where(equal | near).select(F.col("genea").alias("a"), F.col("geneb").alias("b"))
+    parts = [c.alias(f"{n}{i}") for i in "ab" for n, c in (("two", F.concat(f"l1{i}", f"l2{i}")), ("l3", F.col(f"l3{i}")), ("whole", F.col(f"whole{i}")))]
+    rows = pairs.select(F.col("genea").alias("a"), F.col("geneb").alias("b"), equal.alias("equal"), *parts).dropna()
+    return rows.mapInArrow(_kept_pairs, "a string, b string")
 
 
 def j_loops(genes: DataFrame) -> DataFrame:
@@ -108,7 +143,7 @@ def gene_classes(genes: DataFrame) -> DataFrame:
     v, j = genes.where("region = 'V'"), j_loops(genes.where("region = 'J'"))
     keyed = v.select("organism", "chain", "region", "gene", F.concat_ws(" ", F.slice("cdrs", 1, 3)).alias("loop")).unionByName(j.select("organism", "chain", "region", "gene", "loop"))
     reps = keyed.withColumn("rep", F.min("gene").over(Window.partitionBy("organism", "chain", "region", "loop"))).drop("loop")
-    found = components(v_neighbours(v), v.select(F.col("gene").alias("node"))).select(F.col("node").alias("gene"), F.col("component").alias("mm1"))
+    found = components(v_links(v), v.select(F.col("gene").alias("node"))).select(F.col("node").alias("gene"), F.col("component").alias("mm1"))
     classes = reps.join(found, "gene", "left").withColumn("mm1_rep", F.coalesce("mm1", "rep")).drop("mm1")
     classes = classes.withColumns({"name": gene_of_allele(F.col("gene")), "class": gene_of_allele(F.col("mm1_rep"))})
     kind = ["organism", "chain", "region"]
