@@ -82,6 +82,17 @@ def exact_matches(clones: DataFrame, chains: str) -> DataFrame:
     return keep(1).join(keep(2), seqs).where(F.col("clone_id1") < F.col("clone_id2")).where(same_receptor("r1", "r2", chains)).drop("r1", "r2", *seqs)
 
 
+def exact_match_counts(clones: DataFrame, chains: str) -> DataFrame:
+    """(epitope, subject1 < subject2, overlap): pairs of equal receptors of two subjects of an epitope. Equal receptors of a
+    subject are counted before they meet those of another, so no pair of clones is made."""
+    seqs = [f"cdr3{c}" for c in chains.lower()]
+    sets = [x for x in _receptor(chains) if x not in seqs]
+    kinds = clones.groupBy("epitope", "subject", F.struct(*seqs, *[F.array_sort(F.array_distinct(x)).alias(x) for x in sets]).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda i: kinds.select("epitope", *[F.col(f"r.{x}").alias(x) for x in seqs], *[F.col(x).alias(f"{x}{i}") for x in ("subject", "r", "n")])
+    met = side(1).join(side(2), ["epitope", *seqs]).where("subject1 < subject2").where(same_receptor("r1", "r2", chains))
+    return met.groupBy("epitope", "subject1", "subject2").agg(F.sum(F.col("n1") * F.col("n2")).alias("overlap"))
+
+
 def gene_matches(clones: DataFrame, chain: str) -> DataFrame:
     """(clone_id1, clone_id2, epitope1, epitope2, subject1, subject2) of pairs whose V sets overlap and J agree."""
     c = chain.lower()
@@ -121,7 +132,7 @@ def sharing_grid(clones: DataFrame, genes: DataFrame | None, threshold: float |
     out = []
     for chains in ("A", "B", "AB"):
         for mode, counts in (
-            ("receptor", match_counts(exact_matches(clones if exact is None else exact, chains))),
+            ("receptor", exact_match_counts(clones if exact is None else exact, chains)),
             ("genes", gene_match_counts(clones, chains)),
             ("distance", match_counts(pairs_within(clones, genes, radius, chains=(chains,))) if chains == "AB" else near_subjects(clones, genes, radius, chains)),
         ):
