@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repertoire.functions.sequences import safe_inverse
-from repertoire.operators.distance import distance_counts, gaussian, near_subjects, pair_sums, pairs_within
+from repertoire.operators.distance import distance_counts, gaussian, kernel_sums, near_subjects, pair_sums, pairs_within
 
 #: Distance at which the Gaussian of a chain falls to 1/e.
 THRESHOLD = 25 / 1.298
@@ -55,7 +55,7 @@ def gaussian_diversity(clones: DataFrame, genes: DataFrame | None, threshold: fl
 
 def gaussian_shannon(clones: DataFrame, genes: DataFrame | None, threshold: float = THRESHOLD) -> DataFrame:
     """(epitope, chains, entropy, diversity, n): mean of -ln of each clone's mean kernel; diversity 2^entropy."""
-    sums = pair_sums(clones, genes, gaussian(threshold), by_clone=True)
+    sums = kernel_sums(clones, genes, gaussian(threshold))
     each = F.when((F.col("n") > 0) & (F.col("total") > 0), -F.log(F.col("total") / F.col("n")))
     rows = sums.groupBy(F.col("unit").alias("epitope"), "chains").agg(F.avg(each).alias("entropy"), F.count(F.lit(1)).alias("n"))
     return rows.select("*", F.pow(F.lit(2.0), "entropy").alias("diversity"))
